@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, minhash, packing, quality, spm, vptree
+from . import embed_dedup, langid, minhash, packing, quality, sharding, spm, urlrules, vptree
 from ._common import table
 
 
@@ -33,6 +33,10 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.LIST_RULES + urlrules.PATTERNS)
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,10 @@ def op7_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op8_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = spm.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -58,14 +66,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_language_id,
         op2_sorted_projection_dedup,
         op3_sum_of_squares_packing,
+        op4_url_rules,
         op5_importance_resampling,
         op7_vantage_point_trees,
+        op8_extendible_hashing,
         op9_sentencepiece_chunks,
         op10_superminhash_dedup,
     )
 }
 
+def _url_sql() -> str:
+    quoted = [(r, r.pattern.replace("'", "''")) for r in urlrules.LIST_RULES + urlrules.PATTERNS]
+    listed = [f"CASE WHEN regexp_matches(t, '{p}') THEN {{'w': {r.weight}, 'rule': '{r.name}', 'verdict': '{r.verdict}'}} END" for r, p in quoted if r.weight]
+    blocked = " OR ".join(f"regexp_matches(t, '{p}')" for r, p in quoted if not r.weight)
+    return f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+t AS (SELECT *, host || path AS t FROM u),
+m AS (SELECT *, list_aggregate(list_filter([{", ".join(listed)}], lambda x: x IS NOT NULL), 'max') AS best FROM t)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict FROM m
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_rules": _url_sql(),
+    "op8_extendible_hashing": f"""
+WITH d AS (SELECT doc_id, lpad(bin(('0x' || left(md5(doc_id::VARCHAR), 15))::BIGINT), 60, '0') AS address, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents),
+p AS (SELECT k, left(address, k) AS shard, sum(n_bytes) AS b, count(*) AS c FROM d, (SELECT unnest(range(0, 33)) AS k) GROUP BY ALL),
+f AS (SELECT k, shard FROM p WHERE b <= {sharding.LIMIT} OR c <= 1),
+m AS (SELECT d.doc_id, d.address, d.n_bytes, min(f.k) AS depth FROM d JOIN f ON left(d.address, f.k) = f.shard GROUP BY ALL)
+SELECT doc_id, left(address, depth) AS shard, depth::INT AS depth, n_bytes FROM m
+""",
     "op2_sorted_projection_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
