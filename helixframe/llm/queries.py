@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, minhash, packing, quality, sharding, spm, urlrules, vptree
+from . import embed_dedup, langid, minhash, packing, quality, sharding, spm, urlrules, vptree, wrapper
 from ._common import table
 
 
@@ -41,6 +41,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_inferred_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return vptree.nearest(rows, rows.filter("vec_id % 20 = 0"))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_sum_of_squares_packing,
         op4_url_rules,
         op5_importance_resampling,
+        op6_inferred_wrappers,
         op7_vantage_point_trees,
         op8_extendible_hashing,
         op9_sentencepiece_chunks,
