@@ -7,18 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests on one machine)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a temporary folder is used.
-    Files in it outlive a lost executor, and Spark's cleaner removes them with
+    Its files outlive a lost executor, and Spark's cleaner removes them with
     the plan that reads them when ``cleanCheckpoints`` is on.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
