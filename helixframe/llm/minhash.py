@@ -9,11 +9,12 @@ Plan, for any number of documents:
 3. per (band, hash) bucket the least and the greatest class become its leaders,
    by aggregation, and each member is paired with these two only;
 4. pairs are verified on the full shingle sets, verified links are unioned;
-5. a bucket whose members now lie in one component is done. In every other
-   bucket the pairs across components are still open: those whose set sizes
-   and signature sketches allow a link are verified too. A crowded open bucket
-   is first split by the hash of a second band (every pair that is similar
-   enough shares many bands).
+5. a bucket whose members now lie in one component is done. In the others the
+   pairs across components are still open: those of small components whose
+   sizes and signature sketches allow a link are verified as pairs (a crowded
+   bucket is first split by the hash of a second band, as similar documents
+   share many), and whoever shares a bucket with a large component is compared
+   with all its members, in blocks that return only links.
 
 Nothing is capped or sampled. A pair at a similarity of 0.8 shares none of 32
 bands of 5 rows with a probability of 3e-6.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpointed
@@ -39,7 +40,10 @@ from ._text import U64, mix, shingle_sets, slices, utf8
 
 _ROUND = U64(0xA0761D6478BD642F)
 _BAND = mix(np.arange(1, 257, dtype=np.uint64)) | U64(1)
+#: Rows of a block, and of a bucket that is not split.
 CROWDED = 256
+#: Components from this size are asked as a whole.
+LARGE = 16
 #: Open pairs agree in at least this share of their 4-bit sketch cells. At a
 #: similarity of 0.8 the expected share is 0.81, 4.9 standard deviations above.
 AGREE = 0.66
@@ -165,70 +169,93 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
 
 
-def _across(shingle: int, num: int, den: int, cells: int):
-    """Links across components among the members of one block (or of two)."""
+def _close(words: np.ndarray, one: np.ndarray, cells: int) -> np.ndarray:
+    """Which sketches agree with one in the share ``AGREE`` of their cells."""
+    z = words ^ one
+    z = z | ((z >> 2) & 0x3333333333333333)
+    z = z | ((z >> 1) & 0x5555555555555555)
+    return np.bitwise_count(z & 0x1111111111111111).sum(axis=1) <= cells * (1 - AGREE)
+
+
+def _between(cells: int, num: int, den: int, shingle: int | None):
+    """One block of askers against one block of a component's members.
+
+    Without texts: (c, id, asks) of those for which sizes and sketches allow a
+    link. With texts: the links.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        ids, comp, n, block = (group[c].to_numpy() for c in ("id", "comp", "n", "block"))
-        key, key2, lo, hi = (group[c][0].as_py() for c in ("key", "key2", "lo", "hi"))
-        bands, words = _matrix(group["bands"]), _matrix(group["sketch"])
-        sets = None
-        found_a, found_b = [], []
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            j = j[(comp[j] != comp[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
-            if lo != hi:
-                j = j[block[j] != block[i]]
-            if not len(j):
-                continue
-            z = words[j] ^ words[i]
-            z = z | ((z >> 2) & 0x3333333333333333)
-            z = z | ((z >> 1) & 0x5555555555555555)
-            j = j[np.bitwise_count(z & 0x1111111111111111).sum(axis=1) <= cells * (1 - AGREE)]
-            if not len(j):
-                continue
-            # the pair belongs to the first bucket, or first two, that it shares
-            same = bands[j] == bands[i]
-            mine = same.argmax(axis=1) == key
-            if key2 >= 0:
-                same[:, : key + 1] = False
-                mine &= same.argmax(axis=1) == key2
-            for x in j[mine]:
-                if sets is None:
-                    buf, off = utf8(group["text"])
-                    flat, at = shingle_sets(buf, off, shingle)
-                    sets = [flat[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]
-                if _linked(sets[i], sets[x], num, den):
-                    found_a.append(ids[i])
-                    found_b.append(ids[x])
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+        ids, n, asks, words = group["id"].to_numpy(), group["n"].to_numpy(), group["asks"].to_numpy(zero_copy_only=False), _matrix(group["sketch"])
+        one, many = np.flatnonzero(asks), np.flatnonzero(~asks)
+        hit, links = np.zeros(len(ids), bool), []
+        if shingle is not None:
+            buf, off = utf8(group["text"])
+            flat, at = shingle_sets(buf, off, shingle)
+        for i in one:
+            j = many[(den * np.minimum(n[many], n[i]) >= num * np.maximum(n[many], n[i])) & _close(words[many], words[i], cells)]
+            hit[i] |= len(j) > 0
+            hit[j] = True
+            if shingle is not None:
+                mine = flat[at[i] : at[i + 1]]
+                links += [(ids[i], ids[x]) for x in j if _linked(mine, flat[at[x] : at[x + 1]], num, den)]
+        if shingle is None:
+            return pa.table({"c": group["c"].filter(hit), "id": ids[hit], "asks": group["asks"].filter(hit)})
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _open_links(placed: DataFrame, reps: DataFrame, docs: DataFrame, cells: int, shingle: int, num: int, den: int) -> DataFrame:
-    """Links across components in buckets (key, h) of (key, h, id, comp).
-
-    Members meet in blocks of about ``CROWDED``; a larger bucket is compared
-    block by block, so no task holds more than two blocks and only links,
-    never pairs, are written.
-    """
-    spread = placed.groupBy("key", "h").agg(F.count("*").alias("c"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
-    opened = placed.join(spread.select("key", "h", "c"), ["key", "h"])
-    few = opened.filter(F.col("c") <= CROWDED).select("key", F.lit(-1).alias("key2"), "h", "id", "comp", "c")
-    # a crowded bucket is split by each further band
-    split = opened.filter(F.col("c") > CROWDED).join(reps.select("id", "bands"), "id").select("*", F.posexplode("bands").alias("key2", "h2"))
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Deal (c, id, asks) into blocks (i of askers, j of members) so that each asker meets each member of its c once."""
+    sizes = rows.groupBy("c").agg(F.count_if("asks").alias("na"), F.count_if(~F.col("asks")).alias("nm")).filter("na > 0 and nm > 0")
+    parts = lambda n: F.ceil(F.col(n) / block).cast("long")
+    rows = rows.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("asks"), parts("na")).otherwise(parts("nm"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), parts("nm")).otherwise(parts("na")) - 1)))
+    i, j = F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")), F.when(F.col("asks"), F.col("other")).otherwise(F.col("own"))
+    return rows.select("c", i.alias("i"), j.alias("j"), "id", "asks")
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """Number of 4-bit cells in which two 64-bit words differ."""
+    z = x.bitwiseXOR(y)
+    z = z.bitwiseOR(F.shiftright(z, 2).bitwiseAND(F.lit(0x3333333333333333)))
+    z = z.bitwiseOR(F.shiftright(z, 1).bitwiseAND(F.lit(0x5555555555555555)))
+    return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _open_links(placed: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, done: DataFrame, cells: int, shingle: int, num: int, den: int) -> DataFrame:
+    """Links across components in buckets (key, h) of (key, h, id, comp); ``done`` pairs were compared before."""
+    seen = reps.select("id", "n", "sketch")
+    bucket = ["key", "h"]
+    spread = placed.groupBy(*bucket).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select(*bucket)
+    large = comp.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") >= LARGE).select(F.col("component").alias("comp"), F.lit(True).alias("large"))
+    opened = checkpointed(placed.join(spread, bucket).join(large, "comp", "left").withColumn("large", F.coalesce("large", F.lit(False))))
+
+    # small components: pairs whose sizes and sketches allow a link
+    small = opened.filter("not large")
+    crowd = small.groupBy(*bucket).agg(F.count("*").alias("c")).filter("c > 1")
+    small = small.join(crowd, bucket)
+    few = small.filter(F.col("c") <= CROWDED).select("key", F.lit(-1).alias("key2"), "h", "id", "comp")
+    split = small.filter(F.col("c") > CROWDED).join(reps.select("id", "bands"), "id").select("*", F.posexplode("bands").alias("key2", "h2"))
     split = split.filter("key2 > key").select("key", "key2", F.xxhash64("h", "h2").alias("h"), "id", "comp")
-    whole = ["key", "key2", "h"]
-    still = split.groupBy(*whole).agg(F.count("*").alias("c"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
-    split = split.join(still.select(*whole, "c"), whole).select("key", "key2", "h", "id", "comp", "c")
-    blocks = F.ceil(F.col("c") / CROWDED).cast("long")
-    rows = few.unionByName(split).withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(*whole, "id", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    texts = reps.select("id", "n", "bands", "sketch").join(docs, "id")
-    rows = rows.join(texts, "id")
-    return rows.groupBy(*whole, "lo", "hi").applyInArrow(_across(shingle, num, den, cells), "a long, b long")
+    left = few.unionByName(split).join(seen, "id")
+    right = left.select("key", "key2", "h", *[F.col(c).alias(f"{c}_") for c in ("id", "comp", "n", "sketch")])
+    differ = F.aggregate(F.zip_with("sketch", "sketch_", _differing), F.lit(0), lambda t, x: t + x)
+    near = (F.col("comp") < F.col("comp_")) & (den * F.least("n", "n_") >= num * F.greatest("n", "n_")) & (differ <= F.lit(int(cells * (1 - AGREE))))
+    pairs = left.join(right, ["key", "key2", "h"]).filter(near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    links = verified(pairs.join(done, ["a", "b"], "left_anti"), docs, shingle, num, den)
+
+    # large components: who shares a bucket with one asks all its members, in blocks
+    held = opened.filter("large").select(*bucket, F.col("comp").alias("c")).distinct()
+    asks = opened.join(held, bucket).filter((F.col("comp") != F.col("c")) & (~F.col("large") | (F.col("comp") < F.col("c")))).select("c", "id", F.lit(True).alias("asks")).distinct()
+    asked = asks.select("c").distinct()
+    members = comp.join(asked, comp["component"] == asked["c"], "left_semi").select(F.col("component").alias("c"), F.col("node").alias("id"), F.lit(False).alias("asks"))
+    blocks = _in_blocks(asks.unionByName(members), 2 * CROWDED).join(seen, "id")
+    hits = blocks.groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, None), "c long, id long, asks boolean").distinct()
+    blocks = _in_blocks(checkpointed(hits), CROWDED).join(seen, "id").join(docs, "id")
+    return links.unionByName(blocks.groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, shingle), "a long, b long"))
 
 
 def near_duplicates(
@@ -254,7 +281,8 @@ def near_duplicates(
     links = checkpointed(verified(pairs, docs, shingle, num, den).distinct())
     comp = components(links, "a", "b")
     placed = held.join(comp, held["id"] == comp["node"], "left").select("key", "h", "id", F.coalesce("component", "id").alias("comp"))
-    more = checkpointed(_open_links(placed, reps, docs, bands * rows, shingle, num, den).distinct())
+    more = _open_links(placed, comp, reps.select("id", "n", "bands", "sketch"), docs, pairs, bands * rows, shingle, num, den)
+    more = checkpointed(more.distinct())
     comp = components(links.unionByName(more), "a", "b")
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select(*shape, F.coalesce("component", "rep").alias("component_id"))
     # component ids are least class ids, and a class id is the least id of its copies
