@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.reads import DUPLICATE, PROPER, READ1, REVERSE, SUPPLEMENTARY, UNMAPPED, has, rms
 
 from .intervals import islands
+from .sweep import sweep
 
 MAX_SEGMENT = 10_000
 
@@ -72,14 +73,27 @@ def fragments(groups: DataFrame, min_frag: int = 3) -> DataFrame:
     )
 
 
+def _per_island(marked: DataFrame, fold, schema: str, batch: int = 1024) -> DataFrame:
+    """Fold each island by itself; a task gets islands by the batch, as most are tiny."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.to_dict("records")
+        held: dict[int, list[dict]] = {}
+        for r in rows:
+            held.setdefault(r.pop("island"), []).append(r)
+        return pd.DataFrame([x for one in held.values() for x in fold(one)], columns=[c.split()[0] for c in schema.split(", ")]).convert_dtypes()
+
+    return marked.groupBy("tid", F.floor(F.col("island") / batch).alias("_b")).applyInPandas(run, schema)
+
+
 MERGED = "tid long, st long, en long, n_seg long, n_frag long, l_open boolean, r_open boolean, is_rev boolean, sum_mq2 long"
 
 
 def _merge(segments: bool, tn5: int, fuzz: int, fuzz_st: int, fuzz_len: int):
     """Three greedy passes over the fragments of one island, in order of start and strand."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["st", "is_rev", "en", "n"]).to_dict("records")
+    def fold(rows: list[dict]) -> list[dict]:
+        rows = sorted(rows, key=lambda r: (r["st"], r["is_rev"], r["en"], r["n"]))
         for r in rows:
             r |= {"n_seg": 1, "n_frag": r["n"], "gone": False}
 
@@ -114,16 +128,15 @@ def _merge(segments: bool, tn5: int, fuzz: int, fuzz_st: int, fuzz_len: int):
                 if abs(shared - tn5) <= fuzz:
                     p["en"], p["r_open"], p["n_seg"] = q["en"], q["r_open"], p["n_seg"] + 1
                     absorb(p, q)
-        out = [r for r in rows if not r["gone"]]
-        return pd.DataFrame(out, columns=["tid", "st", "en", "n_seg", "n_frag", "l_open", "r_open", "is_rev", "sum_mq2"])
+        return [r for r in rows if not r["gone"]]
 
-    return run
+    return fold
 
 
 def merged(frags: DataFrame, segments: bool = True, tn5: int = 9, fuzz: int = 2, fuzz_st: int = 2, fuzz_len: int = 10) -> DataFrame:
     """Greedy merges inside islands: no merge crosses one, so each is folded alone."""
     marked = islands(frags, ["tid"], ["far_st", "en", "is_rev", "n"], "far_st", "en")
-    return marked.groupBy("tid", "island").applyInPandas(_merge(segments, tn5, fuzz, fuzz_st, fuzz_len), MERGED)
+    return _per_island(marked, _merge(segments, tn5, fuzz, fuzz_st, fuzz_len), MERGED)
 
 
 def fragment_bed(frags: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -140,10 +153,10 @@ COUNTED = "tid long, st long, en long, n_frag long, n_seg long, mq long, lo bool
 def _chain(n1: int, n2: int, merge: bool):
     """One island in start order: left-open fragments extend the best right-open one; ``d2_from`` is where the second threshold counts from."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[dict]:
         kept: list[dict] = []
         last = None
-        for f in pdf.sort_values(["st", "en", "n_frag", "mq"]).to_dict("records"):
+        for f in sorted(rows, key=lambda r: (r["st"], r["en"], r["n_frag"], r["mq"])):
             best = None
             if merge and f["lo"]:
                 for g in kept:
@@ -160,25 +173,27 @@ def _chain(n1: int, n2: int, merge: bool):
                 continue
             last = f["st"]
             kept.append(f | {"d2_from": f["st"] if f["n_frag"] >= n2 else None})
-        out = pd.DataFrame(kept, columns=["tid", "st", "en", "n_frag", "n_seg", "mq", "lo", "ro", "d2_from"])
-        return out.astype({"d2_from": "Int64"})
+        return kept
 
-    return run
+    return fold
 
 
 def counted(frags: DataFrame, n1: int = 5, n2: int = 10, merge: bool = True) -> DataFrame:
     """Fragments (tid, st, en, n_frag, n_seg, mq, lo, ro) after merging and the first threshold."""
     marked = islands(frags, ["tid"], ["st", "en", "n_frag", "mq"], "st", "en")
-    return marked.groupBy("tid", "island").applyInPandas(_chain(n1, n2, merge), COUNTED)
+    return _per_island(marked, _chain(n1, n2, merge), COUNTED)
 
 
 def count_depth(frags: DataFrame, n1: int = 5, n2: int = 10, min_mq: int = 40, merge: bool = True) -> DataFrame:
     """(tid, st, en, d0, d1, d2): depth by mapping quality, by quality and size, and of all."""
-    from .sweep import interval_events, sweep
-
     kept = counted(frags, n1, n2, merge)
-    good = f"cast(mq >= {min_mq} as int)"
-    first = interval_events(kept, ["tid"], "st", "en", d0=good, d1="0", d2="1")
-    second = interval_events(kept.filter("d2_from is not null"), ["tid"], "d2_from", "en", d0="0", d1=good, d2="0")
-    zero = kept.select("tid").distinct().select("tid", *[F.lit(0).cast("long").alias(c) for c in ("pos", "d0", "d1", "d2")])
-    return sweep(first.unionByName(second).unionByName(zero), ["tid"], ["d0", "d1", "d2"])
+    good, neg = (F.col("mq") >= min_mq).cast("long"), F.when(F.col("d2_from").isNotNull(), -(F.col("mq") >= min_mq).cast("long")).otherwise(0)
+    zero = F.lit(0).cast("long")
+
+    def event(pos, d0, d1, d2):
+        return F.struct(pos.alias("pos"), d0.alias("d0"), d1.alias("d1"), d2.alias("d2"))
+
+    one = F.lit(1).cast("long")
+    events = F.array(event(F.col("st"), good, zero, one), event(F.col("en"), -good, neg, -one), event(F.col("d2_from"), zero, good, zero), event(zero, zero, zero, zero))
+    rows = kept.select("tid", F.explode(events).alias("e")).select("tid", "e.*").filter("pos is not null")
+    return sweep(rows, ["tid"], ["d0", "d1", "d2"])

@@ -644,7 +644,7 @@ def seq_motif_hits(spark, sf):
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Read pairs cut from the documents' letters: a template behind the binding motif, read from both ends."""
-    s = seqs(spark, sf).filter(F.length("seq") >= 100)
+    s = seqs(spark, sf).withColumn("seq", F.replace("seq", F.lit("N"))).filter(F.length("seq") >= 120)
     insert = F.substring("seq", 1, 100)
     one = F.concat(F.substring("seq", 60, 8), F.lit(trim.BIND), F.substring(insert, 1, 80))
     two = R.reverse_complement(F.when(F.col("doc_id") % 3 == 0, insert).otherwise(F.substring(insert, 21, 80)))
