@@ -659,3 +659,36 @@ def trim_pairs(spark, sf):
 @query()
 def merge_pairs(spark, sf):
     return trim.fastq_lines(trim.trim(pairs(spark, sf)).filter(F.col("type") == trim.MERGED))
+
+
+# ---------------------------------------------------------------- streaming
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _checkpoint(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-")
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS is_dup FROM events")
+def stream_dedup(spark, sf):
+    from helixframe.streaming import passes
+
+    columns = {"event_id": "long", "user_id": "long", "event_type": "string"}
+    flagged = passes.flag_duplicates(_events(spark, sf).select(*columns), ["user_id", "event_type"], "event_id", columns)
+    return passes.drained(flagged, "stream_dedup", "append", _checkpoint(spark))
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_depth(spark, sf):
+    from helixframe.streaming import passes
+
+    done = passes.drained(passes.windowed_depth(_events(spark, sf), "ts", ["event_type"]), "stream_depth", "complete", _checkpoint(spark))
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
