@@ -158,3 +158,49 @@ def consensus_fasta(bases: DataFrame, contigs: DataFrame, width: int = 60, chunk
     text = F.array_join(letters, "")
     lines = F.regexp_replace(text, f"(.{{{width}}})(?=.)", "$1\n")
     return starts.join(held, ["tid", "beg"], "left").select("tid", (F.col("beg") / chunk).cast("long").alias("chunk"), lines.alias("lines"))
+
+
+def observed(reads: DataFrame, ref: DataFrame, contigs: DataFrame, min_q: int = 0, trim: int = 0) -> DataFrame:
+    """Kept observations of alignments with ``sample``, and whether each differs from the reference lines (name, start, bases)."""
+    from helixframe.functions.reads import fragment_id, reference_span
+
+    rows = reads.withColumn("frag", F.when(F.coalesce("bc", "bf").isNotNull(), fragment_id("flag", "pos", reference_span("ops"), "isize")))
+    obs = kept(exploded(rows), min_q, trim)
+    lines = ref.join(F.broadcast(contigs.select("name", "tid")), "name").select("tid", (F.col("start")).alias("_s"), "bases", (F.col("start") + F.length("bases")).alias("_e"))
+    width = lines.groupBy("tid").agg(F.max(F.length("bases")).cast("long").alias("_w"))  # lines of a sequence have one length
+    obs = obs.join(F.broadcast(width), "tid").withColumn("_s", (F.col("pos") - F.col("pos") % F.col("_w")).cast("long"))
+    obs = obs.join(lines.drop("_e"), ["tid", "_s"]).withColumn("ref", F.upper(F.substring(F.col("bases"), (F.col("pos") - F.col("_s") + 1).cast("int"), F.lit(1))))
+    differs = (F.col("base") != F.col("ref")) | (F.col("ins") != "") | (F.col("del_len") > 0)
+    return obs.withColumn("is_alt", differs).drop("_s", "_w", "bases")
+
+
+def vcf_sites(counts: DataFrame, ref: DataFrame, contigs: DataFrame, samples: list[str], min_support: int = 1) -> DataFrame:
+    """Sites (chrom, pos, ref, alt, qual, amq, samples) from counts by (site, sample, ALLELE): alleles in order of base, insertion and deletion, REF first, its depths zero where it is absent."""
+    from helixframe.sources.text import fetch
+
+    key = [*SITE, *ALLELE]
+    alleles = counts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("sum_mq2").alias("s"))
+    span = alleles.groupBy(*SITE).agg((F.max("del_len") + 1).alias("_len"))
+    names = F.broadcast(contigs.select("tid", "name"))
+    wanted = span.join(names, "tid").select("tid", "pos", "name", F.col("pos").cast("long").alias("beg"), (F.col("pos") + F.col("_len")).cast("long").alias("end"))
+    text = wanted.join(fetch(ref, wanted.select("name", "beg", "end").distinct()), ["name", "beg", "end"]).select("tid", "pos", "name", F.upper("bases").alias("ref"))
+    w = Window.partitionBy(*SITE).orderBy("base", F.length("ins"), "ins", "del_len")
+    alts = alleles.filter("is_alt").withColumn("a", F.row_number().over(w))
+    numbered = alts.unionByName(alleles.filter("not is_alt").withColumn("a", F.lit(0)))
+    cells = counts.join(numbered.select(*key, "a"), key)
+    gt = genotypes(cells, min_support)
+    depth = cells.groupBy(*SITE, "sample").agg(F.map_from_entries(F.collect_list(F.struct("a", "fwd"))).alias("f"), F.map_from_entries(F.collect_list(F.struct("a", "rev"))).alias("r"))
+    shown = F.concat("base", "ins", F.expr("substring(ref, 2 + del_len)"))
+    site = numbered.join(text, SITE).groupBy(*SITE, "name", "ref").agg(
+        F.max("a").alias("last"), F.transform(F.sort_array(F.collect_list(F.when(F.col("a") > 0, F.struct("a", shown.alias("x"))))), lambda e: e["x"]).alias("alt"),
+        F.map_from_entries(F.collect_list(F.struct("a", rms("s", "n").alias("q")))).alias("amq"),
+    )
+    numbers = F.sequence(F.lit(0), F.col("last"))
+    fill = lambda m: F.transform(numbers, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("int"))
+    rows = depth.join(gt, [*SITE, "sample"]).join(site.select(*SITE, "last"), SITE)
+    rows = rows.select(*SITE, "sample", F.struct("gt", fill(F.col("f")).alias("adf"), fill(F.col("r")).alias("adr")).alias("cell"))
+    held = rows.groupBy(*SITE).agg(F.map_from_entries(F.collect_list(F.struct("sample", "cell"))).alias("cells"))
+    none = F.struct(F.lit("./.").alias("gt"), F.transform(numbers, lambda i: F.lit(0)).alias("adf"), F.transform(numbers, lambda i: F.lit(0)).alias("adr"))
+    out = site.join(held, SITE).join(site_quality(counts), SITE)
+    every = F.array(*[F.coalesce(F.try_element_at("cells", F.lit(s)), none) for s in samples])
+    return out.select(F.col("name").alias("chrom"), "pos", "ref", "alt", "qual", F.transform(numbers, lambda i: F.try_element_at(F.col("amq"), i)).alias("amq"), every.alias("samples"))

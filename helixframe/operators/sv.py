@@ -28,7 +28,7 @@ def split_sides(reads: DataFrame, contigs: DataFrame, min_mapq: int = 50, max_nm
         )
 
     a = side(F.col("tid"), F.col("pos"), has("flag", REVERSE), F.col("cigar"), F.col("mapq"), F.col("nm"))
-    b = side(F.col("_tid"), F.col("_sa")[1].cast("int") - 1, F.col("_sa")[2] != "+", F.col("_sa")[3], F.col("_sa")[4].cast("int"), F.col("_sa")[5].cast("int"))
+    b = side(F.col("_tid"), F.get("_sa", F.lit(1)).cast("int") - 1, F.get("_sa", F.lit(2)) != "+", F.get("_sa", F.lit(3)), F.get("_sa", F.lit(4)).cast("int"), F.get("_sa", F.lit(5)).cast("int"))
     df = df.select("seq", a.alias("a"), b.alias("b"))
     for s in ("a", "b"):
         df = df.filter((F.col(f"{s}.mapq") >= min_mapq) & (F.col(f"{s}.nm") <= max_nm) & F.col(f"{s}.clipped"))

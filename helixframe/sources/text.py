@@ -80,17 +80,17 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
     number = lambda k: F.try_element_at(f, F.lit(k)).try_cast("long")
     one = number(3).isNull()
-    rows = spark.read.text(path).select(f[0].alias("chrom"), F.when(one, number(2) - 1).otherwise(number(2)).alias("beg"), F.when(one, number(2)).otherwise(number(3)).alias("end"))
+    rows = spark.read.text(path).select(F.get(f, F.lit(0)).alias("chrom"), F.when(one, number(2) - 1).otherwise(number(2)).alias("beg"), F.when(one, number(2)).otherwise(number(3)).alias("end"))
     return rows.filter("chrom <> '' and beg >= 0 and end > beg")
 
 
 def read_fragments(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, st, en, n_seg, n_frag, lo, ro, strand, mq) of a fragment file."""
     f = F.split("value", "\t")
-    part = lambda k: F.regexp_extract(f[3], r"^(\d+):(\d+):(.)(.)$", k)
+    part = lambda k: F.regexp_extract(F.get(f, F.lit(3)), r"^(\d+):(\d+):(.)(.)$", k)
     rows = spark.read.text(path).filter("value <> ''")
     return rows.select(
-        f[0].alias("chrom"), f[1].cast("long").alias("st"), f[2].cast("long").alias("en"), part(1).cast("long").alias("n_seg"), part(2).cast("long").alias("n_frag"), (part(3) == "<").alias("lo"), (part(4) == ">").alias("ro"),
+        F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("st"), F.get(f, F.lit(2)).cast("long").alias("en"), part(1).cast("long").alias("n_seg"), part(2).cast("long").alias("n_frag"), (part(3) == "<").alias("lo"), (part(4) == ">").alias("ro"),
         F.try_element_at(f, F.lit(5)).alias("strand"), F.try_element_at(f, F.lit(7)).try_cast("long").alias("mq"),
     )
 
@@ -101,7 +101,7 @@ def read_depth(spark: SparkSession, path: str, gaps: DataFrame | None = None) ->
 
     f = F.split("value", "\t")
     rows = spark.read.text(path).filter(F.size(f) >= 6)
-    rows = rows.select(f[0].alias("chrom"), f[1].cast("long").alias("st"), f[2].cast("long").alias("en"), *[F.least(f[3 + k].cast("long"), F.lit(255)).alias(f"d{k}") for k in range(3)])
+    rows = rows.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("st"), F.get(f, F.lit(2)).cast("long").alias("en"), *[F.least(F.get(f, F.lit(3 + k)).cast("long"), F.lit(255)).alias(f"d{k}") for k in range(3)])
     if gaps is None:
         return rows.withColumn("flt", F.lit(False))
     hit = overlapping(rows, gaps, "chrom", "st", "en").select("chrom", "st", "en").distinct().withColumn("flt", F.lit(True))
@@ -110,19 +110,19 @@ def read_depth(spark: SparkSession, path: str, gaps: DataFrame | None = None) ->
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(name): first column of a list."""
-    return spark.read.text(path).select(F.split(F.trim("value"), r"\s+")[0].alias("name")).filter("name <> ''").distinct()
+    return spark.read.text(path).select(F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).alias("name")).filter("name <> ''").distinct()
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos): first two columns, or chrom:pos."""
     f = F.split(F.trim("value"), r"[\s:]+")
-    return spark.read.text(path).select(f[0].alias("chrom"), F.try_element_at(f, F.lit(2)).try_cast("int").alias("pos")).filter("pos is not null").distinct()
+    return spark.read.text(path).select(F.get(f, F.lit(0)).alias("chrom"), F.try_element_at(f, F.lit(2)).try_cast("int").alias("pos")).filter("pos is not null").distinct()
 
 
 def read_replicates(spark: SparkSession, path: str) -> DataFrame:
     """(canonical, replicate): each line lists the names of one sample, the first being canonical."""
     f = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter("trim(value) <> ''").select(f[0].alias("canonical"), F.explode(f).alias("replicate")).distinct()
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.get(f, F.lit(0)).alias("canonical"), F.explode(f).alias("replicate")).distinct()
 
 
 # ---------------------------------------------------------------- SAM
@@ -151,8 +151,8 @@ def read_sam(spark: SparkSession, path: str, contigs: DataFrame | None = None) -
     f = F.col("f")
     tags = F.map_from_entries(F.transform(F.slice("f", 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 20))))
     rows = at.select(
-        "seq", f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), (f[3].cast("int") - 1).alias("pos"), f[4].cast("int").alias("mapq"), _missing(f[5]).alias("cigar"),
-        F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("mname"), (f[7].cast("int") - 1).alias("mpos"), f[8].cast("int").alias("isize"), _missing(f[9]).alias("bases"), _missing(f[10]).alias("qual"), tags.alias("tags"),
+        "seq", F.get(f, F.lit(0)).alias("qname"), F.get(f, F.lit(1)).cast("int").alias("flag"), F.get(f, F.lit(2)).alias("rname"), (F.get(f, F.lit(3)).cast("int") - 1).alias("pos"), F.get(f, F.lit(4)).cast("int").alias("mapq"), _missing(F.get(f, F.lit(5))).alias("cigar"),
+        F.when(F.get(f, F.lit(6)) == "=", F.get(f, F.lit(2))).otherwise(F.get(f, F.lit(6))).alias("mname"), (F.get(f, F.lit(7)).cast("int") - 1).alias("mpos"), F.get(f, F.lit(8)).cast("int").alias("isize"), _missing(F.get(f, F.lit(9))).alias("bases"), _missing(F.get(f, F.lit(10))).alias("qual"), tags.alias("tags"),
     )
     ids = F.broadcast(contigs.select(F.col("name"), F.col("tid")))
     rows = rows.join(ids.withColumnsRenamed({"name": "rname", "tid": "tid"}), "rname", "left").join(ids.withColumnsRenamed({"name": "mname", "tid": "mtid"}), "mname", "left")
@@ -197,13 +197,13 @@ def read_vcf(spark: SparkSession, path: str, names: list[str] | None = None) ->
     rows = text.filter(~F.col("value").startswith("#") & (F.size(f) >= 10)).select(f.alias("f"))
     ints = lambda c: F.transform(F.split(c, ","), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
     cells = rows.select("f", F.posexplode(F.slice("f", 10, 1 << 20)).alias("k", "cell"))
-    cells = cells.withColumn("m", F.map_from_entries(F.arrays_zip(F.split(F.col("f")[8], ":"), F.slice(F.concat(F.split("cell", ":"), F.array_repeat(F.lit(None).cast("string"), 32)), F.lit(1), F.size(F.split(F.col("f")[8], ":"))))))
+    cells = cells.withColumn("m", F.map_from_entries(F.arrays_zip(F.split(F.get("f", F.lit(8)), ":"), F.slice(F.concat(F.split("cell", ":"), F.array_repeat(F.lit(None).cast("string"), 32)), F.lit(1), F.size(F.split(F.get("f", F.lit(8)), ":"))))))
     name = F.coalesce(F.try_element_at(F.array(*map(F.lit, names)).cast("array<string>"), (F.col("k") + 1).cast("int")), F.col("k").cast("string"))
     m, g = F.col("m"), F.col("f")
-    amq = F.transform(F.split(F.regexp_extract(g[7], r"\bAMQ=([.\d,]+)", 1), ","), lambda x: x.try_cast("int"))
+    amq = F.transform(F.split(F.regexp_extract(F.get(g, F.lit(7)), r"\bAMQ=([.\d,]+)", 1), ","), lambda x: x.try_cast("int"))
     depths = m["ADF"].isNotNull() & m["ADR"].isNotNull()
     return cells.select(
-        g[0].alias("chrom"), g[1].cast("int").alias("pos"), F.upper(g[3]).alias("ref"), g[4].alias("alt"), g[5].try_cast("double").alias("qual"), g[7].alias("info"), amq.alias("amq"), name.alias("sample"), m["GT"].alias("gt"),
+        F.get(g, F.lit(0)).alias("chrom"), F.get(g, F.lit(1)).cast("int").alias("pos"), F.upper(F.get(g, F.lit(3))).alias("ref"), F.get(g, F.lit(4)).alias("alt"), F.get(g, F.lit(5)).try_cast("double").alias("qual"), F.get(g, F.lit(7)).alias("info"), amq.alias("amq"), name.alias("sample"), m["GT"].alias("gt"),
         F.when(depths, ints(m["ADF"])).otherwise(F.raise_error(F.lit("ADF and ADR are required"))).alias("adf"), ints(m["ADR"]).alias("adr"), m["LTDROP"].try_cast("int").alias("ltdrop"),
         F.transform(F.split(m["ALEN"], ","), lambda x: x.try_cast("double")).alias("alen"),
     )
