@@ -3,8 +3,9 @@
 Each pass gives every vector the signs of random projections as one bit string,
 orders all vectors lexicographically by label, bit string and id, and compares
 each with its next ``WINDOW`` neighbours; verified pairs of all passes are
-unioned. A pass costs one range sort and compares a bounded number of pairs a
-vector, whatever the number or the sizes of groups. Windows overlap block
+unioned, each block of rows handing on a forest of its pairs. A pass costs one
+range sort and compares a bounded number of pairs a vector, whatever the number
+or the sizes of groups. Windows overlap block
 borders: global ranks cut the order into blocks, and the last ``WINDOW`` rows of
 a block also open the next one.
 
@@ -38,6 +39,8 @@ from ._graph import components
 from .vptree import doubles, matrix
 
 PASSES = 16
+#: Passes that share one sort; more need fewer jobs and more shuffle space at once.
+TOGETHER = 4
 WINDOW = 64
 BLOCK = 1024
 _SLACK = 1e-9
@@ -60,47 +63,62 @@ def cosine_links(p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
     return ok
 
 
-def _keyed(seed: int, bits: int):
-    """Adds the bit string of one pass, as a number that sorts alike."""
+def _keyed(seeds: list[int], bits: int):
+    """A row for each pass, with the pass and its bit string as a number that sorts alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
+        planes: list[np.ndarray] = []
         for batch in batches:
             v = matrix(batch.column("v"))
-            if planes is None and len(v):
-                planes = np.random.default_rng(seed).standard_normal((v.shape[1], bits))
-            key = ((v @ planes > 0) << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(axis=1) if len(v) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "key"])
+            if not len(v):
+                continue
+            planes = planes or [np.random.default_rng(s).standard_normal((v.shape[1], bits)) for s in seeds]
+            for seed, p in zip(seeds, planes, strict=True):
+                key = ((v @ p > 0) << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(v), seed)), pa.array(key)], [*batch.schema.names, "pass", "key"])
 
     return run
 
 
 def _windows(least: float, window: int):
+    """Compare each row with the next ones of its pass and label; a forest of the links found, at most a link a row."""
+
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("rank")
-        ids, label, v = group["id"].to_numpy(), group["label"].to_numpy(), matrix(group["v"])
-        rank, own = group["rank"].to_numpy(), group["own"].to_numpy(zero_copy_only=False)
-        a, b = [], []
+        ids, label, turn, rank = (group[c].to_numpy() for c in ("id", "label", "pass", "rank"))
+        v, root = matrix(group["v"]), np.arange(len(group))
+        first, second = [], []
         for s in range(0, len(ids), window):
             e = min(len(ids), s + 2 * window)
             ok = cosine_links(v[s : s + window], v[s:e], least)
-            i, j = np.nonzero(ok & (label[s : s + window, None] == label[s:e]))
+            ok &= (label[s : s + window, None] == label[s:e]) & (turn[s : s + window, None] == turn[s:e])
+            i, j = np.nonzero(ok)
             gap = rank[s + j] - rank[s + i]
-            # a pair of two borrowed rows was compared in the block before
-            pick = (gap > 0) & (gap <= window) & (own[s + i] | own[s + j])
-            a.append(ids[s + i[pick]])
-            b.append(ids[s + j[pick]])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            pick = (gap > 0) & (gap <= window)
+            first.append(s + i[pick])
+            second.append(s + j[pick])
+        i, j = np.concatenate(first), np.concatenate(second)
+        while True:  # least row of each linked set
+            least_root = np.minimum(root[i], root[j])
+            new = root.copy()
+            np.minimum.at(new, i, least_root)
+            np.minimum.at(new, j, least_root)
+            new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": ids[moved], "b": ids[root[moved]]})
 
     return run
 
 
-def sorted_pass(vectors: DataFrame, seed: int, least: float, window: int, bits: int = 48) -> DataFrame:
-    """Verified pairs (a, b) of one pass over (id, label, v)."""
+def sorted_passes(vectors: DataFrame, seeds: list[int], least: float, window: int, bits: int = 48) -> DataFrame:
+    """Links (a, b) that connect what the passes of ``seeds`` find over (id, label, v); they share one sort."""
     width = 32 * window
-    keyed = vectors.mapInArrow(_keyed(seed, bits), "id long, label long, v array<double>, key long")
+    keyed = vectors.mapInArrow(_keyed(seeds, bits), "id long, label long, v array<double>, pass long, key long")
     parts = max(1, keyed.sparkSession.sparkContext.defaultParallelism)
-    order = ["label", "key", "id"]
+    order = ["pass", "label", "key", "id"]
     ranked = checkpointed(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["p"], r["c"]) for r in ranked.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect())  # one row a partition
@@ -110,11 +128,10 @@ def sorted_pass(vectors: DataFrame, seed: int, least: float, window: int, bits:
     if not total:
         return vectors.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     start = F.element_at(F.create_map(*[F.lit(x) for p, t in before.items() for x in (p, t)]), part)
-    rows = ranked.select("id", "label", "v", (start + place).alias("rank"))
+    rows = ranked.select("id", "label", "v", "pass", (start + place).alias("rank"))
     block = F.floor(F.col("rank") / width).cast("long")
-    rows = rows.withColumn("block", F.explode(F.when(F.col("rank") % width >= width - window, F.array(block, block + 1)).otherwise(F.array(block))))
-    rows = rows.withColumn("own", block == F.col("block"))
-    return rows.groupBy("block").applyInArrow(_windows(least, window), "a long, b long")
+    borrowed = F.when(F.col("rank") % width >= width - window, F.array(block, block + 1)).otherwise(F.array(block))
+    return rows.withColumn("block", F.explode(borrowed)).groupBy("block").applyInArrow(_windows(least, window), "a long, b long")
 
 
 def _counted(least: float):
@@ -142,8 +159,8 @@ def near_duplicates(
     copies = rows.filter("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = checkpointed(copies.select(F.col("rep").alias("id"), "label", "v", "copies"))
     links = None
-    for p in range(passes):
-        found = sorted_pass(classes.select("id", "label", "v"), 1000 + p, least, window)
+    for p in range(0, passes, TOGETHER):
+        found = sorted_passes(classes.select("id", "label", "v"), list(range(1000 + p, 1000 + min(passes, p + TOGETHER))), least, window)
         links = found if links is None else links.unionByName(found)
     comp = components(checkpointed(links.distinct()), "a", "b")
     placed = classes.join(comp, classes["id"] == comp["node"]).drop("node")
