@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
     Its files outlive a lost executor, and Spark's cleaner removes them with
-    the plan that reads them when ``cleanCheckpoints`` is on.
+    the plan that reads them when ``cleanCheckpoints`` is on. Shuffle files of
+    plans that earlier checkpoints have replaced go once the driver collects
+    its garbage; it is asked to here, as it may not do so for long by itself.
     """
     checkpoint_folder(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
