@@ -75,7 +75,7 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _shares(texts: pa.ChunkedArray) -> np.ndarray:
     buf, off = utf8(texts)
     out = np.zeros((len(off) - 1, DIM), np.float32)
-    for a, b in slices(off, 4_000_000):
+    for a, b in slices(off, 1_000_000):
         g, r = _grams(buf[off[a] : off[b]], off[a : b + 1] - off[a])
         out[a:b] = np.bincount(r * DIM + g, minlength=(b - a) * DIM).reshape(b - a, DIM)
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
@@ -159,7 +159,7 @@ class Model:
         names, scores = np.full(n, UND, object), np.zeros(n)
         if not self.families:
             return names.tolist(), scores
-        parts = [self.margins(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in slices(off, 4_000_000)]
+        parts = [self.margins(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in slices(off, 1_000_000)]
         m = np.concatenate(parts) if parts else np.zeros((0, max(1, len(self.heads))))
         family = list(self.families)
         at = {h: k for k, h in enumerate(self.heads)}
