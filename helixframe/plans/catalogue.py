@@ -28,6 +28,14 @@ def query(sql: str | None = None):
     return add
 
 
+def over_all(f: Callable[..., DataFrame], cut: str, whole: str) -> None:
+    """Register ``f`` over whole tables as well, as NAME_whole, with ``whole`` in place of ``cut`` in its SQL."""
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = lambda spark, sf: f(spark, sf, whole=True)
+    assert cut in ORACLE_SQL[f.__name__]
+    ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(cut, whole)
+
+
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     return X.project(spark, sf, "lineitem", X.READS)
 
@@ -493,7 +501,10 @@ def _depths(prefix: str, k: int) -> dict[str, str]:
 
 
 _PAIR = {"chrom": X.SITES["chrom"], "pos": "CAST(l_orderkey * 37 % 1000000 AS INT)", "ref": X.SITES["ref"], "alt": X.SITES["alt"], **_depths("b", 3), **_depths("c", 1), "c_lt": "CAST(l_orderkey % 29 % 2 AS INT)", "seq": "l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100"}
-_DIFF = f"""p0 AS ({X.sql(_PAIR, "lineitem", "")}), p AS (SELECT * FROM p0 QUALIFY count(*) OVER (PARTITION BY chrom, pos) = 1),
+_ONCE = "SELECT * FROM p0 QUALIFY count(*) OVER (PARTITION BY chrom, pos) = 1"
+_DEPTHS = [f"{s}_{d}" for s in "bc" for d in ("rf", "rr", "af", "ar")]
+_SUMMED = f"SELECT chrom, pos, ref, alt, {', '.join(f'sum({d})::INT AS {d}' for d in _DEPTHS)}, max(c_lt)::INT AS c_lt FROM p0 GROUP BY chrom, pos, ref, alt"
+_DIFF = f"""p0 AS ({X.sql(_PAIR, "lineitem", "")}), p AS ({_ONCE}),
 s AS (SELECT *, b_rf + b_rr AS br, b_af + b_ar AS ba, c_rf + c_rr AS cr, c_af + c_ar AS ca FROM p WHERE b_rf + b_rr + b_af + b_ar >= 15),
 f AS (SELECT *, least(b_rf, b_rr, b_af, b_ar) > 0 AND br >= 5 AND ba >= 5 AND br / (br + ba) >= 0.3 AND ba / (br + ba) >= 0.3 AS het,
   ca >= 5 AND coalesce(ca / nullif(cr + ca, 0) >= 0.2, false) AND c_lt <= 0 AND c_af >= 1 AND c_ar >= 1 AS called, CASE WHEN ref > alt THEN translate(concat(ref, alt), 'ACGT', 'TGCA') ELSE concat(ref, alt) END AS kind FROM s),
@@ -501,33 +512,40 @@ c AS (SELECT *, ba <= 0 AND called AS candidate FROM f),
 w AS (SELECT *, coalesce(pos - lag(pos) OVER q <= 100, false) OR coalesce(lead(pos) OVER q - pos <= 100, false) AS flt FROM c WHERE candidate WINDOW q AS (PARTITION BY chrom ORDER BY pos))"""
 
 
-def diff_sites(spark: SparkSession, sf: str) -> DataFrame:
+def diff_sites(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Sites of positions that occur once; ``whole``: of all rows, those of one position and allele pair summed."""
     p = X.project(spark, sf, "lineitem", _PAIR, keep=False)
+    if whole:
+        return variants.sites(p.groupBy(*joint.SITE).agg(*[F.sum(d).cast("int").alias(d) for d in _DEPTHS], F.max("c_lt").alias("c_lt")), variants.DiffOptions())
     once = p.groupBy("chrom", "pos").agg(F.count("*").alias("n")).filter("n = 1").select("chrom", "pos")
     return variants.sites(p.join(once, ["chrom", "pos"], "left_semi"), variants.DiffOptions())
 
 
 @query(f"WITH {_DIFF} SELECT chrom, pos, ref, alt, het, called, candidate FROM c")
-def snv_calls(spark, sf):
-    return diff_sites(spark, sf).select("chrom", "pos", "ref", "alt", "het", "called", "candidate")
+def snv_calls(spark, sf, whole=False):
+    return diff_sites(spark, sf, whole).select("chrom", "pos", "ref", "alt", "het", "called", "candidate")
 
 
 @query(f"WITH {_DIFF} SELECT chrom, pos, kind FROM w WHERE NOT flt")
-def snv_window(spark, sf):
-    return variants.novel(diff_sites(spark, sf), variants.DiffOptions()).select("chrom", "pos", "kind")
+def snv_window(spark, sf, whole=False):
+    return variants.novel(diff_sites(spark, sf, whole), variants.DiffOptions()).select("chrom", "pos", "kind")
 
 
 @query(
     f"""WITH {_DIFF}, a AS (SELECT count(*) AS n_het, count(*) FILTER (NOT called) AS n_fn, count(*) FILTER (cr = 0) AS n_ado_ref, count(*) FILTER (ca = 0) AS n_ado_alt, count(*) FILTER (cr = 0 AND ca = 0) AS n_ado_both FROM c WHERE het)
 SELECT *, round(n_fn / nullif(n_het, 0), 4) AS r_fn, round(n_ado_ref / nullif(n_het, 0), 4) AS r_ado_ref, round(n_ado_alt / nullif(n_het, 0), 4) AS r_ado_alt, round(n_ado_both / nullif(n_het, 0), 4) AS r_ado_both FROM a"""
 )
-def ado_stats(spark, sf):
-    return variants.rates(diff_sites(spark, sf))
+def ado_stats(spark, sf, whole=False):
+    return variants.rates(diff_sites(spark, sf, whole))
 
 
 @query(f"WITH {_DIFF} SELECT count(*) AS n_snv, count(*) FILTER (kind <> 'CT') AS n_snv_nonct, 0::BIGINT AS n_del, 0::BIGINT AS n_ins FROM w WHERE NOT flt")
-def snv_tallies(spark, sf):
-    return variants.tallies(variants.novel(diff_sites(spark, sf), variants.DiffOptions()))
+def snv_tallies(spark, sf, whole=False):
+    return variants.tallies(variants.novel(diff_sites(spark, sf, whole), variants.DiffOptions()))
+
+
+for _f in (snv_calls, snv_window, ado_stats, snv_tallies):
+    over_all(_f, _ONCE, _SUMMED)
 
 
 @query(f"WITH p AS ({X.sql(_PAIR, 'lineitem', '')}) SELECT ref, alt, CASE WHEN ref > alt THEN translate(concat(ref, alt), 'ACGT', 'TGCA') ELSE concat(ref, alt) END AS kind, count(*) AS n FROM p GROUP BY ALL")
