@@ -40,17 +40,18 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
     return X.project(spark, sf, "lineitem", X.READS)
 
 
-def mask(spark: SparkSession, sf: str) -> DataFrame:
-    return X.project(spark, sf, "orders", X.MASK, keep=False, where="o_orderkey % 10 = 0")
+def mask(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return X.project(spark, sf, "orders", X.MASK, keep=False, where="true" if whole else _TENTH)
 
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     return X.project(spark, sf, "lineitem", X.OBS)
 
 
+_TENTH, _THIRD, _FIFTH = "o_orderkey % 10 = 0", "l_partkey % 3 = 0", "l_partkey % 5 = 0"
 ROW = ", ".join(X.LINEITEM)
 _READS = f"reads AS ({X.sql(X.READS, 'lineitem')})"
-_MASK = f"mask AS ({X.sql(X.MASK, 'orders', '', 'o_orderkey % 10 = 0')})"
+_MASK = f"mask AS ({X.sql(X.MASK, 'orders', '', _TENTH)})"
 _OBS = f"obs AS ({X.sql(X.OBS, 'lineitem')})"
 
 # ---------------------------------------------------------------- depth
@@ -121,24 +122,35 @@ _PAIRED = {"tid": "CAST(l_suppkey % 5 AS INT)", "left_pos": "CAST((l_orderkey *
 
 
 @query(
-    f"""WITH p AS ({X.sql(_PAIRED, "lineitem", "", "l_partkey % 3 = 0")}),
+    f"""WITH p AS ({X.sql(_PAIRED, "lineitem", "", _THIRD)}),
 u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qname) = 1 AND count(*) OVER (PARTITION BY qname) = 1 AND count(*) OVER (PARTITION BY seq) = 1),
 f AS (SELECT *, row_number() OVER (PARTITION BY tid, left_pos, coalesce(bc, '') ORDER BY seq) > 1 AS d FROM u)
 SELECT qname, 1 AS mate, d AS is_dup FROM f UNION ALL SELECT qname, 2, d FROM f"""
 )
-def dup_mate_propagation(spark, sf):
-    p = X.project(spark, sf, "lineitem", _PAIRED, keep=False, where="l_partkey % 3 = 0")
-    one = Window.partitionBy("qname")
-    p = p.withColumn("_n", F.count("*").over(one)).withColumn("_m", F.count("*").over(Window.partitionBy("seq"))).filter("_n = 1 and _m = 1")
+def dup_mate_propagation(spark, sf, whole=False):
+    if whole:  # in the order of the rows, which are unique as a whole
+        p = X.project(spark, sf, "lineitem", _PAIRED).withColumn("seq", F.struct(*X.LINEITEM))
+        first, second = (F.struct("seq", F.lit(m).alias("mate")) for m in (1, 2))
+    else:
+        p = X.project(spark, sf, "lineitem", _PAIRED, keep=False, where=_THIRD)
+        one = Window.partitionBy("qname")
+        p = p.withColumn("_n", F.count("*").over(one)).withColumn("_m", F.count("*").over(Window.partitionBy("seq"))).filter("_n = 1 and _m = 1")
+        first, second = F.col("seq") * 2, F.col("seq") * 2 + 1
     mates = F.array(
-        F.struct((F.col("seq") * 2).alias("seq"), F.lit(99).alias("flag"), F.col("left_pos").alias("pos"), F.col("right_pos").alias("mpos")),
-        F.struct((F.col("seq") * 2 + 1).alias("seq"), F.lit(147).alias("flag"), F.col("right_pos").alias("pos"), F.col("left_pos").alias("mpos")),
+        F.struct(first.alias("seq"), F.lit(99).alias("flag"), F.col("left_pos").alias("pos"), F.col("right_pos").alias("mpos")),
+        F.struct(second.alias("seq"), F.lit(147).alias("flag"), F.col("right_pos").alias("pos"), F.col("left_pos").alias("mpos")),
     )
     rows = p.select("qname", "tid", F.col("tid").alias("mtid"), "bc", F.explode(mates).alias("m")).select("qname", "tid", "mtid", "bc", "m.*")
     done = dedup.mark_duplicates(rows)
     return done.select("qname", F.when(R.has("flag", R.READ1), 1).otherwise(2).alias("mate"), R.has("flag", R.DUPLICATE).alias("is_dup"))
 
 
+QUERIES["dup_mate_propagation_whole"] = lambda spark, sf: dup_mate_propagation(spark, sf, whole=True)
+ORACLE_SQL["dup_mate_propagation_whole"] = f"""WITH p AS ({X.sql(_PAIRED, "lineitem")}),
+f AS (SELECT *, row_number() OVER (PARTITION BY tid, left_pos, coalesce(bc, '') ORDER BY {ROW}) > 1 AS d FROM p)
+SELECT qname, 1 AS mate, d AS is_dup FROM f UNION ALL SELECT qname, 2, row_number() OVER (PARTITION BY qname ORDER BY {ROW}) <= count(*) FILTER (d) OVER (PARTITION BY qname) FROM f"""
+
+
 # ---------------------------------------------------------------- fragments
 
 _ENDS = "en AS (SELECT tid, is_rev, mapq, rlen AS len, CASE WHEN is_rev THEN pos + rlen ELSE pos END AS anchor FROM reads)"
@@ -203,24 +215,24 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {_READS}, {_MASK} SELECT {', '.join(_KEYS)} FROM reads r WHERE {_HIT}")
-def mask_reads(spark, sf):
-    return intervals.overlapping(_spans(spark, sf), mask(spark, sf), "tid", "pos", "en").drop("en")
+def mask_reads(spark, sf, whole=False):
+    return intervals.overlapping(_spans(spark, sf), mask(spark, sf, whole), "tid", "pos", "en").drop("en")
 
 
 @query(f"WITH {_READS}, {_MASK}, p AS (SELECT DISTINCT tid, pos, 1 AS rlen FROM reads) SELECT tid, pos FROM p r WHERE {_HIT}")
-def mask_positions(spark, sf):
+def mask_positions(spark, sf, whole=False):
     at = reads(spark, sf).select("tid", "pos").distinct().withColumn("en", F.col("pos") + 1)
-    return intervals.overlapping(at, mask(spark, sf), "tid", "pos", "en").drop("en")
+    return intervals.overlapping(at, mask(spark, sf, whole), "tid", "pos", "en").drop("en")
 
 
 @query(f"WITH {_READS}, {_MASK} SELECT {', '.join(_KEYS)} FROM reads r WHERE NOT {_HIT}")
-def mask_exclude(spark, sf):
-    return intervals.outside(_spans(spark, sf), mask(spark, sf), "tid", "pos", "en").drop("en")
+def mask_exclude(spark, sf, whole=False):
+    return intervals.outside(_spans(spark, sf), mask(spark, sf, whole), "tid", "pos", "en").drop("en")
 
 
 @query(f'WITH {_MASK} SELECT sum("end" - beg)::BIGINT AS total FROM mask')
-def mask_length(spark, sf):
-    return intervals.total_length(mask(spark, sf))
+def mask_length(spark, sf, whole=False):
+    return intervals.total_length(mask(spark, sf, whole))
 
 
 _UNION = f"""{_MASK}, mo AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM mask),
@@ -229,8 +241,8 @@ mu AS (SELECT chrom, min(beg)::BIGINT AS beg, max("end")::BIGINT AS "end" FROM m
 
 
 @query(f"WITH {_UNION} SELECT * FROM mu")
-def mask_union(spark, sf):
-    return intervals.union(mask(spark, sf))
+def mask_union(spark, sf, whole=False):
+    return intervals.union(mask(spark, sf, whole))
 
 
 @query(f"WITH {_READS} SELECT {', '.join(_KEYS)} FROM reads WHERE tid = 3 AND pos < 120000 AND pos + rlen > 49999")
@@ -251,13 +263,13 @@ _HIST = f"""{_CLIP}, h AS (SELECT depth, sum(e - s)::BIGINT AS bases FROM cut GR
 hist AS (SELECT 0::BIGINT AS depth, (SELECT sum("end" - beg) FROM mu)::BIGINT - (SELECT coalesce(sum(bases), 0) FROM h)::BIGINT AS bases UNION ALL SELECT * FROM h)"""
 
 
-def coverage_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.coverage_histogram(depth(spark, sf), intervals.union(mask(spark, sf)), by="tid")
+def coverage_hist(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return coverage.coverage_histogram(depth(spark, sf), intervals.union(mask(spark, sf, whole)), by="tid")
 
 
 @query(f"WITH {_HIST} SELECT depth, bases FROM hist")
-def lorenz_hist(spark, sf):
-    return coverage_hist(spark, sf)
+def lorenz_hist(spark, sf, whole=False):
+    return coverage_hist(spark, sf, whole)
 
 
 @query(
@@ -265,8 +277,8 @@ def lorenz_hist(spark, sf):
 k AS (SELECT *, unnest(list_distinct(list_concat(range(1000, bases + 1, 1000), [bases]))) AS k FROM c)
 SELECT (g0 + k)::DOUBLE / g::DOUBLE AS genome, (b0 + k * depth)::DOUBLE / b::DOUBLE AS bases FROM k UNION ALL SELECT 0.0, 0.0"""
 )
-def lorenz_curve(spark, sf):
-    return coverage.lorenz(coverage_hist(spark, sf))
+def lorenz_curve(spark, sf, whole=False):
+    return coverage.lorenz(coverage_hist(spark, sf, whole))
 
 
 @query(
@@ -277,11 +289,15 @@ s AS (SELECT b, i // b AS k, sum(depth)::DOUBLE AS x FROM n, w, t WHERE i // b <
 v AS (SELECT b, sqrt(greatest(0, avg(x * x) - avg(x) * avg(x))) / nullif(avg(x), 0) AS cv FROM s GROUP BY b)
 SELECT w.b::BIGINT AS width, round(cv, 6) AS cv FROM w LEFT JOIN v USING (b)"""
 )
-def cv_bins(spark, sf):
-    runs = coverage.mask_runs(depth(spark, sf), intervals.union(mask(spark, sf)), by="tid")
+def cv_bins(spark, sf, whole=False):
+    runs = coverage.mask_runs(depth(spark, sf), intervals.union(mask(spark, sf, whole)), by="tid")
     return coverage.bin_variation(runs, [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 100000000]).select("width", F.round("cv", 6).alias("cv"))
 
 
+for _f in (mask_reads, mask_positions, mask_exclude, mask_length, mask_union, lorenz_hist, lorenz_curve, cv_bins):
+    over_all(_f, _TENTH, "true")
+
+
 # ---------------------------------------------------------------- read filters
 
 
@@ -314,15 +330,18 @@ def cigar_lengths(spark, sf):
 
 
 @query(
-    f"""WITH {_CIG}, m AS (SELECT pos, unnest(list_concat(range(pos, pos + {X.LEN} + l_linenumber + 3), range(pos + {X.LEN} + l_linenumber + 4, pos + {X.LEN} + l_linenumber + 9))) AS p FROM c WHERE l_partkey % 5 = 0)
+    f"""WITH {_CIG}, m AS (SELECT pos, unnest(list_concat(range(pos, pos + {X.LEN} + l_linenumber + 3), range(pos + {X.LEN} + l_linenumber + 4, pos + {X.LEN} + l_linenumber + 9))) AS p FROM c WHERE {_FIFTH})
 SELECT p::BIGINT AS pos, count(*) AS n FROM m GROUP BY p"""
 )
-def cigar_explode(spark, sf):
-    df = cigars(spark, sf).filter("l_partkey % 5 = 0").select(F.explode(R.aligned_blocks("pos", "ops")).alias("b")).filter("b.op = 'M'")
+def cigar_explode(spark, sf, whole=False):
+    df = cigars(spark, sf).filter("true" if whole else _FIFTH).select(F.explode(R.aligned_blocks("pos", "ops")).alias("b")).filter("b.op = 'M'")
     at = df.select(F.explode(F.sequence(F.col("b.ref"), F.col("b.ref") + F.col("b.len") - 1)).alias("pos"))
     return at.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"))
 
 
+over_all(cigar_explode, _FIFTH, "true")
+
+
 @query()
 def poisson_mapq(spark, sf):
     return cigars(spark, sf).select(*_CKEYS, R.poisson_mapq("mapq", "nm", "ops", 0.05).alias("mapq"))
