@@ -503,12 +503,12 @@ def cnv_split(spark, sf):
 
 @query()
 def cnv_segments(spark, sf):
-    return cnv.call(depth_bed(spark, sf), permutations=50)[0]
+    return cnv.call(depth_bed(spark, sf))[0]
 
 
 @query()
 def cnv_gumbel(spark, sf):
-    return cnv.call(depth_bed(spark, sf), permutations=50)[1]
+    return cnv.call(depth_bed(spark, sf))[1]
 
 
 # ---------------------------------------------------------------- bulk and cells

@@ -45,3 +45,11 @@ def test_both_mates_of_every_row_are_marked(spark):
     out = catalogue.QUERIES["dup_mate_propagation_whole"](spark, SF)
     assert out.count() == 2 * spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert not [c for n in UNCUT for c in ("l_partkey % 3 = 0", "l_partkey % 5 = 0", "o_orderkey % 10 = 0") if c in catalogue.ORACLE_SQL[n]]
+
+
+@pytest.mark.parametrize("name", ["cnv_segments", "cnv_gumbel"])
+def test_copy_number_permutes_as_often_as_the_operator(spark, monkeypatch, name):
+    fitted, fit = [], catalogue.cnv.gumbel_fit
+    monkeypatch.setattr(catalogue.cnv, "gumbel_fit", lambda x: fitted.append(len(x)) or fit(x))
+    catalogue.QUERIES[name](spark, SF)
+    assert fitted and set(fitted) == {200}
