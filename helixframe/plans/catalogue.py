@@ -679,13 +679,22 @@ def seq_motif_hits(spark, sf):
     return at.filter((wrong <= 1) & (F.instr(word, "N") == 0)).select("doc_id", F.col("i").cast("long").alias("pos"), word.alias("word"))
 
 
+#: Letters of a template; and bits of a pair's id that number the windows of its document.
+TEMPLATE, WINDOW_BITS = 100, 24
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Read pairs cut from the documents' letters: a template behind the binding motif, read from both ends."""
-    s = seqs(spark, sf).withColumn("seq", F.replace("seq", F.lit("N"))).filter(F.length("seq") >= 120)
-    insert = F.substring("seq", 1, 100)
-    one = F.concat(F.substring("seq", 60, 8), F.lit(trim.BIND), F.substring(insert, 1, 80))
-    two = R.reverse_complement(F.when(F.col("doc_id") % 3 == 0, insert).otherwise(F.substring(insert, 21, 80)))
-    return s.select(F.col("doc_id").alias("pair_id"), F.concat(F.lit("r"), "doc_id").alias("name"), one.alias("seq1"), F.repeat(F.lit("I"), F.length(one)).alias("qual1"), two.alias("seq2"), F.repeat(F.lit("I"), F.length(two)).alias("qual2"))
+    """Read pairs cut from all of the documents' letters in consecutive windows: a template behind the binding motif, read from both ends.
+
+    The last window holds what is left; a document without letters has one pair of an empty template.
+    """
+    s = seqs(spark, sf).withColumn("seq", F.replace("seq", F.lit("N")))
+    s = s.select("doc_id", F.posexplode_outer(F.regexp_extract_all("seq", F.lit(f"(.{{1,{TEMPLATE}}})"), F.lit(1))).alias("k", "insert"))
+    s = s.select("doc_id", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("insert", F.lit("")).alias("insert"))
+    one = F.concat(F.substring("insert", 60, 8), F.lit(trim.BIND), F.substring("insert", 1, 80))
+    two = R.reverse_complement(F.when(F.col("doc_id") % 3 == 0, F.col("insert")).otherwise(F.substring("insert", 21, 80)))
+    pair_id = F.shiftleft("doc_id", WINDOW_BITS).bitwiseOR(F.col("k").cast("long"))
+    return s.select(pair_id.alias("pair_id"), F.concat_ws("", F.lit("r"), "doc_id", F.lit("."), "k").alias("name"), one.alias("seq1"), F.repeat(F.lit("I"), F.length(one)).alias("qual1"), two.alias("seq2"), F.repeat(F.lit("I"), F.length(two)).alias("qual2"))
 
 
 @query()

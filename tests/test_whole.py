@@ -53,3 +53,18 @@ def test_copy_number_permutes_as_often_as_the_operator(spark, monkeypatch, name)
     monkeypatch.setattr(catalogue.cnv, "gumbel_fit", lambda x: fitted.append(len(x)) or fit(x))
     catalogue.QUERIES[name](spark, SF)
     assert fitted and set(fitted) == {200}
+
+
+def test_pairs_hold_all_letters_of_all_documents(spark, tmp_path):
+    texts = {1: "ACGT" * 90 + "A", 2: "acn\ngt", 3: "ACGTTGCAAC" * 20, 4: "", 5: None, 6: "GATTACA" * 17}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    rows = catalogue.pairs(spark, str(tmp_path)).collect()
+    for r in sorted(rows, key=lambda r: r.pair_id):
+        head = r.seq1[r.seq1.index(catalogue.trim.BIND) + len(catalogue.trim.BIND) :]
+        tail = r.seq2.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        doc = r.pair_id >> catalogue.WINDOW_BITS
+        got[doc] = got.get(doc, "") + head[:80] + (tail[80:] if doc % 3 == 0 else tail[60:])
+    assert got == {k: (t or "").upper().replace("N", "").replace("\n", "") for k, t in texts.items()}
+    assert len({r.pair_id for r in rows}) == len({r.name for r in rows}) == len(rows) == 4 + 1 + 2 + 1 + 1 + 2
+    assert catalogue.trim.trim(catalogue.pairs(spark, str(tmp_path))).count() == len(rows)
