@@ -38,9 +38,18 @@ def selection(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate group; equal rows once."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keep one row of each near-duplicate group: that with the least id, rows without an id last.
+
+    A row's key is a 64-bit hash of all its columns, so equal rows count once;
+    rows that share an id or have none are rows of their own: they stay unless
+    another row of their group does. Texts without a word link with nothing.
+    """
+    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    keyed = docs.withColumn("__key__", key)
+    groups = minhash.near_duplicates(keyed, id_col="__key__").select("__key__", "component_id").distinct()
+    ranked = keyed.select("__key__", F.col("doc_id").isNull().alias("no_id"), "doc_id").join(groups, "__key__")
+    kept = ranked.groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "__key__")).alias("row")).select("row.__key__")
+    return keyed.join(kept, "__key__", "left_semi").dropDuplicates(["__key__"]).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,37 @@
+"""Stages of the pipeline against brute force."""
+
+import random
+from collections import Counter
+
+import corpus_pipeline
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rnd = random.Random(2)
+    text = lambda: " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(60))
+    near = lambda t: f"{t} tail"
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [
+        (None, a), (None, b), (None, near(b)), (7, near(b)),  # alone without id; a group whose least id is 7
+        (3, c), (3, c), (3, near(c)), (2, near(c)),  # repeated row, repeated id
+        (4, d), (4, e), (None, None), (9, ""), (10, ""), (None, d), (5, near(a)), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None) for i, t in rows], "doc_id long, text string, lang string, source string").repartition(3)
+
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    groups = []
+    for i, t in dict.fromkeys(rows):
+        mine = shingles(t)
+        linked = [g for g in groups if any(mine and len(mine & shingles(x)) >= 0.8 * len(mine | shingles(x)) for _, x in g)]
+        groups = [g for g in groups if g not in linked] + [[(i, t), *(r for g in linked for r in g)]]
+    want = []
+    for g in groups:
+        least = min((i is None, i or 0) for i, _ in g)
+        want.append([r for r in g if (r[0] is None, r[0] or 0) == least])
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(out) == len(groups) and max(Counter(out).values()) == 1
+    for candidates in want:
+        assert len([r for r in out if r in candidates]) == 1
