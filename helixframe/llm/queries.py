@@ -50,8 +50,12 @@ def op7_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(rows, rows.filter("vec_id % 20 = 0"))
 
 
+#: Shards of this query, small enough that tables of a few megabytes split as well.
+SHARD_BYTES = 256 << 10
+
+
 def op8_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op9_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +102,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_extendible_hashing": f"""
 WITH d AS (SELECT doc_id, lpad(bin(('0x' || left(md5(doc_id::VARCHAR), 15))::BIGINT), 60, '0') AS address, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents),
 p AS (SELECT k, left(address, k) AS shard, sum(n_bytes) AS b, count(*) AS c FROM d, (SELECT unnest(range(0, 33)) AS k) GROUP BY ALL),
-f AS (SELECT k, shard FROM p WHERE b <= {sharding.LIMIT} OR c <= 1),
+f AS (SELECT k, shard FROM p WHERE b <= {SHARD_BYTES} OR c <= 1),
 m AS (SELECT d.doc_id, d.address, d.n_bytes, min(f.k) AS depth FROM d JOIN f ON left(d.address, f.k) = f.shard GROUP BY ALL)
 SELECT doc_id, left(address, depth) AS shard, depth::INT AS depth, n_bytes FROM m
 """,
