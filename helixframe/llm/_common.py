@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests on one machine)."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine gets a temporary folder; on a
+    cluster it is an error, as other hosts would not see such a folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -20,13 +27,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
     Its files outlive a lost executor, and Spark's cleaner removes them with
-    the plan that reads them when ``cleanCheckpoints`` is on. Shuffle files of
-    plans that earlier checkpoints have replaced go once the driver collects
-    its garbage; it is asked to here, as it may not do so for long by itself.
+    the plan that reads them when ``cleanCheckpoints`` is on.
     """
     checkpoint_folder(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
@@ -37,7 +40,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bytes_of(df: DataFrame, *columns: str) -> int:
     """Bytes held in string or binary columns of a small, already written table."""
-    from pyspark.sql import functions as F
-
     total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(32))
     return int(df.agg(F.sum(total).alias("b")).first()["b"] or 0)

@@ -1,33 +1,40 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one aggregation with map-side combining and one join, so the hub
-of a star never gathers in one task; the edge list shrinks to a forest of depth
-one in a number of rounds logarithmic in the longest path. Links and components
+Each step is one aggregation with map-side combining and one join. A node's
+links are dealt over ``SALTS`` parts by the other end, in both, so the hub of a
+star never gathers in one task; the edge list shrinks to a forest of depth one
+in a number of rounds logarithmic in the longest path. Links and components
 stay distributed; the driver only sees a count and a checksum per round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import checkpointed
 
+#: Parts of one node's links: a hub of a third of all links spreads over so many tasks.
+SALTS = 64
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """Least neighbour of each ``u``; the smaller of it and ``u`` itself."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m) of each pair: ``m`` is the least of ``u`` and all its ``v``."""
+    pairs = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = pairs.groupBy("u", "s").agg(F.min("v").alias("m"))
+    # at most SALTS rows a node from here on
+    least = parts.select("u", "s", F.least("u", F.min("m").over(Window.partitionBy("u"))).alias("m"))
+    return pairs.join(least, ["u", "s"]).select("u", "v", "m")
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    joined = edges.join(_least(edges), "u")
+    joined = _with_least(edges)
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_least(both), "u").filter("v > u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
