@@ -347,11 +347,16 @@ def test_url_rules(spark):
         method = "block" if any(re.search(r.pattern, host + path, re.A) for r in urlrules.PATTERNS) else "allow"
         best = max(fits, default=None)
         expected[i] = (host, path, best and best[1], best[2] if best else method)
-    for inline in (2000, 0):
-        out = urlrules.judge(df, rules, inline=inline)
+    many = [urlrules.list_rule("block", f"host{i}.example", f"/p{i}/") for i in range(5000)] + [urlrules.pattern_rule("block", "never-[0-9]+x")]
+    for own in (rules, rules + many):  # the number of rules changes nothing
+        out = urlrules.judge(df, own)
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()} == expected
+    asked = spark.createDataFrame([(1, "http://host7.example/p7/x"), (1, "http://ok.example/"), (None, "http://a.host8.example/p8/"), (None, "http://c/never-3x")], "page_id long, url string")
+    got = sorted((str(r.page_id), str(r.rule), r.verdict) for r in urlrules.judge(asked, rules + many).collect())
+    assert got == [("1", "None", "allow"), ("1", "host7.example/p7/", "block"), ("None", "None", "block"), ("None", "host8.example/p8/", "block")]
     plan = urlrules.judge(df, rules)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Exchange|Join", plan)
+    assert "from_json" not in plan.split("== Optimized Logical Plan ==")[1]
     assert {r.verdict for r in urlrules.judge(df, []).collect()} == {"allow"}
     assert urlrules.judge(df.limit(0), rules).count() == 0
 
