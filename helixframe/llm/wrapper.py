@@ -3,26 +3,38 @@
 A page becomes a nested token expression: element tokens (tag, class, id) and
 text slots, with inline markup folded into the text and equal neighbours folded
 into repeated groups. Expressions of one host are aligned one after another;
-siblings are matched in order, and a mismatch becomes an optional group, a run
-of a sibling a repeated one, differing texts a slot. The result, the host's
-wrapper, also carries per slot how often it holds text, how much of it is
-links, and whether its text ever differs.
+siblings are matched in order by a longest common subsequence of any length,
+and a mismatch becomes an optional group, a run of a sibling a repeated one,
+differing texts a slot. The result, the host's wrapper, also carries how many
+pages hold a node, and per slot how much of its text is links and whether it
+ever differs.
+
+What is kept follows from the wrapper, and is the same for one page and for many
+where a page marks its article:
+
+* in an ``article`` or ``main`` element everything is kept but marked elements
+  (navigation, forms, notices, adverts, sidebars, comments and the like, by tag
+  or by a class, id or role that names them);
+* elsewhere slots of links go, and slots with one text on most of at least
+  ``TEMPLATE_PAGES`` pages of the host, unless they lie in the body of varying
+  text between its first and its last slot, as headings do that all pages share;
+* a class, id or role names an element by its last word (``site-header``, not
+  ``header-title``), and is no more than a tie-breaker: an element around an
+  unmarked article, or around most of the host's varying text, is kept.
 
 Inference is distributed: each task aligns the pages it reads into one partial
 wrapper a host, partial wrappers are aligned in two levels (so a host that has
-a third of all pages spreads over tasks), and all pages take part. Wrappers are
-joined back by host, by broadcast only when their measured bytes are few.
-
-Extraction walks a page along its wrapper and keeps the slots that the wrapper
-shows to be article text: not under an element of navigation, header, footer,
-sidebar, notice, advert, form or comments, not mostly links, and not the same
-text on every page. Where a host has an article or main element with text, only
-that counts.
+a third of all pages spreads over tasks), and all pages take part. A wrapper is
+bounded: a node with more than ``KIDS`` kinds of children holds its rare ones
+as one group a tag. Tasks receive the decisions of the hosts with most pages
+once, up to ``BROADCAST`` bytes; pages of the many small hosts beyond meet theirs
+in a join.
 
 Defined cases: null html has an empty text; markup that never closes, closes
 twice or is cut off is repaired as browsers do for paragraphs and list items;
-a page whose slots all look like boilerplate has an empty text; a null URL is a
-host of its own; repeated rows give repeated results; other columns are ignored.
+below ``DEPTH`` levels of nesting elements are siblings; a page whose slots all
+look like boilerplate has an empty text; a null URL is a host of its own;
+repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,24 +45,27 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bytes_of, checkpointed
+from ._common import checkpointed
 
-#: Wrappers of up to this many bytes in all are broadcast.
+#: Decisions of up to so many bytes, and of so many hosts, are broadcast.
 BROADCAST = 8 << 20
-#: Hosts a task keeps at once; beyond it, partial wrappers are emitted and begun anew.
-HOSTS = 2000
-#: Texts seen on at least this many pages, always equal, are part of the template.
+HELD = 4096
+#: Wrapper nodes a task keeps at once; beyond it, partial wrappers are emitted and begun anew.
+NODES = 1_000_000
+#: A text equal on at least this many pages, and on most of the host's, is fixed.
 TEMPLATE_PAGES = 3
+#: Children of a wrapper node that are told apart.
+KIDS = 64
+#: Levels of nested elements.
+DEPTH = 120
 
-#: Sibling lists whose lengths multiply to more than this are folded by token before they are aligned.
-LONG_LISTS = 4096
-
-_WORDS = re.compile(r"[a-z0-9]+")
+_WORDS = re.compile(r"[a-z]+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|select|title)\b[^>]*(?:/>|>(?:.*?</(?P=raw)\s*>|.*$)|$)"
@@ -77,15 +92,24 @@ ENDS = {
 }
 # Elements and words of class, id or role that mark what isn't the article.
 BOILERPLATE_TAGS = set("nav footer aside form button input menu dialog object".split())
-BOILERPLATE_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer colophon"
-    " sidebar side aside widget widgets related recommended comment comments commentlist discussion disqus reply replies respond reader readers cookie cookies consent gdpr notice notices alert"
+COMMENT_WORDS = set("comment comments commentlist discussion disqus reply replies respond reader readers".split())
+BOILERPLATE_WORDS = COMMENT_WORDS | set(
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer colophon"
+    " sidebar aside widget widgets related recommended recommendations cookie cookies consent gdpr notice notices alert alerts"
     " popup modal overlay newsletter subscribe subscription signup login share sharing social toolbar pagination pager legal disclaimer copyright form search contentinfo complementary hidden".split()
 )
-ARTICLE_WORDS = set("article main content post entry story body text".split())
+# Words that say where or in what a thing is, and not what it is; after "related", those that name what is listed.
+PLACE_WORDS = set("area bar block blocks body bottom box buttons center col column container content group holder icons inner item items left link links list outer panel right row section text top unit wrap wrapper zone".split())
+LISTED_WORDS = set("articles news pages posts reading stories topics".split())
+NEGATING_WORDS = set("has is no not with without".split())
+ARTICLE_WORDS = set("article content post entry story page".split())
 MAIN_TAGS = {"article", "main"}
+# Elements of a block or a list, which are parts of a body and never the body itself.
+PARTS = set("p blockquote pre address figure figcaption details summary ul ol dl li dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
+IN_ARTICLE, ELSEWHERE = 1, 2
+
 
 class Node:
     """An element: its token, children in order, and for a block of text the text and the characters in links."""
@@ -97,17 +121,43 @@ class Node:
 
 
 def _key(tag: str, attrs: str) -> str:
-    """The token of an element: its tag and the words of class, id and role."""
+    """The token of an element: its tag and the names in class, id and role, less their digits."""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
         return tag
-    words = set()
+    names = set()
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            words.add("hidden")
+            names.add("hidden")
         elif name in ("class", "id", "role"):
-            words.update(w for w in _WORDS.findall(value) if not w.isdigit())
-    return " ".join([tag, *sorted(words)])
+            names.update("-".join(_WORDS.findall(v)) for v in value.split())
+    return " ".join([tag, *sorted(names - {""})])
+
+
+@lru_cache(maxsize=10_000)
+def named(name: str) -> str:
+    """The boilerplate word by which a class, id or role names its element; empty if none does."""
+    words = name.split("-")
+    if words[0] in NEGATING_WORDS or words[-1] in ("header", "masthead") and ARTICLE_WORDS & set(words):
+        return ""
+    if words[0] == "related" and words[-1] in LISTED_WORDS:
+        return "related"
+    while len(words) > 1 and words[-1] in PLACE_WORDS:
+        words.pop()
+    return words[-1] if words[-1] in BOILERPLATE_WORDS else ""
+
+
+@lru_cache(maxsize=10_000)
+def marks(key: str) -> tuple[str, frozenset[str]]:
+    """An element's tag and the boilerplate words that name it."""
+    tag, _, names = key.partition(" ")
+    return tag, frozenset(w for n in names.split() if (w := named(n))) if tag not in ("body", "html") and tag not in HEADINGS else frozenset()
+
+
+def general(key: str) -> str:
+    """The token with which rare siblings are held together: the tag and what marks it."""
+    tag, words = marks(key)
+    return key if key == "#" else " ".join([tag, "*", *sorted(words)])
 
 
 def parse(page: str | None) -> Node:
@@ -148,7 +198,7 @@ def parse(page: str | None) -> Node:
             stack.pop()
         node = Node(_key(tag, m["attrs"]))
         stack[-1].kids.append(node)
-        if tag not in VOID and not m["attrs"].endswith("/"):
+        if tag not in VOID and not m["attrs"].endswith("/") and len(stack) < DEPTH:
             stack.append(node)
     return root
 
@@ -157,8 +207,9 @@ def clean(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-# A wrapper node is a list [key, optional, repeated, kids, stats]; stats of a
-# text slot are [pages, characters, characters in links, least hash, greatest hash].
+# A wrapper node is a list [key, optional, repeated, kids, stats]; stats are the
+# pages that hold it and, of a text slot, also characters, characters in links,
+# least and greatest hash.
 
 
 def wrapped(node: Node) -> list:
@@ -169,123 +220,177 @@ def wrapped(node: Node) -> list:
         return ["#", False, False, [], [1, len(text), min(len(text), node.links), h, h]]
     kids: list[list] = []
     for kid in node.kids:
-        one = wrapped(kid)
-        if kids and kids[-1][0] == one[0]:
-            kids[-1] = merged(kids[-1], one, same_page=True)
-            kids[-1][2] = True
-        else:
-            kids.append(one)
-    return [node.key, False, False, kids, None]
+        _joining(kids, wrapped(kid))
+    return [node.key, False, False, _bounded(kids), [1]]
 
 
-def _aligned(a: list, b: list, key=lambda x: x[0]) -> list[tuple[int | None, int | None]]:
-    """Longest common sequence of sibling tokens, as index pairs; None where one side has no match."""
-    n, m = len(a), len(b)
-    if n == m and all(key(x) == key(y) for x, y in zip(a, b, strict=True)):
-        return [(i, i) for i in range(n)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if key(a[i]) == key(b[j]) else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and key(a[i]) == key(b[j]):
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
-            out.append((i, None))
-            i += 1
+def _joining(kids: list[list], one: list) -> None:
+    """Append a sibling, or fold it into the last one if their tokens are equal."""
+    if kids and kids[-1][0] == one[0]:
+        kids[-1] = merged(kids[-1], one, same_page=True)
+        kids[-1][2] = True
+    else:
+        kids.append(one)
+
+
+def _bounded(kids: list[list]) -> list[list]:
+    """The siblings, rare ones in one repeated group for each general token if there are more than ``KIDS``."""
+    if len(kids) <= KIDS:
+        return kids
+    common = set(sorted(range(len(kids)), key=lambda k: (-kids[k][4][0], k))[: KIDS // 2])
+    out: list[list] = []
+    groups: dict[str, int] = {}
+    for k, kid in enumerate(kids):
+        key = kid[0] if k in common and "*" not in kid[0] else general(kid[0])
+        kid = [key, kid[1] or k not in common, *kid[2:]]
+        if k in common and "*" not in key:
+            out.append(kid)
+        elif key in groups:
+            at = groups[key]
+            out[at] = merged(out[at], kid, same_page=True)
+            out[at][2] = True
         else:
-            out.append((None, j))
-            j += 1
+            groups[key] = len(out)
+            out.append(kid)
     return out
 
 
-def _folded(kids: list[list]) -> list[list]:
-    """Siblings of one token as one repeated group, for lists too long to align in order."""
-    held: dict[str, list] = {}
-    for kid in kids:
-        if kid[0] in held:
-            held[kid[0]] = merged(held[kid[0]], kid, same_page=True)
-            held[kid[0]][2] = True
+def aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
+    """Longest common subsequence of two token lists, as index pairs; None where one side has no match.
+
+    Bit-parallel: a row of the usual table is one number, a bit an entry of
+    ``b`` that is 0 where the length grows. Every ``isqrt(n)``-th row is kept and the
+    others are made anew on the way back, so long lists need little memory.
+    """
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    n, m = len(a), len(b)
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << m) - 1
+
+    def rows(row: int, s: int, e: int) -> list[int]:
+        out = [row]
+        for x in a[s:e]:
+            hit = row & at.get(x, 0)
+            row = ((row + hit) | (row - hit)) & full
+            out.append(row)
+        return out
+
+    step = isqrt(n) + 1
+    kept, row = [], full
+    for s in range(0, n, step):
+        kept.append(row)
+        row = rows(row, s, min(n, s + step))[-1]
+    out: list[tuple[int | None, int | None]] = []
+    i, j, at_chunk, table = n, m, -1, []
+    while i and j:
+        c = (i - 1) // step
+        if c != at_chunk:
+            at_chunk, table = c, rows(kept[c], c * step, min(n, c * step + step))
+        if table[i - c * step] >> (j - 1) & 1:
+            j -= 1
+            out.append((None, j))
+        elif i > 1 and not table[i - 1 - c * step] >> (j - 1) & 1:
+            i -= 1
+            out.append((i, None))
         else:
-            held[kid[0]] = kid
-    return list(held.values())
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    out += [(None, k) for k in range(j - 1, -1, -1)] + [(k, None) for k in range(i - 1, -1, -1)]
+    return out[::-1]
 
 
 def merged(a: list, b: list, same_page: bool = False) -> list:
     """The expression that covers both; their keys are equal."""
-    if a[4] is not None:
-        x, y = a[4], b[4]
-        stats = [max(x[0], y[0]) if same_page else x[0] + y[0], x[1] + y[1], x[2] + y[2], min(x[3], y[3]), max(x[4], y[4])]
-        return ["#", a[1] or b[1], a[2] or b[2], [], stats]
+    x, y = a[4], b[4]
+    pages = max(x[0], y[0]) if same_page else x[0] + y[0]
+    if a[0] == "#":
+        return ["#", a[1] or b[1], a[2] or b[2], [], [pages, x[1] + y[1], x[2] + y[2], min(x[3], y[3]), max(x[4], y[4])]]
     kids: list[list] = []
-    if len(a[3]) * len(b[3]) > LONG_LISTS:
-        a, b = [*a[:3], _folded(a[3]), None], [*b[:3], _folded(b[3]), None]
-    for i, j in _aligned(a[3], b[3]):
+    for i, j in aligned([k[0] for k in a[3]], [k[0] for k in b[3]]):
         if i is None or j is None:
             one = b[3][j] if i is None else a[3][i]
             one = [one[0], True, *one[2:]]
         else:
             one = merged(a[3][i], b[3][j], same_page)
-        if kids and kids[-1][0] == one[0]:
-            one = merged(kids[-1], one, True)
-            one[2] = True
-            kids[-1] = one
-        else:
-            kids.append(one)
-    return [a[0], a[1] or b[1], a[2] or b[2], kids, None]
+        _joining(kids, one)
+    return [a[0], a[1] or b[1], a[2] or b[2], _bounded(kids), [pages]]
 
 
-def _marks(key: str) -> tuple[str, set[str]]:
-    tag, _, words = key.partition(" ")
-    return tag, set(words.split())
+def size(wrapper: list) -> int:
+    return 1 + sum(map(size, wrapper[3]))
 
 
-def _boilerplate(key: str, in_article: bool) -> bool:
-    tag, words = _marks(key)
-    if tag in BOILERPLATE_TAGS or tag == "header" and not in_article:
-        return True
-    return tag not in MAIN_TAGS and tag not in ("body", "html") and tag not in HEADINGS and bool(words & BOILERPLATE_WORDS) and not (words & ARTICLE_WORDS and "comments" not in words and "comment" not in words and "ad" not in words)
+class _Slot:
+    """A text slot on the way to a decision; ``path`` are the nodes around it, from the root."""
+
+    __slots__ = ("out", "path", "linked", "fixed", "chars", "article", "words", "tagged", "head")
 
 
 def decide(wrapper: list) -> list:
-    """The wrapper as nested [key, kids] with, per text slot, whether it is main text."""
-    slots: list[tuple[list, bool, bool, bool]] = []
+    """The wrapper as nested [key, kids]; a text slot is ["#", where its text counts]."""
+    slots: list[_Slot] = []
+
+    def holds_article(node: list) -> bool:
+        return any(k[0] != "#" and (marks(k[0])[0] in MAIN_TAGS and not marks(k[0])[1] or holds_article(k)) for k in node[3])
 
-    def walk(node: list, drop: bool, article: bool, head: bool) -> list:
+    def walk(node: list, path: tuple[int, ...], article: bool, tagged: bool, words: tuple[tuple[int, bool], ...], head: bool) -> list:
         if node[0] == "#":
             pages, chars, links, least, most = node[4]
-            fixed = least == most and pages >= TEMPLATE_PAGES
-            out = ["#", not drop and links * 2 <= chars]
-            slots.append((out, fixed, article, head))
-            return out
-        tag, _ = _marks(node[0])
-        inside = article or tag in MAIN_TAGS
-        bad = drop or _boilerplate(node[0], article)
+            s = _Slot()
+            s.out, s.path, s.article, s.tagged, s.words, s.head = ["#", 0], path, article, tagged, words, head
+            s.linked, s.chars = links * 2 > chars, chars - links
+            s.fixed = least == most and pages >= TEMPLATE_PAGES and 2 * pages > wrapper[4][0]
+            slots.append(s)
+            return s.out
+        tag, found = marks(node[0])
+        path = (*path, len(seen))
+        seen.append(node)
+        tagged = tagged or tag in BOILERPLATE_TAGS or tag == "header" and not article
+        if found and not holds_article(node):
+            words = (*words, (path[-1], bool(found & COMMENT_WORDS or "hidden" in found)))
         # a header inside the article keeps its headings only
-        if tag == "header" and article:
-            head = True
-        elif tag in HEADINGS:
-            head = False
-        return [node[0], [walk(k, bad, inside, head) for k in node[3]]]
-
-    tree = walk(wrapper, False, False, False)
-    for out, _, _, head in slots:
-        out[1] = out[1] and not head
-    if any(out[1] and article for out, _, article, _ in slots):
-        for out, _, article, _ in slots:
-            out[1] = out[1] and article
-    if any(out[1] and not fixed for out, fixed, _, _ in slots):
-        for out, fixed, _, _ in slots:
-            out[1] = out[1] and not fixed
+        head = tag not in HEADINGS and (head or tag == "header" and article)
+        article = article or tag in MAIN_TAGS and not found
+        return [node[0], [walk(k, path, article, tagged, words, head) for k in node[3]]]
+
+    seen: list[list] = []
+    tree = walk(wrapper, (), False, False, (), False)
+    # words are no more than a tie-breaker: not for what holds most of the varying text
+    free = [s for s in slots if not (s.tagged or s.linked or s.fixed or any(comment for _, comment in s.words))]
+    held: dict[int, int] = {}
+    for s in free:
+        for p in s.path:
+            held[p] = held.get(p, 0) + s.chars
+    total = sum(s.chars for s in free)
+    rest = []
+    for s in slots:
+        named_out = any(comment or 2 * held.get(p, 0) <= total for p, comment in s.words)
+        if s.tagged or named_out or s.head:
+            continue
+        if s.article:
+            s.out[1] = IN_ARTICLE
+        elif not s.linked:
+            rest.append(s)
+    varying = [s for s in rest if not s.fixed]
+    if varying:
+        # the body: the innermost container of most of the varying text, from its first slot to its last
+        inside: dict[int, int] = {}
+        for s in varying:
+            for p in s.path:
+                inside[p] = inside.get(p, 0) + s.chars
+        most = sum(s.chars for s in varying)
+        body = max((p for p in inside if 5 * inside[p] >= 3 * most and marks(seen[p][0])[0] not in PARTS), default=0)
+        own = [k for k, s in enumerate(rest) if body in s.path and not s.fixed]
+        rest = [s for k, s in enumerate(rest) if not s.fixed or own and body in s.path and own[0] < k < own[-1]]
+    for s in rest:
+        s.out[1] = ELSEWHERE
     return tree
 
 
-def extract(page: Node, decided: list) -> list[str]:
-    """The kept blocks of a page in page order, walking it along its wrapper."""
-    if not isinstance(decided[1], list):
-        return []
+def _walk(page: Node, decided: list, blocks: list[tuple[int, str]]) -> None:
     # runs of one token belong to one repeated group of the wrapper
     groups: list[list[Node]] = []
     for kid in page.kids:
@@ -294,37 +399,35 @@ def extract(page: Node, decided: list) -> list[str]:
         else:
             groups.append([kid])
     by_key = {kid[0]: kid for kid in reversed(decided[1])}
-    if len(groups) * len(decided[1]) > LONG_LISTS:
-        match = [by_key.get(g[0].key) for g in groups]
-    else:
-        match = [None] * len(groups)
-        for i, j in _aligned(groups, decided[1], key=lambda x: x[0].key if isinstance(x[0], Node) else x[0]):
-            if i is not None:
-                match[i] = by_key.get(groups[i][0].key) if j is None else decided[1][j]
-    blocks: list[str] = []
-    for group, slot in zip(groups, match, strict=True):
-        for kid in group if slot is not None else ():
+    for i, j in aligned([g[0].key for g in groups], [k[0] for k in decided[1]]):
+        if i is None:
+            continue
+        key = groups[i][0].key
+        slot = decided[1][j] if j is not None else by_key.get(general(key)) or by_key.get(key)
+        for kid in groups[i] if slot is not None else ():
             if kid.key != "#":
-                blocks += extract(kid, slot)
+                _walk(kid, slot, blocks)
             elif slot[1] and (text := clean(kid.text)):
-                blocks.append(text)
-    return blocks
+                blocks.append((slot[1], text))
 
 
-def _joined(partial: list[str]) -> str:
-    out = None
-    for text in sorted(partial):
-        one = json.loads(text)
-        out = one if out is None else merged(out, one)
-    return json.dumps(out, separators=(",", ":"), ensure_ascii=False)
+def extract(page: Node, decided: list) -> list[str]:
+    """The kept blocks of a page in page order, walking it along its wrapper."""
+    blocks: list[tuple[int, str]] = []
+    _walk(page, decided, blocks)
+    where = min((w for w, _ in blocks), default=IN_ARTICLE)
+    return [text for w, text in blocks if w == where]
+
+
+def _json(value: list) -> str:
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
 
     def emit() -> pa.RecordBatch:
-        texts = [json.dumps(w, separators=(",", ":"), ensure_ascii=False) for w in held.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(texts, pa.string())], ["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(map(_json, held.values()), pa.string())], ["host", "wrapper"])
 
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
@@ -332,14 +435,18 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 one = wrapped(parse(page))
                 held[host] = merged(held[host], one) if host in held else one
-            if len(held) > HOSTS:
+            if sum(map(size, held.values())) > NODES:
                 yield emit()
                 held.clear()
     yield emit()
 
 
 def _merged_group(group: pa.Table) -> pa.Table:
-    return pa.table({"host": group["host"][:1], "wrapper": pa.array([_joined(group["wrapper"].to_pylist())], pa.string())})
+    out = None
+    for text in sorted(group["wrapper"].to_pylist()):
+        one = json.loads(text)
+        out = one if out is None else merged(out, one)
+    return pa.table({"host": group["host"][:1], "wrapper": pa.array([_json(out)], pa.string())})
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -350,16 +457,21 @@ def infer(pages: DataFrame) -> DataFrame:
     return salted.groupBy("host").applyInArrow(_merged_group, shape)
 
 
-@lru_cache(maxsize=512)
-def _decided(wrapper: str) -> list:
-    return decide(json.loads(wrapper))
+def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        wrappers = [json.loads(w) for w in batch.column("wrapper").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([w[4][0] for w in wrappers], pa.int64()), pa.array([_json(decide(w)) for w in wrappers], pa.string())], ["host", "pages", "decided"])
+
 
+_loaded = lru_cache(maxsize=512)(json.loads)
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _extracted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
+    """Texts of pages; ``of`` gives the decisions of each row of a batch as JSON."""
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            texts = ["\n\n".join(extract(parse(page), _decided(w))) if page else "" for page, w in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True)]
+            texts = ["\n\n".join(extract(parse(page), _loaded(d))) if page else "" for page, d in zip(part.column("html").to_pylist(), of(part), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
@@ -367,7 +479,27 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """(id, url, text) per row."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "://([^/?#]*)", 1))
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    wrappers = checkpointed(infer(pages))
-    side = F.broadcast(wrappers) if bytes_of(wrappers, "host", "wrapper") <= BROADCAST else wrappers
-    out = pages.join(side, "host", "left").select("id", "url", "html", "wrapper").mapInArrow(_extracted, "id long, url string, text string")
+    decided = checkpointed(infer(pages).mapInArrow(_decisions, "host string, pages long, decided string"))
+    known, used = {}, 0
+    for r in decided.orderBy(F.desc("pages"), "host").limit(HELD).collect():
+        used += len(r["host"].encode()) + len(r["decided"].encode())
+        if used > BROADCAST:
+            break
+        known[r["host"]] = r["decided"]
+    sent = df.sparkSession.sparkContext.broadcast(known)
+
+    def by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _extracted(batches, lambda part: [sent.value[h] for h in part.column("host").to_pylist()])
+
+    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _extracted(batches, lambda part: part.column("decided").to_pylist())
+
+    shape = "id long, url string, text string"
+    if decided.count() == len(known):
+        out = pages.mapInArrow(by_host, shape)
+    else:
+        names = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in known], "host string"))
+        near = pages.join(names, "host", "left_semi").select("id", "url", "html", "host").mapInArrow(by_host, shape)
+        far = pages.join(names, "host", "left_anti").join(decided.select("host", "decided"), "host").select("id", "url", "html", "decided").mapInArrow(by_row, shape)
+        out = near.unionByName(far)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -379,13 +379,88 @@ def test_wrappers(spark):
 
 def test_wrapper_alignment_finds_optional_and_repeated_groups():
     a = wrapper.wrapped(wrapper.parse("<div><h1>x</h1><p>1</p><p>2</p></div>"))
-    b = wrapper.wrapped(wrapper.parse("<div><h1>y</h1><img><p>3</p></div>"))
+    b = wrapper.wrapped(wrapper.parse("<div><h1>y</h1><hr><p>3</p></div>"))
     div = wrapper.merged(a, b)[3][0]
-    assert [(k[0], k[1], k[2]) for k in div[3]] == [("h1", False, False), ("p", False, True)] or [k[0] for k in div[3]] == ["h1", "img", "p"]
-    long = "<body>" + "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(300)) + "</body>"
-    w = wrapper.merged(wrapper.wrapped(wrapper.parse(long)), wrapper.wrapped(wrapper.parse(long.replace("p1", "q1"))))
-    assert len(wrapper.extract(wrapper.parse(long), wrapper.decide(w))) == 600
-    assert json.loads(json.dumps(w)) == w
+    assert [(k[0], k[1], k[2]) for k in div[3]] == [("h1", False, False), ("hr", True, False), ("p", False, True)]
+    assert json.loads(json.dumps(div)) == div
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rnd = random.Random(1)
+    for _ in range(500):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 12))] for _ in "xy")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = wrapper.aligned(a, b)
+        both = [(i, j) for i, j in got if i is not None and j is not None]
+        assert len(both) == best[len(a)][len(b)] and all(a[i] == b[j] for i, j in both)
+        assert [i for i, _ in got if i is not None] == list(range(len(a))) and [j for _, j in got if j is not None] == list(range(len(b)))
+
+
+NAMES = ["x", "related-work", "legal-news", "social-history", "header-title", "form-factor", "comment-free-guide", "has-sidebar"]
+ITEMS = "".join(f"<li>item {k}</li>" for k in range(100))
+TEMPLATES = {
+    "article": '<body><nav><a href=x>Home</a></nav><article class="{c}"><h1>T{i}</h1><h2>Summary</h2><p>text {i} here</p><h2>Method</h2><ul>' + ITEMS
+    + '</ul><p><a href=y>more {i}</a></p><div class="ad">buy</div><div class="comment-list"><p>nice {i}</p></div></article><footer>f</footer></body>',
+    "main": '<body><header>Site</header><div class="{c}"><main><h1>T{i}</h1><h2>Summary</h2><p>text {i} here</p><h2>Method</h2><ol>' + ITEMS
+    + '</ol><p>more {i}</p><aside>see</aside></main></div><div id="cookie-notice">We use</div></body>',
+    "plain": '<body><div class="top-menu"><a href=x>Home</a></div><div class="{c}"><h1>T{i}</h1><h2>Summary</h2><p>text {i} here</p><h2>Method</h2><ul>' + ITEMS
+    + '</ul><p>more {i}</p></div><div class="site-footer">foot</div><div class="comments"><p>nice {i}' + " so nice" * 500 + "</p></div></body>",
+    "table": '<body><form>find</form><div class="{c}"><h1>T{i}</h1><h2>Summary</h2><table><tr><td>text {i} here</table><h2>Method</h2><dl>' + ITEMS.replace("li>", "dd>")
+    + '</dl><p>more {i}</p></div><div class="newsletter-box">mail {i}</div></body>',
+}
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_wrappers_keep_articles_whole_whatever_the_names_and_the_pages(template):
+    for c in NAMES:
+        for n in (1, 2, 50):
+            pages = [wrapper.parse(TEMPLATES[template].format(c=c, i=i)) for i in range(n)]
+            whole = None
+            for p in pages:
+                whole = wrapper.wrapped(p) if whole is None else wrapper.merged(whole, wrapper.wrapped(p))
+            decided = wrapper.decide(whole)
+            for i, p in enumerate(pages):
+                assert wrapper.extract(p, decided) == [f"T{i}", "Summary", f"text {i} here", "Method", *(f"item {k}" for k in range(100)), f"more {i}"]
+
+
+def test_wrappers_learn_fixed_slots_outside_the_body():
+    page = "<body><div class=a>Our site since 1999</div><div class=b><h1>T{i}</h1><h2>Summary</h2><p>text {i} and more</p></div><div class=c>All rights</div></body>"
+    whole = None
+    for i in range(9):
+        one = wrapper.wrapped(wrapper.parse(page.format(i=i)))
+        whole = one if whole is None else wrapper.merged(whole, one)
+    assert wrapper.extract(wrapper.parse(page.format(i=3)), wrapper.decide(whole)) == ["T3", "Summary", "text 3 and more"]
+
+
+def test_wrappers_are_bounded_and_lose_nothing():
+    letters = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnop"]
+    pages = [f"<body><div class=n{x}><p>text {x}</p></div></body>" for x in letters]
+    whole = None
+    for p in pages:
+        one = wrapper.wrapped(wrapper.parse(p))
+        whole = one if whole is None else wrapper.merged(whole, one)
+    assert wrapper.size(whole) <= 4 * wrapper.KIDS
+    decided = wrapper.decide(whole)
+    assert [wrapper.extract(wrapper.parse(p), decided) for p in pages] == [[f"text {x}"] for x in letters]
+    long = "<body><article>" + "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(3000)) + "</article></body>"
+    one = wrapper.wrapped(wrapper.parse(long))
+    assert len(wrapper.extract(wrapper.parse(long), wrapper.decide(wrapper.merged(one, one)))) == 6000
+    deep = wrapper.parse("<div>" * 5000 + "text")
+    assert wrapper.extract(deep, wrapper.decide(wrapper.wrapped(deep))) == ["text"]
+
+
+def test_decisions_of_hosts_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 7}.example/{i}", PAGE.format(i)) for i in range(60)] + [(None, None, PAGE.format(7)), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    every = sorted(map(str, wrapper.main_text(df).collect()))
+    monkeypatch.setattr(wrapper, "HELD", 2)
+    assert sorted(map(str, wrapper.main_text(df).collect())) == every
+    monkeypatch.setattr(wrapper, "BROADCAST", 0)
+    monkeypatch.setattr(wrapper, "NODES", 10)
+    assert sorted(map(str, wrapper.main_text(df).collect())) == every
 
 
 def test_wrapper_equals_brute_force_on_tables(spark):
