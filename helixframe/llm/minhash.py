@@ -11,13 +11,14 @@ Plan, for any number of documents:
 4. pairs are verified on the full shingle sets, verified links are unioned;
 5. a bucket whose members now lie in one component is done. In the others the
    pairs across components are still open: those of small components whose
-   sizes and signature sketches allow a link are verified as pairs (a crowded
-   bucket is first split by the hash of a second band, as similar documents
-   share many), and whoever shares a bucket with a large component is compared
-   with all its members, in blocks that return only links.
+   sizes and signature sketches allow a link are verified, as pairs in a bucket
+   of up to ``CROWDED`` members, and in blocks that return only links in a larger
+   one, each pair in the first bucket that it shares; and whoever shares a
+   bucket with a large component is compared with all its members, in blocks too.
 
-Nothing is capped or sampled. A pair at a similarity of 0.8 shares none of 32
-bands of 5 rows with a probability of 3e-6.
+Nothing is capped or sampled, and no bucket needs a second one. A pair at a
+similarity of 0.8 shares none of 32 bands of 5 rows with a probability of 3e-6;
+the sketch adds 4e-12 to that.
 
 Defined cases: null, empty or blank text has no shingle, and is linked with
 nothing; a text shorter than a shingle has its whole word sequence as the one
@@ -40,13 +41,15 @@ from ._text import U64, mix, shingle_sets, slices, utf8
 
 _ROUND = U64(0xA0761D6478BD642F)
 _BAND = mix(np.arange(1, 257, dtype=np.uint64)) | U64(1)
-#: Rows of a block, and of a bucket that is not split.
-CROWDED = 256
+#: Members of a bucket whose pairs are made by a join.
+CROWDED = 128
+#: Rows of a block without texts, and shingles of a block with texts.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Components from this size are asked as a whole.
 LARGE = 16
 #: Open pairs agree in at least this share of their 4-bit sketch cells. At a
-#: similarity of 0.8 the expected share is 0.81, 4.9 standard deviations above.
-AGREE = 0.66
+#: similarity of 0.8 the expected share is 0.81, 6.8 standard deviations above.
+AGREE = 0.6
 
 
 def superminhash(elements: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
@@ -207,14 +210,60 @@ def _between(cells: int, num: int, den: int, shingle: int | None):
     return run
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Deal (c, id, asks) into blocks (i of askers, j of members) so that each asker meets each member of its c once."""
-    sizes = rows.groupBy("c").agg(F.count_if("asks").alias("na"), F.count_if(~F.col("asks")).alias("nm")).filter("na > 0 and nm > 0")
-    parts = lambda n: F.ceil(F.col(n) / block).cast("long")
-    rows = rows.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("asks"), parts("na")).otherwise(parts("nm"))))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), parts("nm")).otherwise(parts("na")) - 1)))
-    i, j = F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")), F.when(F.col("asks"), F.col("other")).otherwise(F.col("own"))
-    return rows.select("c", i.alias("i"), j.alias("j"), "id", "asks")
+def _inside(cells: int, num: int, den: int, shingle: int | None):
+    """Open pairs of a crowded bucket, its block ``i`` against its block ``j``; each pair in the first band that it shares.
+
+    Without texts: (key, h, id) of those for which sizes and sketches allow a
+    link. With texts: the links.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, n, own, comp = (group[c].to_numpy() for c in ("id", "n", "own", "comp"))
+        words, bands = _matrix(group["sketch"]), _matrix(group["bands"])
+        key, i, j = (group[c][0].as_py() for c in ("key", "i", "j"))
+        many, hit, links = np.flatnonzero(own == j), np.zeros(len(ids), bool), []
+        if shingle is not None:
+            buf, off = utf8(group["text"])
+            flat, at = shingle_sets(buf, off, shingle)
+        for x in np.flatnonzero(own == i):
+            y = many[many > x] if i == j else many
+            y = y[(comp[y] != comp[x]) & (den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x]))]
+            y = y[_close(words[y], words[x], cells)]
+            y = y[(bands[y] == bands[x]).argmax(axis=1) == key]
+            hit[x] |= len(y) > 0
+            hit[y] = True
+            if shingle is not None:
+                mine = flat[at[x] : at[x + 1]]
+                links += [(ids[x], ids[z]) for z in y if _linked(mine, flat[at[z] : at[z + 1]], num, den)]
+        if shingle is None:
+            return group.select(["key", "h", "id"]).filter(hit)
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _parts(weight: Column, limit: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(weight / limit)).cast("long")
+
+
+def _in_blocks(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """Deal rows of (c, id, asks) into blocks (i of askers, j of members) so that each asker meets each member of its c once."""
+    asks = F.col("asks")
+    sizes = rows.groupBy("c").agg(F.sum(F.when(asks, weight)).alias("na"), F.sum(F.when(~asks, weight)).alias("nm")).filter("na > 0 and nm > 0")
+    rows = rows.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("id"), _parts(F.when(asks, F.col("na")).otherwise(F.col("nm")), limit)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.when(asks, F.col("nm")).otherwise(F.col("na")), limit) - 1)))
+    i, j = F.when(asks, F.col("own")).otherwise(F.col("other")), F.when(asks, F.col("other")).otherwise(F.col("own"))
+    return rows.withColumn("i", i).withColumn("j", j).drop("na", "nm", "own", "other")
+
+
+def _in_triangle(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """Deal rows of (key, h, id) into blocks i <= j of their bucket so that all pairs meet once; ``own`` is a row's own block."""
+    sizes = rows.groupBy("key", "h").agg(_parts(F.sum(weight), limit).alias("parts"))
+    rows = rows.join(sizes, ["key", "h"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("parts", "other")
 
 
 def _differing(x: Column, y: Column) -> Column:
@@ -236,26 +285,30 @@ def _open_links(placed: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataF
     # small components: pairs whose sizes and sketches allow a link
     small = opened.filter("not large")
     crowd = small.groupBy(*bucket).agg(F.count("*").alias("c")).filter("c > 1")
-    small = small.join(crowd, bucket)
-    few = small.filter(F.col("c") <= CROWDED).select("key", F.lit(-1).alias("key2"), "h", "id", "comp")
-    split = small.filter(F.col("c") > CROWDED).join(reps.select("id", "bands"), "id").select("*", F.posexplode("bands").alias("key2", "h2"))
-    split = split.filter("key2 > key").select("key", "key2", F.xxhash64("h", "h2").alias("h"), "id", "comp")
-    left = few.unionByName(split).join(seen, "id")
-    right = left.select("key", "key2", "h", *[F.col(c).alias(f"{c}_") for c in ("id", "comp", "n", "sketch")])
+    small = small.join(crowd, bucket).select(*bucket, "id", "comp", "c")
+    left = small.filter(F.col("c") <= CROWDED).drop("c").join(seen, "id")
+    right = left.select(*bucket, *[F.col(c).alias(f"{c}_") for c in ("id", "comp", "n", "sketch")])
     differ = F.aggregate(F.zip_with("sketch", "sketch_", _differing), F.lit(0), lambda t, x: t + x)
     near = (F.col("comp") < F.col("comp_")) & (den * F.least("n", "n_") >= num * F.greatest("n", "n_")) & (differ <= F.lit(int(cells * (1 - AGREE))))
-    pairs = left.join(right, ["key", "key2", "h"]).filter(near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    pairs = left.join(right, bucket).filter(near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
     links = verified(pairs.join(done, ["a", "b"], "left_anti"), docs, shingle, num, den)
 
+    # crowded buckets of small components, in blocks
+    told = small.filter(F.col("c") > CROWDED).drop("c").join(reps.select("id", "n", "sketch", "bands"), "id")
+    grouped = [*bucket, "i", "j"]
+    hits = _in_triangle(told, F.lit(1), BLOCK_ROWS).groupBy(*grouped).applyInArrow(_inside(cells, num, den, None), "key int, h long, id long").distinct()
+    told = _in_triangle(checkpointed(told.join(hits, [*bucket, "id"], "left_semi")), F.col("n"), BLOCK_SHINGLES).join(docs, "id")
+    links = links.unionByName(told.groupBy(*grouped).applyInArrow(_inside(cells, num, den, shingle), "a long, b long"))
+
     # large components: who shares a bucket with one asks all its members, in blocks
     held = opened.filter("large").select(*bucket, F.col("comp").alias("c")).distinct()
     asks = opened.join(held, bucket).filter((F.col("comp") != F.col("c")) & (~F.col("large") | (F.col("comp") < F.col("c")))).select("c", "id", F.lit(True).alias("asks")).distinct()
     asked = asks.select("c").distinct()
     members = comp.join(asked, comp["component"] == asked["c"], "left_semi").select(F.col("component").alias("c"), F.col("node").alias("id"), F.lit(False).alias("asks"))
-    blocks = _in_blocks(asks.unionByName(members), 2 * CROWDED).join(seen, "id")
-    hits = blocks.groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, None), "c long, id long, asks boolean").distinct()
-    blocks = _in_blocks(checkpointed(hits), CROWDED).join(seen, "id").join(docs, "id")
-    return links.unionByName(blocks.groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, shingle), "a long, b long"))
+    meeting = asks.unionByName(members).join(seen, "id")
+    hits = _in_blocks(meeting, F.lit(1), BLOCK_ROWS).groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, None), "c long, id long, asks boolean").distinct()
+    meeting = _in_blocks(checkpointed(hits).join(seen, "id"), F.col("n"), BLOCK_SHINGLES).join(docs, "id")
+    return links.unionByName(meeting.groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, shingle), "a long, b long"))
 
 
 def near_duplicates(

@@ -115,10 +115,20 @@ def brute_components(rows, k, num=80, den=100):
     return {(i, len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize("crowded,large", [(256, 16), (4, 3)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowded, large):
+@pytest.mark.parametrize("crowded,large,shared", [(128, 16, 32), (4, 3, 32), (4, 1000, 1), (4, 3, 1)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowded, large, shared):
     monkeypatch.setattr(minhash, "CROWDED", crowded)
     monkeypatch.setattr(minhash, "LARGE", large)
+    if crowded == 4:
+        monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)
+    if shared == 1:  # all documents share one bucket, and no two of them another
+        def one_band(sig, bands, rows):
+            own = T.mix(sig.sum(axis=1, dtype=np.uint64)).view(np.int64)[:, None] + np.arange(bands)
+            own[:, 3] = 0
+            return own
+
+        monkeypatch.setattr(minhash, "band_hashes", one_band)
     rnd = random.Random(9)
     vocab = [f"w{i}" for i in range(400)]
     rows = []
@@ -130,6 +140,9 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowded, large):
                 t[rnd.randrange(len(t))] = rnd.choice(vocab)
             rows.append((len(rows), " ".join(t) if rnd.random() < 0.8 else " ".join(base)))
     rows += [(1000 + i, t) for i, t in EDGE if i != 8]
+    if shared == 1:
+        bands = [r.bands for r in minhash.signatures(docs(spark, rows).selectExpr("doc_id AS id", "text"), 4, 32, 5).collect()]
+        assert {b[3] for b in bands} == {0} and len({b[0] for b in bands}) > 50
     got = minhash.near_duplicates(docs(spark, rows), shingle=4).collect()
     assert {tuple(r) for r in got} == brute_components(rows, 4)
 
