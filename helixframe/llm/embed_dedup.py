@@ -1,27 +1,32 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Each pass gives every vector the signs of random projections as one bit string,
-orders all vectors lexicographically by label, bit string and id, and compares
-each with its next ``WINDOW`` neighbours; verified pairs of all passes are
-unioned, each block of rows handing on a forest of its pairs. A pass costs one
-range sort and compares a bounded number of pairs a vector, whatever the number
-or the sizes of groups. Windows overlap block
-borders: global ranks cut the order into blocks, and the last ``WINDOW`` rows of
-a block also open the next one.
+orders all vectors lexicographically by label, bit string and a hash of the id,
+and compares each with its next ``WINDOW`` neighbours; verified pairs of all
+passes are unioned, each block of rows handing on a forest of its pairs. A pass
+costs one range sort and compares a bounded number of pairs a vector, whatever
+the number or the sizes of groups. Windows overlap block borders: global ranks
+cut the order into blocks, and the last ``WINDOW`` rows of a block also open the
+next one.
+
+Vectors of a label that exceeds a window are centred on the mean of its unit
+vectors before they are projected, as bits would otherwise tell a common
+direction and not the vectors apart. Such a label takes as many passes as hold
+the share of lone pairs at the threshold that no pass brings together at
+``MISS``, by its size and the length of its mean (``passes_for``); smaller labels
+need one pass, which compares all their pairs. Where a label's vectors are so
+alike that this asks for more than ``MOST`` passes, it takes ``MOST``: then nearly
+all its pairs are links, and many chains hold its groups together.
 
 The passes find which vectors belong together. Links are then counted exactly:
 inside each component every pair is compared, in blocks of ``BLOCK`` by
 ``BLOCK``, so no task holds a whole component and only counts are written.
 Equal vectors of one label count with their multiplicity.
 
-A pair at cosine 0.98 shares each bit with a probability of 0.936; 16 passes
-leave a pair apart with a probability under 1e-4 even in a label of a million
-rows, and a larger group is held together by many pairs.
-
-Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components, and rows without a label, link with nothing and are kept; repeated
-rows link with each other; an empty table gives an empty result; other columns
-are ignored.
+Defined cases: vectors that are null, empty, zero, hold null or non-finite
+components, or differ in length from most, and rows without a label or an id,
+link with nothing and are kept; repeated rows link with each other; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,16 +41,47 @@ from pyspark.sql import functions as F
 
 from ._common import checkpointed
 from ._graph import components
-from .vptree import doubles, matrix
+from .vptree import doubles, matrix, of_common_length
 
-PASSES = 16
+#: Share of lone pairs at the threshold that no pass brings together, and the most passes of a label.
+MISS, MOST = 1e-3, 64
 #: Passes that share one sort; more need fewer jobs and more shuffle space at once.
 TOGETHER = 4
-WINDOW = 64
-BLOCK = 1024
+WINDOW = 256
+BITS = 48
+BLOCK, TILE = 4096, 1024
+#: Parts of the copies of one vector, and bytes of label means that are broadcast.
+SALTS, BROADCAST = 64, 8 << 20
 _SLACK = 1e-9
 
 
+def passes_for(n: int, together: float, least: float, window: int, miss: float = MISS) -> int:
+    """Passes for a label of ``n`` vectors whose unit vectors have a mean of squared length ``together``.
+
+    A pair at the threshold has a cosine of ``(least - together) / (1 - together)``
+    once centred, and so shares a bit with the probability ``1 - angle / pi``. It is
+    compared if it shares the leading bits that leave a window of vectors, and one
+    bit to spare.
+    """
+    if n <= window:
+        return 1
+    centred = min(1.0, max(0.0, (least - together) / max(1e-12, 1 - together)))
+    meets = (1 - np.arccos(centred) / np.pi) ** (np.log2(n / window) + 1)
+    return int(min(MOST, max(1, np.ceil(np.log(miss) / np.log1p(-min(meets, 1 - 1e-12))))))
+
+
+def planes(turn: int, width: int, bits: int = BITS) -> np.ndarray:
+    """The random directions of a pass."""
+    return np.random.default_rng(1000 + turn).standard_normal((width, bits))
+
+
+def bit_strings(v: np.ndarray, mean: np.ndarray, turn: int) -> np.ndarray:
+    """The signs of a pass as numbers that sort alike."""
+    unit = v / np.sqrt((v**2).sum(axis=1))[:, None] - mean
+    signs = unit @ planes(turn, v.shape[1]) > 0
+    return (signs << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(axis=1)
+
+
 def cosine_links(p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
     """Which rows of ``p`` and ``q`` have a cosine of ``least`` or more, in double precision.
 
@@ -63,19 +99,60 @@ def cosine_links(p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
     return ok
 
 
-def _keyed(seeds: list[int], bits: int):
-    """A row for each pass, with the pass and its bit string as a number that sorts alike."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, n, total) of the unit vectors of a task."""
+    held: dict[int, list] = {}
+
+    def emit() -> pa.RecordBatch:
+        n, total = zip(*held.values(), strict=True) if held else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(n, pa.int64()), pa.array([t.tolist() for t in total], pa.list_(pa.float64()))], ["label", "n", "total"])
+
+    for batch in batches:
+        v, label = matrix(batch.column("v")), batch.column("label").to_numpy()
+        if len(v):
+            unit = v / np.sqrt((v**2).sum(axis=1))[:, None]
+            names, at = np.unique(label, return_inverse=True)
+            for k, one in enumerate(names.tolist()):
+                rows = unit[at == k]
+                n, total = held.get(one, (0, 0.0))
+                held[one] = (n + len(rows), total + rows.sum(axis=0))
+        if len(held) > 10_000:
+            yield emit()
+            held.clear()
+    yield emit()
+
+
+def _planned(least: float, window: int):
+    """The mean and the passes of one label, from its tasks' sums."""
+
+    def run(group: pa.Table) -> pa.Table:
+        n = sum(group["n"].to_pylist())
+        mean = np.sort(matrix(group["total"]), axis=0).sum(axis=0) / n
+        passes = passes_for(n, float(mean @ mean), least, window)
+        return pa.table({"label": group["label"][:1], "n": [n], "mean": pa.array([mean.tolist()], pa.list_(pa.float64())), "passes": [passes]})
+
+    return run
+
+
+def label_plans(vectors: DataFrame, least: float, window: int) -> DataFrame:
+    """(label, n, mean, passes) of the labels of (label, v) that exceed a window."""
+    sums = vectors.select("label", "v").mapInArrow(_summed, "label long, n long, total array<double>")
+    return sums.groupBy("label").applyInArrow(_planned(least, window), "label long, n long, mean array<double>, passes long").filter(F.col("n") > window)
+
+
+def _keyed(turns: range):
+    """A row for each pass that a vector's label takes, with the pass and its bit string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: list[np.ndarray] = []
         for batch in batches:
-            v = matrix(batch.column("v"))
-            if not len(v):
-                continue
-            planes = planes or [np.random.default_rng(s).standard_normal((v.shape[1], bits)) for s in seeds]
-            for seed, p in zip(seeds, planes, strict=True):
-                key = ((v @ p > 0) << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(v), seed)), pa.array(key)], [*batch.schema.names, "pass", "key"])
+            for t in turns:
+                part = batch.filter(pc.greater(batch.column("passes"), t))
+                v = matrix(part.column("v"))
+                if not len(v):
+                    continue
+                key = bit_strings(v, matrix(part.column("mean")), t)
+                kept = [part.column(c) for c in ("id", "label", "v")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(v), t)), pa.array(key)], ["id", "label", "v", "pass", "key"])
 
     return run
 
@@ -113,12 +190,13 @@ def _windows(least: float, window: int):
     return run
 
 
-def sorted_passes(vectors: DataFrame, seeds: list[int], least: float, window: int, bits: int = 48) -> DataFrame:
-    """Links (a, b) that connect what the passes of ``seeds`` find over (id, label, v); they share one sort."""
+def sorted_passes(vectors: DataFrame, turns: range, least: float, window: int) -> DataFrame:
+    """Links (a, b) that connect what the passes ``turns`` find over (id, label, v, mean, passes); they share one sort."""
     width = 32 * window
-    keyed = vectors.mapInArrow(_keyed(seeds, bits), "id long, label long, v array<double>, pass long, key long")
+    keyed = vectors.filter(F.col("passes") > turns.start).mapInArrow(_keyed(turns), "id long, label long, v array<double>, pass long, key long")
+    keyed = keyed.withColumn("tie", F.xxhash64("id", "pass"))
     parts = max(1, keyed.sparkSession.sparkContext.defaultParallelism)
-    order = ["pass", "label", "key", "id"]
+    order = ["pass", "label", "key", "tie", "id"]
     ranked = checkpointed(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["p"], r["c"]) for r in ranked.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect())  # one row a partition
@@ -141,29 +219,43 @@ def _counted(least: float):
         left, right = group.filter(group["side"]), group.filter(pc.invert(group["side"]))
         p, q = matrix(left["v"]), matrix(right["v"])
         ids, n = left["id"].to_numpy(), np.zeros(left.num_rows, np.int64)
-        if len(p) and len(q):
-            ok = cosine_links(p, q, least) & (left["label"].to_numpy()[:, None] == right["label"].to_numpy())
-            ok &= ids[:, None] != right["id"].to_numpy()
-            n = ok @ right["copies"].to_numpy()
+        label, other, label2, copies = left["label"].to_numpy(), right["id"].to_numpy(), right["label"].to_numpy(), right["copies"].to_numpy()
+        for a in range(0, len(p), TILE):
+            for b in range(0, len(q), TILE):
+                x, y = slice(a, a + TILE), slice(b, b + TILE)
+                ok = cosine_links(p[x], q[y], least) & (label[x, None] == label2[y]) & (ids[x, None] != other[y])
+                n[x] += ok @ copies[y]
         return pa.table({"id": ids, "n": n})
 
     return run
 
 
 def near_duplicates(
-    df: DataFrame, least: float = 0.98, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
+    df: DataFrame, least: float = 0.98, window: int = WINDOW, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """(id, n_links, component_id, kept) per row; labels and ids are integers."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), doubles(vec_col).alias("v"))
-    rows = rows.withColumn("label", F.when(F.col("v").isNotNull(), F.col("label"))).withColumn("v", F.when(F.col("label").isNotNull(), F.col("v")))
-    copies = rows.filter("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = checkpointed(copies.select(F.col("rep").alias("id"), "label", "v", "copies"))
+    label = F.when(F.col(id_col).isNotNull(), F.col(label_col).cast("long"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), doubles(vec_col).alias("v"))
+    ready = of_common_length(rows.filter("label is not null and v is not null"))
+    # the copies of one vector are dealt over parts, then folded: (label, k1, k2) stands for label and vector
+    shape = ["label", "k1", "k2"]
+    keyed = lambda x: x.select("id", "label", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(7), "v").alias("k2"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("s"))
+    parts = checkpointed(keyed(ready).groupBy(*shape, "s").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v")))
+    classes = checkpointed(parts.groupBy(*shape).agg(F.min("rep").alias("id"), F.sum("copies").alias("copies"), F.any_value("v").alias("v")))
+
+    plans = checkpointed(label_plans(classes, least, window))
+    about = plans.agg(F.max("passes").alias("most"), F.sum(8 * F.size("mean")).alias("bytes")).first()
+    plans = F.broadcast(plans) if (about["bytes"] or 0) <= BROADCAST else plans
+    vectors = classes.select("id", "label", "v").join(plans.select("label", "mean", "passes"), "label", "left")
+    mean = F.coalesce("mean", F.array_repeat(F.lit(0.0), F.size("v"))).alias("mean")
+    vectors = checkpointed(vectors.select("id", "label", "v", mean, F.coalesce("passes", F.lit(1)).alias("passes")))
     links = None
-    for p in range(0, passes, TOGETHER):
-        found = sorted_passes(classes.select("id", "label", "v"), list(range(1000 + p, 1000 + min(passes, p + TOGETHER))), least, window)
+    for t in range(0, about["most"] or 1, TOGETHER):
+        found = sorted_passes(vectors, range(t, t + TOGETHER), least, window)
         links = found if links is None else links.unionByName(found)
     comp = components(checkpointed(links.distinct()), "a", "b")
-    placed = classes.join(comp, classes["id"] == comp["node"]).drop("node")
+
+    placed = classes.select("id", "label", "v", "copies").join(comp, classes["id"] == comp["node"]).drop("node")
     sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     placed = checkpointed(placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("blocks", blocks))
@@ -172,9 +264,11 @@ def near_duplicates(
     left = placed.select(*own, F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("side"))
     right = placed.select(*own, every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("side"))
     counts = left.unionByName(right).groupBy("component", "i", "j").applyInArrow(_counted(least), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    named = classes.select("id", "label", "v", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
-    named = named.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    # rows out of the comparison have no key, and so no match
-    out = rows.join(named, ["label", "v"], "left")
+    named = classes.select("id", *shape, "copies").join(comp.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
+    named = named.select(*shape, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    named = parts.select(*shape, "s").join(named, shape)
+    # rows out of the comparison have no class, and so no match
+    out = keyed(rows).drop("v").join(named, [*shape, "s"], "left")
     comp_id = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), (comp_id == F.col("id")).alias("kept"))
+    kept = F.coalesce(comp_id == F.col("id"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), kept.alias("kept"))

@@ -44,13 +44,25 @@ def doubles(vec_col: str) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)), v)
 
 
+def common_length(rows: DataFrame) -> int:
+    """The number of components that most vectors ``v`` have; the smallest of equally frequent ones, 0 without vectors."""
+    return rows.agg(F.mode(F.size("v"), True).alias("n")).first()["n"] or 0
+
+
+def of_common_length(rows: DataFrame) -> DataFrame:
+    """The rows whose vector ``v`` has as many components as most have."""
+    return rows.filter(F.size("v") == common_length(rows))
+
+
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part."""
-    return df.select(F.col(id_col).cast("long").alias("id"), doubles(vec_col).alias("v")).filter("v is not null")
+    """(id, v) of the vectors that take part, whatever their length."""
+    return df.select(F.col(id_col).cast("long").alias("id"), doubles(vec_col).alias("v")).filter("id is not null and v is not null")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(column) and len(column.flatten()) != len(column) * len(column[0]):
+        raise ValueError("vectors differ in length")
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 

@@ -164,11 +164,18 @@ def vectors(spark):
     return rows + near + odd
 
 
-def test_sorted_projection_passes(spark, monkeypatch):
+@pytest.mark.parametrize("window", [8, 256])
+def test_sorted_projection_passes(spark, monkeypatch, window):
     monkeypatch.setattr(embed_dedup, "BLOCK", 4)
+    monkeypatch.setattr(embed_dedup, "TILE", 3)
     rows = vectors(spark)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS id", "2 AS v", "3 AS rank", "4 AS block")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, window=8).collect()}
+    odd = [(None, rows[0][1], rows[0][2]), (None, None, None), (3000, [1.0, 2.0], 0), (3001, [1.0, 2.0], 0), (3002, [], 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS id", "2 AS v", "3 AS rank", "4 AS block", "5 AS s", "6 AS k1", "7 AS mean", "8 AS passes")
+    out = embed_dedup.near_duplicates(df, window=window).collect()
+    assert len(out) == len(rows) + len(odd)
+    assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, True)] * 2
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out if r.vec_id is not None}
+    assert all(got.pop(i) == (0, i, True) for i in (3000, 3001, 3002))
     ok = [(i, np.array(v), label) for i, v, label in rows if v is not None and label is not None and np.isfinite(v).all() and np.any(v)]
     comp, links = {i: i for i, *_ in rows}, Counter()
 
@@ -188,6 +195,32 @@ def test_sorted_projection_passes(spark, monkeypatch):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def with_pairs(rnd, n, pairs, together, cosine=0.981, d=64):
+    """``n`` unit vectors whose mean cosine is ``together``, then a partner at ``cosine`` of each of the first ``pairs``."""
+    x = unit(np.sqrt(together) * unit(rnd.standard_normal(d)) + np.sqrt(1 - together) * unit(rnd.standard_normal((n, d))))
+    side = rnd.standard_normal((pairs, d))
+    side = unit(side - (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    return np.vstack([x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * side])
+
+
+@pytest.mark.parametrize("together", [0.0, 0.5, 0.9])
+def test_passes_find_lone_pairs_of_spread_and_clustered_vectors(spark, together):
+    n, pairs, window = 12_000, 400, 16
+    x = with_pairs(np.random.default_rng(6), n, pairs, together)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    met = embed_dedup.near_duplicates(df, window=window).filter("component_id <> vec_id").count()
+    assert met >= 0.98 * pairs
+
+
+def test_passes_grow_with_the_label_and_its_mean():
+    plan = [embed_dedup.passes_for(n, m, 0.98, 256) for n, m in ((256, 0.9), (10_000, 0.0), (10_000_000, 0.0), (10_000, 0.9), (100_000, 0.99))]
+    assert plan[0] == 1 and plan[1] < plan[2] < embed_dedup.MOST and plan[1] < plan[3] and plan[4] == embed_dedup.MOST
+
+
 def test_trees_are_exact_at_factor_one_and_prune_beyond(spark):
     rows = vectors(spark)
     df = spark.createDataFrame([(i, v) for i, v, _ in rows], "vec_id long, embedding array<double>").selectExpr("*", "1 AS shard", "'x' AS tree")
