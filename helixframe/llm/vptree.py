@@ -1,4 +1,4 @@
-"""Exact or relaxed nearest neighbours by vantage-point trees, one a shard.
+"""Nearest neighbours by vantage-point trees, one a shard, with relaxed or exact pruning.
 
 Largest inner product becomes nearest Euclidean neighbour by one more
 component: with ``m`` the greatest norm, a vector ``x`` is stored as
@@ -7,17 +7,20 @@ points at the median distance from a vantage point; a query skips a half when
 the triangle inequality shows that nothing there can be nearer than its
 current k-th: ``factor * gap > tau`` with the gap between the query's distance
 to the vantage point and the half's range of distances. A factor of one is
-exact; a larger one prunes more.
+exact; a larger one prunes more. Unless a factor is given, the largest of
+``FACTORS`` is taken that keeps a recall of ``RECALL`` on a bounded sample: up to
+``SAMPLE`` vectors of one shard, searched in that shard.
 
 Vectors are dealt to shards by a hash of their id, each shard is indexed once,
 and the stated queries meet every shard in blocks, so that one task holds one
 tree and one block of queries and returns k rows a query. Shards and blocks
 grow in number, not in size.
 
-Defined cases: vectors that are null, empty, zero, or hold
-null or non-finite components take no part; fewer candidates than k give as many
-ranks; ties go to the smaller id; repeated ids count as rows of their own; an
-empty table gives an empty result; other columns are ignored.
+Defined cases: vectors that are null, empty, zero, hold null or non-finite
+components, differ in length from most, or have no id, take no part; fewer
+candidates than k give as many ranks; ties go to the smaller id, however many
+there are; repeated ids count as rows of their own; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,10 @@ from ._common import checkpointed
 
 SHARD = 4096
 BLOCK = 2048
-LEAF = 128
+LEAF = 64
+FACTORS = [16.0, 12.0, 10.0, 8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.5]
+RECALL, SAMPLE = 0.95, 128
+_SLACK = 1e-9
 
 
 def doubles(vec_col: str) -> Column:
@@ -74,6 +80,8 @@ class Tree:
         self.order = np.arange(len(x))
         self.nodes: list[tuple] = []
         self.leaf = leaf
+        #: pairs of a query and a point that searches have compared so far
+        self.compared = 0
         self.root = self._grow(0, len(x)) if len(x) else -1
         self.points = x[self.order]
         del self.rng, self.x
@@ -100,16 +108,16 @@ class Tree:
         k = min(k, len(self.points))
         rows, dist = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
         stack = [(self.root, np.arange(len(q)), np.zeros(len(q)))] if self.root >= 0 and k else []
-        slack = 1e-9
         while stack:
             node, who, least = stack.pop()
-            who = who[factor * least <= dist[who, -1] + slack]
+            who = who[factor * least <= dist[who, -1] + _SLACK]
             if not len(who):
                 continue
             entry = self.nodes[node]
             if len(entry) == 2:
                 a, b = entry
                 p = self.points[a:b]
+                self.compared += len(who) * (b - a)
                 d = np.sqrt(np.maximum(0, (q[who] ** 2).sum(axis=1)[:, None] + (p**2).sum(axis=1) - 2 * q[who] @ p.T))
                 all_d = np.hstack([dist[who], d])
                 all_r = np.hstack([rows[who], np.broadcast_to(self.order[a:b], d.shape)])
@@ -152,20 +160,31 @@ def _blocked(group: pa.Table) -> pa.Table:
     return pa.table({"queries": pa.array([pickle.dumps((group["id"].to_numpy(), matrix(group["v"])))], pa.binary())})
 
 
+def _with_ties(tree: Tree, q: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
+    """The nearest rows of each query: more than ``k``, and all whose distance is the k-th's within rounding."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+    left, want = np.arange(len(q)), k + 8
+    while len(left):
+        rows, dist = tree.search(q[left], want, factor)
+        more = (dist[:, -1] <= dist[:, k] + _SLACK) if dist.shape[1] == want and want < len(tree.points) else np.zeros(len(left), bool)
+        for x, found in zip(left[~more], rows[~more], strict=True):
+            out[x] = found[found >= 0]
+        left, want = left[more], 4 * want
+    return out
+
+
 def _searched(k: int, factor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed, asked in zip(batch.column("tree"), batch.column("queries"), strict=True):
                 (tree, distinct, members), (ids, q) = pickle.loads(packed.as_py()), pickle.loads(asked.as_py())
-                # a few more than k, as distances are rounded, and one for the query itself
-                near, _ = tree.search(np.hstack([q, np.zeros((len(q), 1))]), k + 8, factor)
                 out_q, out_v, out_s = [], [], []
-                for i, rows in enumerate(near):
+                for i, rows in enumerate(_with_ties(tree, np.hstack([q, np.zeros((len(q), 1))]), k, factor)):
                     score = np.zeros(len(rows))
                     for c in range(q.shape[1]):  # in order, as a plain loop adds
                         score += q[i, c] * distinct[rows, c]
                     own = [members[r][: k + 1] for r in rows]
-                    found, scores = np.concatenate(own), np.repeat(score, [len(x) for x in own])
+                    found, scores = np.concatenate([np.zeros(0, np.int64), *own]), np.repeat(score, [len(x) for x in own])
                     found, scores = found[found != ids[i]], scores[found != ids[i]]
                     best = np.lexsort((found, -scores))[:k]
                     out_q.append(np.full(len(best), ids[i]))
@@ -176,19 +195,55 @@ def _searched(k: int, factor: float):
     return run
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows of ``df`` with the largest inner product for each row of ``queries``, its own id aside.
+def recall_and_share(tree: Tree, q: np.ndarray, k: int, factor: float) -> tuple[float, float]:
+    """The share of the exact ``k`` nearest that a factor finds, and the share of pairs that it compares."""
+    k = min(k, len(tree.points))
+    exact, tree.compared = tree.search(q, k)[0], 0
+    found = tree.search(q, k, factor)[0]
+    hits = sum(len(np.intersect1d(a, b)) for a, b in zip(exact, found, strict=True))
+    return hits / max(1, exact.size), tree.compared / max(1, len(q) * len(tree.points))
 
-    All vectors have the same number of components.
-    """
+
+def _tuned(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("tree"):
+                tree, distinct, _ = pickle.loads(packed.as_py())
+                q = distinct[:: max(1, len(distinct) // SAMPLE)][:SAMPLE]
+                q = np.hstack([q, np.zeros((len(q), 1))])
+                factor = next((f for f in FACTORS if recall_and_share(tree, q, k + 1, f)[0] >= RECALL), 1.0)
+                yield pa.RecordBatch.from_arrays([pa.array([factor])], ["factor"])
+
+    return run
+
+
+def index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD) -> tuple[DataFrame, int, int]:
+    """((shard, tree) of all vectors, number of shards, length of a vector)."""
     rows = usable(df, id_col, vec_col)
+    width = common_length(rows)
+    rows = rows.filter(F.size("v") == width)
     norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
     size = rows.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
-    asked = usable(queries, id_col, vec_col)
-    shards, blocks = max(1, -(-size["n"] // shard)), max(1, -(-asked.count() // block))
-    greatest = size["top"] or 0.0
+    shards = max(1, -(-size["n"] // shard))
     trees = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    trees = checkpointed(trees.groupBy("shard").applyInArrow(_indexed(greatest), "shard long, tree binary"))
+    return checkpointed(trees.groupBy("shard").applyInArrow(_indexed(size["top"] or 0.0), "shard long, tree binary")), shards, width
+
+
+def tuned_factor(trees: DataFrame, k: int) -> float:
+    """The largest factor that keeps ``RECALL`` on a sample of the first shard."""
+    found = trees.orderBy("shard").limit(1).select("tree").mapInArrow(_tuned(k), "factor double").first()
+    return found["factor"] if found else 1.0
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, factor: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` rows of ``df`` with the largest inner product for each row of ``queries``, its own id aside.
+
+    ``factor`` relaxes the pruning; 1 is exact, and None the tuned one.
+    """
+    trees, shards, width = index(df, id_col, vec_col, shard)
+    factor = tuned_factor(trees, k) if factor is None else factor
+    asked = usable(queries, id_col, vec_col).filter(F.size("v") == width)
+    blocks = max(1, -(-asked.count() // block))
     asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).applyInArrow(_blocked, "queries binary")
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
     found = asked.join(trees, "shard").select("queries", "tree").mapInArrow(_searched(k, factor), "query_id long, vec_id long, score double")

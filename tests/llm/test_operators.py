@@ -221,15 +221,27 @@ def test_passes_grow_with_the_label_and_its_mean():
     assert plan[0] == 1 and plan[1] < plan[2] < embed_dedup.MOST and plan[1] < plan[3] and plan[4] == embed_dedup.MOST
 
 
-def test_trees_are_exact_at_factor_one_and_prune_beyond(spark):
-    rows = vectors(spark)
-    df = spark.createDataFrame([(i, v) for i, v, _ in rows], "vec_id long, embedding array<double>").selectExpr("*", "1 AS shard", "'x' AS tree")
-    ok = {i: v for i, v, _ in rows if v is not None and np.isfinite(v).all() and np.any(v)}
+def nearest_lists(df, **more):
     got = {}
-    for r in vptree.nearest(df, df.filter("vec_id % 20 = 0"), shard=64, block=8).collect():
+    for r in vptree.nearest(df, df.filter("vec_id % 20 = 0"), **more).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return got
+
+
+def test_trees_are_exact_at_factor_one_and_prune_beyond(spark):
+    rows = vectors(spark) + [(None, [1.0] * 16, 1), (2020, [1.0, 2.0], 1), (2040, [], 1)]
+    rows += [(3000 + i, [2.0] * 16, 1) for i in range(90)]  # more ties than ranks
+    rows += [(4000 + i, [2.0] * 15 + [2.0 + (i + 1) * 1e-13], 1) for i in range(60)]  # nearly ties, all distinct
+    df = spark.createDataFrame([(i, v) for i, v, _ in rows], "vec_id long, embedding array<double>").selectExpr("*", "1 AS shard", "'x' AS tree")
+    ok = {i: v for i, v, _ in rows if i is not None and v is not None and len(v) == 16 and np.isfinite(v).all() and np.any(v)}
+    got = nearest_lists(df, factor=1.0, shard=64, block=8)
     for q in (i for i in ok if i % 20 == 0):
-        score = {i: sum(a * b for a, b in zip(ok[q], v, strict=True)) for i, v in ok.items() if i != q}
+        score = {}
+        for i, v in ok.items():
+            if i != q:
+                score[i] = 0.0
+                for a, b in zip(ok[q], v, strict=True):
+                    score[i] += a * b
         best = sorted(score, key=lambda i: (-score[i], i))[:20]
         assert [(k, i) for k, i, _ in sorted(got[q])] == list(enumerate(best, 1))
     assert set(got) == {i for i in ok if i % 20 == 0}
@@ -238,8 +250,25 @@ def test_trees_are_exact_at_factor_one_and_prune_beyond(spark):
     tree = vptree.Tree(x, leaf=16)
     exact = np.argsort(((x[:50, None] - x) ** 2).sum(axis=2), axis=1, kind="stable")[:, :10]
     assert all(set(a) == set(b) for a, b in zip(tree.search(x[:50], 10)[0], exact, strict=True))
-    loose = tree.search(x[:50], 10, factor=4.0)[0]
-    assert 0.3 < np.mean([len(set(a) & set(b)) / 10 for a, b in zip(loose, exact, strict=True)]) <= 1
+    assert tree.compared < 0.5 * 50 * 2000
+    recall, share = vptree.recall_and_share(tree, x[:50], 10, 4.0)
+    assert 0.3 < recall <= 1 and share < 0.2
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered", "flat"])
+def test_the_tuned_search_prunes_and_keeps_its_recall(spark, kind):
+    rnd = np.random.default_rng(3)
+    if kind == "clustered":
+        centres = unit(rnd.standard_normal((40, 64)))
+        x = unit(centres[rnd.integers(0, 40, 4000)] + 0.5 * unit(rnd.standard_normal((4000, 64))))
+    else:
+        x = unit(rnd.standard_normal((4000, 64 if kind == "spread" else 8)))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = nearest_lists(df, shard=1000)
+    hits = [len({i for _, i, _ in got[q]} & set(np.argsort(-np.where(np.arange(4000) == q, -9, x @ x[q]))[:20].tolist())) for q in range(0, 4000, 20)]
+    assert np.mean(hits) / 20 >= 0.9
+    trees, *_ = vptree.index(df, shard=1000)
+    assert vptree.tuned_factor(trees, 20) > 1
 
 
 # ---------------------------------------------------------------- tokens
