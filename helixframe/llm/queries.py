@@ -37,8 +37,12 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.LIST_RULES + urlrules.PATTERNS)
 
 
+#: Budget of this query: the share of the documents to sample.
+SAMPLE_RATE = 0.5
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rate=SAMPLE_RATE)
 
 
 def op6_inferred_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

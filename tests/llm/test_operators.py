@@ -369,28 +369,47 @@ def test_importance_resampling(spark):
     bad = [(1000 + i, " ".join(f"{w}!!" for w in prose(rnd, "en", 40).upper().split())) for i in range(60)]
     rows = good + bad + [(5000, None), (5001, " "), (0, good[0][1])]
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[:80]] + [(i, 0, 0) for i, _ in bad[:20]] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
-    out = quality.resample(docs(spark, rows), labels)
+    out = quality.resample(docs(spark, rows), labels, recall=0.999)
     got = {r.doc_id: r for r in out.collect()}
     assert out.count() == len(rows)
     assert np.mean([got[i].kept for i, _ in good]) > 0.97 and not any(got[i].kept for i, _ in bad)
     assert not got[5000].kept and got[5000].log_weight is None and not got[5001].kept
+
+    # all weights and the kept set, by a plain loop over words
+    def bucket(word):
+        buf, off = T.utf8(pa.array([word]))
+        return T.word_hashes(buf, off, lower=False)[0][0]
+
+    def grams(t):
+        w = [bucket(x) for x in (t or "").split()]
+        pairs = [T.mix(np.array([a * np.uint64(3) + b]))[0] for a, b in zip(w, w[1:], strict=False)]
+        return [int(x % np.uint64(quality.BUCKETS)) for x in w + pairs]
+
     counts, wanted = Counter(), Counter()
-    for i, t in rows:
-        w = (t or "").split()
-        grams = [(a,) for a in w] + list(zip(w, w[1:], strict=False))
-        counts.update(grams)
+    held = [(i, t, grams(t)) for i, t in rows]
+    for i, _, g in held:
+        counts.update(g)
         if i < 80:
-            wanted.update(grams)
-    # few n-grams, so hashing is close to exact counts
+            wanted.update(g)
     n, m = sum(counts.values()) + quality.BUCKETS, sum(wanted.values()) + quality.BUCKETS
-    w = good[150][1].split()
-    plain = sum(np.log((wanted[g] + 1) / m) - np.log((counts[g] + 1) / n) for g in [(a,) for a in w] + list(zip(w, w[1:], strict=False)))
-    assert got[150].log_weight == pytest.approx(plain, rel=0.2)
-    kept = quality.resample(docs(spark, rows), labels, k=50)
-    assert kept.filter("kept").count() == 50
-    free = quality.resample(docs(spark, rows), labels.limit(0))
+    weight = [sum(np.log((wanted[x] + 1) / m) - np.log((counts[x] + 1) / n) for x in g) if g else None for _, _, g in held]
+    noise = {r.doc_id: r.g for r in spark.createDataFrame([(i,) for i, _ in rows], "doc_id long").select("doc_id", quality.gumbel_key(F.lit(0.0), "doc_id", 17).alias("g")).distinct().collect()}
+    for rate in (0.1, 0.5):
+        sample = {(r.doc_id, r.log_weight is None): r for r in quality.resample(docs(spark, rows), labels, rate=rate).collect()}
+        keys = sorted((w + noise[i], i) for (i, _, _), w in zip(held, weight, strict=True) if w is not None)
+        least = keys[-int(np.ceil(rate * len(keys)))][0]
+        for (i, _, _), w in zip(held, weight, strict=True):
+            r = sample[i, w is None]
+            assert w is None or r.log_weight == pytest.approx(w, abs=1e-8)
+            assert r.kept == (w is not None and w + noise[i] >= least - 1e-9)
+    assert quality.resample(docs(spark, rows), labels, k=50).filter("kept").count() == 50
+    assert quality.resample(docs(spark, rows), labels, k=0).filter("kept").count() == 0
+    free = quality.resample(docs(spark, rows), labels.limit(0), recall=0.999)
     assert free.filter("kept").count() == len(rows) - 2
-    assert quality.resample(docs(spark, []), labels).count() == 0
+    assert quality.resample(docs(spark, []), labels, rate=0.5).count() == 0
+    ids = out.filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    before, after = quality.divergence(docs(spark, rows), ids, labels)
+    assert 0 <= after < 0.5 * before
 
 
 def test_kth_largest(spark):
