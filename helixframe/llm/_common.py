@@ -23,14 +23,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: While a checkpoint is written, Spark is to delete the job's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
     Its files outlive a lost executor, and Spark's cleaner removes them with
-    the plan that reads them when ``cleanCheckpoints`` is on.
+    the plan that reads them when ``cleanCheckpoints`` is on. The shuffle files
+    of the job that writes them are of no more use, and deleted at its end.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +53,11 @@ def bytes_of(df: DataFrame, *columns: str) -> int:
     """Bytes held in string or binary columns of a small, already written table."""
     total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(32))
     return int(df.agg(F.sum(total).alias("b")).first()["b"] or 0)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until it clashes with none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -9,9 +9,12 @@ Training takes a bounded sample: about ``PER_LANG`` labelled rows a language,
 drawn by a hash of the id and so the same in each run. It is fitted in one task.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-rows without a language are never learned from; with one language, that one is
-predicted; with none, all is ``und``; repeated rows give repeated results;
-other columns pass through or are ignored, whatever their names.
+rows without a language or an id are never learned from; with one language,
+that one is predicted; with none, all is ``und``; a text of any length is scored
+whole, with some dozens of bytes of memory for each of its own; repeated rows
+give repeated results; other columns pass through or are ignored, whatever their
+names. One weight vector a family and a pair of languages of one family goes to
+the driver, so the number of languages has to be bounded (a few hundred).
 """
 
 from __future__ import annotations
@@ -187,14 +190,15 @@ def _softmax(m: np.ndarray, heat: float = 4.0) -> np.ndarray:
 
 
 def held_out(id_col: str | Column) -> Column:
-    """Rows never learned from: crc32 of the id's decimal text, modulo 5, is 0."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0 if isinstance(id_col, str) else F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
+    """Rows never learned from: crc32 of the id's decimal text, modulo 5, is 0. False for a null id, whose row is not learned from either."""
+    column = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
     """Learn from about ``per_lang`` rows a language that are not held out."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    rows = rows.filter(~F.coalesce(held_out("id"), F.lit(True)))
+    rows = rows.filter(F.col("id").isNotNull() & ~held_out("id"))
     counts = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.count("*").alias("c")).collect()}
     if not counts:
         return Model([])

@@ -361,6 +361,9 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(df, one).collect()} == {"und", "de"}
     flags = {r.doc_id: r.h for r in df.select("doc_id", langid.held_out("doc_id").alias("h")).collect()}
     assert all(v == (zlib.crc32(str(i).encode()) % 5 == 0) for i, v in flags.items())
+    assert spark.createDataFrame([(None,)], "doc_id long").select(langid.held_out("doc_id").alias("h")).first().h is False
+    long = spark.createDataFrame([(1, prose(rnd, "de", 200_000)), (2, "x" * 2_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(long, langid.fit(df)).collect()}[1] == "de"
 
 
 def test_importance_resampling(spark):
