@@ -73,6 +73,20 @@ def motif_hits(seq: str, motif: str, most: int) -> list[int]:
     return hits
 
 
+def motif_positions(df: DataFrame, seq: str, motif: str) -> DataFrame:
+    """All columns of ``df``, then pos and word: a row for each window of ACGT of ``seq`` within one mismatch of the motif.
+
+    The windows of a sequence come from one pass of a look-ahead and are tested
+    in the row, in the JVM, so only hits are exploded and no row holds a sequence twice.
+    """
+    k = len(motif)
+    windows = F.regexp_extract_all(F.upper(F.col(seq)), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    wrong = lambda w: sum((F.when(F.substring(w, j + 1, 1) != b, 1).otherwise(0) for j, b in enumerate(motif)), F.lit(0))
+    numbered = F.transform(windows, lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("word")))
+    hits = F.filter(numbered, lambda x: (wrong(x["word"]) <= 1) & x["word"].rlike("^[ACGT]*$"))
+    return df.withColumn("_hit", F.explode(hits)).select(*df.columns, "_hit.pos", "_hit.word")
+
+
 def extension(a: str, b: str, qa: str, qb: str | None, least: int, allowed: int) -> int:
     """Length of the ungapped match of two starts: mismatches cost 3 between good bases, else 1, up to ``allowed`` in ``least`` bases and in proportion beyond."""
     spent = 0

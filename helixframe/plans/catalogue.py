@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import reads as R
@@ -28,30 +28,21 @@ def query(sql: str | None = None):
     return add
 
 
-def over_all(f: Callable[..., DataFrame], cut: str, whole: str) -> None:
-    """Register ``f`` over whole tables as well, as NAME_whole, with ``whole`` in place of ``cut`` in its SQL."""
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = lambda spark, sf: f(spark, sf, whole=True)
-    assert cut in ORACLE_SQL[f.__name__]
-    ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(cut, whole)
-
-
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     return X.project(spark, sf, "lineitem", X.READS)
 
 
-def mask(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return X.project(spark, sf, "orders", X.MASK, keep=False, where="true" if whole else _TENTH)
+def mask(spark: SparkSession, sf: str) -> DataFrame:
+    return X.project(spark, sf, "orders", X.MASK, keep=False)
 
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     return X.project(spark, sf, "lineitem", X.OBS)
 
 
-_TENTH, _THIRD, _FIFTH = "o_orderkey % 10 = 0", "l_partkey % 3 = 0", "l_partkey % 5 = 0"
 ROW = ", ".join(X.LINEITEM)
 _READS = f"reads AS ({X.sql(X.READS, 'lineitem')})"
-_MASK = f"mask AS ({X.sql(X.MASK, 'orders', '', _TENTH)})"
+_MASK = f"mask AS ({X.sql(X.MASK, 'orders', '')})"
 _OBS = f"obs AS ({X.sql(X.OBS, 'lineitem')})"
 
 # ---------------------------------------------------------------- depth
@@ -122,20 +113,14 @@ _PAIRED = {"tid": "CAST(l_suppkey % 5 AS INT)", "left_pos": "CAST((l_orderkey *
 
 
 @query(
-    f"""WITH p AS ({X.sql(_PAIRED, "lineitem", "", _THIRD)}),
-u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY qname) = 1 AND count(*) OVER (PARTITION BY qname) = 1 AND count(*) OVER (PARTITION BY seq) = 1),
-f AS (SELECT *, row_number() OVER (PARTITION BY tid, left_pos, coalesce(bc, '') ORDER BY seq) > 1 AS d FROM u)
-SELECT qname, 1 AS mate, d AS is_dup FROM f UNION ALL SELECT qname, 2, d FROM f"""
+    f"""WITH p AS ({X.sql(_PAIRED, "lineitem")}),
+f AS (SELECT *, row_number() OVER (PARTITION BY tid, left_pos, coalesce(bc, '') ORDER BY {ROW}) > 1 AS d FROM p)
+SELECT qname, 1 AS mate, d AS is_dup FROM f UNION ALL SELECT qname, 2, row_number() OVER (PARTITION BY qname ORDER BY {ROW}) <= count(*) FILTER (d) OVER (PARTITION BY qname) FROM f"""
 )
-def dup_mate_propagation(spark, sf, whole=False):
-    if whole:  # in the order of the rows, which are unique as a whole
-        p = X.project(spark, sf, "lineitem", _PAIRED).withColumn("seq", F.struct(*X.LINEITEM))
-        first, second = (F.struct("seq", F.lit(m).alias("mate")) for m in (1, 2))
-    else:
-        p = X.project(spark, sf, "lineitem", _PAIRED, keep=False, where=_THIRD)
-        one = Window.partitionBy("qname")
-        p = p.withColumn("_n", F.count("*").over(one)).withColumn("_m", F.count("*").over(Window.partitionBy("seq"))).filter("_n = 1 and _m = 1")
-        first, second = F.col("seq") * 2, F.col("seq") * 2 + 1
+def dup_mate_propagation(spark, sf):
+    # in the order of the rows, which are unique as a whole
+    p = X.project(spark, sf, "lineitem", _PAIRED).withColumn("seq", F.struct(*X.LINEITEM))
+    first, second = (F.struct("seq", F.lit(m).alias("mate")) for m in (1, 2))
     mates = F.array(
         F.struct(first.alias("seq"), F.lit(99).alias("flag"), F.col("left_pos").alias("pos"), F.col("right_pos").alias("mpos")),
         F.struct(second.alias("seq"), F.lit(147).alias("flag"), F.col("right_pos").alias("pos"), F.col("left_pos").alias("mpos")),
@@ -145,12 +130,6 @@ def dup_mate_propagation(spark, sf, whole=False):
     return done.select("qname", F.when(R.has("flag", R.READ1), 1).otherwise(2).alias("mate"), R.has("flag", R.DUPLICATE).alias("is_dup"))
 
 
-QUERIES["dup_mate_propagation_whole"] = lambda spark, sf: dup_mate_propagation(spark, sf, whole=True)
-ORACLE_SQL["dup_mate_propagation_whole"] = f"""WITH p AS ({X.sql(_PAIRED, "lineitem")}),
-f AS (SELECT *, row_number() OVER (PARTITION BY tid, left_pos, coalesce(bc, '') ORDER BY {ROW}) > 1 AS d FROM p)
-SELECT qname, 1 AS mate, d AS is_dup FROM f UNION ALL SELECT qname, 2, row_number() OVER (PARTITION BY qname ORDER BY {ROW}) <= count(*) FILTER (d) OVER (PARTITION BY qname) FROM f"""
-
-
 # ---------------------------------------------------------------- fragments
 
 _ENDS = "en AS (SELECT tid, is_rev, mapq, rlen AS len, CASE WHEN is_rev THEN pos + rlen ELSE pos END AS anchor FROM reads)"
@@ -215,24 +194,24 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {_READS}, {_MASK} SELECT {', '.join(_KEYS)} FROM reads r WHERE {_HIT}")
-def mask_reads(spark, sf, whole=False):
-    return intervals.overlapping(_spans(spark, sf), mask(spark, sf, whole), "tid", "pos", "en").drop("en")
+def mask_reads(spark, sf):
+    return intervals.overlapping(_spans(spark, sf), mask(spark, sf), "tid", "pos", "en").drop("en")
 
 
 @query(f"WITH {_READS}, {_MASK}, p AS (SELECT DISTINCT tid, pos, 1 AS rlen FROM reads) SELECT tid, pos FROM p r WHERE {_HIT}")
-def mask_positions(spark, sf, whole=False):
+def mask_positions(spark, sf):
     at = reads(spark, sf).select("tid", "pos").distinct().withColumn("en", F.col("pos") + 1)
-    return intervals.overlapping(at, mask(spark, sf, whole), "tid", "pos", "en").drop("en")
+    return intervals.overlapping(at, mask(spark, sf), "tid", "pos", "en").drop("en")
 
 
 @query(f"WITH {_READS}, {_MASK} SELECT {', '.join(_KEYS)} FROM reads r WHERE NOT {_HIT}")
-def mask_exclude(spark, sf, whole=False):
-    return intervals.outside(_spans(spark, sf), mask(spark, sf, whole), "tid", "pos", "en").drop("en")
+def mask_exclude(spark, sf):
+    return intervals.outside(_spans(spark, sf), mask(spark, sf), "tid", "pos", "en").drop("en")
 
 
 @query(f'WITH {_MASK} SELECT sum("end" - beg)::BIGINT AS total FROM mask')
-def mask_length(spark, sf, whole=False):
-    return intervals.total_length(mask(spark, sf, whole))
+def mask_length(spark, sf):
+    return intervals.total_length(mask(spark, sf))
 
 
 _UNION = f"""{_MASK}, mo AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM mask),
@@ -241,8 +220,8 @@ mu AS (SELECT chrom, min(beg)::BIGINT AS beg, max("end")::BIGINT AS "end" FROM m
 
 
 @query(f"WITH {_UNION} SELECT * FROM mu")
-def mask_union(spark, sf, whole=False):
-    return intervals.union(mask(spark, sf, whole))
+def mask_union(spark, sf):
+    return intervals.union(mask(spark, sf))
 
 
 @query(f"WITH {_READS} SELECT {', '.join(_KEYS)} FROM reads WHERE tid = 3 AND pos < 120000 AND pos + rlen > 49999")
@@ -263,13 +242,13 @@ _HIST = f"""{_CLIP}, h AS (SELECT depth, sum(e - s)::BIGINT AS bases FROM cut GR
 hist AS (SELECT 0::BIGINT AS depth, (SELECT sum("end" - beg) FROM mu)::BIGINT - (SELECT coalesce(sum(bases), 0) FROM h)::BIGINT AS bases UNION ALL SELECT * FROM h)"""
 
 
-def coverage_hist(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return coverage.coverage_histogram(depth(spark, sf), intervals.union(mask(spark, sf, whole)), by="tid")
+def coverage_hist(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.coverage_histogram(depth(spark, sf), intervals.union(mask(spark, sf)), by="tid")
 
 
 @query(f"WITH {_HIST} SELECT depth, bases FROM hist")
-def lorenz_hist(spark, sf, whole=False):
-    return coverage_hist(spark, sf, whole)
+def lorenz_hist(spark, sf):
+    return coverage_hist(spark, sf)
 
 
 @query(
@@ -277,8 +256,8 @@ def lorenz_hist(spark, sf, whole=False):
 k AS (SELECT *, unnest(list_distinct(list_concat(range(1000, bases + 1, 1000), [bases]))) AS k FROM c)
 SELECT (g0 + k)::DOUBLE / g::DOUBLE AS genome, (b0 + k * depth)::DOUBLE / b::DOUBLE AS bases FROM k UNION ALL SELECT 0.0, 0.0"""
 )
-def lorenz_curve(spark, sf, whole=False):
-    return coverage.lorenz(coverage_hist(spark, sf, whole))
+def lorenz_curve(spark, sf):
+    return coverage.lorenz(coverage_hist(spark, sf))
 
 
 @query(
@@ -289,15 +268,11 @@ s AS (SELECT b, i // b AS k, sum(depth)::DOUBLE AS x FROM n, w, t WHERE i // b <
 v AS (SELECT b, sqrt(greatest(0, avg(x * x) - avg(x) * avg(x))) / nullif(avg(x), 0) AS cv FROM s GROUP BY b)
 SELECT w.b::BIGINT AS width, round(cv, 6) AS cv FROM w LEFT JOIN v USING (b)"""
 )
-def cv_bins(spark, sf, whole=False):
-    runs = coverage.mask_runs(depth(spark, sf), intervals.union(mask(spark, sf, whole)), by="tid")
+def cv_bins(spark, sf):
+    runs = coverage.mask_runs(depth(spark, sf), intervals.union(mask(spark, sf)), by="tid")
     return coverage.bin_variation(runs, [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 100000000]).select("width", F.round("cv", 6).alias("cv"))
 
 
-for _f in (mask_reads, mask_positions, mask_exclude, mask_length, mask_union, lorenz_hist, lorenz_curve, cv_bins):
-    over_all(_f, _TENTH, "true")
-
-
 # ---------------------------------------------------------------- read filters
 
 
@@ -330,19 +305,20 @@ def cigar_lengths(spark, sf):
 
 
 @query(
-    f"""WITH {_CIG}, m AS (SELECT pos, unnest(list_concat(range(pos, pos + {X.LEN} + l_linenumber + 3), range(pos + {X.LEN} + l_linenumber + 4, pos + {X.LEN} + l_linenumber + 9))) AS p FROM c WHERE {_FIFTH})
+    f"""WITH {_CIG}, m AS (SELECT pos, unnest(list_concat(range(pos, pos + {X.LEN} + l_linenumber + 3), range(pos + {X.LEN} + l_linenumber + 4, pos + {X.LEN} + l_linenumber + 9))) AS p FROM c)
 SELECT p::BIGINT AS pos, count(*) AS n FROM m GROUP BY p"""
 )
-def cigar_explode(spark, sf, whole=False):
-    df = cigars(spark, sf).filter("true" if whole else _FIFTH).select(F.explode(R.aligned_blocks("pos", "ops")).alias("b")).filter("b.op = 'M'")
+def cigar_explode(spark, sf):
+    df = cigars(spark, sf).select(F.explode(R.aligned_blocks("pos", "ops")).alias("b")).filter("b.op = 'M'")
     at = df.select(F.explode(F.sequence(F.col("b.ref"), F.col("b.ref") + F.col("b.len") - 1)).alias("pos"))
     return at.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"))
 
 
-over_all(cigar_explode, _FIFTH, "true")
-
-
-@query()
+@query(
+    f"""WITH {_CIG}, v AS (SELECT *, nm - 1 AS x, ({X.LEN} + l_linenumber + 11) * 0.05::DOUBLE AS lam FROM c),
+p AS (SELECT *, CASE WHEN nm >= 3 AND x >= lam THEN 1 - exp(-lam) * list_sum(list_transform(range(0, x), lambda k: pow(lam, k) / factorial(k::INT)::DOUBLE)) END AS p FROM v)
+SELECT {', '.join(_CKEYS)}, CASE WHEN p IS NULL THEN mapq ELSE greatest(0, mapq - floor(CASE WHEN p > 1e-6 THEN -4.343::DOUBLE * ln(p) ELSE 60 END + 0.499::DOUBLE)::INT) END AS mapq FROM p"""
+)
 def poisson_mapq(spark, sf):
     return cigars(spark, sf).select(*_CKEYS, R.poisson_mapq("mapq", "nm", "ops", 0.05).alias("mapq"))
 
@@ -520,10 +496,9 @@ def _depths(prefix: str, k: int) -> dict[str, str]:
 
 
 _PAIR = {"chrom": X.SITES["chrom"], "pos": "CAST(l_orderkey * 37 % 1000000 AS INT)", "ref": X.SITES["ref"], "alt": X.SITES["alt"], **_depths("b", 3), **_depths("c", 1), "c_lt": "CAST(l_orderkey % 29 % 2 AS INT)", "seq": "l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100"}
-_ONCE = "SELECT * FROM p0 QUALIFY count(*) OVER (PARTITION BY chrom, pos) = 1"
 _DEPTHS = [f"{s}_{d}" for s in "bc" for d in ("rf", "rr", "af", "ar")]
 _SUMMED = f"SELECT chrom, pos, ref, alt, {', '.join(f'sum({d})::INT AS {d}' for d in _DEPTHS)}, max(c_lt)::INT AS c_lt FROM p0 GROUP BY chrom, pos, ref, alt"
-_DIFF = f"""p0 AS ({X.sql(_PAIR, "lineitem", "")}), p AS ({_ONCE}),
+_DIFF = f"""p0 AS ({X.sql(_PAIR, "lineitem", "")}), p AS ({_SUMMED}),
 s AS (SELECT *, b_rf + b_rr AS br, b_af + b_ar AS ba, c_rf + c_rr AS cr, c_af + c_ar AS ca FROM p WHERE b_rf + b_rr + b_af + b_ar >= 15),
 f AS (SELECT *, least(b_rf, b_rr, b_af, b_ar) > 0 AND br >= 5 AND ba >= 5 AND br / (br + ba) >= 0.3 AND ba / (br + ba) >= 0.3 AS het,
   ca >= 5 AND coalesce(ca / nullif(cr + ca, 0) >= 0.2, false) AND c_lt <= 0 AND c_af >= 1 AND c_ar >= 1 AS called, CASE WHEN ref > alt THEN translate(concat(ref, alt), 'ACGT', 'TGCA') ELSE concat(ref, alt) END AS kind FROM s),
@@ -531,40 +506,33 @@ c AS (SELECT *, ba <= 0 AND called AS candidate FROM f),
 w AS (SELECT *, coalesce(pos - lag(pos) OVER q <= 100, false) OR coalesce(lead(pos) OVER q - pos <= 100, false) AS flt FROM c WHERE candidate WINDOW q AS (PARTITION BY chrom ORDER BY pos))"""
 
 
-def diff_sites(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Sites of positions that occur once; ``whole``: of all rows, those of one position and allele pair summed."""
+def diff_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites of all rows: the depths of one position and allele pair are summed."""
     p = X.project(spark, sf, "lineitem", _PAIR, keep=False)
-    if whole:
-        return variants.sites(p.groupBy(*joint.SITE).agg(*[F.sum(d).cast("int").alias(d) for d in _DEPTHS], F.max("c_lt").alias("c_lt")), variants.DiffOptions())
-    once = p.groupBy("chrom", "pos").agg(F.count("*").alias("n")).filter("n = 1").select("chrom", "pos")
-    return variants.sites(p.join(once, ["chrom", "pos"], "left_semi"), variants.DiffOptions())
+    return variants.sites(p.groupBy(*joint.SITE).agg(*[F.sum(d).cast("int").alias(d) for d in _DEPTHS], F.max("c_lt").alias("c_lt")), variants.DiffOptions())
 
 
 @query(f"WITH {_DIFF} SELECT chrom, pos, ref, alt, het, called, candidate FROM c")
-def snv_calls(spark, sf, whole=False):
-    return diff_sites(spark, sf, whole).select("chrom", "pos", "ref", "alt", "het", "called", "candidate")
+def snv_calls(spark, sf):
+    return diff_sites(spark, sf).select("chrom", "pos", "ref", "alt", "het", "called", "candidate")
 
 
 @query(f"WITH {_DIFF} SELECT chrom, pos, kind FROM w WHERE NOT flt")
-def snv_window(spark, sf, whole=False):
-    return variants.novel(diff_sites(spark, sf, whole), variants.DiffOptions()).select("chrom", "pos", "kind")
+def snv_window(spark, sf):
+    return variants.novel(diff_sites(spark, sf), variants.DiffOptions()).select("chrom", "pos", "kind")
 
 
 @query(
     f"""WITH {_DIFF}, a AS (SELECT count(*) AS n_het, count(*) FILTER (NOT called) AS n_fn, count(*) FILTER (cr = 0) AS n_ado_ref, count(*) FILTER (ca = 0) AS n_ado_alt, count(*) FILTER (cr = 0 AND ca = 0) AS n_ado_both FROM c WHERE het)
 SELECT *, round(n_fn / nullif(n_het, 0), 4) AS r_fn, round(n_ado_ref / nullif(n_het, 0), 4) AS r_ado_ref, round(n_ado_alt / nullif(n_het, 0), 4) AS r_ado_alt, round(n_ado_both / nullif(n_het, 0), 4) AS r_ado_both FROM a"""
 )
-def ado_stats(spark, sf, whole=False):
-    return variants.rates(diff_sites(spark, sf, whole))
+def ado_stats(spark, sf):
+    return variants.rates(diff_sites(spark, sf))
 
 
 @query(f"WITH {_DIFF} SELECT count(*) AS n_snv, count(*) FILTER (kind <> 'CT') AS n_snv_nonct, 0::BIGINT AS n_del, 0::BIGINT AS n_ins FROM w WHERE NOT flt")
-def snv_tallies(spark, sf, whole=False):
-    return variants.tallies(variants.novel(diff_sites(spark, sf, whole), variants.DiffOptions()))
-
-
-for _f in (snv_calls, snv_window, ado_stats, snv_tallies):
-    over_all(_f, _ONCE, _SUMMED)
+def snv_tallies(spark, sf):
+    return variants.tallies(variants.novel(diff_sites(spark, sf), variants.DiffOptions()))
 
 
 @query(f"WITH p AS ({X.sql(_PAIR, 'lineitem', '')}) SELECT ref, alt, CASE WHEN ref > alt THEN translate(concat(ref, alt), 'ACGT', 'TGCA') ELSE concat(ref, alt) END AS kind, count(*) AS n FROM p GROUP BY ALL")
@@ -672,11 +640,7 @@ def seq_nstrip(spark, sf):
 
 @query(f"WITH {_SEQS}, w AS (SELECT doc_id, unnest(range(0, length(seq) - 4)) AS i, seq FROM s) SELECT doc_id, i::BIGINT AS pos, substr(seq, i + 1, 5) AS word FROM w WHERE hamming(substr(seq, i + 1, 5), 'TTATA') <= 1 AND NOT contains(substr(seq, i + 1, 5), 'N')")
 def seq_motif_hits(spark, sf):
-    starts = F.sequence(F.lit(0), F.length("seq") - 5)
-    at = seqs(spark, sf).filter(F.length("seq") >= 5).select("doc_id", "seq", F.explode(starts).alias("i"))
-    word = F.substring(F.col("seq"), F.col("i") + 1, F.lit(5))
-    wrong = sum((F.when(F.substring(word, k + 1, 1) != b, 1).otherwise(0) for k, b in enumerate("TTATA")), F.lit(0))
-    return at.filter((wrong <= 1) & (F.instr(word, "N") == 0)).select("doc_id", F.col("i").cast("long").alias("pos"), word.alias("word"))
+    return trim.motif_positions(seqs(spark, sf), "seq", "TTATA").select("doc_id", "pos", "word")
 
 
 #: Letters of a template; and bits of a pair's id that number the windows of its document.

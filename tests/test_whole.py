@@ -6,9 +6,9 @@ from test_queries import SF, TABLES, plain
 
 from helixframe.plans import catalogue
 
-DIFF = ["snv_calls_whole", "snv_window_whole", "ado_stats_whole", "snv_tallies_whole"]
+DIFF = ["snv_calls", "snv_window", "ado_stats", "snv_tallies"]
 
-UNCUT = [f"{n}_whole" for n in "dup_mate_propagation cigar_explode mask_reads mask_positions mask_exclude mask_length mask_union lorenz_hist lorenz_curve cv_bins".split()]
+UNCUT = [f"{n}" for n in "dup_mate_propagation cigar_explode mask_reads mask_positions mask_exclude mask_length mask_union lorenz_hist lorenz_curve cv_bins".split()]
 
 
 def equals_sql(spark, name):
@@ -33,7 +33,7 @@ def test_sites_hold_the_depth_of_all_rows(spark, monkeypatch):
     rows = catalogue.X.project(spark, SF, "lineitem", catalogue._PAIR, keep=False)
     total = [f"sum({d})" for d in catalogue._DEPTHS]
     sums = lambda df: df.selectExpr(*total).first()
-    assert sums(catalogue.diff_sites(spark, SF, whole=True)) == sums(rows)
+    assert sums(catalogue.diff_sites(spark, SF)) == sums(rows)
 
 
 @pytest.mark.parametrize("name", UNCUT)
@@ -42,7 +42,7 @@ def test_uncut_tables_equal_sql(spark, name):
 
 
 def test_both_mates_of_every_row_are_marked(spark):
-    out = catalogue.QUERIES["dup_mate_propagation_whole"](spark, SF)
+    out = catalogue.QUERIES["dup_mate_propagation"](spark, SF)
     assert out.count() == 2 * spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert not [c for n in UNCUT for c in ("l_partkey % 3 = 0", "l_partkey % 5 = 0", "o_orderkey % 10 = 0") if c in catalogue.ORACLE_SQL[n]]
 
