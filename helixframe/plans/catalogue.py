@@ -343,7 +343,7 @@ def allele_strand_counts(spark, sf):
     return counts(spark, sf).select("tid", "pos", "sample", "base", "fwd", "rev")
 
 
-@query(f"WITH {_COUNTS}, k AS (SELECT *, max(n >= 4 AND fwd >= 1 AND rev >= 1) OVER (PARTITION BY tid, pos, ref, base) AS ok FROM n) SELECT tid, pos, sample, base, n FROM k WHERE ok")
+@query(f"WITH {_COUNTS}, k AS (SELECT *, sum(n) OVER w >= 4 AND sum(fwd) OVER w >= 1 AND sum(rev) OVER w >= 1 AS ok FROM n WINDOW w AS (PARTITION BY tid, pos, ref, base)) SELECT tid, pos, sample, base, n FROM k WHERE ok")
 def allele_support_filter(spark, sf):
     return pileup.supported(counts(spark, sf), 4, 1, _A).select("tid", "pos", "sample", "base", "n")
 
@@ -376,7 +376,7 @@ def genotype_top2(spark, sf):
     return pileup.genotypes(numbered, 2)
 
 
-@query(f"WITH {_COUNTS} SELECT tid, pos, coalesce(max(n) FILTER (is_alt), 0)::BIGINT AS qual FROM n GROUP BY tid, pos")
+@query(f"WITH {_COUNTS}, t AS (SELECT tid, pos, base, is_alt, sum(n) AS n FROM n GROUP BY ALL) SELECT tid, pos, coalesce(max(n) FILTER (is_alt), 0)::BIGINT AS qual FROM t GROUP BY tid, pos")
 def site_qual(spark, sf):
     return pileup.site_quality(counts(spark, sf))
 

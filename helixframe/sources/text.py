@@ -209,20 +209,35 @@ def read_vcf(spark: SparkSession, path: str, names: list[str] | None = None) ->
     )
 
 
-VCF_HEADER = """##fileformat=VCFv4.1
-##INFO=<ID=AMQ,Number=R,Type=Integer,Description="RMS mapping quality per allele">
-##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">
-##FORMAT=<ID=ADF,Number=R,Type=Integer,Description="Forward depth per allele">
-##FORMAT=<ID=ADR,Number=R,Type=Integer,Description="Reverse depth per allele">
-##FORMAT=<ID=LTDROP,Number=1,Type=Integer,Description="Reads dropped by votes">
-##FORMAT=<ID=ALEN,Number=A,Type=Float,Description="Mean distance to read ends\""""
+def vcf_header(samples: list[str], contigs: list[tuple[str, int]] | None = None, reference: str | None = None, both_strands: bool = True, cells: bool = False) -> list[str]:
+    """Header lines; ``contigs`` are names and lengths."""
+    depths = [("ADF", "R", "Integer", "Forward depth per allele"), ("ADR", "R", "Integer", "Reverse depth per allele")] if both_strands else [("AD", "R", "Integer", "Depth per allele")]
+    of_cells = [("LTDROP", "1", "Integer", "Reads removed by fragment votes"), ("ALEN", "R", "Float", "Mean distance to read ends per allele")] if cells else []
+    described = [("GT", "1", "String", "Genotype"), *depths, *of_cells]
+    return [
+        "##fileformat=VCFv4.1",
+        *([f"##reference={reference}"] if reference else []),
+        *(f"##contig=<ID={name},length={size}>" for name, size in contigs or []),
+        '##INFO=<ID=AMQ,Number=R,Type=Integer,Description="RMS mapping quality per allele">',
+        *(f'##FORMAT=<ID={i},Number={n},Type={t},Description="{d}">' for i, n, t, d in described),
+        "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples]),
+    ]
+
+
+def vcf_lines(sites: DataFrame, both_strands: bool = True, cells: bool = False) -> DataFrame:
+    """(chrom, pos, value) of sites (chrom, pos 0-based, ref, alt array, qual, amq array, samples array<struct<gt,adf,adr[,ad,ltdrop,alen]>>)."""
+    amq = F.array_join(F.transform("amq", lambda x: F.coalesce(x.cast("string"), F.lit("."))), ",")
+    numbers = lambda c: F.array_join(c.cast("array<string>"), ",")
+    ends = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(F.format_string("%.1f", x), F.lit("."))), ",")
 
+    def cell(s: Column) -> Column:
+        depths = [numbers(s["adf"]), numbers(s["adr"])] if both_strands else [numbers(s["ad"])]
+        more = [F.coalesce(s["ltdrop"].cast("string"), F.lit(".")), F.coalesce(ends(s["alen"]), F.lit("."))] if cells else []
+        return F.concat_ws(":", s["gt"], *depths, *more)
 
-def vcf_lines(sites: DataFrame) -> DataFrame:
-    """(chrom, pos, value) of sites (chrom, pos 0-based, ref, alt array, qual, amq array, samples array<struct<gt,adf,adr>>)."""
-    amq = F.array_join(F.transform("amq", lambda x: F.coalesce(x.cast("string"), F.lit("."))), ",")
-    cell = F.transform("samples", lambda s: F.concat_ws(":", s["gt"], F.array_join(s["adf"].cast("array<string>"), ","), F.array_join(s["adr"].cast("array<string>"), ",")))
-    value = F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", F.array_join("alt", ","), F.col("qual").cast("string"), F.lit("."), F.concat(F.lit("AMQ="), amq), F.lit("GT:ADF:ADR"), cell)
+    fields = "GT:" + ("ADF:ADR" if both_strands else "AD") + (":LTDROP:ALEN" if cells else "")
+    alt = F.when(F.size("alt") == 0, ".").otherwise(F.array_join("alt", ","))
+    value = F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", alt, F.col("qual").cast("string"), F.lit("."), F.concat(F.lit("AMQ="), amq), F.lit(fields), F.transform("samples", cell))
     return sites.select("chrom", "pos", value.alias("value"))
 
 
