@@ -244,6 +244,16 @@ def _inside(cells: int, num: int, den: int, shingle: int | None):
     return run
 
 
+#: Rows of some numbers each that are broadcast; a larger table is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table for broadcast if it is small, so that the rows of one large group need not meet in a task to learn its size."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _parts(weight: Column, limit: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(weight / limit)).cast("long")
 
@@ -252,7 +262,7 @@ def _in_blocks(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
     """Deal rows of (c, id, asks) into blocks (i of askers, j of members) so that each asker meets each member of its c once."""
     asks = F.col("asks")
     sizes = rows.groupBy("c").agg(F.sum(F.when(asks, weight)).alias("na"), F.sum(F.when(~asks, weight)).alias("nm")).filter("na > 0 and nm > 0")
-    rows = rows.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("id"), _parts(F.when(asks, F.col("na")).otherwise(F.col("nm")), limit)))
+    rows = rows.join(_few(sizes), "c").withColumn("own", F.pmod(F.xxhash64("id"), _parts(F.when(asks, F.col("na")).otherwise(F.col("nm")), limit)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.when(asks, F.col("nm")).otherwise(F.col("na")), limit) - 1)))
     i, j = F.when(asks, F.col("own")).otherwise(F.col("other")), F.when(asks, F.col("other")).otherwise(F.col("own"))
     return rows.withColumn("i", i).withColumn("j", j).drop("na", "nm", "own", "other")
@@ -261,7 +271,7 @@ def _in_blocks(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
 def _in_triangle(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
     """Deal rows of (key, h, id) into blocks i <= j of their bucket so that all pairs meet once; ``own`` is a row's own block."""
     sizes = rows.groupBy("key", "h").agg(_parts(F.sum(weight), limit).alias("parts"))
-    rows = rows.join(sizes, ["key", "h"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = rows.join(_few(sizes), ["key", "h"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("parts", "other")
 
