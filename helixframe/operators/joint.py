@@ -130,12 +130,16 @@ def bulk_difference_window(sites: DataFrame, o: JointOptions) -> DataFrame:
 
 
 def call_codes(cells: DataFrame, o: JointOptions) -> DataFrame:
-    """Adds ``code``: 1 het, 2 alternative only, 0 reference only; 4 and 3 for haploid cells; '.' where filtered, empty or too weak."""
+    """Adds ``code``: 1 het, 2 alternative only, 0 reference only; 4 and 3 for haploid cells, 6 and 5 with haploid bulks; '.' where filtered, empty or too weak."""
     ref, alt = F.col("rf") + F.col("rr"), F.col("af") + F.col("ar")
     none = F.col("flt") | (ref + alt == 0) | ((alt > 0) & (alt < o.min_joint))
-    diploid = F.when((alt > 0) & (ref > 0), "1").when(alt > 0, "2").otherwise("0")
-    haploid = F.when(alt > 0, "4").otherwise("3")
-    return cells.withColumn("code", F.when(none, ".").when(F.col("ploidy") == 1, haploid).otherwise(diploid))
+    only = lambda bulk, cell, both: F.lit(bulk) if o.haploid_bulk else F.when(F.col("ploidy") == 1, cell).otherwise(both)
+    return cells.withColumn("code", F.when(none, ".").when((alt > 0) & (ref > 0), "1").when(alt > 0, only("6", "4", "2")).otherwise(only("5", "3", "0")))
+
+
+def damage_sites(sites: DataFrame) -> DataFrame:
+    """Sites where damage counts: good bulks, one of them without the alternative, a biallelic substitution."""
+    return sites.filter("not all_good_alt and n_ref > 0 and not flt_bulk and length(ref) = 1 and length(alt) = 1")
 
 
 def cell_strings(cells: DataFrame, sites: DataFrame) -> DataFrame:
@@ -145,19 +149,28 @@ def cell_strings(cells: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def cell_rates(sites: DataFrame, cells: DataFrame, calls: DataFrame, o: JointOptions) -> DataFrame:
-    """Per cell: dropout, missed calls and damage on bulk-het sites, calls, and counts corrected for misses."""
-    ref_alt = cells.select("*", (F.col("rf") + F.col("rr")).alias("_ref"), (F.col("af") + F.col("ar")).alias("_alt"))
-    het = sites.filter("all_het and not flt_bulk").select(*SITE)
-    strong = lambda a, b: ~(~F.col("flt_dmg") & (F.col(a) >= o.min_damage) & (F.col(b) >= o.min_damage))
-    on_het = ref_alt.join(het, SITE, "left_semi").groupBy("sample").agg(
-        F.count("*").alias("n_het"), F.count_if(F.col("flt") | (F.col("_ref") < o.min_joint)).alias("ado_ref"), F.count_if(F.col("flt") | (F.col("_alt") < o.min_joint)).alias("ado_alt"), F.count_if(F.expr("not is_alt")).alias("fn"),
-        F.count_if(strong("rf", "rr")).alias("dmg_fn_ref"), F.count_if(strong("af", "ar")).alias("dmg_fn_alt"), F.count_if((F.col("ploidy") > 1) & F.col("is_dmg")).alias("dmg_fp"),
+    """Per cell: dropout, missed calls and damage on bulk-het sites (on homozygous ones with haploid bulks), calls, and counts corrected for misses.
+
+    A haploid cell sees one of two alleles, so its rates are 2 x / n - 1.
+    """
+    ref, alt = F.col("rf") + F.col("rr"), F.col("af") + F.col("ar")
+    het = sites.filter(f"{'all_hom' if o.haploid_bulk else 'all_het'} and not flt_bulk").select(*SITE, F.lit(True).alias("_het"))
+    called = calls.select(*SITE, F.lit(True).alias("_called"))
+    damaged = damage_sites(sites).select(*SITE, F.lit(True).alias("_open"))
+    # one pass over the cells' rows
+    rows = cells.join(het, SITE, "left").join(called, SITE, "left").join(damaged, SITE, "left")
+    on = lambda c: F.coalesce(F.col("_het"), F.lit(False)) & c
+    weak = lambda a, b: ~(~F.col("flt_dmg") & (F.col(a) >= o.min_damage) & (F.col(b) >= o.min_damage))
+    out = rows.groupBy("sample").agg(
+        F.count_if("_het").alias("n_het"), F.count_if(on(F.col("flt") | (ref < o.min_joint))).alias("ado_ref"), F.count_if(on(F.col("flt") | (alt < o.min_joint))).alias("ado_alt"), F.count_if(on(~F.col("is_alt"))).alias("fn"),
+        F.count_if(on(weak("rf", "rr"))).alias("dmg_fn_ref"), F.count_if(on(weak("af", "ar"))).alias("dmg_fn_alt"), F.count_if(on((F.col("ploidy") > 1) & F.col("is_dmg"))).alias("dmg_fp"),
+        F.count_if(F.coalesce("_called", F.lit(False)) & F.col("is_alt")).alias("snv"), F.count_if(F.coalesce("_open", F.lit(False)) & F.col("is_dmg")).alias("dmg"), F.max("ploidy").alias("_ploidy"),
     )
-    snv = ref_alt.join(calls.select(*SITE), SITE, "left_semi").filter("is_alt").groupBy("sample").agg(F.count("*").alias("snv"))
-    open_ = sites.filter("not all_good_alt and n_ref > 0 and not flt_bulk and not flt_known and length(ref) = 1 and length(alt) = 1").select(*SITE)
-    dmg = ref_alt.filter("is_dmg").join(open_, SITE, "left_semi").groupBy("sample").agg(F.count("*").alias("dmg"))
-    out = cells.select("sample").distinct().join(on_het, "sample", "left").join(snv, "sample", "left").join(dmg, "sample", "left").na.fill(0)
     share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("n_het"))
-    corrected = F.try_divide(F.col("snv").cast("double"), 1 - share("fn"))
-    damage = F.try_divide(F.col("dmg") - corrected * share("dmg_fp"), 1 - share("fn"))
-    return out.select("*", F.round(share("fn"), 4).alias("fn_rate"), F.round(corrected, 4).alias("snv_corrected"), F.round(damage, 4).alias("dmg_corrected"))
+    one = lambda c: share(c) if o.haploid_bulk else F.when(F.col("_ploidy") == 1, 2 * share(c) - 1).otherwise(share(c))
+    corrected = F.try_divide(F.col("snv").cast("double"), 1 - one("fn"))
+    damage = F.try_divide(F.col("dmg") - corrected * share("dmg_fp"), 1 - one("fn"))
+    return out.select(
+        "*", F.round(one("fn"), 4).alias("fn_rate"), F.round(corrected, 4).alias("snv_corrected"), F.round(damage, 4).alias("dmg_corrected"),
+        one("ado_alt").alias("ado"), one("fn").alias("fnr"), corrected.alias("snv_exact"), share("dmg_fp").alias("dmg_fpr"), one("dmg_fn_alt").alias("dmg_fnr"), damage.alias("dmg_exact"),
+    ).drop("_ploidy")

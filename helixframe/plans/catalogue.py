@@ -593,7 +593,7 @@ def joint_calls(spark, sf):
     f"""WITH {_SAMPLES}, h AS (SELECT chrom, pos, ref, alt FROM site WHERE all_het AND NOT flt_bulk),
 e AS (SELECT sample, count(*) AS n_het, count(*) FILTER (flt OR r < 2) AS ado_ref, count(*) FILTER (flt OR a < 2) AS ado_alt, count(*) FILTER (NOT is_alt) AS fn FROM cell JOIN h USING (chrom, pos, ref, alt) GROUP BY sample),
 v AS (SELECT sample, count(*) AS snv FROM cell JOIN (SELECT chrom, pos, ref, alt FROM win WHERE NOT flt) USING (chrom, pos, ref, alt) WHERE is_alt GROUP BY sample)
-SELECT sample, coalesce(n_het, 0) AS n_het, coalesce(ado_ref, 0) AS ado_ref, coalesce(ado_alt, 0) AS ado_alt, coalesce(fn, 0) AS fn, coalesce(snv, 0) AS snv, round(fn / nullif(n_het, 0), 4) AS fn_rate FROM (SELECT DISTINCT sample FROM cell) LEFT JOIN e USING (sample) LEFT JOIN v USING (sample)"""
+SELECT sample, coalesce(n_het, 0) AS n_het, coalesce(ado_ref, 0) AS ado_ref, coalesce(ado_alt, 0) AS ado_alt, coalesce(fn, 0) AS fn, coalesce(snv, 0) AS snv, round(CASE WHEN sample = 'c3' THEN 2.0::DOUBLE * fn / nullif(n_het, 0) - 1 ELSE fn / nullif(n_het, 0) END, 4) AS fn_rate FROM (SELECT DISTINCT sample FROM cell) LEFT JOIN e USING (sample) LEFT JOIN v USING (sample)"""
 )
 def joint_stats(spark, sf):
     sites, cells, win = windowed(spark, sf)
