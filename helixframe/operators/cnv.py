@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,30 +112,58 @@ def scored(weighed: DataFrame, penalty: dict[str, float], missing: float = 0.1)
     return weighed.select("chrom", "st", "en", F.explode(cells).alias("x")).select("x.kind", "chrom", "st", "en", "x.score")
 
 
+#: Scores that a task holds at a time.
+CHUNK = 1 << 22
+
+
+def permuted_best(values: np.ndarray, counts: np.ndarray, rng: np.random.Generator, chunk: int = CHUNK) -> float:
+    """Score of the best segment of one random order of ``values``, each as often as ``counts`` says.
+
+    The order is drawn in chunks: how often each value falls into the next one
+    is multivariate hypergeometric, and inside a chunk all orders are alike.
+    """
+    left, tail, best = counts.astype(np.int64), 0.0, 0.0
+    while n := int(left.sum()):
+        take = rng.multivariate_hypergeometric(left, chunk, method="marginals") if chunk < n else left
+        run = np.concatenate([[0.0], np.cumsum(rng.permutation(np.repeat(values, take)))])
+        best = max(best, float((run - np.minimum.accumulate(run)).max()), tail + float(run.max()))
+        tail = max(float(run[-1] - run.min()), tail + float(run[-1]))
+        left = left - take
+    return best
+
+
+def permuted_maxima(rows: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(kind, top): the best segment's score in each permutation of all scores of a kind.
+
+    Tasks receive how often each score occurs and seeds, never the scores
+    themselves: these are a length times one of a few weights, and so few.
+    """
+    times = rows.groupBy("kind", "score").agg(F.count("*").alias("n")).groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("score", "n"))).alias("x"))
+    runs = times.select("kind", F.col("x.score").alias("values"), F.col("x.n").alias("counts")).join(rows.sparkSession.range(permutations).repartition(min(permutations, 64)), F.lit(True))
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            top = [permuted_best(np.asarray(v, float), np.asarray(c), np.random.default_rng([seed, int(k), KINDS.index(kind)])) for kind, v, c, k in zip(pdf["kind"], pdf["values"], pdf["counts"], pdf["id"], strict=True)]
+            yield pd.DataFrame({"kind": pdf["kind"], "top": top})
+
+    return runs.mapInPandas(drawn, "kind string, top double")
+
+
 CALLS = "kind string, chrom string, st long, en long, score double, p double"
 
 
 def call(segments: DataFrame, c: float = 4.0, ploidy: int = 2, p_value: float = 1e-4, permutations: int = 200, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(calls, fit): maximal segments beyond the Gumbel quantile of permuted scores, and the fitted parameters.
 
-    Each permutation is a row of its own task, with a seed of its own, over the
-    scores of all contigs; only its maximum returns. Segments are found per
-    contig and kind.
+    Permutations run over the scores of all contigs; only their maxima return.
+    Segments are found per contig and kind.
     """
     spark = segments.sparkSession
     weighed = classified(segments, ploidy)
     penalty = {r["kind"]: r["penalty"] for r in penalties(weighed, c).collect() if r["penalty"]}
     rows = scored(weighed, penalty)
-    every = rows.groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("chrom", "st", "score"))), lambda x: x["score"]).alias("scores"))
-    runs = every.join(spark.range(permutations).repartition(min(permutations, 64)), F.lit(True)).select("kind", F.col("id").alias("k"), "scores")
-
-    def shuffled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            top = [best_segment(np.random.default_rng([seed, int(k), KINDS.index(kind)]).permutation(np.asarray(s))) for kind, k, s in zip(pdf["kind"], pdf["k"], pdf["scores"], strict=True)]
-            yield pd.DataFrame({"kind": pdf["kind"], "top": top})
-
     maxima: dict[str, list[float]] = {}
-    for r in runs.mapInPandas(shuffled, "kind string, top double").collect():  # permutations * kinds rows
+    for r in permuted_maxima(rows, permutations, seed).collect():  # permutations * kinds rows
         maxima.setdefault(r["kind"], []).append(r["top"])
     fit = {k: gumbel_fit(np.sort(v)) for k, v in maxima.items()}
     least = {k: math.floor(gumbel_quantile(1 - p_value, *v)) for k, v in fit.items()}
@@ -149,8 +175,26 @@ def call(segments: DataFrame, c: float = 4.0, ploidy: int = 2, p_value: float =
         return pd.DataFrame(out, columns=["kind", "chrom", "st", "en", "score", "p"])
 
     calls = rows.groupBy("kind", "chrom").applyInPandas(found, CALLS)
-    params = [(k, float(penalty[k]), float(m), float(b), float(least[k])) for k, (m, b) in fit.items()]
-    return calls, spark.createDataFrame(params, "kind string, penalty double, mu double, beta double, threshold double")
+    params = [(k, float(penalty[k]), float(m), float(b), float(least[k]), float(gumbel_quantile(1 - p_value, m, b))) for k, (m, b) in fit.items()]
+    return calls, spark.createDataFrame(params, "kind string, penalty double, mu double, beta double, threshold double, quantile double")
+
+
+def record_lines(segments: DataFrame, calls: DataFrame, fit: DataFrame, evidence: bool = False, ploidy: int = 2) -> DataFrame:
+    """(part, kind, chrom, st, k, value): signal and null parameters of each kind, then its calls, each with its segments if asked for."""
+    letter = F.when(F.col("kind") == "gain", "G").when(F.col("kind") == "loss1", "L").otherwise("A")
+    tagged = lambda tag: F.concat(letter, F.lit(tag) if isinstance(tag, str) else tag)
+    number = lambda c, places: F.format_string(f"%.{places}f", c)
+    sums = penalties(classified(segments, ploidy)).select("kind", "signal", "other").join(fit, "kind")
+    none, zero = F.lit("").alias("chrom"), F.lit(0).cast("long").alias("st")
+    signal = sums.select(F.lit(0).alias("part"), "kind", none, zero, F.lit(0).alias("k"), F.concat_ws("\t", tagged("S"), "signal", "other", number("penalty", 3)).alias("value"))
+    null = sums.select(F.lit(0).alias("part"), "kind", none, zero, F.lit(1).alias("k"), F.concat_ws("\t", tagged("P"), number("mu", 3), number("beta", 3), number("quantile", 3)).alias("value"))
+    found = calls.select(F.lit(1).alias("part"), "kind", "chrom", "st", F.lit(0).alias("k"), F.concat_ws("\t", tagged(letter), "chrom", "st", "en", number("score", 2), F.format_string("%.3g", "p")).alias("value"))
+    out = signal.unionByName(null).unionByName(found)
+    if evidence:
+        named = calls.select("kind", "chrom", F.col("st").alias("_b"), F.col("en").alias("_e"))
+        inside = segments.join(named, "chrom").filter("st >= _b and en <= _e")
+        out = out.unionByName(inside.select(F.lit(1).alias("part"), "kind", "chrom", "st", F.lit(1).alias("k"), F.concat_ws("\t", tagged("E"), "en", "d0", "d1", "d2").alias("value")))
+    return out
 
 
 def implicit_starts(ends: DataFrame) -> DataFrame:

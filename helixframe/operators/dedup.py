@@ -17,6 +17,18 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str | Column], out:
     return df.withColumn(out, F.row_number().over(w) > 1)
 
 
+def _sides(reads: DataFrame) -> DataFrame:
+    """Adds whether a record is live, part of a primary pair, and the left one of its fragment."""
+    end = reads.filter("tid < 0").agg(F.min("seq").alias("_end"))
+    df = reads.join(F.broadcast(end), F.lit(True), "left")  # one row
+    live = F.coalesce(F.col("seq") < F.col("_end"), F.lit(True))
+    primary = live & ~has("flag", SUPPLEMENTARY)
+    paired = has("flag", PAIRED) & has("flag", READ1 | READ2)
+    here, there = F.struct("tid", "pos"), F.struct(F.col("mtid"), F.col("mpos"))
+    left = primary & (~paired | (here < there) | ((here == there) & has("flag", READ1)))
+    return df.select("*", live.alias("_live"), (primary & paired).alias("_paired"), F.coalesce(left, F.lit(False)).alias("_left"))
+
+
 def mark_duplicates(reads: DataFrame) -> DataFrame:
     """Set or clear the duplicate bit of alignments (seq, qname, flag, tid, pos, mtid, mpos, bc).
 
@@ -25,14 +37,7 @@ def mark_duplicates(reads: DataFrame) -> DataFrame:
     carries it. Supplementary records are never marked. Records from the first
     one without a contig on are copied as they are.
     """
-    end = reads.filter("tid < 0").agg(F.min("seq").alias("_end"))
-    df = reads.join(F.broadcast(end), F.lit(True), "left")  # one row
-    live = F.coalesce(F.col("seq") < F.col("_end"), F.lit(True))
-    primary = live & ~has("flag", SUPPLEMENTARY)
-    paired = has("flag", PAIRED) & has("flag", READ1 | READ2)
-    here, there = F.struct("tid", "pos"), F.struct(F.col("mtid"), F.col("mpos"))
-    left = primary & (~paired | (here < there) | ((here == there) & has("flag", READ1)))
-    df = df.select("*", live.alias("_live"), (primary & paired).alias("_paired"), F.coalesce(left, F.lit(False)).alias("_left"))
+    df = _sides(reads)
     lefts = first_per_key(df.filter("_left"), ["tid", "pos", "bc"], ["seq"], "_dup")
     others = df.filter("not _left")
     marked = lefts.filter("_dup and _paired").groupBy("qname").agg(F.count("*").alias("_n"))
@@ -47,3 +52,15 @@ def mark_duplicates(reads: DataFrame) -> DataFrame:
 def duplicate_counts(df: DataFrame, is_dup: str = "is_dup", bc: str = "bc") -> DataFrame:
     """(has_bc, fragments, duplicates)."""
     return df.groupBy(F.col(bc).isNotNull().alias("has_bc")).agg(F.count("*").alias("fragments"), F.count_if(is_dup).alias("duplicates"))
+
+
+def fragment_counts(marked: DataFrame) -> DataFrame:
+    """(has_bc, fragments, duplicates, unpaired) of marked alignments; unpaired are duplicates whose right mate never came."""
+    df = _sides(marked)
+    dup = has("flag", DUPLICATE)
+    lefts, rights = df.filter("_left"), df.filter("not _left and _paired")
+    came = rights.filter(dup).groupBy("qname").agg(F.count("*").alias("_m"))
+    lost = lefts.filter(dup & F.col("_paired")).groupBy("qname", F.col("bc").isNotNull().alias("has_bc")).agg(F.count("*").alias("_n")).join(came, "qname", "left")
+    lost = lost.groupBy("has_bc").agg(F.sum(F.greatest(F.lit(0), F.col("_n") - F.coalesce("_m", F.lit(0)))).alias("unpaired"))
+    counts = lefts.groupBy(F.col("bc").isNotNull().alias("has_bc")).agg(F.count("*").alias("fragments"), F.count_if(dup).alias("duplicates"))
+    return counts.join(lost, "has_bc", "left").na.fill(0, ["unpaired"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +66,20 @@ def parse_region(region: str, names: set[str] | None = None) -> tuple[str, int,
     """``chr``, ``chr:beg`` or ``chr:beg-end`` (1-based, inclusive, commas allowed) as 0-based half-open.
 
     A name that is a contig as a whole, or whose part after the last colon is
-    not a range, is taken as a name.
+    not a range, is taken as a name, as is a range that ends before it begins.
+    ``chr:-5`` begins at the first base, as a lone hyphen reads as a sign.
     """
     whole = (region, 0, 1 << 29)
     name, colon, span = region.rpartition(":")
     if not colon or names is not None and region in names:
         return whole
-    parts = span.replace(",", "").split("-")
-    if len(parts) > 2 or not parts[0].isdigit() or len(parts) == 2 and parts[1] and not parts[1].isdigit():
+    found = re.fullmatch(r"(-?\d*)(-\d*)?", span.replace(",", ""))
+    if span.count("-") > 1 or not found:
         return whole
-    beg = max(0, int(parts[0]) - 1)
-    return name, beg, int(parts[1]) if len(parts) == 2 and parts[1] else 1 << 29
+    number = lambda text: int(text) if text.strip("-") else 0
+    beg = max(0, number(found[1]) - 1)
+    end = 1 << 29 if found[2] is None and not (found[1] == "-") else number((found[2] or "-")[1:])
+    return whole if beg > end else (name, beg, end)
 
 
 def in_region(region: str, chrom: str = "chrom", beg: str = "beg", end: str = "end") -> Column:

@@ -100,3 +100,14 @@ def calls(breaks: DataFrame, contigs: DataFrame, max_gap: int = 50, min_count: i
         F.when(kind == "G", F.col("qgap") - (F.col("pos1") - F.col("pos0"))).alias("size_change"), "n",
     )
     return out, df
+
+
+def record_lines(calls: DataFrame, evidence: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(cluster, sub, k, seq, value): each call as SV, its reads as RD, and a closing line."""
+    name = lambda df: df.join(F.broadcast(contigs.select(F.col("tid").alias("tid0"), F.col("name").alias("_n0"))), "tid0").join(F.broadcast(contigs.select(F.col("tid").alias("tid1"), F.col("name").alias("_n1"))), "tid1")
+    sign = lambda c: F.when(F.col(c), "-").otherwise("+")
+    line = lambda *c: F.concat_ws("\t", *[F.coalesce(x.cast("string"), F.lit(".")) for x in c])
+    zero = F.lit(0).cast("long").alias("seq")
+    call = name(calls).select("cluster", "sub", F.lit(0).alias("k"), zero, line(F.lit("SV"), F.col("_n0"), F.col("pos0"), sign("rev0"), F.col("_n1"), F.col("pos1"), sign("rev1"), F.col("kind"), F.col("size_change"), F.col("n")).alias("value"))
+    read = name(evidence).select("cluster", "sub", F.lit(1).alias("k"), F.col("seq").cast("long").alias("seq"), line(F.lit("RD"), F.col("_n0"), F.col("pos0"), sign("rev0"), F.col("_n1"), F.col("pos1"), sign("rev1"), F.col("qgap"), sign("rdrev")).alias("value"))
+    return call.unionByName(read).unionByName(calls.select("cluster", "sub", F.lit(2).alias("k"), zero, F.lit("//").alias("value")))

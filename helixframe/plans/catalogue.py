@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import reads as R
 from helixframe.operators import cnv, coverage, dedup, fragments, intervals, joint, pileup, sv, sweep, trim, variants
+from helixframe.operators.stages import checkpoint_folder
 
 from . import fixtures as X
 
@@ -679,12 +680,11 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    import tempfile
+def _folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
     import uuid
 
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS is_dup FROM events")
@@ -693,12 +693,41 @@ def stream_dedup(spark, sf):
 
     columns = {"event_id": "long", "user_id": "long", "event_type": "string"}
     flagged = passes.flag_duplicates(_events(spark, sf).select(*columns), ["user_id", "event_type"], "event_id", columns)
-    return passes.drained(flagged, "stream_dedup", "append", _checkpoint(spark))
+    return passes.drained(flagged, _folder(spark))
 
 
 @query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_depth(spark, sf):
     from helixframe.streaming import passes
 
-    done = passes.drained(passes.windowed_depth(_events(spark, sf), "ts", ["event_type"]), "stream_depth", "complete", _checkpoint(spark))
+    done = passes.drained(passes.windowed_depth(_events(spark, sf), "ts", ["event_type"]), _folder(spark), "complete")
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {_GROUPS} SELECT tid, is_rev, anchor, n, s AS sum_mq2, longest FROM g")
+def stream_groups(spark, sf):
+    from helixframe.streaming import passes
+
+    ends = reads(spark, sf).select(F.col("tid").cast("long").alias("tid"), F.col("pos").alias("st"), (F.col("pos") + F.col("rlen")).alias("en"), "is_rev", "mapq")
+    return passes.drained(passes.grouped(_streamed(spark, ends, "st", "en")), _folder(spark))
+
+
+@query(f"WITH {_DEPTH} SELECT tid::BIGINT AS tid, st, en, depth FROM depth")
+def stream_sweep(spark, sf):
+    from helixframe.streaming import passes
+
+    spans = reads(spark, sf).select(F.col("tid").cast("long").alias("tid"), F.col("pos").alias("st"), (F.col("pos") + F.col("rlen")).alias("en"))
+    return passes.drained(passes.depth(_streamed(spark, spans, "st", "en")), _folder(spark))
+
+
+def _streamed(spark: SparkSession, df: DataFrame, *at: str) -> DataFrame:
+    """Rows of contigs as a stream of files, a sentinel row a contig at the end."""
+    from helixframe.streaming import passes
+
+    last = df.select("tid").distinct()
+    for c in df.columns:
+        if c != "tid":
+            last = last.withColumn(c, F.lit(passes.END if c in at else None).cast(df.schema[c].dataType))
+    folder = f"{_folder(spark)}/in"
+    df.unionByName(last.select(*df.columns)).write.parquet(folder)
+    return spark.readStream.schema(df.schema).parquet(folder)

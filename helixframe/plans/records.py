@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators import joint, variants
@@ -123,6 +123,7 @@ def joint_records(bulks: DataFrame, cells: DataFrame, o: joint.JointOptions, nam
     return _all([*parts, na])
 
 
-def in_contig_order(df: DataFrame) -> DataFrame:
-    """Records with ``chrom`` in text order, a stable order for part files."""
-    return df.withColumn("k", F.row_number().over(Window.partitionBy("part", "chrom", "pos").orderBy("value")))
+
+def in_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Records with the columns that order them: by part and site, a site's tags as listed here."""
+    return df.withColumn("k", F.instr(F.lit("BV DV NV TP JV"), F.substring("value", 1, 2))), ["part", "chrom", "pos", "k"]

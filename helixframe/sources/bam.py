@@ -1,7 +1,12 @@
 """BAM and the blocked gzip under it.
 
-Files are read as binary rows, so any file system of Spark's works; one file is
-one task. Output is written by a data source, one complete file a partition.
+Files are read as binary rows, so any file system of Spark's works. One task
+unpacks a file's blocks and cuts them at record borders; the pieces are dealt
+out, and records are decoded in parallel. Output is written by a data source,
+one complete file a partition, block by block.
+
+A tag keeps its type: ``tags`` maps it to (type, value), where all integer types
+are ``i`` as in SAM text, and an array is its element type and values.
 """
 
 from __future__ import annotations
@@ -23,18 +28,27 @@ OPS = "MIDNSHP=XB"
 _NUMBER = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 ALIGNMENT = (
-    "seq long, qname string, flag int, tid long, pos int, mapq int, cigar string, mtid long, mpos int, isize int, bases string, quals array<int>, tags map<string,string>, bc string, bf string, sa string, nm int"
+    "seq long, qname string, flag int, tid long, pos int, mapq int, cigar string, mtid long, mpos int, isize int, bases string, quals array<int>, tags map<string,struct<type:string,value:string>>, bc string, bf string, sa string, nm int"
 )
 _FIELDS = [c.split()[0] for c in ALIGNMENT.split(", ")]
 
 
+#: Bytes of records in a piece that is decoded by one task at a time.
+PIECE = 4 << 20
+
+
 def is_bgzf(data: bytes) -> bool:
     return len(data) >= 18 and data[:4] == b"\x1f\x8b\x08\x04" and data[12:16] == b"BC\x02\x00"
 
 
-def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset in the file, contents) of each block."""
-    at = 0
+def has_end(data: bytes) -> bool:
+    """Whether the file ends with the empty block that marks its end."""
+    return data.endswith(EOF)
+
+
+def blocks(data: bytes, start: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(offset in the file, contents) of each block from the one at byte ``start``."""
+    at = start
     while at < len(data):
         if not is_bgzf(data[at : at + 18]):
             raise ValueError(f"no block header at byte {at}")
@@ -45,15 +59,84 @@ def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
+def whole(data: bytes) -> bytes:
+    """Contents of a complete file; one that lacks its end is an error."""
+    if not has_end(data):
+        raise ValueError("the file lacks its last block: it is cut off")
+    return b"".join(b for _, b in blocks(data))
+
+
+def block_ranges(data: bytes, size: int) -> list[tuple[int, int]]:
+    """Byte ranges of about ``size`` bytes that start and end at blocks, by the headers alone."""
+    out, start, at = [], 0, 0
+    while at < len(data):
+        if not is_bgzf(data[at : at + 18]):
+            raise ValueError(f"no block header at byte {at}")
+        at += struct.unpack_from("<H", data, at + 16)[0] + 1
+        if at - start >= size or at >= len(data):
+            out.append((start, at))
+            start = at
+    return out
+
+
+def contents_from(data: bytes, virtual: int) -> Iterator[bytes]:
+    """Contents from a virtual offset on: the block's byte in the upper 48 bits, the place in it in the lower 16."""
+    skip = virtual & 0xFFFF
+    for _, part in blocks(data, virtual >> 16):
+        yield part[skip:]
+        skip = 0
+
+
+def text_lines(data: bytes, virtual: int = 0) -> Iterator[tuple[int, str]]:
+    """(virtual offset, line) of blocked text from a virtual offset on."""
+    start, held, skip = virtual, b"", virtual & 0xFFFF
+    for at, part in blocks(data, virtual >> 16):
+        done = skip
+        while (end := part.find(b"\n", done)) >= 0:
+            yield start, (held + part[done:end]).decode()
+            held, done = b"", end + 1
+            start = at << 16 | done
+        held, skip = held + part[done:], 0
+        if not held:  # the next line starts in the next block
+            size = struct.unpack_from("<H", data, at + 16)[0] + 1
+            start = (at + size) << 16
+    if held:
+        yield start, held.decode()
+
+
+def block(part: bytes, level: int = 6) -> bytes:
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = deflate.compress(part) + deflate.flush()
+    return struct.pack("<4BI2BH2BHH", 0x1F, 0x8B, 8, 4, 0, 0, 0xFF, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+
+
 def compressed(data: bytes, level: int = 6) -> bytes:
     """Blocks of at most ``PAYLOAD`` bytes each, and the empty last one."""
-    out = []
-    for a in range(0, len(data), PAYLOAD):
-        part = data[a : a + PAYLOAD]
-        deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
-        body = deflate.compress(part) + deflate.flush()
-        out.append(struct.pack("<4BI2BH2BHH", 0x1F, 0x8B, 8, 4, 0, 0, 0xFF, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out) + EOF
+    return b"".join(block(data[a : a + PAYLOAD], level) for a in range(0, len(data), PAYLOAD)) + EOF
+
+
+class BlockFile:
+    """Writes items to an open file block by block; an item begins a new block if it would cross a border."""
+
+    def __init__(self, file, level: int = 6):
+        self.file, self.level, self.held = file, level, bytearray()
+
+    def write(self, item: bytes) -> None:
+        if self.held and len(self.held) + len(item) > PAYLOAD:
+            self.flush()
+        self.held += item
+        while len(self.held) > PAYLOAD:
+            self.file.write(block(bytes(self.held[:PAYLOAD]), self.level))
+            del self.held[:PAYLOAD]
+
+    def flush(self) -> None:
+        if self.held:
+            self.file.write(block(bytes(self.held), self.level))
+            self.held.clear()
+
+    def close(self) -> None:
+        self.flush()
+        self.file.write(EOF)
 
 
 def header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
@@ -71,28 +154,33 @@ def header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
     return text, contigs, at
 
 
-def _tags(data: bytes) -> dict[str, str]:
+def _tags(data: bytes) -> dict[str, dict[str, str]]:
     out, at = {}, 0
     while at < len(data):
         key, kind, at = data[at : at + 2].decode(), chr(data[at + 2]), at + 3
         if kind in "ZH":
             end = data.index(0, at)
-            out[key], at = data[at:end].decode(), end + 1
+            value, at = data[at:end].decode(), end + 1
         elif kind == "A":
-            out[key], at = chr(data[at]), at + 1
+            value, at = chr(data[at]), at + 1
         elif kind == "B":
             sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
             values = struct.unpack_from(f"<{n}{_NUMBER[sub]}", data, at + 5)
-            out[key], at = ",".join([sub, *map(str, values)]), at + 5 + n * struct.calcsize(_NUMBER[sub])
+            value, at = ",".join([sub, *(map(_short, values) if sub == "f" else map(str, values))]), at + 5 + n * struct.calcsize(_NUMBER[sub])
         else:
             code = "d" if kind == "d" else _NUMBER[kind]
-            out[key], at = str(struct.unpack_from(f"<{code}", data, at)[0]), at + struct.calcsize(code)
+            found, at = struct.unpack_from(f"<{code}", data, at)[0], at + struct.calcsize(code)
+            value, kind = (_short(found), kind) if kind in "fd" else (str(found), "i")
+        out[key] = {"type": kind, "value": value}
     return out
 
 
-def records(data: bytes, at: int) -> Iterator[tuple]:
-    """Rows of ``ALIGNMENT``; a record that is cut off is an error."""
-    seq = 0
+def _short(x: float) -> str:
+    return f"{x:.9g}"
+
+
+def records(data: bytes, at: int, seq: int = 0) -> Iterator[tuple]:
+    """Rows of ``ALIGNMENT``, the first numbered ``seq``; a record that is cut off is an error."""
     while at < len(data):
         (size,) = struct.unpack_from("<i", data, at)
         end = at + 4 + size
@@ -107,27 +195,49 @@ def records(data: bytes, at: int) -> Iterator[tuple]:
         bases = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] or None
         quals = None if l_seq == 0 or data[p] == 0xFF else list(data[p : p + l_seq])
         tags = _tags(data[p + l_seq : end])
-        nm = int(tags["NM"]) if "NM" in tags else None
-        yield seq, name, flag, tid, pos, mapq, cigar, mtid, mpos, isize, bases, quals, tags, tags.get("BC"), tags.get("BF"), tags.get("SA"), nm
+        text = {k: v["value"] for k, v in tags.items()}
+        nm = int(text["NM"]) if "NM" in text else None
+        yield seq, name, flag, tid, pos, mapq, cigar, mtid, mpos, isize, bases, quals, tags, text.get("BC"), text.get("BF"), text.get("SA"), nm
         seq, at = seq + 1, end
 
 
+def pieces(data: bytes, size: int = PIECE) -> Iterator[tuple[int, bytes]]:
+    """(number of the first record, records) of unpacked contents, cut at record borders."""
+    at = start = header(data)[2]
+    seq = first = 0
+    while at < len(data):
+        if len(data) - at < 4 or (step := struct.unpack_from("<i", data, at)[0]) < 32 or at + 4 + step > len(data):
+            raise ValueError("a record is cut off")
+        at, seq = at + 4 + step, seq + 1
+        if at - start >= size:
+            yield first, data[start:at]
+            start, first = at, seq
+    if at > start:
+        yield first, data[start:at]
+
+
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of one file or many, ``seq`` being the order in a file."""
+    """Alignments of one file or many, ``seq`` being the order in a file; a file without its end marker is an error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                data = b"".join(b for _, b in blocks(content))
+                for first, part in pieces(whole(content)):
+                    yield pd.DataFrame({"first": [first], "part": [part]})
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first, part in zip(pdf["first"], pdf["part"], strict=True):
                 rows = []
-                for row in records(data, header(data)[2]):
+                for row in records(part, 0, int(first)):
                     rows.append(row)
                     if len(rows) == 5000:
                         yield pd.DataFrame(rows, columns=_FIELDS)
                         rows = []
                 yield pd.DataFrame(rows, columns=_FIELDS)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ALIGNMENT)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(cut, "first long, part binary").repartition(spark.sparkContext.defaultParallelism).mapInPandas(decode, ALIGNMENT)
 
 
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -154,11 +264,20 @@ def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
     return one.mapInPandas(run, "tid long, name string, len long, off long")
 
 
-def _packed_tag(key: str, value: str) -> bytes:
-    try:
-        return key.encode() + b"i" + struct.pack("<i", int(value))
-    except (ValueError, struct.error):
-        return key.encode() + b"Z" + value.encode() + b"\0"
+def _packed_tag(key: str, kind: str, value: str) -> bytes:
+    head = key.encode()
+    if kind == "i":
+        n = int(value)
+        return head + (b"i" + struct.pack("<i", n) if -(1 << 31) <= n < 1 << 31 else b"I" + struct.pack("<I", n))
+    if kind in "fd":
+        return head + kind.encode() + struct.pack(f"<{kind}", float(value))
+    if kind == "A":
+        return head + b"A" + value.encode()[:1]
+    if kind == "B":
+        sub, *values = value.split(",")
+        number = float if sub == "f" else int
+        return head + b"B" + sub.encode() + struct.pack(f"<i{len(values)}{_NUMBER[sub]}", len(values), *map(number, values))
+    return head + kind.encode() + value.encode() + b"\0"
 
 
 def encoded(row) -> bytes:
@@ -171,7 +290,7 @@ def encoded(row) -> bytes:
     span = sum(n for n, o in ops if OPS[o] in "MDN=X") or 1
     body = (row.qname or "*").encode() + b"\0" + struct.pack(f"<{len(ops)}I", *(n << 4 | o for n, o in ops)) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
     body += bytes(row.quals) if row.quals else b"\xff" * len(bases)
-    body += b"".join(_packed_tag(k, v) for k, v in sorted((row.tags or {}).items()))
+    body += b"".join(_packed_tag(k, v["type"], v["value"]) for k, v in sorted((row.tags or {}).items()))
     core = struct.pack("<iiBBHHHiiii", row.tid, row.pos, len((row.qname or "*").encode()) + 1, row.mapq, _bin(row.pos, row.pos + span), len(ops), row.flag, len(bases), row.mtid, row.mpos, row.isize)
     return struct.pack("<i", len(core) + len(body)) + core + body
 
@@ -197,13 +316,17 @@ class _Writer(DataSourceWriter):
         import uuid
 
         text = "".join(f"@SQ\tSN:{n}\tLN:{s}\n" for n, s in self.contigs).encode()
-        out = [b"BAM\1", struct.pack("<i", len(text)), text, struct.pack("<i", len(self.contigs))]
-        out += [struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", int(s)) for n, s in self.contigs]
-        out += [encoded(row) for row in iterator]
+        head = [b"BAM\1", struct.pack("<i", len(text)), text, struct.pack("<i", len(self.contigs))]
+        head += [struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", int(s)) for n, s in self.contigs]
         os.makedirs(self.path, exist_ok=True)
         name = os.path.join(self.path, f".part-{uuid.uuid4().hex}")
         with open(name, "wb") as f:
-            f.write(compressed(b"".join(out)))
+            out = BlockFile(f)
+            out.write(b"".join(head))
+            out.flush()
+            for row in iterator:
+                out.write(encoded(row))
+            out.close()
         return _Written(name)
 
     def commit(self, messages):
@@ -217,7 +340,7 @@ class _Writer(DataSourceWriter):
 
 
 class BamSink(DataSource):
-    """``df.write.format("bam").option("contigs", "chr1:1000,...").mode("append").save(path)``: a file a partition, in a folder all executors share; names appear on commit."""
+    """Tags as in ``ALIGNMENT``. ``df.write.format("bam").option("contigs", "chr1:1000,...").mode("append").save(path)``: a file a partition, in a folder all executors share; names appear on commit."""
 
     @classmethod
     def name(cls) -> str:

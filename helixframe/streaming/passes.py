@@ -1,4 +1,10 @@
-"""Streaming forms of single-pass operators: duplicate flags, trimming, interval depth per window."""
+"""Streaming forms of the single-pass operators: duplicate flags, groups, depth, trimming, the window filter, windowed sums.
+
+Each pass keeps a bounded state a key and emits what can no longer change.
+Input is in order along ``pos`` within a contig, as the batch forms read it
+sorted; where state ends with the input, one sentinel row a contig (``pos`` at
+``END``) flushes it.
+"""
 
 from __future__ import annotations
 
@@ -9,40 +15,155 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Position of a sentinel row: beyond every contig.
+END = 1 << 40
+
 
-def flag_duplicates(stream: DataFrame, key: list[str], order: str, columns: dict[str, str]) -> DataFrame:
+def flag_duplicates(stream: DataFrame, key: list[str], order: str, columns: dict[str, str], keep: str | None = None) -> DataFrame:
     """``columns`` (name: type) of each row, and whether its key was seen before.
 
-    State is one flag a key. Rows of a key in one batch are put in ``order``; a
-    row that comes in a later batch counts as later.
+    State is one flag a key; with ``keep`` (a duration) it goes once a key has
+    been silent for so long, and a later row counts as the first again. Rows of
+    a key in one batch are put in ``order``; a row that comes in a later batch
+    counts as later.
     """
     names = list(columns)
+    wait = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
 
     def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.exists
         rows = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
         rows["is_dup"] = True
         if not seen and len(rows):
             rows.loc[0, "is_dup"] = False
             state.update((True,))
+        if wait:
+            state.setTimeoutDuration(wait)
         yield rows[[*names, "is_dup"]]
 
     schema = ", ".join([*(f"{n} {t}" for n, t in columns.items()), "is_dup boolean"])
-    return stream.groupBy(*key).applyInPandasWithState(run, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*key).applyInPandasWithState(run, schema, "seen boolean", "append", timeout)
+
+
+def trimmed(stream: DataFrame, o=None) -> DataFrame:
+    """Read pairs trimmed as they come; there is no state."""
+    from helixframe.operators import trim
+
+    return trim.trim(stream, o)
+
+
+def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> list[dict]:
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(order)
+    return rows.to_dict("records")
+
+
+GROUPS = "tid long, is_rev boolean, anchor long, n long, sum_mq2 long, longest long"
+
+
+def grouped(stream: DataFrame) -> DataFrame:
+    """``GROUPS`` of read ends (tid, st, en, is_rev, mapq): a group goes out once reads start behind it.
+
+    State of a contig is its open groups: those whose ends the next start has not passed.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = {(bool(r), int(a)): [int(n), int(s), int(long), int(en)] for r, a, n, s, long, en in zip(*state.get, strict=True)} if state.exists else {}
+        out = []
+
+        def close(before: int) -> None:
+            for k in [k for k, g in open_.items() if g[3] <= before]:
+                n, s, long, _ = open_.pop(k)
+                out.append((key[0], k[0], k[1], n, s, long))
+
+        for r in _in_order(batches, ["st", "en", "is_rev"]):
+            close(r["st"])
+            if r["st"] < END:
+                g = open_.setdefault((bool(r["is_rev"]), int(r["en"] if r["is_rev"] else r["st"])), [0, 0, 0, 0])
+                q = min(int(r["mapq"]), 60)
+                g[:] = [g[0] + 1, g[1] + q * q, max(g[2], int(r["en"] - r["st"])), max(g[3], int(r["en"]))]
+        flat = [(k[0], k[1], *g) for k, g in open_.items()]
+        state.update(tuple(map(list, zip(*flat, strict=True))) if flat else ([],) * 6)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in GROUPS.split(", ")])
+
+    held = "r array<boolean>, a array<long>, n array<long>, s array<long>, l array<long>, e array<long>"
+    return stream.groupBy("tid").applyInPandasWithState(run, GROUPS, held, "append", GroupStateTimeout.NoTimeout)
+
+
+SEGMENTS = "tid long, st long, en long, depth long"
+
+
+def depth(stream: DataFrame) -> DataFrame:
+    """``SEGMENTS`` of fragments (tid, st, en): depth between neighbouring starts and ends, as far as no later start can change it.
+
+    State of a contig is the ends that are still open and the place reached.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ends, at = (sorted(map(int, state.get[0])), int(state.get[1])) if state.exists else ([], -1)
+        out = []
+        for r in _in_order(batches, ["st", "en"]):
+            start = int(r["st"])
+            for stop in sorted({e for e in ends if e <= start} | {min(start, END)}):
+                if 0 <= at < stop and stop < END:
+                    out.append((key[0], at, stop, sum(e > at for e in ends)))
+                at = max(at, stop) if at >= 0 or stop == start else at
+                ends = [e for e in ends if e > at]
+            if start < END:
+                at = start
+                ends.append(int(r["en"]))
+        state.update((sorted(ends), at))
+        yield pd.DataFrame(out, columns=["tid", "st", "en", "depth"])
+
+    return stream.groupBy("tid").applyInPandasWithState(run, SEGMENTS, "ends array<long>, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def alone(stream: DataFrame, distance: int) -> DataFrame:
+    """(chrom, pos) of the rows without another at most ``distance`` away: a row goes out once the next is far enough.
+
+    State of a contig is its last position and whether that one is alone so far.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, free = state.get if state.exists else (None, False)
+        out = []
+        for r in _in_order(batches, ["pos"]):
+            near = last is not None and r["pos"] - last <= distance
+            if last is not None and free and not near:
+                out.append((key[0], int(last)))
+            last, free = int(r["pos"]), not near
+        state.update((last, bool(free)))
+        yield pd.DataFrame(out, columns=["chrom", "pos"])
+
+    return stream.groupBy("chrom").applyInPandasWithState(run, "chrom string, pos long", "last long, free boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_depth(stream: DataFrame, time: str, by: list[str], every: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
-    """(window start, by, n, total) of an event stream; late events beyond the watermark are dropped by Spark's policy."""
+    """(window start, by, n, total) of an event stream; in append mode a window goes out, and leaves the state, once the watermark passes it."""
     timed = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
     agg = timed.groupBy(F.window("_t", every), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return agg.select(F.col("window.start").alias("start"), *by, "n", "total")
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now and return the result (for tests and batch use)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now into Parquet files of a shared folder, and read these.
+
+    In complete mode each batch replaces the result.
+    """
+    spark = stream.sparkSession
+    out = f"{folder}/out"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(out)
+    write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = write.format("parquet").option("path", f"{folder}/rows").start()
+        out = f"{folder}/rows"
+    else:
+        q = write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
