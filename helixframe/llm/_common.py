@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: While a checkpoint is written, Spark is to delete the job's shuffle files at its end.
+#: Spark's setting that has the shuffle files of a job deleted at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Inside, every job's shuffle files go with its end: what outlives a job here is a checkpoint."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
@@ -34,14 +47,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     the plan that reads them when ``cleanCheckpoints`` is on. The shuffle files
     of the job that writes them are of no more use, and deleted at its end.
     """
-    spark = df.sparkSession
-    checkpoint_folder(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    checkpoint_folder(df.sparkSession)
+    with shuffles_deleted(df.sparkSession):
         return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, shuffles_deleted
 from ._graph import components
 from .vptree import doubles, matrix, of_common_length
 
@@ -234,6 +234,11 @@ def near_duplicates(
     df: DataFrame, least: float = 0.98, window: int = WINDOW, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
     """(id, n_links, component_id, kept) per row; labels and ids are integers."""
+    with shuffles_deleted(df.sparkSession):
+        return _near_duplicates(df, least, window, id_col, vec_col, label_col)
+
+
+def _near_duplicates(df: DataFrame, least: float, window: int, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     label = F.when(F.col(id_col).isNotNull(), F.col(label_col).cast("long"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), doubles(vec_col).alias("v"))
     ready = of_common_length(rows.filter("label is not null and v is not null"))

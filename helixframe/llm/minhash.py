@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, shuffles_deleted
 from ._graph import components
 from ._text import U64, mix, shingle_sets, slices, utf8
 
@@ -161,8 +161,15 @@ def _compared(shingle: int, num: int, den: int):
     return run
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``texts`` (id, text) without rows that nobody asks for, if the ids asked for are few; so that the others are not shuffled."""
+    few = _few(ids.distinct())
+    return texts.join(few, "id", "left_semi") if few is not None else texts
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with ``den * |A & B| >= num * |A | B|`` on the full shingle sets."""
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts)
     sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     sided = sided.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return sided.mapInArrow(_compared(shingle, num, den), "a long, b long")
@@ -248,10 +255,16 @@ def _inside(cells: int, num: int, den: int, shingle: int | None):
 BROADCAST_ROWS = 100_000
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A table for broadcast if it is small, so that the rows of one large group need not meet in a task to learn its size."""
+def _few(df: DataFrame) -> DataFrame | None:
+    """A table for broadcast, if it is small enough."""
     df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else None
+
+
+def _sized(rows: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the sizes of their groups; the rows of one large group meet in a task only where there are too many groups to broadcast."""
+    sizes = checkpointed(sizes)
+    return rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, by)
 
 
 def _parts(weight: Column, limit: int) -> Column:
@@ -262,7 +275,7 @@ def _in_blocks(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
     """Deal rows of (c, id, asks) into blocks (i of askers, j of members) so that each asker meets each member of its c once."""
     asks = F.col("asks")
     sizes = rows.groupBy("c").agg(F.sum(F.when(asks, weight)).alias("na"), F.sum(F.when(~asks, weight)).alias("nm")).filter("na > 0 and nm > 0")
-    rows = rows.join(_few(sizes), "c").withColumn("own", F.pmod(F.xxhash64("id"), _parts(F.when(asks, F.col("na")).otherwise(F.col("nm")), limit)))
+    rows = _sized(rows, sizes, ["c"]).withColumn("own", F.pmod(F.xxhash64("id"), _parts(F.when(asks, F.col("na")).otherwise(F.col("nm")), limit)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.when(asks, F.col("nm")).otherwise(F.col("na")), limit) - 1)))
     i, j = F.when(asks, F.col("own")).otherwise(F.col("other")), F.when(asks, F.col("other")).otherwise(F.col("own"))
     return rows.withColumn("i", i).withColumn("j", j).drop("na", "nm", "own", "other")
@@ -271,7 +284,7 @@ def _in_blocks(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
 def _in_triangle(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
     """Deal rows of (key, h, id) into blocks i <= j of their bucket so that all pairs meet once; ``own`` is a row's own block."""
     sizes = rows.groupBy("key", "h").agg(_parts(F.sum(weight), limit).alias("parts"))
-    rows = rows.join(_few(sizes), ["key", "h"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = _sized(rows, sizes, ["key", "h"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("parts", "other")
 
@@ -301,24 +314,33 @@ def _open_links(placed: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataF
     differ = F.aggregate(F.zip_with("sketch", "sketch_", _differing), F.lit(0), lambda t, x: t + x)
     near = (F.col("comp") < F.col("comp_")) & (den * F.least("n", "n_") >= num * F.greatest("n", "n_")) & (differ <= F.lit(int(cells * (1 - AGREE))))
     pairs = left.join(right, bucket).filter(near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-    links = verified(pairs.join(done, ["a", "b"], "left_anti"), docs, shingle, num, den)
+    pairs = checkpointed(pairs.join(done, ["a", "b"], "left_anti"))
+    found = [] if pairs.isEmpty() else [checkpointed(verified(pairs, docs, shingle, num, den))]
 
     # crowded buckets of small components, in blocks
     told = small.filter(F.col("c") > CROWDED).drop("c").join(reps.select("id", "n", "sketch", "bands"), "id")
     grouped = [*bucket, "i", "j"]
     hits = _in_triangle(told, F.lit(1), BLOCK_ROWS).groupBy(*grouped).applyInArrow(_inside(cells, num, den, None), "key int, h long, id long").distinct()
-    told = _in_triangle(checkpointed(told.join(hits, [*bucket, "id"], "left_semi")), F.col("n"), BLOCK_SHINGLES).join(docs, "id")
-    links = links.unionByName(told.groupBy(*grouped).applyInArrow(_inside(cells, num, den, shingle), "a long, b long"))
+    told = checkpointed(told.join(hits, [*bucket, "id"], "left_semi"))
+    if not told.isEmpty():
+        told = _in_triangle(told, F.col("n"), BLOCK_SHINGLES).join(_texts_of(told.select("id"), docs), "id")
+        found.append(checkpointed(told.groupBy(*grouped).applyInArrow(_inside(cells, num, den, shingle), "a long, b long")))
 
     # large components: who shares a bucket with one asks all its members, in blocks
     held = opened.filter("large").select(*bucket, F.col("comp").alias("c")).distinct()
     asks = opened.join(held, bucket).filter((F.col("comp") != F.col("c")) & (~F.col("large") | (F.col("comp") < F.col("c")))).select("c", "id", F.lit(True).alias("asks")).distinct()
     asked = asks.select("c").distinct()
     members = comp.join(asked, comp["component"] == asked["c"], "left_semi").select(F.col("component").alias("c"), F.col("node").alias("id"), F.lit(False).alias("asks"))
-    meeting = asks.unionByName(members).join(seen, "id")
+    meeting = checkpointed(asks.unionByName(members).join(seen, "id"))
     hits = _in_blocks(meeting, F.lit(1), BLOCK_ROWS).groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, None), "c long, id long, asks boolean").distinct()
-    meeting = _in_blocks(checkpointed(hits).join(seen, "id"), F.col("n"), BLOCK_SHINGLES).join(docs, "id")
-    return links.unionByName(meeting.groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, shingle), "a long, b long"))
+    meeting = checkpointed(hits.join(seen, "id"))
+    if not meeting.isEmpty():
+        meeting = _in_blocks(meeting, F.col("n"), BLOCK_SHINGLES).join(_texts_of(meeting.select("id"), docs), "id")
+        found.append(checkpointed(meeting.groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, shingle), "a long, b long")))
+    out = docs.sparkSession.createDataFrame([], "a long, b long")
+    for links in found:
+        out = out.unionByName(links)
+    return out
 
 
 def near_duplicates(
@@ -330,6 +352,11 @@ def near_duplicates(
     ``component_id`` is the least id that links lead to, ``kept`` whether it is
     the row's own.
     """
+    with shuffles_deleted(df.sparkSession):
+        return _near_duplicates(df, id_col, text_col, shingle, num, den, bands, rows)
+
+
+def _near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = checkpointed(signatures(docs, shingle, bands, rows))
     shape = ["f1", "f2", "n"]
@@ -346,7 +373,7 @@ def near_duplicates(
     placed = held.join(comp, held["id"] == comp["node"], "left").select("key", "h", "id", F.coalesce("component", "id").alias("comp"))
     more = _open_links(placed, comp, reps.select("id", "n", "bands", "sketch"), docs, pairs, bands * rows, shingle, num, den)
     more = checkpointed(more.distinct())
-    comp = components(links.unionByName(more), "a", "b")
+    comp = comp if more.isEmpty() else components(links.unionByName(more), "a", "b")
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select(*shape, F.coalesce("component", "rep").alias("component_id"))
     # component ids are least class ids, and a class id is the least id of its copies
     out = signed.select("id", *shape).join(named, shape, "left")
