@@ -327,7 +327,10 @@ def test_sum_of_squares_against_a_plain_loop():
     assert gap_before == expected and fill.sum() == items.sum()
 
 
-def test_sentencepiece(spark):
+@pytest.mark.parametrize("shared", [300_000, 40, 0])
+def test_sentencepiece(spark, monkeypatch, shared):
+    monkeypatch.setattr(spm, "SHARED", shared)
+    monkeypatch.setattr(spm, "COUNTED", 50)
     model = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     rnd = random.Random(3)
@@ -335,6 +338,20 @@ def test_sentencepiece(spark):
     for r, (i, t) in zip(sorted(map(tuple, spm.encode_decode(docs(spark, rows), model).collect())), sorted(((i, t) for i, t in rows), key=lambda x: (x[0], sp.encode(x[1] or ""))), strict=True):
         ids = sp.encode(t or "")
         assert (r[0], r[1], r[2]) == (i, ids, sp.decode(ids) if ids else "")
+    assert spm.encode_decode(docs(spark, []), model).count() == 0
+
+
+def test_shared_words_are_the_most_frequent(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{k}" for k in range(60) if i % (k + 1) == 0)) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    times = Counter(w for _, t in texts for w in spm.Codec.words(t))
+    monkeypatch.setattr(spm, "SHARED", 25)
+    got = {r.word for r in spm.shared_words(df.select("text")).collect()}
+    assert 20 <= len(got) <= 25 and min(times[w] for w in got) > max(times[w] for w in times if w not in got)
+    model = P.path("piece_bpe_32k.model")
+    table = spm.shared_table(df.select("text"), model)
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    assert {w: np.frombuffer(x, "<i4").tolist() for w, x in table.items()} == {w: sp.encode(w) for w in got}
 
 
 # ---------------------------------------------------------------- language and quality
