@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import settled
+
 DEPTH_CAP = 10_000
 
 
@@ -64,7 +66,7 @@ def bin_variation(runs: DataFrame, sizes: list[int] | None = None) -> DataFrame:
     are added up by bin. Bins cut off by the end of the data don't count. The
     coefficient is null without a complete bin or without coverage.
     """
-    sizes = sizes or widths()
+    sizes, runs = sizes or widths(), settled(runs)  # read by each of the sums below
     total = runs.agg(F.max("n1").alias("N"))
     b = F.explode(F.array(*[F.lit(x).cast("long") for x in sizes])).alias("b")
     r = runs.select(F.col("n0").cast("long").alias("n0"), F.col("n1").cast("long").alias("n1"), F.col("depth").cast("long").alias("d"), b)
@@ -91,7 +93,7 @@ def mask_runs(segments: DataFrame, mask: DataFrame, by: str = "chrom", depth: st
     first = per.select("chrom", F.coalesce(F.sum("len").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row a contig
     w = Window.partitionBy("chrom").orderBy("beg").rowsBetween(Window.unboundedPreceding, -1)
     m = m.withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("beg")).over(w), F.lit(0))).join(F.broadcast(first), "chrom").withColumn("off", F.col("start") + F.col("before"))
-    cut = clipped(segments.filter(F.col(depth) > 0), mask, by, depth).withColumnRenamed("depth", "d")
+    cut = settled(clipped(segments.filter(F.col(depth) > 0), mask, by, depth).withColumnRenamed("depth", "d"))
     at = m.select("chrom", F.col("beg").alias("st"), "off", "beg").unionByName(cut.select("chrom", "st", F.lit(None).cast("long").alias("off"), F.lit(None).cast("long").alias("beg")))
     w = Window.partitionBy("chrom").orderBy("st", F.col("off").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     number = at.withColumn("o", F.last("off", True).over(w) - F.last("beg", True).over(w)).filter("off is null").select("chrom", "st", "o").distinct()

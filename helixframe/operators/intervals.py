@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 BIN = 13
 
@@ -54,12 +55,32 @@ def union(mask: DataFrame, beg: str = "beg", end: str = "end", *by: str) -> Data
     return marked.groupBy(*by, "island").agg(F.min(beg).alias(beg), F.max(end).alias(end)).drop("island")
 
 
-def islands(df: DataFrame, by: tuple[str, ...] | list[str], order: list[str], beg: str, end: str, touching: bool = False) -> DataFrame:
-    """Number the runs of overlapping intervals: a new one starts where ``beg`` reaches all ends before it."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = before.isNull() | ((F.col(beg) > before) if touching else (F.col(beg) >= before))
-    return df.withColumn("_new", starts.cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def islands(df: DataFrame, by: tuple[str, ...] | list[str], order: list[str], beg: str, end: str, touching: bool = False, range_bits: int = 20) -> DataFrame:
+    """Number the runs of overlapping intervals: a new one starts where ``beg`` reaches all ends before it.
+
+    A group is cut into ranges of its first ``order`` column. The greatest end
+    and the number of runs of all earlier ranges are carried into each, so a
+    window spans a range and not a contig.
+    """
+    by = list(by)
+    keys = [*by, "_g"]
+
+    def carried(rows: DataFrame, agg, over) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+        per = rows.groupBy(*keys).agg(agg.alias("_v")).select(*[F.col(c).alias(f"_k_{c}") for c in keys], over(F.col("_v")).over(w).alias("_c"))
+        return rows.join(per, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]).drop(*[f"_k_{c}" for c in keys])
+
+    # rows alike in ``order`` are told apart by the rest, as two windows have to see them in one order
+    rest = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in {*order, *by}]
+    df = df.withColumn("_g", F.shiftright(F.col(order[0]).cast("long"), range_bits))
+    local = Window.partitionBy(*keys).orderBy(*order, *rest)
+    df = carried(df, F.max(end), F.max)
+    before = F.greatest("_c", F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.withColumn("_before", before)
+    starts = F.col("_before").isNull() | ((F.col(beg) > F.col("_before")) if touching else (F.col(beg) >= F.col("_before")))
+    df = carried(df.withColumn("_new", starts.cast("long")).drop("_c", "_before"), F.sum("_new"), F.sum)
+    run = F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("island", run + F.coalesce("_c", F.lit(0))).drop("_new", "_c", "_g")
 
 
 def parse_region(region: str, names: set[str] | None = None) -> tuple[str, int, int]:

@@ -55,22 +55,26 @@ def reverse_complement(seq: str) -> str:
     return seq.translate(_PAIRING)[::-1]
 
 
+def _starts(text: str, pattern: str, mistakes: int) -> list[int]:
+    """Where a pattern may start with so many mismatches at most: one of ``mistakes + 1`` parts of it occurs unchanged."""
+    found, parts = set(), mistakes + 1
+    for j in range(parts):
+        a, b = len(pattern) * j // parts, len(pattern) * (j + 1) // parts
+        at = text.find(pattern[a:b], a)
+        while at >= 0:
+            found.add(at - a)
+            at = text.find(pattern[a:b], at + 1)
+    return sorted(x for x in found if x <= len(text) - len(pattern))
+
+
 def motif_hits(seq: str, motif: str, most: int) -> list[int]:
     """Starts of the first ``most`` windows of ACGT within one mismatch of the motif."""
-    hits, k, up = [], len(motif), seq.upper().replace("U", "T")
-    for i in range(len(up) - k + 1):
-        wrong = 0
-        for a, b in zip(up[i : i + k], motif, strict=True):
-            if a != b:
-                wrong += 1
-                if wrong > 1 or a not in "ACGT":
-                    wrong = 2
-                    break
-        if wrong < 2:
+    up, hits = seq.upper().replace("U", "T"), []
+    for i in _starts(up, motif, 1):
+        wrong = [a for a, b in zip(up[i : i + len(motif)], motif, strict=True) if a != b]
+        if len(wrong) < 2 and all(a in "ACGT" for a in wrong):
             hits.append(i)
-            if len(hits) == most:
-                break
-    return hits
+    return hits[:most]
 
 
 def motif_positions(df: DataFrame, seq: str, motif: str) -> DataFrame:
@@ -99,13 +103,20 @@ def extension(a: str, b: str, qa: str, qb: str | None, least: int, allowed: int)
     return min(len(a), len(b))
 
 
+def _mistakes(r: Read, q: str | None, allowed: int) -> int:
+    """Mismatches that the penalty allowed leaves room for: good bases cost three."""
+    good = bool(r.qual) and min(r.qual) >= "5" and (not q or min(q) >= "5")
+    return allowed // 3 if good else allowed
+
+
 def overlaps_forward(r: Read, s: str, q: str | None, rule: tuple[int, int], most: int) -> list[tuple[int, int]]:
     """(start in ``r``, length) where a tail of ``r`` matches the head of ``s``, or ``s`` lies inside; shortest tail first."""
     out = []
-    for n in range(rule[0], len(r) + 1):
-        at = len(r) - n
+    if len(s) < rule[0]:
+        return out
+    for at in reversed(_starts(r.seq, s[: rule[0]], _mistakes(r, q, rule[1]))):
         m = extension(r.seq[at:], s, r.qual[at:], q, *rule)
-        if m >= rule[0] and m in (n, len(s)):
+        if m >= rule[0] and m in (len(r) - at, len(s)):
             out.append((at, m))
             if len(out) == most:
                 break
@@ -121,8 +132,8 @@ def overlaps_reverse(r: Read, s: str, q: str | None, rule: tuple[int, int], most
 def overlaps_within(r: Read, s: str, q: str, rule: tuple[int, int], most: int) -> list[int]:
     """Starts in ``s``, beyond its first base, where all of ``r`` matches."""
     out = []
-    for at in range(1, len(s) - len(r)):
-        if extension(r.seq, s[at:], r.qual, q[at:], len(r), rule[1]) == len(r):
+    for at in _starts(s, r.seq, _mistakes(r, q, rule[1])) if len(r) > rule[1] else range(len(s)):
+        if 0 < at < len(s) - len(r) and extension(r.seq, s[at:], r.qual, q[at:], len(r), rule[1]) == len(r):
             out.append(at)
             if len(out) == most:
                 break

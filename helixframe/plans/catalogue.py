@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import reads as R
 from helixframe.operators import cnv, coverage, dedup, fragments, intervals, joint, pileup, sv, sweep, trim, variants
-from helixframe.operators.stages import checkpoint_folder
+from helixframe.operators.stages import checkpoint_folder, settled
 
 from . import fixtures as X
 
@@ -561,6 +561,7 @@ def samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = X.project(spark, sf, "lineitem", _LONG, keep=False)
     part = lambda k, div: F.sum(F.when(F.col("k") == k, F.expr(f"d div {div}")).otherwise(0)).cast("int")
     m = rows.groupBy(*joint.SITE, "sample").agg(part(0, 1).alias("rf"), part(1, 1).alias("rr"), part(2, 4).alias("af"), part(3, 4).alias("ar"), F.max("lt0").alias("lt"), F.min("end0").alias("alen"))
+    m = settled(m)  # bulks, cells and what is made of them all read it
     cells = m.filter("sample like 'c%'").withColumn("ploidy", F.when(F.col("sample") == "c3", 1).otherwise(2))
     return m.filter("sample like 'b%'"), joint.cell_calls(joint.cell_flags(cells, _OPT), _OPT)
 

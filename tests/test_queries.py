@@ -9,7 +9,7 @@ from helixframe.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["depth_sweep", "dup_flags", "dup_mate_propagation", "frag_length_rule", "frag_islands", "mask_reads", "mask_exclude", "lorenz_curve", "cv_bins", "fragment_vote", "genotype_top2", "sv_calls", "cnv_split", "snv_window", "joint_window", "replicate_min", "seq_revcomp", "stream_dedup"]
+FAST = ["depth_sweep", "dup_flags", "dup_mate_propagation", "frag_length_rule", "frag_islands", "mask_reads", "mask_exclude", "lorenz_curve", "cv_bins", "fragment_vote", "genotype_top2", "sv_calls", "cnv_split", "snv_window", "joint_window", "replicate_min", "seq_revcomp", "seq_motif_hits", "poisson_mapq", "site_qual", "allele_support_filter", "joint_stats", "stream_dedup", "stream_depth", "stream_groups", "stream_sweep"]
 
 
 def plain(v):

@@ -88,3 +88,82 @@ def test_vcf(spark, tmp_path):
     p.write_text("\n".join(text.vcf_header(["bulk", "cell"])) + "\n" + line + "\n")
     got = text.read_vcf(spark, str(p)).orderBy("sample").collect()
     assert [(r.pos, r.sample, r.gt, r.adf, r.adr, r.amq) for r in got] == [(10, "bulk", "0/1", [4, 3], [5, 4], [60, None]), (10, "cell", "./.", [0, 0], [1, 0], [60, None])]
+
+
+def test_tags_keep_their_types(spark, tmp_path):
+    tags = ["BC:Z:007", "XA:A:7", "XF:f:1.5", "XI:i:-3", "XU:i:4000000000", "XB:B:s,1,-2", "XH:H:1AE3"]
+    (tmp_path / "t.sam").write_text("@SQ\tSN:chr1\tLN:1000\nq\t0\tchr1\t1\t60\t2M\t*\t0\t0\tAC\tII\t" + "\t".join(tags) + "\n")
+    reads, contigs = text.read_sam(spark, str(tmp_path / "t.sam")), text.sam_contigs(spark, str(tmp_path / "t.sam"))
+    assert sorted(text.sam_lines(reads, contigs).first()["value"].split("\t")[11:]) == sorted(tags)
+    spark.dataSource.register(bam.BamSink)
+    fields = [c.split()[0] for c in bam.ALIGNMENT.replace("struct<type:string,value:string>", "s").split(", ")]
+    reads.select(*fields).na.fill(-1, ["mpos"]).coalesce(1).write.format("bam").option("contigs", "chr1:1000").mode("append").save(str(tmp_path / "out"))
+    found = bam.read_bam(spark, str(tmp_path / "out")).first()
+    assert sorted(f"{k}:{v['type']}:{v['value']}" for k, v in found.tags.items()) == sorted(tags) and found.bc == "007"
+
+
+def test_files_that_are_cut_off(spark, tmp_path):
+    data = bam.compressed(b"x" * 100_000)
+    assert bam.has_end(data) and not bam.has_end(data[: -len(bam.EOF)])
+    with pytest.raises(ValueError, match="cut off"):
+        bam.whole(data[: -len(bam.EOF)])
+    (tmp_path / "d.sam").write_text("@SQ\tSN:a\tLN:9\n@SQ\tSN:a\tLN:9\n")
+    with pytest.raises(Exception, match="comes twice"):
+        text.sam_contigs(spark, str(tmp_path / "d.sam")).collect()
+
+
+def test_virtual_offsets_and_ranges():
+    rows = [f"line {i} " + "y" * (i % 700) for i in range(2000)]
+    data = bam.compressed(("\n".join(rows) + "\n").encode())
+    found = list(bam.text_lines(data))
+    assert [line for _, line in found] == rows
+    for at in (0, 7, 500, 1999):
+        assert next(bam.text_lines(data, found[at][0]))[1] == rows[at]
+        assert b"".join(bam.contents_from(data, found[at][0])).decode().startswith(rows[at])
+    cuts = bam.block_ranges(data, 3000)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:], strict=False)) and len(cuts) > 2
+    assert b"".join(part for a, b in cuts for _, part in bam.blocks(data[a:b])) == ("\n".join(rows) + "\n").encode()
+
+
+def test_records_in_pieces():
+    from types import SimpleNamespace
+
+    head = b"BAM\1" + bytes(4) + b"\1\0\0\0" + b"\5\0\0\0chr1\0" + b"\xe8\3\0\0"
+    row = lambda i: SimpleNamespace(qname=f"q{i}", cigar="4M", bases="ACGT", quals=[30] * 4, tags={}, tid=0, pos=i, mapq=60, flag=0, mtid=-1, mpos=-1, isize=0)
+    data = head + b"".join(bam.encoded(row(i)) for i in range(100))
+    got = [r for first, part in bam.pieces(data, 300) for r in bam.records(part, 0, first)]
+    assert len(list(bam.pieces(data, 300))) > 5 and [(r[0], r[1], r[4]) for r in got] == [(i, f"q{i}", i) for i in range(100)]
+    with pytest.raises(ValueError, match="cut off"):
+        list(bam.pieces(data[:-3]))
+
+
+def test_fastq_over_many_lines(spark, tmp_path):
+    (tmp_path / "m.fq").write_text("@a one\nACGT\nAC\n+\nIIII\n@I\n@b\nGG\n+b\n+I\n")
+    got = [(r.name, r.seq, r.qual) for r in text.read_fastq(spark, str(tmp_path / "m.fq")).orderBy("record").collect()]
+    assert got == [("a", "ACGTAC", "IIII@I"), ("b", "GG", "+I")]
+    (tmp_path / "s.fq").write_text("@a\nACGT\nAC\n+\nIIII\n")
+    with pytest.raises(Exception, match="not a FASTQ record"):
+        text.read_fastq(spark, str(tmp_path / "s.fq")).collect()
+
+
+def test_regions():
+    from helixframe.operators.intervals import parse_region
+
+    whole = 1 << 29
+    given = ["chr1:2000-1000", "chr1:-5", "chr1:5-", "chr1:1,000", "chr1:a-5", "chr1:1-2-3", "a:b:7-9", "chr1:"]
+    assert [parse_region(g) for g in given] == [
+        ("chr1:2000-1000", 0, whole), ("chr1", 0, whole), ("chr1:5-", 0, whole), ("chr1", 999, whole), ("chr1:a-5", 0, whole), ("chr1:1-2-3", 0, whole), ("a:b", 6, 9), ("chr1", 0, whole),
+    ]
+
+
+def test_region_scan_of_long_reads(spark, tmp_path):
+    from helixframe.sources import store
+
+    store.write_sorted(spark.createDataFrame([(0, 100, 3_000_000), (0, 2_000_000, 10), (1, 5, 10)], "tid long, pos int, rlen int"), str(tmp_path / "s"))
+    assert store.scan_region(spark, str(tmp_path / "s"), "chr1:2,500,001-2,500,100", {"chr1": 0, "chr2": 1}).count() == 1
+
+
+def test_lists_given_in_line(spark, tmp_path):
+    (tmp_path / "l").write_text("x\ny z\n")
+    assert [r.name for r in text.read_list(spark, ":a,b,,c").collect()] == ["a", "b", "c"]
+    assert sorted(r.name for r in text.read_list(spark, str(tmp_path / "l")).collect()) == ["x", "y z"]
