@@ -1,9 +1,14 @@
 """BAM and the blocked gzip under it.
 
-Files are read as binary rows, so any file system of Spark's works. One task
-unpacks a file's blocks and cuts them at record borders; the pieces are dealt
-out, and records are decoded in parallel. Output is written by a data source,
-one complete file a partition, block by block.
+The data source ``bam`` reads files by byte ranges: a task seeks to its range,
+finds the first record that starts in it and decodes the blocks from there, so a
+file of any size spreads over tasks and is never held whole. With an index
+(``write_index``) a region, given as an option or pushed down as filters on
+``tid`` and ``pos``, opens the chunks that may meet it and nothing else.
+
+Where only Spark reaches a path (a scheme that ``ranges`` does not open), a file
+is one binary row, of 2 GB at most, unpacked in one task. Output is written by
+the same data source, one complete file a partition, block by block.
 
 A tag keeps its type: ``tags`` maps it to (type, value), where all integer types
 are ``i`` as in SAM text, and an array is its element type and values.
@@ -11,6 +16,7 @@ are ``i`` as in SAM text, and an array is its element type and values.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
 import zlib
@@ -18,7 +24,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+
+from . import ranges
+from .ranges import EOF
 
 # Limits and codes of the formats.
 PAYLOAD = 0xFF00
@@ -186,21 +196,26 @@ def records(data: bytes, at: int, seq: int = 0) -> Iterator[tuple]:
         end = at + 4 + size
         if size < 32 or end > len(data):
             raise ValueError("a record is cut off")
-        tid, pos, l_name, mapq, _, n_ops, flag, l_seq, mtid, mpos, isize = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        p = at + 36
-        name, p = data[p : p + l_name - 1].decode(), p + l_name
-        cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{n_ops}I", data, p)) or None
-        p += 4 * n_ops
-        packed, p = data[p : p + (l_seq + 1) // 2], p + (l_seq + 1) // 2
-        bases = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] or None
-        quals = None if l_seq == 0 or data[p] == 0xFF else list(data[p : p + l_seq])
-        tags = _tags(data[p + l_seq : end])
-        text = {k: v["value"] for k, v in tags.items()}
-        nm = int(text["NM"]) if "NM" in text else None
-        yield seq, name, flag, tid, pos, mapq, cigar, mtid, mpos, isize, bases, quals, tags, text.get("BC"), text.get("BF"), text.get("SA"), nm
+        yield _row(data, at, end, seq)
         seq, at = seq + 1, end
 
 
+def _row(data: bytes, at: int, end: int, seq: int) -> tuple:
+    """The row of ``ALIGNMENT`` of one record."""
+    tid, pos, l_name, mapq, _, n_ops, flag, l_seq, mtid, mpos, isize = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
+    p = at + 36
+    name, p = data[p : p + l_name - 1].decode(), p + l_name
+    cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{n_ops}I", data, p)) or None
+    p += 4 * n_ops
+    packed, p = data[p : p + (l_seq + 1) // 2], p + (l_seq + 1) // 2
+    bases = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq] or None
+    quals = None if l_seq == 0 or data[p] == 0xFF else list(data[p : p + l_seq])
+    tags = _tags(data[p + l_seq : end])
+    text = {k: v["value"] for k, v in tags.items()}
+    nm = int(text["NM"]) if "NM" in text else None
+    return seq, name, flag, tid, pos, mapq, cigar, mtid, mpos, isize, bases, quals, tags, text.get("BC"), text.get("BF"), text.get("SA"), nm
+
+
 def pieces(data: bytes, size: int = PIECE) -> Iterator[tuple[int, bytes]]:
     """(number of the first record, records) of unpacked contents, cut at record borders."""
     at = start = header(data)[2]
@@ -216,8 +231,31 @@ def pieces(data: bytes, size: int = PIECE) -> Iterator[tuple[int, bytes]]:
         yield first, data[start:at]
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of one file or many, ``seq`` being the order in a file; a file without its end marker is an error."""
+def read_bam(spark: SparkSession, path: str, index: str | None = None, region: str | None = None) -> DataFrame:
+    """Alignments of one file, a folder or a pattern; ``seq`` is a record's virtual offset, so the order in its file.
+
+    ``region`` is read through ``index``, a folder that ``write_index`` wrote. A
+    file without its end marker is an error.
+    """
+    if ranges.scheme(path) not in ranges.OPENED:
+        return _read_whole(spark, path)
+    spark.dataSource.register(Bam)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    given = {k: v for k, v in (("index", index), ("region", region), ("push", push)) if v is not None}
+    return spark.read.format("bam").options(**given).load(path)
+
+
+def write_index(spark: SparkSession, path: str, index: str) -> None:
+    """Write the region index of files in coordinate order, or any other: chunks are then more and smaller."""
+    spark.dataSource.register(Bam)
+    rows = spark.read.format("bam").option("rows", "index").load(path)
+    # ranges of one file see a window each: the least offset is the window's
+    lines = rows.groupBy("kind", "file", "tid", "at", F.when(F.col("kind") == "bin", F.col("beg")).alias("_b")).agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("_b")
+    lines.sort("kind", "file", "tid", "at", "beg").write.parquet(index)
+
+
+def _read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of files that only Spark reaches; ``seq`` numbers the records of a file."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -240,8 +278,33 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(cut, "first long, part binary").repartition(spark.sparkContext.defaultParallelism).mapInPandas(decode, ALIGNMENT)
 
 
+def read_header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
+    """(text, contigs, virtual offset of the first record, size) of one file, which must be complete."""
+    size = ranges.size_of(path)
+    with ranges.open_at(path) as f:
+        if not ranges.has_end(f, size):
+            raise ValueError(f"the file lacks its last block, it is cut off: {path}")
+        blocks, at, data = ranges.Blocks(f, size), 0, b""
+        while at < size:
+            part, after = blocks.contents(at)
+            data += part
+            with contextlib.suppress(struct.error):  # it goes on in the next block
+                text, contigs, end = header(data) if len(data) >= 8 else header(b"BAM\1")
+                inside = end - (len(data) - len(part))
+                return text, contigs, at << 16 | inside if inside < len(part) else after << 16, size
+            at = after
+    raise ValueError(f"not a BAM file: {path}")
+
+
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
     """(tid, name, len, off) of the first file's header."""
+    if ranges.scheme(path) in ranges.OPENED:
+        found = read_header(ranges.files_of(path)[0])[1]
+        off, rows = 0, []
+        for tid, (name, size) in enumerate(found):
+            rows.append((tid, name, size, off))
+            off += size
+        return spark.createDataFrame(rows, "tid long, name string, len long, off long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -303,6 +366,121 @@ def _bin(beg: int, end: int) -> int:
     return 0
 
 
+class _Range(InputPartition):
+    """Records of a file that start in [beg, end), virtual offsets; ``known`` if a record starts at ``beg``."""
+
+    def __init__(self, file: str, beg: int, end: int, known: bool):
+        self.file, self.beg, self.end, self.known = file, beg, end, known
+
+
+class BamReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.index, self.rows = options["path"], options.get("index"), options.get("rows", "alignments")
+        self.step = int(options.get("rangebytes", options.get("rangeBytes", 16 << 20)))
+        self.wanted: tuple[int, int, int] | None = None  # tid, beg, end
+        self.heads: dict[str, tuple] = {}
+        if region := options.get("region"):
+            from helixframe.operators.intervals import parse_region
+
+            names = {name: tid for tid, (name, _) in enumerate(self._head(self._files()[0])[1])}
+            name, beg, end = parse_region(region, set(names))
+            self.wanted = (names.get(name, len(names)), beg, end)
+
+    def _files(self) -> list[str]:
+        return ranges.files_of(self.path)
+
+    def _head(self, file: str) -> tuple:
+        if file not in self.heads:
+            self.heads[file] = read_header(file)
+        return self.heads[file]
+
+    def partitions(self) -> list[_Range]:
+        out = []
+        for file in self._files():
+            _, contigs, first, size = self._head(file)
+            chunks, levels = [(first, size << 16)], self._levels(contigs)
+            if self.wanted and self.index:
+                tid, beg, end = self.wanted
+                end = min(end, contigs[tid][1]) if tid < len(contigs) else 0
+                chunks = ranges.chunks_of(self.index, tid, beg, end, levels).get(file, []) if beg < end else []
+            for beg, end in chunks:
+                cuts = range((beg >> 16) + self.step, (end - 1 >> 16) + 1, self.step)
+                edges = [beg, *(c << 16 for c in cuts), end]
+                out += [_Range(file, a, b, k == 0) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+        return out or [_Range("", 0, 0, True)]
+
+    @staticmethod
+    def _levels(contigs: list[tuple[str, int]]) -> int:
+        return ranges.levels_for(max((n for _, n in contigs), default=0))
+
+    def read(self, partition: _Range):
+        if not partition.file:
+            return
+        _, contigs, _, size = self._head(partition.file)
+        with ranges.open_at(partition.file) as f:
+            found = self.records(ranges.Blocks(f, size), partition, [n for _, n in contigs])
+            if self.rows == "index":
+                yield from ranges.index_rows(partition.file, found, self._levels(contigs))
+                return
+            held = []
+            for beg, _, record in found:
+                if not self.wanted or self._meets(record):
+                    held.append(_row(record, 0, len(record), beg))
+                if len(held) == 2000:
+                    yield arrow_rows(held)
+                    held = []
+            if held:
+                yield arrow_rows(held)
+
+    @staticmethod
+    def records(blocks: ranges.Blocks, part: _Range, lengths: list[int]) -> Iterator[tuple[int, int, bytes]]:
+        beg = part.beg
+        if not part.known:
+            at = blocks.first_from(beg >> 16)
+            beg = None if at is None or at << 16 >= part.end else ranges.first_record(blocks, at, (part.end - 1 >> 16) + 1, lengths)
+        return iter(()) if beg is None else ranges.records_between(blocks, beg, part.end)
+
+    def _meets(self, record: bytes) -> bool:
+        (tid, pos), (wanted, beg, end) = struct.unpack_from("<ii", record, 4), self.wanted
+        return tid == wanted and pos < end and pos + max(1, ranges.span(record)) > beg
+
+
+class PushingBamReader(BamReader):
+    """Used where ``spark.sql.python.filterPushdown.enabled`` is on, as Spark rejects it elsewhere."""
+
+    def pushFilters(self, filters: list[Filter]):
+        """Equality on ``tid`` and bounds on ``pos`` choose chunks of the index; Spark tests all filters again."""
+        tid, beg, end = None, 0, 1 << 40
+        for f in filters:
+            match f:
+                case EqualTo(("tid",), value):
+                    tid = value
+                case EqualTo(("pos",), value):
+                    beg, end = max(beg, value), min(end, value + 1)
+                case GreaterThan(("pos",), value):
+                    beg = max(beg, value + 1)
+                case GreaterThanOrEqual(("pos",), value):
+                    beg = max(beg, value)
+                case LessThan(("pos",), value):
+                    end = min(end, value)
+                case LessThanOrEqual(("pos",), value):
+                    end = min(end, value + 1)
+        if tid is not None and tid >= 0 and self.wanted is None and self.index:
+            self.wanted = (tid, beg, max(end, beg + 1))
+        return filters
+
+
+def arrow_rows(rows: list[tuple]):
+    """Rows of ``ALIGNMENT`` as one batch."""
+    import pyarrow as pa
+
+    tag = pa.struct([("type", pa.string()), ("value", pa.string())])
+    kinds = {"seq": pa.int64(), "quals": pa.list_(pa.int32()), "tags": pa.map_(pa.string(), tag)} | dict.fromkeys(("flag", "pos", "mapq", "mpos", "isize", "nm"), pa.int32()) | dict.fromkeys(("tid", "mtid"), pa.int64())
+    columns = dict(zip(_FIELDS, map(list, zip(*rows, strict=True)), strict=True))
+    columns["tags"] = [list(t.items()) for t in columns["tags"]]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.string())) for c in _FIELDS], _FIELDS)
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, path: str):
         self.path = path
@@ -339,7 +517,7 @@ class _Writer(DataSourceWriter):
                 os.remove(m.path)
 
 
-class BamSink(DataSource):
+class Bam(DataSource):
     """Tags as in ``ALIGNMENT``. ``df.write.format("bam").option("contigs", "chr1:1000,...").mode("append").save(path)``: a file a partition, in a folder all executors share; names appear on commit."""
 
     @classmethod
@@ -347,7 +525,10 @@ class BamSink(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return ALIGNMENT
+        return ranges.INDEX if self.options.get("rows") == "index" else ALIGNMENT
+
+    def reader(self, schema) -> BamReader:
+        return (PushingBamReader if self.options.get("push") == "true" else BamReader)(dict(self.options))
 
     def writer(self, schema, overwrite):
         return _Writer(self.options)

@@ -55,7 +55,7 @@ def test_sam_and_bam(spark, tmp_path):
     reads = text.read_sam(spark, str(tmp_path / "x.sam"))
     back = [r.value for r in text.sam_lines(reads, contigs).orderBy("seq").collect()]
     assert back == SAM.splitlines()[2:]
-    spark.dataSource.register(bam.BamSink)
+    spark.dataSource.register(bam.Bam)
     fields = [c.split()[0] for c in bam.ALIGNMENT.split(", ")]
     whole = reads.select(*fields).na.fill(-1, ["pos", "mpos"]).na.fill(0, ["isize"]).orderBy("seq").coalesce(1)
     whole.write.format("bam").option("contigs", "chr1:1000,chr2:500").mode("append").save(str(tmp_path / "out"))
@@ -95,7 +95,7 @@ def test_tags_keep_their_types(spark, tmp_path):
     (tmp_path / "t.sam").write_text("@SQ\tSN:chr1\tLN:1000\nq\t0\tchr1\t1\t60\t2M\t*\t0\t0\tAC\tII\t" + "\t".join(tags) + "\n")
     reads, contigs = text.read_sam(spark, str(tmp_path / "t.sam")), text.sam_contigs(spark, str(tmp_path / "t.sam"))
     assert sorted(text.sam_lines(reads, contigs).first()["value"].split("\t")[11:]) == sorted(tags)
-    spark.dataSource.register(bam.BamSink)
+    spark.dataSource.register(bam.Bam)
     fields = [c.split()[0] for c in bam.ALIGNMENT.replace("struct<type:string,value:string>", "s").split(", ")]
     reads.select(*fields).na.fill(-1, ["mpos"]).coalesce(1).write.format("bam").option("contigs", "chr1:1000").mode("append").save(str(tmp_path / "out"))
     found = bam.read_bam(spark, str(tmp_path / "out")).first()
