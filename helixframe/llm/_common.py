@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """A checkpoint of ``df`` and aggregates of its rows (``n`` is their number), from the one job that writes it."""
+    seen = Observation()
+    names = {"n": F.count(F.lit(1))} | measures
+    out = checkpointed(df.observe(seen, *[c.alias(name) for name, c in names.items()]))
+    return out, seen.get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

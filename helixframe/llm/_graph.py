@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import measured
 
 #: Parts of one node's links: a hub of a third of all links spreads over so many tasks.
 SALTS = 64
@@ -42,14 +42,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Nodes without an edge are absent; self-links and repeated links do nothing.
     """
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e, seen = checkpointed(e), None
-    while True:
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state["n"] == 0 or (state["n"], state["s"]) == seen:
-            break
-        seen = (state["n"], state["s"])
-        e = checkpointed(_small(_large(e).filter("u <> v").distinct()).filter("u <> v").distinct())
+    (e, state), seen = measured(e, total=total), None
+    while state["n"] and state != seen:
+        seen = state
+        e, state = measured(_small(_large(e).filter("u <> v").distinct()).filter("u <> v").distinct(), total=total)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -5,7 +5,8 @@ Plan, for any number of documents:
 1. one Arrow pass per document: distinct word shingles, their SuperMinHash
    signature, and a 64-bit hash of each band of it;
 2. documents with equal shingle sets fold into one class (map-side combine),
-   so a group of copies costs one row from here on;
+   so a group of copies costs one row from here on; a class has a number of its
+   own, and its text is that of the row with its least id;
 3. per (band, hash) bucket the least and the greatest class become its leaders,
    by aggregation, and each member is paired with these two only;
 4. pairs are verified on the full shingle sets, verified links are unioned;
@@ -22,8 +23,11 @@ the sketch adds 4e-12 to that.
 
 Defined cases: null, empty or blank text has no shingle, and is linked with
 nothing; a text shorter than a shingle has its whole word sequence as the one
-shingle; repeated rows give repeated results; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+shingle; repeated rows give repeated results; an id may repeat with other texts:
+its rows are judged each by its own text, and all rows with the least id of their
+group are kept; a row without an id links like any other, and is kept, with a
+null component, only if no row of its group has an id; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, shuffles_deleted
+from ._common import checkpointed, measured, shuffles_deleted
 from ._graph import components
 from ._text import U64, mix, shingle_sets, slices, utf8
 
 _ROUND = U64(0xA0761D6478BD642F)
 _BAND = mix(np.arange(1, 257, dtype=np.uint64)) | U64(1)
+#: What tells rows apart as far as it matters: the id and 128 bits of a hash of the text.
+ROW = ["doc", "t1", "t2"]
 #: Members of a bucket whose pairs are made by a join.
 CROWDED = 128
 #: Rows of a block without texts, and shingles of a block with texts.
@@ -125,16 +131,16 @@ def _signed(shingle: int, bands: int, rows: int):
                     np.cumsum(z, out=s[1:])
                     sums.append((s[at[1:]] - s[at[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), _lists(band_hashes(sig, bands, rows)), _lists(sketch(sig))],
-                    ["id", "n", "f1", "f2", "bands", "sketch"],
+                    [*(batch.column(c).slice(a, b - a) for c in ROW), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1]), _lists(band_hashes(sig, bands, rows)), _lists(sketch(sig))],
+                    [*ROW, "n", "f1", "f2", "bands", "sketch"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, f1, f2, bands, sketch) of each row of (id, text)."""
-    return docs.mapInArrow(_signed(shingle, bands, rows), "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    """(doc, t1, t2, n, f1, f2, bands, sketch) of each row of (doc, text, t1, t2)."""
+    return docs.mapInArrow(_signed(shingle, bands, rows), "doc long, t1 long, t2 long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
 
 def _linked(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
@@ -161,15 +167,24 @@ def _compared(shingle: int, num: int, den: int):
     return run
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """``texts`` (id, text) without rows that nobody asks for, if the ids asked for are few; so that the others are not shuffled."""
-    few = _few(ids.distinct())
-    return texts.join(few, "id", "left_semi") if few is not None else texts
+class Texts:
+    """The texts of classes: ``docs`` (doc, t1, t2, text) and the row that stands for a class, (id, doc, t1, t2)."""
 
+    def __init__(self, docs: DataFrame, rows: DataFrame):
+        self.docs, self.rows = docs, rows
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of the classes asked for; texts of others are not shuffled if these are few."""
+        asked, seen = measured(self.rows.join(ids.distinct(), "id").withColumnsRenamed({c: f"{c}_" for c in ROW}))
+        asked = F.broadcast(asked) if seen["n"] <= BROADCAST_ROWS else asked
+        same = (F.col("t1") == F.col("t1_")) & (F.col("t2") == F.col("t2_")) & F.col("doc").eqNullSafe(F.col("doc_"))
+        # rows that repeat in full meet here
+        return self.docs.join(asked, same).select("id", "text").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, texts: Texts, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with ``den * |A & B| >= num * |A | B|`` on the full shingle sets."""
-    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts)
+    texts = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     sided = sided.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return sided.mapInArrow(_compared(shingle, num, den), "a long, b long")
@@ -255,16 +270,10 @@ def _inside(cells: int, num: int, den: int, shingle: int | None):
 BROADCAST_ROWS = 100_000
 
 
-def _few(df: DataFrame) -> DataFrame | None:
-    """A table for broadcast, if it is small enough."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else None
-
-
 def _sized(rows: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` with the sizes of their groups; the rows of one large group meet in a task only where there are too many groups to broadcast."""
-    sizes = checkpointed(sizes)
-    return rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, by)
+    sizes, seen = measured(sizes)
+    return rows.join(F.broadcast(sizes) if seen["n"] <= BROADCAST_ROWS else sizes, by)
 
 
 def _parts(weight: Column, limit: int) -> Column:
@@ -297,7 +306,7 @@ def _differing(x: Column, y: Column) -> Column:
     return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def _open_links(placed: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, done: DataFrame, cells: int, shingle: int, num: int, den: int) -> DataFrame:
+def _open_links(placed: DataFrame, comp: DataFrame, reps: DataFrame, texts: Texts, done: DataFrame, cells: int, shingle: int, num: int, den: int) -> DataFrame:
     """Links across components in buckets (key, h) of (key, h, id, comp); ``done`` pairs were compared before."""
     seen = reps.select("id", "n", "sketch")
     bucket = ["key", "h"]
@@ -314,16 +323,16 @@ def _open_links(placed: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataF
     differ = F.aggregate(F.zip_with("sketch", "sketch_", _differing), F.lit(0), lambda t, x: t + x)
     near = (F.col("comp") < F.col("comp_")) & (den * F.least("n", "n_") >= num * F.greatest("n", "n_")) & (differ <= F.lit(int(cells * (1 - AGREE))))
     pairs = left.join(right, bucket).filter(near).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-    pairs = checkpointed(pairs.join(done, ["a", "b"], "left_anti"))
-    found = [] if pairs.isEmpty() else [checkpointed(verified(pairs, docs, shingle, num, den))]
+    pairs, some = measured(pairs.join(done, ["a", "b"], "left_anti"))
+    found = [checkpointed(verified(pairs, texts, shingle, num, den))] if some["n"] else []
 
     # crowded buckets of small components, in blocks
     told = small.filter(F.col("c") > CROWDED).drop("c").join(reps.select("id", "n", "sketch", "bands"), "id")
     grouped = [*bucket, "i", "j"]
     hits = _in_triangle(told, F.lit(1), BLOCK_ROWS).groupBy(*grouped).applyInArrow(_inside(cells, num, den, None), "key int, h long, id long").distinct()
-    told = checkpointed(told.join(hits, [*bucket, "id"], "left_semi"))
-    if not told.isEmpty():
-        told = _in_triangle(told, F.col("n"), BLOCK_SHINGLES).join(_texts_of(told.select("id"), docs), "id")
+    told, some = measured(told.join(hits, [*bucket, "id"], "left_semi"))
+    if some["n"]:
+        told = _in_triangle(told, F.col("n"), BLOCK_SHINGLES).join(texts.of(told.select("id")), "id")
         found.append(checkpointed(told.groupBy(*grouped).applyInArrow(_inside(cells, num, den, shingle), "a long, b long")))
 
     # large components: who shares a bucket with one asks all its members, in blocks
@@ -333,11 +342,11 @@ def _open_links(placed: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataF
     members = comp.join(asked, comp["component"] == asked["c"], "left_semi").select(F.col("component").alias("c"), F.col("node").alias("id"), F.lit(False).alias("asks"))
     meeting = checkpointed(asks.unionByName(members).join(seen, "id"))
     hits = _in_blocks(meeting, F.lit(1), BLOCK_ROWS).groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, None), "c long, id long, asks boolean").distinct()
-    meeting = checkpointed(hits.join(seen, "id"))
-    if not meeting.isEmpty():
-        meeting = _in_blocks(meeting, F.col("n"), BLOCK_SHINGLES).join(_texts_of(meeting.select("id"), docs), "id")
+    meeting, some = measured(hits.join(seen, "id"))
+    if some["n"]:
+        meeting = _in_blocks(meeting, F.col("n"), BLOCK_SHINGLES).join(texts.of(meeting.select("id")), "id")
         found.append(checkpointed(meeting.groupBy("c", "i", "j").applyInArrow(_between(cells, num, den, shingle), "a long, b long")))
-    out = docs.sparkSession.createDataFrame([], "a long, b long")
+    out = placed.sparkSession.createDataFrame([], "a long, b long")
     for links in found:
         out = out.unionByName(links)
     return out
@@ -352,30 +361,51 @@ def near_duplicates(
     ``component_id`` is the least id that links lead to, ``kept`` whether it is
     the row's own.
     """
+    found = grouped(df, id_col, text_col, shingle, num, den, bands, rows)
+    kept = F.coalesce(F.col("component_id") == F.col("doc"), F.col("component_id").isNull())
+    return found.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def text_hash(text: str | Column) -> dict[str, Column]:
+    """The two 64-bit hashes, t1 and t2, that tell texts apart."""
+    text = F.col(text) if isinstance(text, str) else text
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text, F.lit(1))}
+
+
+def grouped(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 5
+) -> DataFrame:
+    """(doc, t1, t2, n, component_id, group) of each row; ``group`` numbers near-duplicates, and is null without a shingle."""
     with shuffles_deleted(df.sparkSession):
-        return _near_duplicates(df, id_col, text_col, shingle, num, den, bands, rows)
+        return _grouped(df, id_col, text_col, shingle, num, den, bands, rows)
 
 
-def _near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).withColumns(text_hash("text"))
     signed = checkpointed(signatures(docs, shingle, bands, rows))
     shape = ["f1", "f2", "n"]
-    classes = signed.filter("n > 0").groupBy(*shape).agg(F.min("id").alias("rep"))
-    reps = signed.join(classes.select(*shape, F.col("rep").alias("id")), [*shape, "id"], "left_semi").dropDuplicates(["id"])
+    # the row with the least id stands for its class, one without an id if there is no other
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), *ROW)).alias("row")
+    classes = checkpointed(signed.filter("n > 0").groupBy(*shape).agg(first).select(*shape, "row.doc", "row.t1", "row.t2", F.monotonically_increasing_id().alias("id")))
+    texts = Texts(docs, classes.select("id", *ROW))
+    mine = classes.withColumnsRenamed({c: f"{c}_" for c in [*shape, *ROW]})
+    same = [F.col(c) == F.col(f"{c}_") for c in [*shape, "t1", "t2"]] + [F.col("doc").eqNullSafe(F.col("doc_"))]
+    reps = signed.join(mine, same).select("id", "n", "bands", "sketch").dropDuplicates(["id"])
     slim = reps.select("id", F.posexplode("bands").alias("key", "h"))
     lead = slim.groupBy("key", "h").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("c > 1").drop("c")
     # only rows in company: (key, h, id, lo, hi)
     held = checkpointed(slim.join(lead, ["key", "h"]))
     pairs = held.select("id", F.explode(F.array("lo", "hi")).alias("o"))
     pairs = checkpointed(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).filter("a < b").distinct())
-    links = checkpointed(verified(pairs, docs, shingle, num, den).distinct())
+    links = checkpointed(verified(pairs, texts, shingle, num, den).distinct())
     comp = components(links, "a", "b")
     placed = held.join(comp, held["id"] == comp["node"], "left").select("key", "h", "id", F.coalesce("component", "id").alias("comp"))
-    more = _open_links(placed, comp, reps.select("id", "n", "bands", "sketch"), docs, pairs, bands * rows, shingle, num, den)
-    more = checkpointed(more.distinct())
-    comp = comp if more.isEmpty() else components(links.unionByName(more), "a", "b")
-    named = classes.join(comp, classes["rep"] == comp["node"], "left").select(*shape, F.coalesce("component", "rep").alias("component_id"))
-    # component ids are least class ids, and a class id is the least id of its copies
-    out = signed.select("id", *shape).join(named, shape, "left")
-    comp_id = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), (comp_id == F.col("id")).alias("kept"))
+    more, some = measured(_open_links(placed, comp, reps, texts, pairs, bands * rows, shingle, num, den).distinct())
+    comp = components(links.unionByName(more), "a", "b") if some["n"] else comp
+    # a component is named by the least id in it, which is that of one of its classes
+    whose = comp.join(classes.select(F.col("id").alias("node"), "doc"), "node")
+    least = whose.groupBy("component").agg(F.min("doc").alias("least"))
+    named = classes.join(comp, classes["id"] == comp["node"], "left").join(least, "component", "left")
+    named = named.select(*shape, F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("least")).alias("least"), F.coalesce("component", "id").alias("group"))
+    out = signed.select(*ROW, *shape).join(named, shape, "left")
+    return out.select(*ROW, "n", F.when(F.col("group").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"), "group")

@@ -141,7 +141,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowded, large, s
             rows.append((len(rows), " ".join(t) if rnd.random() < 0.8 else " ".join(base)))
     rows += [(1000 + i, t) for i, t in EDGE if i != 8]
     if shared == 1:
-        bands = [r.bands for r in minhash.signatures(docs(spark, rows).selectExpr("doc_id AS id", "text"), 4, 32, 5).collect()]
+        bands = [r.bands for r in minhash.signatures(docs(spark, rows).selectExpr("doc_id AS doc", "text", "0L AS t1", "0L AS t2"), 4, 32, 5).collect()]
         assert {b[3] for b in bands} == {0} and len({b[0] for b in bands}) > 50
     got = minhash.near_duplicates(docs(spark, rows), shingle=4).collect()
     assert {tuple(r) for r in got} == brute_components(rows, 4)
@@ -153,6 +153,59 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids_equal_brute_force(spark):
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(300)]
+    base = [[rnd.choice(vocab) for _ in range(80)] for _ in range(6)]
+    near = lambda k, n=1: " ".join(w if j >= n else f"x{k}{rnd.random()}" for j, w in enumerate(base[k]))
+    rows = [(1, " ".join(base[5])), (1, " ".join(base[0])), (2, near(0)), (3, " ".join(base[0]))]  # two classes share the least id
+    rows += [(None, near(1)), (7, near(1)), (None, near(1)), (None, near(2)), (None, near(2)), (None, " ".join(base[3])), (None, None), (None, "")]
+    rows += [(rnd.choice([None, 4, 5, 6, 9]), near(rnd.randrange(5), rnd.randint(0, 6))) for _ in range(40)]
+    rows += [(9, " ".join(base[4]))] * 30 + [(None, " ".join(base[4]))] * 5
+    low = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in low]
+    comp = list(range(len(rows)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp[find(a)] = find(b)
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(find(k), []).append(i)
+    want = []
+    for k, (i, _) in enumerate(rows):
+        some = [x for x in ids[find(k)] if x is not None]
+        least = min(some) if some else None
+        want.append((i, len(sets[k]), least, least is None or i == least))
+    got = minhash.near_duplicates(docs(spark, rows), shingle=4)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    """Lone pairs with a similarity of 0.80 to 0.82, among 1,500 documents."""
+    rnd = random.Random(13)
+    rows, linked = [], 0
+    for k in range(750):
+        words = [f"{k}w{j}" for j in range(180 + k % 40)]
+        other, cut = list(words), rnd.randint(16, 22)
+        other[:cut] = [f"{k}v{j}" for j in range(cut)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        n, same = len(words) - 4, len(words) - 4 - cut
+        linked += 0.8 <= same / (2 * n - same) < 0.82
+    near = {(i, len(t)) for i, t in rows}
+    assert linked > 100 and near
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    for k in range(750):
+        a, b = (set(zip(*[t.split()[j:] for j in range(5)], strict=False)) for t in (rows[2 * k][1], rows[2 * k + 1][1]))
+        assert (got[2 * k + 1] == 2 * k) == (100 * len(a & b) >= 80 * len(a | b))
+
+
 # ---------------------------------------------------------------- vectors
 
 
