@@ -58,16 +58,19 @@ def selection(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each near-duplicate group: that with the least id, rows without an id last.
 
-    A row's key is a 64-bit hash of all its columns, so equal rows count once;
-    rows that share an id or have none are rows of their own: they stay unless
-    another row of their group does. Texts without a word link with nothing.
+    A row's key is 128 bits of a hash of all its columns, so equal rows count
+    once; rows that share an id or have none are rows of their own: they stay
+    unless another row of their group does. Texts without a word link with nothing.
     """
-    name = unused("row_key", docs.columns)
-    keyed = docs.withColumn(name, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
-    groups = minhash.near_duplicates(keyed, id_col=name).select(F.col(name).alias("key"), "component_id").distinct()
-    ranked = keyed.select(F.col(name).alias("key"), F.col("doc_id").isNull().alias("no_id"), "doc_id").join(groups, "key")
-    kept = ranked.groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "key")).alias("row")).select(F.col("row.key").alias(name))
-    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    one, two, t1, t2 = (unused(c, docs.columns) for c in ("row_key", "row_check", "text_key", "text_check"))
+    cells = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]
+    keyed = docs.withColumns({one: F.xxhash64(*cells), two: F.xxhash64(F.lit(1), *cells, F.lit(1))} | dict(zip((t1, t2), minhash.text_hash("text").values(), strict=True)))
+    groups = minhash.grouped(keyed.select(F.col(one).alias("id"), "text"), id_col="id").select("doc", F.col("t1").alias("g1"), F.col("t2").alias("g2"), "group").distinct()
+    rows = keyed.select(F.col(one).alias("a"), F.col(two).alias("b"), F.col(t1).alias("c"), F.col(t2).alias("d"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("i"))
+    rows = rows.join(groups, [rows["a"] == groups["doc"], rows["c"] == groups["g1"], rows["d"] == groups["g2"]])
+    first = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct("no_id", "i", "a", "b")).alias("row")).select("row.a", "row.b")
+    kept = first.unionByName(rows.filter("group is null").select("a", "b")).select(F.col("a").alias(one), F.col("b").alias(two))
+    return keyed.join(kept, [one, two], "left_semi").dropDuplicates([one, two]).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
