@@ -60,7 +60,9 @@ def exploded(reads: DataFrame) -> DataFrame:
     """One row per read and reference position of (seq, sample, flag, tid, pos, mapq, ops, bases, quals, frag).
 
     Carries base and quality, whether the position is deleted or skipped, the
-    indel that follows it, and the distance to the nearer end of the aligned query.
+    indel that follows it, and the distance to the nearer end of the aligned
+    query. A column ``_strand`` stands for the strand of the flag. Counts alone
+    need no row a base: see ``tiles``.
     """
     from helixframe.functions.reads import aligned_blocks
 
@@ -74,8 +76,9 @@ def exploded(reads: DataFrame) -> DataFrame:
     deleted = F.when(last & (F.col("_after.op") == "D"), F.col("_after.len"))
     ends = F.aggregate(F.filter("_blocks", lambda x: x["op"] == "S"), F.lit(0), lambda t, x: t + F.when(x["query"] == 0, x["len"]).otherwise(0))
     tail = F.aggregate(F.filter("_blocks", lambda x: x["op"] == "S"), F.lit(0), lambda t, x: t + F.when(x["query"] > 0, x["len"]).otherwise(0))
+    rev = F.col("_strand") if "_strand" in df.columns else has("flag", REVERSE)
     return df.select(
-        "seq", "sample", "tid", (F.col("_b.ref") + F.col("_i")).alias("pos"), has("flag", REVERSE).alias("is_rev"), "mapq", "frag",
+        "seq", "sample", "tid", (F.col("_b.ref") + F.col("_i")).alias("pos"), rev.alias("is_rev"), "mapq", "frag",
         F.when(~gap, F.upper(F.substring(F.col("bases"), q + 1, F.lit(1)))).alias("base"), F.when(~gap, F.try_element_at("quals", (q + 1).cast("int"))).alias("q"),
         gap.alias("is_del"), F.coalesce(ins, F.lit("")).alias("ins"), F.coalesce(deleted, F.lit(0)).alias("del_len"),
         F.greatest(F.lit(0), F.least(q - ends, F.col("_qlen") - tail - 1 - q)).alias("alen"), F.least(q, F.col("_qlen") - q).alias("from_end"),
@@ -236,9 +239,14 @@ def observed(reads: DataFrame, ref: DataFrame, contigs: DataFrame, min_q: int |
 
 def placed(reads: DataFrame) -> DataFrame:
     """A row per read and position; reads with a barcode know their fragment."""
+    return exploded(reads.withColumn("frag", fragment_of()))
+
+
+def fragment_of() -> Column:
+    """The fragment of an alignment with a barcode."""
     from helixframe.functions.reads import fragment_id, reference_span
 
-    return exploded(reads.withColumn("frag", F.when(F.coalesce("bc", "bf").isNotNull(), fragment_id("flag", "pos", reference_span("ops"), "isize"))))
+    return F.when(F.coalesce("bc", "bf").isNotNull(), fragment_id("flag", "pos", reference_span("ops"), "isize"))
 
 
 def deletions(rows: DataFrame, weight: str | None = None) -> DataFrame:

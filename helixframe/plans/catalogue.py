@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import reads as R
-from helixframe.operators import cnv, coverage, dedup, fragments, intervals, joint, pileup, sv, sweep, trim, variants
+from helixframe.operators import cnv, coverage, dedup, fragments, intervals, joint, pileup, sv, sweep, tiles, trim, variants
 from helixframe.operators.stages import checkpoint_folder, settled
 
 from . import fixtures as X
@@ -324,6 +324,25 @@ def poisson_mapq(spark, sf):
     return cigars(spark, sf).select(*_CKEYS, R.poisson_mapq("mapq", "nm", "ops", 0.05).alias("mapq"))
 
 
+_BASES = {"tid": "CAST(l_suppkey % 5 AS BIGINT)", "sample": "CAST(l_linenumber % 2 AS VARCHAR(1))", "bases": f"substring(repeat('ACGTTGCA', 20), CAST(1 + l_partkey % 8 AS INT), 2 * l_linenumber + {X.LEN} + 10)"}
+
+
+@query(
+    f"""WITH r AS ({X.sql(X.CIGARS | _BASES, 'lineitem', f'l_suppkey, l_linenumber AS ln, l_returnflag, {X.LEN} AS len')}),
+b AS (SELECT *, unnest([{{'k': 1, 'q0': ln, 'r0': pos, 'n': len}}, {{'k': 2, 'q0': ln + len + 2, 'r0': pos + len, 'n': ln + 3}}, {{'k': 3, 'q0': 2 * ln + len + 5, 'r0': pos + len + ln + 4, 'n': 5}}]) AS x FROM r),
+p AS (SELECT tid, sample, mapq, l_suppkey, l_returnflag = 'R' AS rev, bases, len, ln, x.k AS k, x.r0 + i AS pos, x.q0 + i AS q, i = x.n - 1 AS last FROM (SELECT *, unnest(range(x.n)) AS i FROM b)),
+o AS (SELECT *, substring(bases, q + 1, 1) AS base, CASE WHEN last AND k = 1 THEN substring(bases, q + 2, 2) ELSE '' END AS ins, (last AND k = 2)::INT AS del_len, greatest(0, least(q - ln, 2 * ln + len + 9 - q)) AS far FROM p WHERE 10 + (q * 7 + l_suppkey) % 30 >= 15)
+SELECT tid, pos::BIGINT AS pos, sample, base, ins, del_len, count(*) AS n, count(*) FILTER (NOT rev) AS fwd, count(*) FILTER (rev) AS rev, count(*) AS raw, sum(least(mapq, 60) * least(mapq, 60))::BIGINT AS sum_mq2, sum(far)::BIGINT AS sum_alen
+FROM o GROUP BY ALL"""
+)
+def pileup_counts(spark, sf):
+    rows = X.project(spark, sf, "lineitem", X.CIGARS | _BASES)
+    quals = F.transform(F.sequence(F.lit(0), F.length("bases") - 1), lambda i: (10 + (i * 7 + F.col("l_suppkey")) % 30).cast("int"))
+    flag = F.when(F.col("l_returnflag") == "R", 16).otherwise(0)
+    reads = rows.select("sample", flag.alias("flag"), "tid", "pos", "mapq", R.cigar_ops("cigar").alias("ops"), "bases", quals.alias("quals"), F.xxhash64(*X.LINEITEM).alias("seq"))
+    return tiles.counted(reads, 15)[0]
+
+
 # ---------------------------------------------------------------- alleles
 
 _COUNTS = f"{_OBS}, n AS (SELECT tid, pos, ref, sample, base, base <> ref AS is_alt, count(*) AS n, count(*) FILTER (NOT is_rev) AS fwd, count(*) FILTER (is_rev) AS rev, sum(mapq * mapq)::BIGINT AS s FROM obs WHERE q >= 20 GROUP BY ALL)"

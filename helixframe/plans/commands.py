@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import reads as R
-from helixframe.operators import cnv, coverage, dedup, fragments, intervals, joint, pileup, sv, sweep, trim, variants
+from helixframe.operators import cnv, coverage, dedup, fragments, intervals, joint, pileup, sv, sweep, tiles, trim, variants
 from helixframe.operators.stages import settled
 from helixframe.sources import bam, text
 
@@ -123,22 +123,29 @@ def run_pileup(spark, a):
     if a.stranded:
         reads = reads.withColumn("_rev", pileup.strand(F.col("flag"), is_cell & F.coalesce("bc", "bf").isNotNull() & R.has("flag", R.PAIRED))).filter("_rev is not null").withColumn("_strand", F.col("_rev")).drop("_rev")
     ref = settled(text.read_fasta(spark, a.reference)) if a.reference else no_reference(contigs)
-    placed = pileup.placed(reads)
-    if a.region:
-        name, beg, end = intervals.parse_region(a.region)
-        placed = placed.join(F.broadcast(contigs.filter(F.col("name") == name).select("tid")), "tid").filter(F.col("pos").between(beg, end - 1))
-    if mask is not None:
-        at = placed.join(F.broadcast(contigs.select("tid", F.col("name").alias("_c"))), "tid").withColumn("_e", F.col("pos") + 1)
-        placed = intervals.overlapping(at, mask, "_c", "pos", "_e").drop("_c", "_e")
-    if a.fasta:
-        placed = settled(placed)
-    obs = pileup.against(pileup.kept(placed, by_class(a.min_q), a.trim), ref, contigs)
-    dropped = None
-    if cells:
-        voted = settled(pileup.vote(obs.withColumn("frag", F.when(is_cell, F.col("frag"))), pileup.ALLELE))
-        dropped, obs = pileup.dropped_reads(voted), voted.filter("not dropped").drop("dropped")
-    weight = "q" if a.quality_depth else None
-    counts = settled(pileup.supported(pileup.allele_counts(obs, pileup.ALLELE, weight=weight), max(1, a.min_support), 0, pileup.ALLELE))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        """Rows with (tid, pos) in the region and the mask, if any."""
+        if a.region:
+            name, beg, end = intervals.parse_region(a.region)
+            rows = rows.join(F.broadcast(contigs.filter(F.col("name") == name).select("tid")), "tid").filter(F.col("pos").between(beg, end - 1))
+        if mask is not None:
+            at = rows.join(F.broadcast(contigs.select("tid", F.col("name").alias("_c"))), "tid").withColumn("_e", F.col("pos") + 1)
+            rows = intervals.overlapping(at, mask, "_c", "pos", "_e").drop("_c", "_e")
+        return rows
+
+    weight, dropped = "q" if a.quality_depth else None, None
+    support = lambda found: settled(pileup.supported(found, max(1, a.min_support), 0, pileup.ALLELE))
+    if a.fasta:  # a consensus also picks reads and deletions
+        placed = settled(inside(pileup.placed(reads)))
+        obs = pileup.against(pileup.kept(placed, by_class(a.min_q), a.trim), ref, contigs)
+        if cells:
+            obs = settled(pileup.vote(obs.withColumn("frag", F.when(is_cell, F.col("frag"))), pileup.ALLELE)).filter("not dropped").drop("dropped")
+        counts = support(pileup.allele_counts(obs, pileup.ALLELE, weight=weight))
+    else:
+        found, lost = tiles.counted(reads, by_class(a.min_q), a.trim, F.when(is_cell, pileup.fragment_of()), weight)
+        dropped = inside(lost) if cells else None
+        counts = support(pileup.against(inside(found), ref, contigs).drop("ref"))
     if a.fasta:
         pick = "majority" if a.majority else "random" if a.random else "code"
         bases = pileup.consensus(obs, counts, pileup.deletions(placed, weight), a.min_support, a.deviation, a.same.upper()[:1], pick, weight=weight)
