@@ -45,27 +45,115 @@ def penalties(weighed: DataFrame, c: float = 4.0) -> DataFrame:
     return sums.select("*", F.try_divide(F.lit(c) * F.col("signal"), F.col("other")).alias("penalty"))
 
 
-def maximal_segments(scores: np.ndarray, least: float = 0.0) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments [start, end) with their score, in order (linear time; Ruzzo and Tompa)."""
-    out: list[list] = []  # start, end, sum before, sum through
+def push(out: list[list], new: list) -> None:
+    """Add a candidate (start, end, sum before, sum through) to those left of it; both stay what a pass over all scores would hold (Ruzzo and Tompa)."""
+    while True:
+        j = len(out) - 1
+        while j >= 0 and out[j][2] >= new[2]:
+            j -= 1
+        if j < 0 or out[j][3] >= new[3]:
+            out.append(new)
+            return
+        new = [out[j][0], new[1], out[j][2], new[3]]
+        del out[j:]
+
+
+def candidates(starts: list, ends: list, scores: list[float]) -> tuple[float, list[list]]:
+    """(sum of all scores, maximal scoring segments) of consecutive pieces."""
+    out: list[list] = []
     total = 0.0
-    for i, s in enumerate(scores.tolist()):
+    for a, b, s in zip(starts, ends, scores, strict=True):
         before, total = total, total + s
-        if s <= 0:
-            continue
-        new = [i, i + 1, before, total]
-        while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                out.append(new)
-                break
-            new = [out[j][0], new[1], out[j][2], new[3]]
-            del out[j:]
+        if s > 0:
+            push(out, [a, b, before, total])
+    return total, out
+
+
+def maximal_segments(scores: np.ndarray, least: float = 0.0) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments [start, end) with their score, in order (linear time)."""
+    _, out = candidates(range(len(scores)), range(1, len(scores) + 1), scores.tolist())
     return [(a, b, through - before) for a, b, before, through in out if through - before >= least]
 
 
+def joined(parts: list[tuple[float, list[list]]]) -> tuple[float, list[list]]:
+    """(sum, candidates) of neighbouring ranges as of one: the candidates of each are pushed behind those before it."""
+    total, out = 0.0, []
+    for part, held in parts:
+        for a, b, before, through in held:
+            push(out, [a, b, total + before, total + through])
+        total += part
+    return total, out
+
+
+def settled_inside(total: float, held: list[list]) -> list[bool]:
+    """Which candidates of a range no range to its left or right can change, unless one segment covers the whole range.
+
+    A segment from the left ends at a candidate only if its sum is above all
+    sums before it in the range, and one to the right starts at a candidate only
+    if its sum is below all sums behind it.
+    """
+    peak, peaks = 0.0, []
+    for _, _, _, through in held:
+        peaks.append(peak)
+        peak = max(peak, through)
+    trough, out = total, [False] * len(held)
+    for k in range(len(held) - 1, -1, -1):
+        out[k] = peaks[k] >= held[k][3] and trough <= held[k][2]
+        trough = min(trough, held[k][2])
+    return out
+
+
+#: Bits of a range's width in bases, and ranges that one step joins.
+RANGE_BITS, JOINED = 20, 16
+_HELD = "kind string, chrom string, rng long, st long, en long, lo double, hi double, total double, done boolean"
+
+
+def _rows_of(kind: str, chrom: str, rng: int, total: float, held: list[list]) -> pd.DataFrame:
+    done = settled_inside(total, held)
+    rows = [(kind, chrom, rng, a, b, lo, hi, None, d) for (a, b, lo, hi), d in zip(held, done, strict=True)]
+    return pd.DataFrame([*rows, (kind, chrom, rng, None, None, None, None, total, False)], columns=[c.split()[0] for c in _HELD.split(", ")]).astype({"st": "Int64", "en": "Int64"})
+
+
+def segments_by_ranges(rows: DataFrame, range_bits: int | None = None, together: int | None = None) -> DataFrame:
+    """(kind, chrom, st, en, score): the maximal scoring segments of (kind, chrom, st, en, score).
+
+    Each range of a contig is solved by itself and hands on its sum and the
+    candidates that other ranges may still change, which are few; ranges are then
+    joined in a tree, ``together`` at a time, so no task holds a contig. A
+    candidate that was settled early and turns out to lie in a larger segment
+    goes at the end.
+    """
+    from .intervals import islands
+    from .stages import settled
+
+    range_bits, together = range_bits or RANGE_BITS, together or JOINED
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["st", "en"], ignore_index=True)
+        total, held = candidates(pdf["st"].tolist(), pdf["en"].tolist(), pdf["score"].tolist())
+        return _rows_of(pdf["kind"][0], pdf["chrom"][0], int(pdf["rng"][0]), total, held)
+
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, part in pdf.sort_values(["rng", "st"], na_position="last").groupby("rng"):
+            held = part[part["st"].notna()]
+            parts.append((float(part["total"].dropna().iloc[0]), [[int(a), int(b), lo, hi] for a, b, lo, hi in zip(held["st"], held["en"], held["lo"], held["hi"], strict=True)]))
+        return _rows_of(pdf["kind"].iloc[0], pdf["chrom"].iloc[0], int(pdf["rng"].iloc[0]) // together, *joined(parts))
+
+    cut = rows.select("kind", "chrom", F.col("st").cast("long").alias("st"), F.col("en").cast("long").alias("en"), F.col("score").cast("double").alias("score")).withColumn("rng", F.shiftright("st", range_bits))
+    level = settled(cut.groupBy("kind", "chrom", "rng").applyInPandas(alone, _HELD))
+    found = level.filter("done")
+    most = level.agg(F.max("rng")).first()[0] or 0
+    while most:
+        level = settled(level.filter("not done").groupBy("kind", "chrom", F.floor(F.col("rng") / together).alias("_g")).applyInPandas(several, _HELD))
+        found, most = found.unionByName(level.filter("done")), most // together
+    found = found.unionByName(level.filter("not done and st is not null"))
+    # candidates are apart or one inside another: the largest of each island stands
+    marked = islands(found.select("kind", "chrom", "st", "en", (F.col("hi") - F.col("lo")).alias("score")), ["kind", "chrom"], ["st", "en"], "st", "en")
+    top = marked.groupBy("kind", "chrom", "island").agg(F.max_by(F.struct("st", "en", "score"), F.col("en") - F.col("st")).alias("x"))
+    return top.select("kind", "chrom", "x.*")
+
+
 def best_segment(scores: np.ndarray) -> float:
     """Score of the best single segment, 0 at least."""
     run = np.concatenate([[0.0], np.cumsum(scores)])
@@ -149,14 +237,10 @@ def permuted_maxima(rows: DataFrame, permutations: int, seed: int) -> DataFrame:
     return runs.mapInPandas(drawn, "kind string, top double")
 
 
-CALLS = "kind string, chrom string, st long, en long, score double, p double"
-
-
 def call(segments: DataFrame, c: float = 4.0, ploidy: int = 2, p_value: float = 1e-4, permutations: int = 200, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(calls, fit): maximal segments beyond the Gumbel quantile of permuted scores, and the fitted parameters.
 
     Permutations run over the scores of all contigs; only their maxima return.
-    Segments are found per contig and kind.
     """
     spark = segments.sparkSession
     weighed = classified(segments, ploidy)
@@ -168,13 +252,9 @@ def call(segments: DataFrame, c: float = 4.0, ploidy: int = 2, p_value: float =
     fit = {k: gumbel_fit(np.sort(v)) for k, v in maxima.items()}
     least = {k: math.floor(gumbel_quantile(1 - p_value, *v)) for k, v in fit.items()}
 
-    def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("st", ignore_index=True)
-        kind, chrom = pdf["kind"][0], pdf["chrom"][0]
-        out = [(kind, chrom, int(pdf["st"][a]), int(pdf["en"][b - 1]), s, gumbel_ccdf(s, *fit[kind])) for a, b, s in maximal_segments(pdf["score"].to_numpy(), least[kind])]
-        return pd.DataFrame(out, columns=["kind", "chrom", "st", "en", "score", "p"])
-
-    calls = rows.groupBy("kind", "chrom").applyInPandas(found, CALLS)
+    bound = spark.createDataFrame([(k, float(least[k]), *map(float, fit[k])) for k in fit], "kind string, _least double, _mu double, _beta double")
+    tail = -F.expm1(-F.exp(-(F.col("score") - F.col("_mu")) / F.col("_beta")))  # exact where it is tiny
+    calls = segments_by_ranges(rows).join(F.broadcast(bound), "kind").filter("score >= _least").select("kind", "chrom", "st", "en", "score", tail.alias("p"))
     params = [(k, float(penalty[k]), float(m), float(b), float(least[k]), float(gumbel_quantile(1 - p_value, m, b))) for k, (m, b) in fit.items()]
     return calls, spark.createDataFrame(params, "kind string, penalty double, mu double, beta double, threshold double, quantile double")
 

@@ -502,6 +502,26 @@ def cnv_segments(spark, sf):
     return cnv.call(depth_bed(spark, sf))[0]
 
 
+_PLANTED = {"gain": (200, 320), "loss1": (500, 600), "loss2": (800, 830)}
+
+
+def _planted_sql() -> str:
+    at = "SELECT *, o_orderkey % 1000 AS k, concat('chr', o_orderkey // 5000) AS chrom, o_orderkey % 5000 * 1000 AS st FROM orders"
+    hits = {k: " OR ".join(f"k BETWEEN {a} AND {b - 1}" for a, b in blocks) for k, blocks in {"gain": [_PLANTED["gain"]], "loss1": [_PLANTED["loss1"], _PLANTED["loss2"]], "loss2": [_PLANTED["loss2"]]}.items()}
+    return " UNION ALL ".join(f"SELECT '{kind}' AS kind, chrom, min(st)::BIGINT AS st, (max(st) + 1000)::BIGINT AS en, count(*) * 1000::DOUBLE AS score FROM ({at}) WHERE {hit} GROUP BY chrom, o_orderkey // 1000, k < 700" for kind, hit in hits.items())
+
+
+@query(_planted_sql())
+def cnv_planted(spark, sf):
+    """Depth with known gains and losses in every thousand segments: the calls are exactly these."""
+    within = lambda kind: F.expr("o_orderkey % 1000").between(_PLANTED[kind][0], _PLANTED[kind][1] - 1)
+    lost = lambda depth: F.when(within("loss2"), 0).otherwise(depth)
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("*", "concat('chr', o_orderkey div 5000) AS chrom", "o_orderkey % 5000 * 1000 AS st", "o_orderkey % 5000 * 1000 + 1000 AS en", "false AS flt")
+    gained = F.when(within("gain"), 3).otherwise(2)
+    segments = rows.select("chrom", "st", "en", lost(gained).alias("d0"), lost(gained).alias("d1"), lost(F.when(within("loss1"), 1).otherwise(3)).alias("d2"), "flt")
+    return cnv.call(segments)[0].drop("p")
+
+
 @query()
 def cnv_gumbel(spark, sf):
     return cnv.call(depth_bed(spark, sf))[1]

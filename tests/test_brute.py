@@ -173,3 +173,81 @@ def test_islands_do_not_depend_on_ranges(spark, touching):
     for bits in (2, 5, 20):
         got = {(r.tid, r.st, r.en): r.island for r in intervals.islands(df, ["tid"], ["st", "en"], "st", "en", touching, bits).collect()}
         assert got == expected
+
+
+def maximal_by_definition(scores):
+    """Segments whose every proper start and end part has a positive sum, of those the ones inside no other."""
+    run = [0]
+    for x in scores:
+        run.append(run[-1] + x)
+    good = [(a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1) if all(run[a] < run[k] for k in range(a + 1, b + 1)) and all(run[k] < run[b] for k in range(a, b))]
+    return sorted((a, b, float(run[b] - run[a])) for a, b in good if not any((c, d) != (a, b) and c <= a and b <= d for c, d in good))
+
+
+def test_maximal_segments_by_their_definition():
+    rnd = random.Random(3)
+    for _ in range(200):
+        scores = [rnd.randint(-5, 5) for _ in range(rnd.randint(0, 18))]
+        assert cnv.maximal_segments(np.array(scores, float)) == maximal_by_definition(scores)
+
+
+def test_segments_compose_for_any_cut():
+    rnd = random.Random(7)
+    for turn in range(1500):
+        n = rnd.randint(1, 40)
+        lean = rnd.choice([-1, 0, 1])
+        scores = [float(rnd.randint(-6 + lean, 6 + lean)) for _ in range(n)]
+        want = cnv.maximal_segments(np.array(scores))
+        parts, a, gone = [], 0, []
+        while a < n:
+            b = min(n, a + rnd.randint(1, 9))
+            parts.append(cnv.candidates(range(a, b), range(a + 1, b + 1), scores[a:b]))
+            a = b
+        assert [(a, b, hi - lo) for a, b, lo, hi in cnv.joined(parts)[1]] == want
+        # a tree of uneven groups, in which settled candidates stay behind
+        def open_of(total, held):
+            done = cnv.settled_inside(total, held)
+            gone.extend(h for h, d in zip(held, done) if d)
+            return total, [h for h, d in zip(held, done) if not d]
+
+        parts = [open_of(*p) for p in parts]
+        while len(parts) > 1:
+            k = rnd.randint(2, 4)
+            parts = [open_of(*cnv.joined(parts[i : i + k])) for i in range(0, len(parts), k)]
+        every = [(a, b) for a, b, *_ in [*gone, *parts[0][1]]]
+        top = sorted((a, b) for a, b in set(every) if not any((c, d) != (a, b) and c <= a and b <= d for c, d in every))
+        assert top == [(a, b) for a, b, _ in want], (turn, scores)
+
+
+@pytest.mark.parametrize("bits,together", [(3, 2), (5, 3), (20, 16)])
+def test_segments_do_not_depend_on_ranges(spark, bits, together):
+    rnd = random.Random(bits)
+    rows, want = [], []
+    for kind in ("gain", "loss1"):
+        for chrom in ("1", "2", "3"):
+            n = rnd.randint(1, 120)
+            scores = [float(rnd.randint(-6, 6)) for _ in range(n)]
+            rows += [(kind, chrom, k, k + 1, s) for k, s in enumerate(scores)]
+            want += [(kind, chrom, a, b, s) for a, b, s in cnv.maximal_segments(np.array(scores))]
+    df = spark.createDataFrame(rows, "kind string, chrom string, st long, en long, score double")
+    assert sorted(map(tuple, cnv.segments_by_ranges(df, bits, together).collect())) == sorted(want)
+
+
+def test_planted_copy_numbers_are_called(spark):
+    rnd = random.Random(21)
+    rows, planted = [], {("gain", "c1", 600_000, 800_000), ("loss1", "c1", 1_400_000, 1_500_000), ("loss2", "c2", 300_000, 360_000)}
+    inside = lambda kind, c, at: any(k == kind and c == ch and a <= at < b for k, ch, a, b in planted)
+    for c in ("c1", "c2"):
+        for k in range(2000):
+            at = 1000 * k
+            gain, one, two = (inside(kind, c, at) for kind in cnv.KINDS)
+            noise = rnd.random() < 0.02
+            d1 = 3 if gain or noise else 2
+            d0 = 0 if two else d1 + 1 if gain else 2
+            rows.append((c, at, at + 1000, d0, d1, 0 if two else 1 if one else 3, False))
+    calls, fit = cnv.call(spark.createDataFrame(rows, "chrom string, st long, en long, d0 int, d1 int, d2 int, flt boolean"))
+    got = [(r.kind, r.chrom, r.st, r.en) for r in calls.collect()]
+    assert {g for g in got if g[0] == "gain"} == {p for p in planted if p[0] == "gain"}
+    assert {g for g in got if g[0] == "loss2"} == {p for p in planted if p[0] == "loss2"}
+    assert {p for p in planted if p[0] == "loss1"} <= set(got)
+    assert all(r.p < 1e-3 for r in calls.collect()) and {r.kind for r in fit.collect()} == set(cnv.KINDS)
