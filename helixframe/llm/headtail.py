@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ._common import checkpointed, shuffles_deleted
 from ._text import U64, mix, slices, utf8
+from .quality import kth_largest
 
 BUCKETS = 10_000
 #: Words and pairs of the head; a word of it has at most ``REACH`` bytes.
@@ -230,7 +231,13 @@ def find_head(texts: DataFrame) -> Head:
     """The head of a table of one text column; at most ``WORDS + PAIRS`` features come to the driver."""
     counted = texts.mapInArrow(_candidates, "pair boolean, feature binary, n long").groupBy("pair", "feature").agg(F.sum("n").alias("n"))
     counted = checkpointed(counted)
-    most = lambda pair, room: [bytes(r["feature"]) for r in counted.filter(F.col("pair") == F.lit(pair)).orderBy(F.desc("n"), "feature").limit(room).collect()]
+
+    def most(pair: bool, room: int) -> list[bytes]:
+        """Features that occur more often than the one after the last that fits; those that tie with it are left to the tail."""
+        rows = counted.filter(F.col("pair") == F.lit(pair))
+        least = kth_largest(rows, "n", room + 1)
+        return [bytes(r["feature"]) for r in (rows if least is None else rows.filter(F.col("n") > least)).collect()]
+
     return Head(most(False, WORDS), [tuple(p.split(b" ")) for p in most(True, PAIRS)])
 
 
