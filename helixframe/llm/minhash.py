@@ -152,6 +152,22 @@ def _linked(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(p) + len(q) - common)
 
 
+class _Postings:
+    """Which rows of a block hold a shingle: exact overlaps of one set with all rows at once."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray):
+        order = np.argsort(flat, kind="stable")
+        self.values, self.owner, self.n = flat[order], np.repeat(np.arange(len(at) - 1), np.diff(at))[order], np.diff(at)
+
+    def linked(self, mine: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether each row is linked with a set."""
+        first, last = np.searchsorted(self.values, mine, "left"), np.searchsorted(self.values, mine, "right")
+        size = last - first
+        held = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        common = np.bincount(self.owner[held], minlength=len(self.n))
+        return (den * common >= num * (self.n + len(mine) - common)) & (common > 0)
+
+
 def _compared(shingle: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +222,8 @@ def _between(cells: int, num: int, den: int, shingle: int | None):
     """One block of askers against one block of a component's members.
 
     Without texts: (c, id, asks) of those for which sizes and sketches allow a
-    link. With texts: the links.
+    link. With texts: a link of each asker that has one, as the members belong
+    together already.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -215,15 +232,16 @@ def _between(cells: int, num: int, den: int, shingle: int | None):
         one, many = np.flatnonzero(asks), np.flatnonzero(~asks)
         hit, links = np.zeros(len(ids), bool), []
         if shingle is not None:
-            buf, off = utf8(group["text"])
-            flat, at = shingle_sets(buf, off, shingle)
+            flat, at = shingle_sets(*utf8(group["text"]), shingle)
+            rows = _Postings(flat, at)
         for i in one:
+            if shingle is not None:
+                j = many[rows.linked(flat[at[i] : at[i + 1]], num, den)[many]]
+                links += [(ids[i], ids[x]) for x in j[:1]]
+                continue
             j = many[(den * np.minimum(n[many], n[i]) >= num * np.maximum(n[many], n[i])) & _close(words[many], words[i], cells)]
             hit[i] |= len(j) > 0
             hit[j] = True
-            if shingle is not None:
-                mine = flat[at[i] : at[i + 1]]
-                links += [(ids[i], ids[x]) for x in j if _linked(mine, flat[at[x] : at[x + 1]], num, den)]
         if shingle is None:
             return pa.table({"c": group["c"].filter(hit), "id": ids[hit], "asks": group["asks"].filter(hit)})
         a, b = zip(*links, strict=True) if links else ((), ())
@@ -236,7 +254,7 @@ def _inside(cells: int, num: int, den: int, shingle: int | None):
     """Open pairs of a crowded bucket, its block ``i`` against its block ``j``; each pair in the first band that it shares.
 
     Without texts: (key, h, id) of those for which sizes and sketches allow a
-    link. With texts: the links.
+    link. With texts: links that hold together what the block's links do.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -246,18 +264,21 @@ def _inside(cells: int, num: int, den: int, shingle: int | None):
         key, i, j = (group[c][0].as_py() for c in ("key", "i", "j"))
         many, hit, links = np.flatnonzero(own == j), np.zeros(len(ids), bool), []
         if shingle is not None:
-            buf, off = utf8(group["text"])
-            flat, at = shingle_sets(buf, off, shingle)
+            flat, at = shingle_sets(*utf8(group["text"]), shingle)
+            rows, part = _Postings(flat, at), np.arange(len(ids))
         for x in np.flatnonzero(own == i):
             y = many[many > x] if i == j else many
+            if shingle is not None:
+                y = y[rows.linked(flat[at[x] : at[x + 1]], num, den)[y] & (part[y] != part[x])]
+                for _, k in zip(*np.unique(part[y], return_index=True), strict=True):
+                    links.append((ids[x], ids[y[k]]))
+                part[np.isin(part, part[y])] = part[x]
+                continue
             y = y[(comp[y] != comp[x]) & (den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x]))]
             y = y[_close(words[y], words[x], cells)]
             y = y[(bands[y] == bands[x]).argmax(axis=1) == key]
             hit[x] |= len(y) > 0
             hit[y] = True
-            if shingle is not None:
-                mine = flat[at[x] : at[x + 1]]
-                links += [(ids[x], ids[z]) for z in y if _linked(mine, flat[at[z] : at[z + 1]], num, den)]
         if shingle is None:
             return group.select(["key", "h", "id"]).filter(hit)
         a, b = zip(*links, strict=True) if links else ((), ())
@@ -390,7 +411,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, num: int,
     texts = Texts(docs, classes.select("id", *ROW))
     mine = classes.withColumnsRenamed({c: f"{c}_" for c in [*shape, *ROW]})
     same = [F.col(c) == F.col(f"{c}_") for c in [*shape, "t1", "t2"]] + [F.col("doc").eqNullSafe(F.col("doc_"))]
-    reps = signed.join(mine, same).select("id", "n", "bands", "sketch").dropDuplicates(["id"])
+    reps = checkpointed(signed.join(mine, same).select("id", "n", "bands", "sketch").dropDuplicates(["id"]))
     slim = reps.select("id", F.posexplode("bands").alias("key", "h"))
     lead = slim.groupBy("key", "h").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("c > 1").drop("c")
     # only rows in company: (key, h, id, lo, hi)
