@@ -6,21 +6,24 @@ into repeated groups. Expressions of one host are aligned one after another;
 siblings are matched in order by a longest common subsequence of any length,
 and a mismatch becomes an optional group, a run of a sibling a repeated one,
 differing texts a slot. The result, the host's wrapper, also carries how many
-pages hold a node, and per slot how much of its text is links and whether it
-ever differs.
+pages hold a node, and per slot how many of its blocks are mostly links and
+whether its text ever differs.
 
 What is kept follows from the wrapper, and is the same for one page and for many
 where a page marks its article:
 
 * in an ``article`` or ``main`` element everything is kept but marked elements
   (navigation, forms, notices, adverts, sidebars, comments and the like, by tag
-  or by a class, id or role that names them);
-* elsewhere slots of links go, and slots with one text on most of at least
-  ``TEMPLATE_PAGES`` pages of the host, unless they lie in the body of varying
-  text between its first and its last slot, as headings do that all pages share;
+  or by a class, id or role that names them); of a header in it the headings; and
+  a ``section`` whose name may as well be a heading's (``discussion``, ``notice``,
+  ``search``) is kept, less slots of links;
+* elsewhere slots most of whose blocks are links go, and slots with one text on
+  most pages of the host, and on two at least, unless they lie in the body of
+  varying text between its first and its last slot, as headings do that all
+  pages share;
 * a class, id or role names an element by its last word (``site-header``, not
   ``header-title``), and is no more than a tie-breaker: an element around an
-  unmarked article, or around most of the host's varying text, is kept.
+  article, or around most of the host's varying text, is kept, as is a form.
 
 Inference is distributed: each task aligns the pages it reads into one partial
 wrapper a host, partial wrappers are aligned in two levels (so a host that has
@@ -32,7 +35,7 @@ in a join.
 
 Defined cases: null html has an empty text; markup that never closes, closes
 twice or is cut off is repaired as browsers do for paragraphs and list items;
-below ``DEPTH`` levels of nesting elements are siblings; a page whose slots all
+below ``DEPTH`` levels of nesting elements are siblings, each still ended by its own end tag; a page whose slots all
 look like boilerplate has an empty text; a null URL is a host of its own;
 repeated rows give repeated results; other columns are ignored.
 """
@@ -44,7 +47,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -58,8 +61,8 @@ BROADCAST = 8 << 20
 HELD = 4096
 #: Wrapper nodes a task keeps at once; beyond it, partial wrappers are emitted and begun anew.
 NODES = 1_000_000
-#: A text equal on at least this many pages, and on most of the host's, is fixed.
-TEMPLATE_PAGES = 3
+#: A text equal on at least this many pages, the fewest that can tell, and on most of the host's, is fixed.
+TEMPLATE_PAGES = 2
 #: Children of a wrapper node that are told apart.
 KIDS = 64
 #: Levels of nested elements.
@@ -91,13 +94,15 @@ ENDS = {
     "option": {"option"},
 }
 # Elements and words of class, id or role that mark what isn't the article.
-BOILERPLATE_TAGS = set("nav footer aside form button input menu dialog object".split())
+BOILERPLATE_TAGS = set("nav footer aside button input menu dialog object".split())
 COMMENT_WORDS = set("comment comments commentlist discussion disqus reply replies respond reader readers".split())
 BOILERPLATE_WORDS = COMMENT_WORDS | set(
     "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer colophon"
     " sidebar aside widget widgets related recommended recommendations cookie cookies consent gdpr notice notices alert alerts"
     " popup modal overlay newsletter subscribe subscription signup login share sharing social toolbar pagination pager legal disclaimer copyright form search contentinfo complementary hidden".split()
 )
+# Words of the above that a section of an article may bear as its subject.
+SUBJECT_WORDS = set("discussion reader readers search notice notices legal disclaimer copyright form menu navigation related recommended social sharing banner alert alerts consent subscription promotion header sidebar".split())
 # Words that say where or in what a thing is, and not what it is; after "related", those that name what is listed.
 PLACE_WORDS = set("area bar block blocks body bottom box buttons center col column container content group holder icons inner item items left link links list outer panel right row section text top unit wrap wrapper zone".split())
 LISTED_WORDS = set("articles news pages posts reading stories topics".split())
@@ -151,7 +156,9 @@ def named(name: str) -> str:
 def marks(key: str) -> tuple[str, frozenset[str]]:
     """An element's tag and the boilerplate words that name it."""
     tag, _, names = key.partition(" ")
-    return tag, frozenset(w for n in names.split() if (w := named(n))) if tag not in ("body", "html") and tag not in HEADINGS else frozenset()
+    if tag in ("body", "html") or tag in HEADINGS:
+        return tag, frozenset()
+    return tag, frozenset(w for n in names.split() if (w := named(n))) | ({"form"} if tag == "form" else set())
 
 
 def general(key: str) -> str:
@@ -163,7 +170,7 @@ def general(key: str) -> str:
 def parse(page: str | None) -> Node:
     """The tree of a page's elements and text blocks, without what is never text."""
     root = Node("")
-    stack, block, link = [root], None, 0
+    stack, deep, block, link = [root], [], None, 0  # deep: tags of open elements below the last level
     for m in _TOKEN.finditer(page or ""):
         text = m["text"]
         if text is not None:
@@ -188,18 +195,28 @@ def parse(page: str | None) -> Node:
             continue
         block = None
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].key.split(" ", 1)[0] == tag:
-                    del stack[i:]
-                    break
+            if tag in deep:
+                while deep.pop() != tag:
+                    pass
+            else:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].key.split(" ", 1)[0] == tag:
+                        del stack[i:]
+                        deep.clear()
+                        break
             link = 0
             continue
-        while len(stack) > 1 and tag in ENDS.get(stack[-1].key.split(" ", 1)[0], ()):
+        while deep and tag in ENDS.get(deep[-1], ()):
+            deep.pop()
+        while not deep and len(stack) > 1 and tag in ENDS.get(stack[-1].key.split(" ", 1)[0], ()):
             stack.pop()
         node = Node(_key(tag, m["attrs"]))
         stack[-1].kids.append(node)
-        if tag not in VOID and not m["attrs"].endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
+        if tag not in VOID and not m["attrs"].endswith("/"):
+            if len(stack) < DEPTH:
+                stack.append(node)
+            else:
+                deep.append(tag)
     return root
 
 
@@ -209,7 +226,7 @@ def clean(parts: list[str]) -> str:
 
 # A wrapper node is a list [key, optional, repeated, kids, stats]; stats are the
 # pages that hold it and, of a text slot, also characters, characters in links,
-# least and greatest hash.
+# least and greatest hash, blocks, and blocks that are mostly links.
 
 
 def wrapped(node: Node) -> list:
@@ -217,7 +234,8 @@ def wrapped(node: Node) -> list:
     if node.key == "#":
         text = clean(node.text)
         h = zlib.crc32(text.encode())
-        return ["#", False, False, [], [1, len(text), min(len(text), node.links), h, h]]
+        links = min(len(text), node.links)
+        return ["#", False, False, [], [1, len(text), links, h, h, 1, int(links * 2 > len(text))]]
     kids: list[list] = []
     for kid in node.kids:
         _joining(kids, wrapped(kid))
@@ -307,7 +325,7 @@ def merged(a: list, b: list, same_page: bool = False) -> list:
     x, y = a[4], b[4]
     pages = max(x[0], y[0]) if same_page else x[0] + y[0]
     if a[0] == "#":
-        return ["#", a[1] or b[1], a[2] or b[2], [], [pages, x[1] + y[1], x[2] + y[2], min(x[3], y[3]), max(x[4], y[4])]]
+        return ["#", a[1] or b[1], a[2] or b[2], [], [pages, x[1] + y[1], x[2] + y[2], min(x[3], y[3]), max(x[4], y[4]), x[5] + y[5], x[6] + y[6]]]
     kids: list[list] = []
     for i, j in aligned([k[0] for k in a[3]], [k[0] for k in b[3]]):
         if i is None or j is None:
@@ -326,35 +344,49 @@ def size(wrapper: list) -> int:
 class _Slot:
     """A text slot on the way to a decision; ``path`` are the nodes around it, from the root."""
 
-    __slots__ = ("out", "path", "linked", "fixed", "chars", "article", "words", "tagged", "head")
+    __slots__ = ("out", "path", "linked", "fixed", "chars", "article", "words", "tagged", "head", "subject")
 
 
 def decide(wrapper: list) -> list:
     """The wrapper as nested [key, kids]; a text slot is ["#", where its text counts]."""
     slots: list[_Slot] = []
 
+    @cache
+    def around_article(at: int) -> bool:
+        return any(k[0] != "#" and (marks(k[0])[0] in MAIN_TAGS and not marks(k[0])[1] or around_article(id(k))) for k in by_id[at][3])
+
     def holds_article(node: list) -> bool:
-        return any(k[0] != "#" and (marks(k[0])[0] in MAIN_TAGS and not marks(k[0])[1] or holds_article(k)) for k in node[3])
+        return around_article(id(node))
+
+    by_id: dict[int, list] = {}
+
+    def noted(node: list) -> None:
+        by_id[id(node)] = node
+        for k in node[3]:
+            noted(k)
+
+    noted(wrapper)
 
-    def walk(node: list, path: tuple[int, ...], article: bool, tagged: bool, words: tuple[tuple[int, bool], ...], head: bool) -> list:
+    def walk(node: list, path: tuple[int, ...], article: bool, tagged: bool, words: tuple[tuple[int, bool], ...], head: bool, subject: bool = False) -> list:
         if node[0] == "#":
-            pages, chars, links, least, most = node[4]
+            pages, chars, links, least, most, count, linked = node[4]
             s = _Slot()
             s.out, s.path, s.article, s.tagged, s.words, s.head = ["#", 0], path, article, tagged, words, head
-            s.linked, s.chars = links * 2 > chars, chars - links
+            s.linked, s.chars, s.subject = linked * 2 > count, chars - links, subject
             s.fixed = least == most and pages >= TEMPLATE_PAGES and 2 * pages > wrapper[4][0]
             slots.append(s)
             return s.out
         tag, found = marks(node[0])
         path = (*path, len(seen))
         seen.append(node)
-        tagged = tagged or tag in BOILERPLATE_TAGS or tag == "header" and not article
-        if found and not holds_article(node):
+        tagged = tagged or (tag in BOILERPLATE_TAGS or tag == "header" and not article) and not holds_article(node)
+        subject = subject or article and tag == "section" and bool(found) and found <= SUBJECT_WORDS
+        if found and not holds_article(node) and not (article and tag == "section" and found <= SUBJECT_WORDS):
             words = (*words, (path[-1], bool(found & COMMENT_WORDS or "hidden" in found)))
         # a header inside the article keeps its headings only
         head = tag not in HEADINGS and (head or tag == "header" and article)
         article = article or tag in MAIN_TAGS and not found
-        return [node[0], [walk(k, path, article, tagged, words, head) for k in node[3]]]
+        return [node[0], [walk(k, path, article, tagged, words, head, subject) for k in node[3]]]
 
     seen: list[list] = []
     tree = walk(wrapper, (), False, False, (), False)
@@ -371,7 +403,7 @@ def decide(wrapper: list) -> list:
         if s.tagged or named_out or s.head:
             continue
         if s.article:
-            s.out[1] = IN_ARTICLE
+            s.out[1] = IN_ARTICLE if not (s.subject and s.linked) else 0
         elif not s.linked:
             rest.append(s)
     varying = [s for s in rest if not s.fixed]

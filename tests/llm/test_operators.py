@@ -676,3 +676,63 @@ def test_edges_in_every_text_operator(spark):
     df = docs(spark, EDGE)
     assert sharding.assign(df).count() == len(EDGE)
     assert langid.identify(df, langid.Model([])).filter(F.col("lang_pred") != "und").count() == 0
+
+
+def extracted(pages):
+    """Blocks of each page of one host."""
+    whole = None
+    for p in pages:
+        one = wrapper.wrapped(wrapper.parse(p))
+        whole = one if whole is None else wrapper.merged(whole, one)
+    decided = wrapper.decide(whole)
+    return [wrapper.extract(wrapper.parse(p), decided) for p in pages]
+
+
+HOSTS = [1, 2, 3, 50]
+
+
+@pytest.mark.parametrize("n", HOSTS)
+def test_wrappers_keep_a_paragraph_that_is_a_link(n):
+    page = "<div class=main><h1>T{i}</h1><p>one {i}</p><p><a href=x>{long}</a></p><p>three {i}</p></div>"
+    pages = [page.format(i=i, long=f"a link that is longer than all the rest of the text {i} " * 5) for i in range(n)]
+    assert [[b.split(" {")[0][:5] for b in p] for p in extracted(pages)] == [[f"T{i}", "one " + str(i)[:1], "a lin", "three"] for i in range(n)]
+
+
+@pytest.mark.parametrize("n", HOSTS)
+def test_wrappers_see_through_a_form_around_the_page(n):
+    marked = "<body><form id=aspnet><input type=hidden><nav><a href=x>menu</a></nav><article><h1>T{i}</h1><p>text {i}</p><form><p>Sign up</p></form></article></form></body>"
+    assert extracted([marked.format(i=i) for i in range(n)]) == [[f"T{i}", f"text {i}"] for i in range(n)]
+    plain = "<body><form id=aspnet><div id=a><h1>T{i}</h1><p>text {i} that goes on for a while</p></div></form></body>"
+    assert extracted([plain.format(i=i) for i in range(n)]) == [[f"T{i}", f"text {i} that goes on for a while"] for i in range(n)]
+    lone = "<body><div id=a><h1>T{i}</h1><p>text {i} that goes on for a while</p></div><form><p>Search all {i}</p></form></body>"
+    assert extracted([lone.format(i=i) for i in range(n)]) == [[f"T{i}", f"text {i} that goes on for a while"] for i in range(n)]
+
+
+@pytest.mark.parametrize("n", HOSTS)
+@pytest.mark.parametrize("name", ["discussion", "reader", "search", "notice", "legal", "copyright", "form", "menu", "related", "social", "banner", "alerts"])
+def test_wrappers_keep_sections_of_an_article_by_such_names(n, name):
+    page = f"<article><h1>T{{i}}</h1><p>text {{i}}</p><section id={name}><h2>H</h2><p>more {{i}}</p></section><section id=comments><p>Nice {{i}}</p></section><div class=ad>Buy {{i}}</div></article>"
+    assert extracted([page.format(i=i) for i in range(n)]) == [[f"T{i}", f"text {i}", "H", f"more {i}"] for i in range(n)]
+
+
+@pytest.mark.parametrize("n", HOSTS)
+def test_wrappers_read_on_behind_deep_nesting(n):
+    deep = "<div>" * 130 + "inside {i}" + "</div>" * 130
+    page = f"<article><p>one {{i}}</p>{deep}<p>two {{i}}</p></article><footer>foot {{i}}</footer>"
+    assert extracted([page.format(i=i) for i in range(n)]) == [[f"one {i}", f"inside {i}", f"two {i}"] for i in range(n)]
+
+
+def test_wrappers_drop_a_shared_footer_as_soon_as_two_pages_tell():
+    page = "<div><div><h1>T{i}</h1><p>text {i} goes on</p></div><div>All rights reserved</div></div>"
+    for n in (2, 3, 50):
+        assert extracted([page.format(i=i) for i in range(n)]) == [[f"T{i}", f"text {i} goes on"] for i in range(n)]
+    assert extracted([page.format(i=0)])[0][:2] == ["T0", "text 0 goes on"]
+    same = [page.format(i=1)] * 2  # copies tell nothing apart, and lose nothing
+    assert extracted(same)[0][:2] == ["T1", "text 1 goes on"]
+
+
+def test_wrappers_with_more_kinds_of_children_than_are_told_apart():
+    for kinds in (wrapper.KIDS - 1, wrapper.KIDS, wrapper.KIDS + 1, 3 * wrapper.KIDS):
+        name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+        page = "<article>" + "".join(f"<div class=x{name(k)}>t{k} {{i}}</div>" for k in range(kinds)) + "</article>"
+        assert extracted([page.format(i=i) for i in range(3)]) == [[f"t{k} {i}" for k in range(kinds)] for i in range(3)]
