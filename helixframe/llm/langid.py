@@ -5,6 +5,12 @@ everything but letters as spaces, as shares of the text's n-grams. Both stages
 are linear in them, so a text is scored by one gather and one segmented sum
 over its bytes; no text is cut and no vector is built.
 
+Both decisions are between known languages. Whether a text is in one at all is
+told by its evidence, the mean log share of its n-grams in the language's
+training texts: ``sure`` holds where it is at least half way from what the most
+similar other language reaches to what the language's own texts do, less what
+chance takes off a text of so few n-grams. With one known language it always holds.
+
 Training takes a bounded sample: about ``PER_LANG`` labelled rows a language,
 drawn by a hash of the id and so the same in each run. It is fitted in one task.
 
@@ -34,6 +40,8 @@ from ._text import U64, slices, utf8
 DIM = 1 << 12
 PER_LANG = 300
 UND = "und"
+#: Standard deviations of a text's mean evidence that chance is granted.
+SLACK = 6.0
 
 # ISO 639-1 codes by family. Any other code is a family of its own.
 FAMILIES = {
@@ -128,6 +136,14 @@ def fit_table(group: pa.Table) -> pa.Table:
     for f, own in families.items():
         for a, b in combinations(own, 2):
             add("pair", a, b, np.isin(lang, [a, b]), np.where(lang == a, 1, -1))
+    shares = _shares(group["text"])
+    logs = {one: np.log((shares[lang == one].sum(axis=0) + 1e-3) / (shares[lang == one].sum() + 1e-3 * DIM)) for one in langs}
+    for one, log in logs.items():
+        seen = shares @ log
+        own, other = seen[lang == one].mean(), max((seen[lang == x].mean() for x in langs if x != one), default=-np.inf)
+        spread = np.sqrt(max(0.0, float((shares[lang == one].mean(axis=0) * (log - own) ** 2).sum())))
+        rows.append(("evidence", one, "", [*map(float, log), 0.0]))
+        rows.append(("limit", one, "", [float((own + other) / 2) if np.isfinite(other) else -1e300, float(spread)]))
     columns = list(zip(*rows, strict=True))
     kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()))
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "a", "b", "w"])
@@ -140,9 +156,15 @@ class Model:
         self.families: dict[str, list[str]] = {}
         self.heads: list[tuple[str, str, str]] = []
         weights = []
+        self.logs: dict[str, np.ndarray] = {}
+        self.limits: dict[str, tuple[float, float]] = {}
         for kind, a, b, w in rows:
             if kind == "lang":
                 self.families.setdefault(a, []).append(b)
+            elif kind == "evidence":
+                self.logs[a] = np.array(w[:-1])
+            elif kind == "limit":
+                self.limits[a] = (w[0], w[1])
             else:
                 self.heads.append((kind, a, b))
                 weights.append(w)
@@ -184,6 +206,23 @@ class Model:
         return names.tolist(), scores
 
 
+    def sure(self, texts: pa.Array, names: list[str]) -> np.ndarray:
+        """Whether the evidence of each text for the language predicted is enough; false without one."""
+        buf, off = utf8(texts)
+        langs = list(self.logs)
+        at = np.array([langs.index(x) if x in self.logs else -1 for x in names], np.int64)
+        logs = np.stack([self.logs[x] for x in langs] or [np.zeros(DIM)])
+        limit, spread = np.array([self.limits[x] for x in langs] or [(0.0, 0.0)]).T
+        out = np.zeros(len(names), bool)
+        for a, b in slices(off, 1_000_000):
+            g, r = _grams(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+            own = at[a:b]
+            n = np.maximum(1, np.bincount(r, minlength=b - a))
+            seen = np.bincount(r, weights=logs[own[r], g], minlength=b - a) / n
+            out[a:b] = (own >= 0) & ((seen >= limit[own] - SLACK * spread[own] / np.sqrt(n)) | (np.bincount(r, minlength=b - a) == 0))
+        return out
+
+
 def _softmax(m: np.ndarray, heat: float = 4.0) -> np.ndarray:
     e = np.exp(heat * (m - m.max(axis=1, keepdims=True))) if m.size else m
     return e / e.sum(axis=1, keepdims=True) if m.size else e
@@ -214,17 +253,21 @@ def _fit_sorted(group: pa.Table) -> pa.Table:
     return fit_table(group.select(["text", "lang"]).sort_by([("lang", "ascending"), ("text", "ascending")]))
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """All columns of ``df``, then the predicted language and its score (columns of these names are replaced)."""
-    df = df.drop(lang_out, score_out)
+def identify(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", sure_out: str | None = None) -> DataFrame:
+    """All columns of ``df``, then the predicted language, its score and, if named, whether the text is in it at all (columns of these names are replaced)."""
+    more = [lang_out, score_out, *([sure_out] if sure_out else [])]
+    df = df.drop(*more)
     names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, kind) for c, kind in zip(more, kinds, strict=False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                lang, score = model.predict(part.column(names.index(text_col)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, lang_out, score_out])
+                texts = part.column(names.index(text_col))
+                lang, score = model.predict(texts)
+                found = [pa.array(lang, pa.string()), pa.array(score), *([pa.array(model.sure(texts, lang))] if sure_out else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], [*names, *more])
 
     return df.mapInArrow(run, schema)

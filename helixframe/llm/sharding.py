@@ -11,7 +11,7 @@ splits at once; only buckets that are still too large go on. Rows hold an
 address and a size, never a text, and the directory stays a table: it is
 broadcast to the rows only up to ``BROADCAST`` entries.
 
-Defined cases: a null text counts 0 bytes, a null key hashes as an empty one; a
+Defined cases: a null text counts 0 bytes, a null key or id hashes as an empty one; a
 row larger than the limit ends in a shard of its own; rows that repeat an id
 have one address and stay together, so their bucket alone may exceed the limit
 for good; an empty table gives an empty result; other columns are ignored.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, unused
 
 LIMIT = 64 << 20
 STEP = 8
@@ -35,10 +35,14 @@ def _bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _address(id_col: str, key_col: str | None) -> tuple[Column, Column]:
+    by_id = _bits(F.col(id_col).cast("string"))
+    return (by_id, F.lit(0).cast("long")) if key_col is None else (_bits(F.col(key_col).cast("string")), by_id)
+
+
 def addressed(df: DataFrame, id_col: str, text_col: str, key_col: str | None) -> DataFrame:
     """(id, a1, a2, n_bytes) per row: the address in two numbers of 60 bits."""
-    by_id = _bits(F.col(id_col).cast("string"))
-    a1, a2 = (by_id, F.lit(0).cast("long")) if key_col is None else (_bits(F.col(key_col).cast("string")), by_id)
+    a1, a2 = _address(id_col, key_col)
     return df.select(F.col(id_col).alias("id"), a1.alias("a1"), a2.alias("a2"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
 
 
@@ -55,7 +59,11 @@ def _text(d: str) -> Column:
 
 def assign(df: DataFrame, limit: int = LIMIT, key_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, shard, depth, n_bytes) per row; ``shard`` is the bucket's address prefix of ``depth`` bits, empty for a single shard."""
-    rows = addressed(df, id_col, text_col, key_col)
+    return _assigned(addressed(df, id_col, text_col, key_col), limit, key_col).select(F.col("id").alias(id_col), "shard", "depth", "n_bytes")
+
+
+def _assigned(rows: DataFrame, limit: int, key_col: str | None) -> DataFrame:
+    """(id, a1, a2, shard, depth, n_bytes) of addressed rows."""
     last = BITS if key_col is None else 2 * BITS
     left, base, parts = checkpointed(rows), 0, []
     while True:
@@ -74,7 +82,7 @@ def assign(df: DataFrame, limit: int = LIMIT, key_col: str | None = None, id_col
         cell = F.broadcast(cell) if cell.count() <= BROADCAST else cell
         placed = left.select("*", *_prefix(str(top)))
         here = (placed["p1"] == cell["cell0"]) & (placed["p2"] == cell["cell1"])
-        parts.append(placed.join(cell, here).drop("p1", "p2").select("id", "d", "n_bytes", *_prefix("d")).select("id", _text("d").alias("shard"), F.col("d").alias("depth"), "n_bytes"))
+        parts.append(placed.join(cell, here).drop("p1", "p2").select("id", "a1", "a2", "d", "n_bytes", *_prefix("d")).select("id", "a1", "a2", _text("d").alias("shard"), F.col("d").alias("depth"), "n_bytes"))
         rest = checkpointed(placed.join(cell, here, "left_anti").drop("p1", "p2"))
         if top == last or rest.isEmpty():
             break
@@ -82,11 +90,17 @@ def assign(df: DataFrame, limit: int = LIMIT, key_col: str | None = None, id_col
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("id").alias(id_col), "shard", "depth", "n_bytes")
+    return out
 
 
 def write(df: DataFrame, path: str, limit: int = LIMIT, key_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``df`` as Parquet, one folder a shard."""
-    shards = assign(df, limit, key_col, id_col, text_col).select(id_col, "shard").distinct()
-    named = F.concat(F.lit("s"), "shard")
-    df.join(shards, id_col).withColumn("shard", named).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write all rows of ``df`` as Parquet, one folder a shard; with a column ``shard`` of its own the folders are named ``shard_``.
+
+    A row finds its shard by its address, so rows with null or repeated ids and
+    keys go where ``assign`` puts them, each once.
+    """
+    one, two, name = (unused(c, df.columns) for c in ("address1", "address2", "shard"))
+    a1, a2 = _address(id_col, key_col)
+    shards = _assigned(addressed(df, id_col, text_col, key_col), limit, key_col).select(F.col("a1").alias(one), F.col("a2").alias(two), F.concat(F.lit("s"), "shard").alias(name)).distinct()
+    placed = df.withColumns({one: a1, two: a2}).join(shards, [one, two]).drop(one, two)
+    placed.repartition(name).write.partitionBy(name).parquet(path)

@@ -78,7 +78,7 @@ def seen(df):
     return Counter((r.doc_id, r.text, r.lang) for r in out)
 
 
-def test_language_rejects_texts_without_a_letter_and_nothing_else(spark, sf):
+def test_language_rejects_texts_without_a_letter_and_no_clean_one(spark, sf):
     folder, rows = sf
     got = seen(corpus_pipeline.language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder))
     assert got == Counter(r for r in rows if r[1] and any(c.isalpha() for c in r[1]))

@@ -271,3 +271,54 @@ def test_boxes_spare_comparisons_and_lose_none(spark):
     x = np.floor(64 * np.array([r[1] for r in rows], np.float32).astype(float)).astype(np.int64)
     near = ((x[:, None] - start) ** 2).sum(axis=2).argmin(axis=1)
     assert (new == [np.floor_divide(x[near == j].sum(axis=0), (near == j).sum()) if (near == j).any() else start[j] for j in range(16)]).all()
+
+
+# ---------------------------------------------------------------- evidence of a language, and sharded files
+
+
+def tongue(rnd, letters, n):
+    """A made-up language: words from a few syllables."""
+    syllables = ["".join(rnd.choices(letters, k=rnd.randint(2, 3))) for _ in range(25)]
+    return lambda k: " ".join("".join(rnd.choices(syllables, k=rnd.randint(1, 3))) for _ in range(k))
+
+
+def test_junk_and_other_languages_lack_evidence(spark):
+    from helixframe.llm import langid
+
+    rnd = random.Random(31)
+    speak = {lang: tongue(rnd, letters, 0) for lang, letters in (("en", "abcdefgh"), ("de", "bcdfgklm"), ("fr", "aeioulnr"), ("es", "aeiostrv"))}
+    other = tongue(rnd, "kwxyzqjua", 0)
+    rows = [(k, speak[lang](rnd.randint(1, 80)), lang) for k, lang in enumerate(["en", "de", "fr", "es"] * 120)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    fresh = [(k, speak[lang](rnd.randint(1, 60)), True) for k, lang in enumerate(["en", "de", "fr", "es"] * 50)]
+    junk = [(1000 + k, other(rnd.randint(8, 60)), False) for k in range(50)] + [(2000 + k, " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(20)), False) for k in range(50)]
+    odd = [(3000, None, False), (3001, "", False), (3002, "12 34", False)]
+    got = langid.identify(spark.createDataFrame(fresh + junk + odd, "doc_id long, text string, want boolean").withColumn("sure", F.lit(1)), model, sure_out="sure").collect()
+    assert [r.doc_id for r in got if r.want and not r.sure] == []
+    assert [r.doc_id for r in got if not r.want and r.sure] == []
+    # the evidence is the mean log share of the text's n-grams
+    from helixframe.llm._text import utf8
+
+    for r in got[:20] + got[210:230]:
+        buf, off = utf8(pa.array([r.text]))
+        grams, _ = langid._grams(buf, off)
+        limit, spread = model.limits[r.lang_pred]
+        seen = sum(float(model.logs[r.lang_pred][g]) for g in grams.tolist()) / max(1, len(grams))
+        assert r.sure == (not len(grams) or seen >= limit - langid.SLACK * spread / math.sqrt(len(grams)))
+    none = langid.identify(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), langid.Model([]), sure_out="sure").first()
+    assert (none.lang_pred, none.sure) == (langid.UND, False)
+
+
+@pytest.mark.parametrize("key", [None, "source"])
+def test_sharded_files_hold_every_row_once(spark, tmp_path, key):
+    from helixframe.llm import sharding
+
+    rnd = random.Random(33)
+    rows = [(rnd.choice([None, *range(60)]), "x" * rnd.randint(0, 90), rnd.choice([None, "", "hot", "a", "b"])) for _ in range(400)]
+    df = spark.createDataFrame([(*r, "own", 1) for r in rows], "doc_id long, text string, source string, shard string, address1 int")
+    sharding.write(df, str(tmp_path / "out"), 700, key)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text, r.source) for r in back.collect()) == Counter(rows)
+    assert {r["shard"] for r in back.select("shard").distinct().collect()} == {"own"}
+    told = {(r.doc_id, r.shard) for r in sharding.assign(df, 700, key).collect()}
+    assert {(r.doc_id, r["shard_"][1:]) for r in back.collect()} == told and len({s for _, s in told}) > 3
