@@ -31,14 +31,15 @@ SEED = 17
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the identifier is sure enough of.
+    """Keep documents in a known language that the identifier is sure enough of.
 
-    Null and empty texts, and those without a letter, go; rows with a null id or
-    language are judged alike; equal rows stay or go together.
+    Null and empty texts, those without a letter, and junk and other languages
+    go; rows with a null id or language are judged alike; equal rows stay or go
+    together.
     """
-    lang, score = unused("lang_found", docs.columns), unused("lang_score", docs.columns)
-    found = langid.identify(docs, langid.fit(docs), lang_out=lang, score_out=score)
-    return found.filter((F.col(lang) != langid.UND) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    lang, score, sure = (unused(c, docs.columns) for c in ("lang_found", "lang_score", "lang_sure"))
+    found = langid.identify(docs, langid.fit(docs), lang_out=lang, score_out=score, sure_out=sure)
+    return found.filter((F.col(lang) != langid.UND) & (F.col(score) >= LEAST_SCORE) & F.col(sure)).select(*docs.columns)
 
 
 def selection(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
