@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.reads import DUPLICATE, PROPER, READ1, REVERSE, SUPPLEMENTARY, UNMAPPED, has, rms
 
-from .intervals import islands
+from .stages import settled
 from .sweep import sweep
 
 MAX_SEGMENT = 10_000
@@ -73,70 +73,150 @@ def fragments(groups: DataFrame, min_frag: int = 3) -> DataFrame:
     )
 
 
-def _per_island(marked: DataFrame, fold, schema: str, batch: int = 1024) -> DataFrame:
-    """Fold each island by itself; a task gets islands by the batch, as most are tiny."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
-        held: dict[int, list[dict]] = {}
-        for r in rows:
-            held.setdefault(r.pop("island"), []).append(r)
-        return pd.DataFrame([x for one in held.values() for x in fold(one)], columns=[c.split()[0] for c in schema.split(", ")]).convert_dtypes()
-
-    return marked.groupBy("tid", F.floor(F.col("island") / batch).alias("_b")).applyInPandas(run, schema)
+#: Bits of a range's width in bases.
+RANGE_BITS = 20
+
+
+def carried(rows: DataFrame, order: list[str], fold, schema: str, range_bits: int) -> DataFrame:
+    """Fold the rows of each ``tid`` in ``order`` (the first a position), range by range, with what is open at a border carried on.
+
+    ``fold(rows, state)`` takes tuples of a range in order and the state left of
+    it, a JSON value or None, and gives (rows out, state); without rows it gives
+    what the last state still holds. All ranges are folded at once, first as if
+    nothing were open left of them; a range whose neighbour hands on another
+    state than it assumed is folded again, until none is. As a fold forgets its
+    past within some fragment lengths, that takes two rounds as a rule, and one a
+    range at worst. States are a row a range.
+    """
+    names = rows.columns
+    out_names = [c.split()[0] for c in schema.split(", ")]
+    kinds = dict(c.split() for c in schema.split(", "))
+    arrow = {"long": pa.int64(), "boolean": pa.bool_()}
+    full = f"{schema}, rng long, state string"
+
+    def told(tid: int, rng: int, out: list[tuple], state: str) -> pa.Table:
+        columns = list(zip(*out, strict=True)) if out else [()] * (len(out_names) - 1)
+        cells = {"tid": pa.array([tid] * (len(out) + 1), pa.int64())}
+        cells |= {c: pa.array([*values, None], arrow[kinds[c]]) for c, values in zip(out_names[1:], columns, strict=True)}
+        return pa.table(cells | {"rng": pa.array([rng] * (len(out) + 1), pa.int64()), "state": pa.array([None] * len(out) + [state], pa.string())})
+
+    def folded(group: pa.Table, state: str | None) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in order])
+        out, left = fold(list(zip(*(group[c].to_pylist() for c in names), strict=True)), None if state is None else json.loads(state))
+        return told(group["tid"][0].as_py(), group["rng"][0].as_py(), out, json.dumps(left))
+
+    def again(group: pa.Table, given: pa.Table) -> pa.Table:
+        return folded(group.select([*names, "rng"]), given["given"][0].as_py())
+
+    def alone(group: pa.Table) -> pa.Table:
+        return folded(group, None)
+
+    def rest(group: pa.Table) -> pa.Table:
+        out, left = fold([], json.loads(group["state"][0].as_py()))
+        return told(group["tid"][0].as_py(), -1, out, json.dumps(left))
+
+    keys = ["tid", "rng"]
+    cut = settled(rows.withColumn("rng", F.shiftright(F.col(order[0]).cast("long"), range_bits)))
+    done = settled(cut.groupBy(*keys).applyInArrow(alone, full))
+    rounds, turn = [done], 0
+    states = settled(done.filter("state is not null").select(*keys, "state", F.lit(None).cast("string").alias("given"), F.lit(0).alias("turn")))
+    while True:
+        w = Window.partitionBy("tid").orderBy("rng")
+        told_next = states.withColumn("_in", F.lag("state").over(w))
+        wrong = settled(told_next.filter(~F.col("_in").eqNullSafe(F.col("given"))).select(*keys, F.col("_in").alias("given")))
+        if wrong.isEmpty():
+            break
+        turn += 1
+        some = cut.join(wrong.select(*keys), keys, "left_semi")
+        done = settled(some.groupBy(*keys).cogroup(wrong.groupBy(*keys)).applyInArrow(again, full))
+        rounds.append(done)
+        new = done.filter("state is not null").select(*keys, "state").join(wrong, keys).select(*keys, "state", "given", F.lit(turn).alias("turn"))
+        states = settled(states.join(wrong.select(*keys), keys, "left_anti").unionByName(new))
+    last = states.groupBy("tid").agg(F.max_by("state", "rng").alias("state"))
+    out = last.groupBy("tid").applyInArrow(rest, full).filter("state is null").select(*out_names)
+    for k, one in enumerate(rounds):
+        mine = one.filter("state is null").join(states.filter(F.col("turn") == k).select(*keys), keys, "left_semi")
+        out = out.unionByName(mine.select(*out_names))
+    return out
 
 
 MERGED = "tid long, st long, en long, n_seg long, n_frag long, l_open boolean, r_open boolean, is_rev boolean, sum_mq2 long"
+ST, EN, SEG, N, LEFT, RIGHT, REV, MQ = range(8)  # places in an open fragment
 
 
 def _merge(segments: bool, tn5: int, fuzz: int, fuzz_st: int, fuzz_len: int):
-    """Three greedy passes over the fragments of one island, in order of start and strand."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        rows = sorted(rows, key=lambda r: (r["st"], r["is_rev"], r["en"], r["n"]))
-        for r in rows:
-            r |= {"n_seg": 1, "n_frag": r["n"], "gone": False}
-
-        def absorb(p: dict, q: dict) -> None:
-            p["n_frag"] += q["n_frag"]
-            p["sum_mq2"] += q["sum_mq2"]
-            q["gone"] = True
-
-        def later(i: int) -> Iterator[dict]:
-            return (q for q in rows[i + 1 :] if not q["gone"])
-
-        for i, p in enumerate(rows):  # the same strand, nearly the same 5' end
-            for q in later(i) if not p["gone"] else ():
-                if q["st"] >= p["en"]:
-                    break
-                near = abs(q["en"] - p["en"]) if p["is_rev"] else q["st"] - p["st"]
-                if p["is_rev"] == q["is_rev"] and near <= fuzz_st:
-                    p["en"] = max(p["en"], q["en"])
-                    absorb(p, q)
-        for i, p in enumerate(rows):  # a forward and a reverse fragment that span the same: both sides known
-            for q in later(i) if not p["gone"] else ():
-                if q["st"] >= p["en"]:
-                    break
-                if p["r_open"] and q["l_open"] and q["en"] >= p["en"] and q["st"] - p["st"] <= fuzz_len:
-                    p["en"], p["r_open"] = q["en"], False
-                    absorb(p, q)
-        for i, p in enumerate(rows if segments else ()):  # neighbours that share the duplicated bases
-            for q in later(i) if not p["gone"] else ():
-                shared = p["en"] - q["st"]
-                if shared <= 0:
-                    break
-                if abs(shared - tn5) <= fuzz:
-                    p["en"], p["r_open"], p["n_seg"] = q["en"], q["r_open"], p["n_seg"] + 1
-                    absorb(p, q)
-        return [r for r in rows if not r["gone"]]
+    """Three greedy passes over the fragments of a contig, in order of start and strand.
+
+    A pass hands a fragment on once nothing that starts later can change it, in
+    order, so the three run behind one another over the few that are open. In each
+    a fragment goes to the first open one that takes it.
+    """
+
+    def same_end(q: list, p: list) -> bool:
+        near = abs(p[EN] - q[EN]) if q[REV] else p[ST] - q[ST]
+        return q[REV] == p[REV] and near <= fuzz_st
+
+    def both_sides(q: list, p: list) -> bool:
+        return q[RIGHT] and p[LEFT] and p[EN] >= q[EN] and p[ST] - q[ST] <= fuzz_len
+
+    def shared(q: list, p: list) -> bool:
+        return abs(q[EN] - p[ST] - tn5) <= fuzz
+
+    def joined_ends(q: list, p: list) -> None:
+        q[EN] = max(q[EN], p[EN])
+
+    def closed_right(q: list, p: list) -> None:
+        q[EN], q[RIGHT] = p[EN], False
+
+    def chained(q: list, p: list) -> None:
+        q[EN], q[RIGHT], q[SEG] = p[EN], p[RIGHT], q[SEG] + 1
+
+    # of each pass: whether it merges, how, and whether a fragment is settled once one starts at ``at``
+    passes = [
+        (same_end, joined_ends, lambda q, at: at >= q[EN] or not q[REV] and at - q[ST] > fuzz_st),
+        (both_sides, closed_right, lambda q, at: at >= q[EN] or not q[RIGHT] or at - q[ST] > fuzz_len),
+        *([(shared, chained, lambda q, at: at >= q[EN])] if segments else []),
+    ]
+
+    def fold(rows: list[tuple], state: list | None) -> tuple[list[tuple], list]:
+        open_, out = state or [[] for _ in passes], []
+
+        def take(k: int, p: list) -> None:
+            if k == len(passes):
+                out.append(tuple(p))
+                return
+            test, absorb, settled_at = passes[k]
+            release(k, p[ST])
+            for q in open_[k]:
+                if p[ST] < q[EN] and test(q, p):
+                    absorb(q, p)
+                    q[N] += p[N]
+                    q[MQ] += p[MQ]
+                    return
+            open_[k].append(p)
+
+        def release(k: int, at: float) -> None:
+            settled_at, held, n = passes[k][2], open_[k], 0
+            while n < len(held) and settled_at(held[n], at):
+                n += 1
+            gone, open_[k] = held[:n], held[n:]
+            for q in gone:
+                take(k + 1, q)
+
+        for _, st, en, is_rev, n, l_open, r_open, mq in rows:
+            take(0, [st, en, 1, n, l_open, r_open, is_rev, mq])
+        if not rows:
+            for k in range(len(passes)):
+                release(k, float("inf"))
+        return out, open_
 
     return fold
 
 
-def merged(frags: DataFrame, segments: bool = True, tn5: int = 9, fuzz: int = 2, fuzz_st: int = 2, fuzz_len: int = 10) -> DataFrame:
-    """Greedy merges inside islands: no merge crosses one, so each is folded alone."""
-    marked = islands(frags, ["tid"], ["far_st", "en", "is_rev", "n"], "far_st", "en")
-    return _per_island(marked, _merge(segments, tn5, fuzz, fuzz_st, fuzz_len), MERGED)
+def merged(frags: DataFrame, segments: bool = True, tn5: int = 9, fuzz: int = 2, fuzz_st: int = 2, fuzz_len: int = 10, range_bits: int = RANGE_BITS) -> DataFrame:
+    """Greedy merges of overlapping fragments in order of start, strand, end and size."""
+    rows = frags.select("tid", "st", "en", "is_rev", "n", "l_open", "r_open", "sum_mq2")
+    return carried(rows, ["st", "is_rev", "en", "n", "sum_mq2"], _merge(segments, tn5, fuzz, fuzz_st, fuzz_len), MERGED, range_bits)
 
 
 def fragment_bed(frags: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -151,42 +231,40 @@ COUNTED = "tid long, st long, en long, n_frag long, n_seg long, mq long, lo bool
 
 
 def _chain(n1: int, n2: int, merge: bool):
-    """One island in start order: left-open fragments extend the best right-open one; ``d2_from`` is where the second threshold counts from."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
-        last = None
-        for f in sorted(rows, key=lambda r: (r["st"], r["en"], r["n_frag"], r["mq"])):
-            best = None
-            if merge and f["lo"]:
-                for g in kept:
-                    if g["ro"] and f["st"] < g["en"] <= f["en"] and (best is None or g["en"] - f["st"] > best["en"] - f["st"]):
-                        best = g
+    """Fragments in start order: a left-open one extends the open one that overlaps it most; ``d2_from`` is where the second threshold counts from."""
+
+    def fold(rows: list[tuple], state: list | None) -> tuple[list[tuple], list]:
+        held, last = state or [[], None]
+        out = []
+        for _, st, en, n_frag, n_seg, mq, lo, ro in rows:
+            ended = [g for g in held if g[1] <= st or not g[6]]
+            if ended:
+                out += map(tuple, ended)
+                held = [g for g in held if g[1] > st and g[6]]
+            best = max((g for g in held if g[1] <= en), key=lambda g: g[1], default=None) if merge and lo else None  # the first of equals
             if best is not None:
-                best["en"], best["ro"] = f["en"], f["ro"]
-                best["n_frag"] += f["n_frag"]
-                best["n_seg"] += 1
-                if best["d2_from"] is None and best["n_frag"] >= n2:
-                    best["d2_from"] = last
-                continue
-            if f["n_frag"] < n1:
-                continue
-            last = f["st"]
-            kept.append(f | {"d2_from": f["st"] if f["n_frag"] >= n2 else None})
-        return kept
+                best[1], best[6], best[2], best[3] = en, ro, best[2] + n_frag, best[3] + 1
+                if best[7] is None and best[2] >= n2:
+                    best[7] = last
+            elif n_frag >= n1:
+                last = st
+                held.append([st, en, n_frag, n_seg, mq, lo, ro, st if n_frag >= n2 else None])
+        if not rows:
+            out, held = [tuple(g) for g in held], []
+        return out, [held, last if held else None]
 
     return fold
 
 
-def counted(frags: DataFrame, n1: int = 5, n2: int = 10, merge: bool = True) -> DataFrame:
+def counted(frags: DataFrame, n1: int = 5, n2: int = 10, merge: bool = True, range_bits: int = RANGE_BITS) -> DataFrame:
     """Fragments (tid, st, en, n_frag, n_seg, mq, lo, ro) after merging and the first threshold."""
-    marked = islands(frags, ["tid"], ["st", "en", "n_frag", "mq"], "st", "en")
-    return _per_island(marked, _chain(n1, n2, merge), COUNTED)
+    rows = frags.select("tid", *[F.col(c).cast("long").alias(c) for c in ("st", "en", "n_frag", "n_seg", "mq")], "lo", "ro")
+    return carried(rows, ["st", "en", "n_frag", "mq", "lo", "ro"], _chain(n1, n2, merge), COUNTED, range_bits)
 
 
-def count_depth(frags: DataFrame, n1: int = 5, n2: int = 10, min_mq: int = 40, merge: bool = True) -> DataFrame:
+def count_depth(frags: DataFrame, n1: int = 5, n2: int = 10, min_mq: int = 40, merge: bool = True, range_bits: int = RANGE_BITS) -> DataFrame:
     """(tid, st, en, d0, d1, d2): depth by mapping quality, by quality and size, and of all."""
-    kept = counted(frags, n1, n2, merge)
+    kept = counted(frags, n1, n2, merge, range_bits)
     good, neg = (F.col("mq") >= min_mq).cast("long"), F.when(F.col("d2_from").isNotNull(), -(F.col("mq") >= min_mq).cast("long")).otherwise(0)
     zero = F.lit(0).cast("long")
 

@@ -41,7 +41,8 @@ def slow_count(frags, n1, n2, min_mq):
     return out
 
 
-def test_count_equals_the_sequential_pass(spark):
+@pytest.mark.parametrize("bits", [3, 20])
+def test_count_equals_the_sequential_pass(spark, bits):
     rnd = random.Random(5)
     cases = {}
     for tid in range(150):
@@ -52,7 +53,7 @@ def test_count_equals_the_sequential_pass(spark):
         cases[tid] = rows
     df = spark.createDataFrame([(t, r["st"], r["en"], r["n_frag"], 1, r["mq"], r["lo"], r["ro"]) for t, rows in cases.items() for r in rows], COUNTED)
     got = {}
-    for r in fragments.count_depth(df, 5, 10, 40).collect():
+    for r in fragments.count_depth(df, 5, 10, 40, range_bits=bits).collect():
         got.setdefault(r.tid, []).append((r.st, r.en, r.d0, r.d1, r.d2))
     for tid, rows in cases.items():
         # boundaries of equal depth may be cut at more places by either: compare per position
@@ -100,7 +101,8 @@ def slow_merge(rows):
     return sorted(out)
 
 
-def test_merge_equals_the_sequential_passes(spark):
+@pytest.mark.parametrize("bits", [3, 20])
+def test_merge_equals_the_sequential_passes(spark, bits):
     rnd = random.Random(8)
     cases = {}
     for tid in range(150):
@@ -112,12 +114,25 @@ def test_merge_equals_the_sequential_passes(spark):
         cases[tid] = list({(r["st"], r["is_rev"], r["en"], r["n"]): r for r in rows}.values())
     df = spark.createDataFrame([(t, *(r[c] for c in "st en far_st is_rev n l_open r_open sum_mq2".split())) for t, rows in cases.items() for r in rows], FRAGS)
     got = {}
-    for r in fragments.merged(df).collect():
+    for r in fragments.merged(df, range_bits=bits).collect():
         got.setdefault(r.tid, []).append((r.st, r.en, r.n_seg, r.n_frag, r.l_open, r.r_open, r.is_rev, r.sum_mq2))
     for tid, rows in cases.items():
         assert sorted(got[tid]) == slow_merge(rows), tid
 
 
+def test_a_dense_contig_is_folded_in_ranges(spark):
+    """20,000 overlapping fragments, which no gap cuts: the rows of one range and the open fragments are all that a task holds."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(20_000):
+        st, rev = 5 * k + rnd.randint(0, 4), rnd.random() < 0.5
+        rows.append((0, st, st + rnd.randint(200, 900), st - rnd.randint(0, 4) * rev, rev, rnd.randint(1, 9), rev, not rev, rnd.randint(0, 900)))
+    df = spark.createDataFrame(rows, FRAGS)
+    shown = lambda bits: sorted(map(tuple, fragments.merged(df, range_bits=bits).collect()))
+    whole, cut = shown(20), shown(13)
+    assert whole == cut and len(whole) < 20_000
+
+
 def test_trimming_finds_the_template(spark):
     rnd = random.Random(4)
     pairs, truth = [], {}
