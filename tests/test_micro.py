@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from slow_trim import reverse_complement
+
 from helixframe.functions import reads as R
 from helixframe.operators import cnv, coverage, dedup, fragments, intervals, joint, pileup, sv, sweep, trim, variants
 
@@ -133,27 +135,40 @@ def test_pileup_positions(spark):
     ]
 
 
+def one_pair(one, two, o):
+    """(class, mate 1, mate 2, barcode, both bound) of a single pair of good quality."""
+    import pyarrow as pa
+
+    row = [[0], ["r"], [one], ["I" * len(one)], [two], ["I" * len(two)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["pair_id", "name", "seq1", "qual1", "seq2", "qual2"])
+    r = next(trim.trimmed_batch(batch, o)).to_pylist()[0]
+    return r["type"], r["seq1"], r["seq2"], r["bc"], r["both_bound"]
+
+
 def test_merge_base():
-    at = lambda q: chr(33 + q)
-    assert trim.merge_base("A", at(40), "A", at(30)) == ("A", at(50))
-    assert trim.merge_base("A", at(20), "C", at(30)) == ("C", at(10))
-    assert trim.merge_base("A", at(20), "C", at(20)) == ("C", at(0))
+
+    def merged(f, fq, r, rq):
+        s, q = trim.merge_bases(*(np.array([x], np.uint8) for x in (ord(f), 33 + fq, ord(r), 33 + rq)))
+        return chr(s[0]), int(q[0]) - 33
+
+    assert merged("A", 40, "A", 30) == ("A", 50)
+    assert merged("A", 20, "C", 30) == ("C", 10)
+    assert merged("A", 20, "C", 20) == ("C", 0)
 
 
 def test_trim_classes():
     rnd, o = random.Random(1), trim.TrimOptions()
     insert = "".join(rnd.choice("ACGT") for _ in range(150))
-    read = lambda s: trim.Read(s, "I" * len(s))
     head = "TTGACCAA" + trim.BIND + insert[:90]
     for back, length in ((insert[20:110], 110), (insert[60:150], 150)):
-        kind, a, b, bc, _ = trim.process(read(head), read(trim.reverse_complement(back)), o)
-        assert (kind, bc, len(a), len(b)) == (trim.MERGED, "TTGACCAA", length, 0) and insert.startswith(a.seq)
-    assert trim.process(read(insert[:30]), read(insert), o)[0] == trim.SHORT
-    assert trim.process(read(insert[:80]), read(insert[70:]), o)[0] == trim.NO_BINDING
-    assert trim.process(read(head), read(trim.BIND + insert[90:]), o)[0] == trim.CHIMERA
+        kind, a, b, bc, _ = one_pair(head, reverse_complement(back), o)
+        assert (kind, bc, len(a), len(b)) == (trim.MERGED, "TTGACCAA", length, 0) and insert.startswith(a)
+    assert one_pair(insert[:30], insert, o)[0] == trim.SHORT
+    assert one_pair(insert[:80], insert[70:], o)[0] == trim.NO_BINDING
+    assert one_pair(head, trim.BIND + insert[90:], o)[0] == trim.CHIMERA
     other = "".join(rnd.choice("ACGT") for _ in range(90))
-    assert trim.process(read(head), read(other), o)[0] == trim.NOT_MERGED
-    assert trim.process(read(head + trim.PROMOTER), read(other), o)[0] == trim.POST_PROMOTER
+    assert one_pair(head, other, o)[0] == trim.NOT_MERGED
+    assert one_pair(head + trim.PROMOTER, other, o)[0] == trim.POST_PROMOTER
 
 
 def test_structural_variant(spark):
