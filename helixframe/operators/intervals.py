@@ -15,8 +15,8 @@ def _overlaps(df: DataFrame, mask: DataFrame, chrom: str, beg: str, end: str, ho
     """Overlap join without a nested loop: long masks are cut at bins of 8 kb, rows look up the bins they span.
 
     The equality on (chromosome, bin) is what partitions the work; the exact
-    test follows. A semi or anti join needs the row only once, so rows that
-    span several bins are told apart by a key made of the row itself.
+    test follows. A semi or anti join needs the row only once: for rows that
+    span several bins, their distinct intervals are looked up.
     """
     bins = lambda a, b: F.explode(F.sequence(F.shiftright(a, BIN), F.shiftright(F.greatest(a, b - 1), BIN)))
     m = mask.select(F.col("chrom").alias("_c"), F.col("beg").cast("long").alias("_b"), F.col("end").cast("long").alias("_e")).filter("_e > _b")
@@ -25,12 +25,13 @@ def _overlaps(df: DataFrame, mask: DataFrame, chrom: str, beg: str, end: str, ho
     one_bin = F.shiftright(b, BIN) == F.shiftright(F.greatest(b, e - 1), BIN)
     test = (F.col(chrom) == F.col("_c")) & (b < F.col("_e")) & (e > F.col("_b"))
     near = df.filter(one_bin).join(m, test & (F.shiftright(b, BIN) == F.col("_bin")), how)
+    # whether a row over several bins hits is a matter of its interval: distinct intervals are looked up, rows of any type stay whole
     far = df.filter(~one_bin)
-    key = [F.col(c) for c in df.columns]
-    spread = far.select(F.struct(*key).alias("_row"), *key, bins(b, e).alias("_rbin"))
-    hit = spread.join(m, test & (F.col("_rbin") == F.col("_bin")), "left_semi").select("_row").distinct()
-    far = far.withColumn("_row", F.struct(*key)).join(hit, "_row", how).drop("_row")
-    return near.unionByName(far)
+    key = [F.col(chrom), b, e]
+    spans = far.select(*[c.alias(f"_k{k}") for k, c in enumerate(key)]).distinct().withColumn("_rbin", bins(F.col("_k1"), F.col("_k2")))
+    met = (F.col("_k0") == F.col("_c")) & (F.col("_k1") < F.col("_e")) & (F.col("_k2") > F.col("_b")) & (F.col("_rbin") == F.col("_bin"))
+    hit = spans.join(m, met, "left_semi").select("_k0", "_k1", "_k2").distinct()
+    return near.unionByName(far.join(hit, [c == F.col(f"_k{k}") for k, c in enumerate(key)], how))
 
 
 def overlapping(df: DataFrame, mask: DataFrame, chrom: str = "chrom", beg: str = "beg", end: str = "end") -> DataFrame:
@@ -103,6 +104,19 @@ def parse_region(region: str, names: set[str] | None = None) -> tuple[str, int,
     return whole if beg > end else (name, beg, end)
 
 
+def region_parts(region: Column | str) -> Column:
+    """``parse_region`` of a column of region strings, as struct (chrom, beg, en), without knowledge of contigs."""
+    r = F.col(region) if isinstance(region, str) else region
+    name, span = F.regexp_extract(r, r"(?s)^(.*):[^:]*$", 1), F.regexp_extract(r, r"(?s):([^:]*)$", 1)
+    s = F.regexp_replace(span, ",", "")
+    number = lambda group: F.coalesce(F.regexp_extract(s, r"^([0-9]*)-?([0-9]*)$", group).try_cast("long"), F.lit(0))
+    sound = F.contains(r, F.lit(":")) & s.rlike(r"^-?[0-9]*(-[0-9]*)?$") & (F.length(span) - F.length(F.regexp_replace(span, "-", "")) <= 1)
+    beg = F.when(s.startswith("-"), 0).otherwise(F.greatest(F.lit(0).cast("long"), number(1) - 1))
+    end = F.when(s == "-", 0).when(s.rlike("^[0-9]+-"), number(2)).otherwise(1 << 29)
+    whole = F.struct(r.alias("chrom"), F.lit(0).cast("long").alias("beg"), F.lit(1 << 29).cast("long").alias("en"))
+    return F.when(sound & (beg <= end), F.struct(name.alias("chrom"), beg.cast("long").alias("beg"), end.cast("long").alias("en"))).otherwise(whole)
+
+
 def in_region(region: str, chrom: str = "chrom", beg: str = "beg", end: str = "end") -> Column:
     """Predicate for rows that meet a region; plain comparisons, so Parquet statistics prune with them."""
     name, b, e = parse_region(region)

@@ -230,10 +230,21 @@ def region_scan(spark, sf):
     return _spans(spark, sf).filter(intervals.in_region("3:50,000-120,000", "tid", "pos", "en")).drop("en")
 
 
-@query("SELECT * FROM (VALUES ('chr1', 'chr1', 0::BIGINT, 536870912::BIGINT), ('chr1:1,000-2,000', 'chr1', 999, 2000), ('chr2:500', 'chr2', 499, 536870912), ('HLA:DRB', 'HLA:DRB', 0, 536870912)) t(region, chrom, beg, en)")
+_AT = "o_orderkey * 29 % 20000 * 10"
+_REGION = {
+    "region": f"CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN concat('chr', o_custkey % 5) WHEN 1 THEN concat('chr', o_custkey % 5, ':', {_AT} + 1, '-', {_AT} + 500) WHEN 2 THEN concat('chr', o_custkey % 5, ':1,', o_custkey % 9, '00-2,000')"
+    f" WHEN 3 THEN concat('chr', o_custkey % 5, ':', {_AT} + 1) WHEN 4 THEN concat('HLA:DRB', o_custkey % 5) WHEN 5 THEN concat('HLA:DRB:7-', 10 + o_custkey % 5) WHEN 6 THEN concat('chr1:', {_AT} + 600, '-', {_AT}) ELSE concat('chr1:1-', o_custkey % 5, '-3') END",
+}
+
+
+@query(
+    f"""WITH r AS ({X.sql(_REGION, 'orders', 'o_orderkey, o_custkey')}), k AS (SELECT o_orderkey, region, o_orderkey % 8 AS k, o_custkey AS c, {_AT} AS a FROM r)
+SELECT o_orderkey, region, CASE k WHEN 1 THEN concat('chr', c % 5) WHEN 2 THEN concat('chr', c % 5) WHEN 3 THEN concat('chr', c % 5) WHEN 5 THEN 'HLA:DRB' ELSE region END AS chrom,
+CASE k WHEN 1 THEN a WHEN 2 THEN 999 + c % 9 * 100 WHEN 3 THEN a WHEN 5 THEN 6 ELSE 0 END::BIGINT AS beg, CASE k WHEN 1 THEN a + 500 WHEN 2 THEN 2000 WHEN 5 THEN 10 + c % 5 ELSE 536870912 END::BIGINT AS en FROM k"""
+)
 def region_parse(spark, sf):
-    given = ["chr1", "chr1:1,000-2,000", "chr2:500", "HLA:DRB"]
-    return spark.createDataFrame([(g, *intervals.parse_region(g)) for g in given], "region string, chrom string, beg long, en long")
+    rows = X.project(spark, sf, "orders", _REGION)
+    return rows.select("o_orderkey", "region", intervals.region_parts("region").alias("x")).select("o_orderkey", "region", "x.*")
 
 
 # ---------------------------------------------------------------- coverage
@@ -546,10 +557,10 @@ c AS (SELECT *, ba <= 0 AND called AS candidate FROM f),
 w AS (SELECT *, coalesce(pos - lag(pos) OVER q <= 100, false) OR coalesce(lead(pos) OVER q - pos <= 100, false) AS flt FROM c WHERE candidate WINDOW q AS (PARTITION BY chrom ORDER BY pos))"""
 
 
-def diff_sites(spark: SparkSession, sf: str) -> DataFrame:
+def diff_sites(spark: SparkSession, sf: str, columns: dict[str, str] = _PAIR, o: variants.DiffOptions | None = None) -> DataFrame:
     """Sites of all rows: the depths of one position and allele pair are summed."""
-    p = X.project(spark, sf, "lineitem", _PAIR, keep=False)
-    return variants.sites(p.groupBy(*joint.SITE).agg(*[F.sum(d).cast("int").alias(d) for d in _DEPTHS], F.max("c_lt").alias("c_lt")), variants.DiffOptions())
+    p = X.project(spark, sf, "lineitem", columns, keep=False)
+    return variants.sites(p.groupBy(*joint.SITE).agg(*[F.sum(d).cast("int").alias(d) for d in _DEPTHS], F.max("c_lt").alias("c_lt")), o or variants.DiffOptions())
 
 
 @query(f"WITH {_DIFF} SELECT chrom, pos, ref, alt, het, called, candidate FROM c")
@@ -575,6 +586,19 @@ def snv_tallies(spark, sf):
     return variants.tallies(variants.novel(diff_sites(spark, sf), variants.DiffOptions()))
 
 
+# transitions either way round, deletions and insertions
+_MIXED = _PAIR | {k: f"CASE CAST(l_partkey % 5 AS INT) WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' WHEN 2 THEN '{c}' WHEN 3 THEN '{d}' ELSE '{e}' END" for k, (a, b, c, d, e) in {"ref": ("C", "G", "AC", "A", "T"), "alt": ("T", "A", "A", "AGG", "C")}.items()}
+
+
+@query(
+    f"""WITH {_DIFF.replace(X.sql(_PAIR, "lineitem", ""), X.sql(_MIXED, "lineitem", ""))}, k AS (SELECT CASE WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) < length(alt) THEN 'INS' ELSE kind END AS kind FROM w WHERE NOT flt)
+SELECT count(*) FILTER (kind NOT IN ('DEL', 'INS')) AS n_snv, count(*) FILTER (kind NOT IN ('DEL', 'INS', 'CT')) AS n_snv_nonct, count(*) FILTER (kind = 'DEL') AS n_del, count(*) FILTER (kind = 'INS') AS n_ins FROM k"""
+)
+def snv_tallies_indels(spark, sf):
+    o = variants.DiffOptions(indels=True)
+    return variants.tallies(variants.novel(diff_sites(spark, sf, _MIXED, o), o))
+
+
 @query(f"WITH p AS ({X.sql(_PAIR, 'lineitem', '')}) SELECT ref, alt, CASE WHEN ref > alt THEN translate(concat(ref, alt), 'ACGT', 'TGCA') ELSE concat(ref, alt) END AS kind, count(*) AS n FROM p GROUP BY ALL")
 def mutation_class(spark, sf):
     return X.project(spark, sf, "lineitem", _PAIR, keep=False).groupBy("ref", "alt", R.mutation_class("ref", "alt").alias("kind")).agg(F.count("*").alias("n"))

@@ -167,3 +167,24 @@ def test_lists_given_in_line(spark, tmp_path):
     (tmp_path / "l").write_text("x\ny z\n")
     assert [r.name for r in text.read_list(spark, ":a,b,,c").collect()] == ["a", "b", "c"]
     assert sorted(r.name for r in text.read_list(spark, str(tmp_path / "l")).collect()) == ["x", "y z"]
+
+
+def test_region_strings_of_a_column(spark):
+    from helixframe.operators.intervals import parse_region, region_parts
+
+    rnd = random.Random(5)
+    given = ["chr1:2000-1000", "chr1:-5", "chr1:5-", "chr1:1,000", "chr1:a-5", "chr1:1-2-3", "a:b:7-9", "chr1:", "chr1:-", "chr1", "", ":", "a:,", "x:5-9,", "x:99999999999999999999"]
+    given += ["".join(rnd.choice("a:1207,-") for _ in range(rnd.randint(0, 9))) for _ in range(400)]
+    got = spark.createDataFrame([(k, g) for k, g in enumerate(given)], "k int, g string").select("k", region_parts("g").alias("x")).collect()
+    assert all(tuple(r.x) == parse_region(given[r.k]) for r in got if "9" * 20 not in given[r.k])
+
+
+def test_intervals_with_columns_of_any_type(spark):
+    from helixframe.operators import intervals
+
+    rows = [("c", 5, 9, {"a": "b"}), ("c", 8000, 30_000, {"a": "b"}), ("c", 8000, 30_000, {"c": "d"}), ("c", 8000, 30_000, {"c": "d"}), (None, 1, 20_000, None), ("d", 100_000, 200_000, {})]
+    df = spark.createDataFrame(rows, "chrom string, beg int, end int, tags map<string,string>")
+    mask = spark.createDataFrame([("c", 20_000, 20_001), ("d", 0, 100_000)], "chrom string, beg int, end int")
+    shown = lambda df: sorted(((r.beg, str(r.tags)) for r in df.collect()), key=str)
+    assert shown(intervals.overlapping(df, mask)) == sorted([(8000, "{'a': 'b'}")] + [(8000, "{'c': 'd'}")] * 2, key=str)
+    assert shown(intervals.outside(df, mask)) == sorted([(1, "None"), (5, "{'a': 'b'}"), (100_000, "{}")], key=str)
