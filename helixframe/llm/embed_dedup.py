@@ -15,8 +15,9 @@ direction and not the vectors apart. Such a label takes as many passes as hold
 the share of lone pairs at the threshold that no pass brings together at
 ``MISS``, by its size and the length of its mean (``passes_for``); smaller labels
 need one pass, which compares all their pairs. Where a label's vectors are so
-alike that this asks for more than ``MOST`` passes, it takes ``MOST``: then nearly
-all its pairs are links, and many chains hold its groups together.
+alike that this asks for more than ``MANY`` passes, and for as many comparisons as
+the label has pairs, sorting tells nothing any more: then all its pairs are
+compared, in blocks of ``BLOCK`` by ``BLOCK``, so that no label loses a link.
 
 The passes find which vectors belong together. Links are then counted exactly:
 inside each component every pair is compared, in blocks of ``BLOCK`` by
@@ -43,8 +44,8 @@ from ._common import checkpointed, shuffles_deleted
 from ._graph import components
 from .vptree import doubles, matrix, of_common_length
 
-#: Share of lone pairs at the threshold that no pass brings together, and the most passes of a label.
-MISS, MOST = 1e-3, 64
+#: Share of lone pairs at the threshold that no pass brings together, and the passes that a label takes in any case before all its pairs are compared.
+MISS, MANY = 1e-3, 64
 #: Passes that share one sort; more need fewer jobs and more shuffle space at once.
 TOGETHER = 4
 WINDOW = 256
@@ -61,13 +62,14 @@ def passes_for(n: int, together: float, least: float, window: int, miss: float =
     A pair at the threshold has a cosine of ``(least - together) / (1 - together)``
     once centred, and so shares a bit with the probability ``1 - angle / pi``. It is
     compared if it shares the leading bits that leave a window of vectors, and one
-    bit to spare.
+    bit to spare. 0 where comparing all pairs costs no more.
     """
     if n <= window:
         return 1
     centred = min(1.0, max(0.0, (least - together) / max(1e-12, 1 - together)))
     meets = (1 - np.arccos(centred) / np.pi) ** (np.log2(n / window) + 1)
-    return int(min(MOST, max(1, np.ceil(np.log(miss) / np.log1p(-min(meets, 1 - 1e-12))))))
+    passes = max(1, np.ceil(np.log(miss) / np.log1p(-min(max(meets, 1e-300), 1 - 1e-12))))
+    return 0 if passes > MANY and passes * window >= n / 2 else int(passes)
 
 
 def planes(turn: int, width: int, bits: int = BITS) -> np.ndarray:
@@ -163,7 +165,7 @@ def _windows(least: float, window: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("rank")
         ids, label, turn, rank = (group[c].to_numpy() for c in ("id", "label", "pass", "rank"))
-        v, root = matrix(group["v"]), np.arange(len(group))
+        v = matrix(group["v"])
         first, second = [], []
         for s in range(0, len(ids), window):
             e = min(len(ids), s + 2 * window)
@@ -174,22 +176,57 @@ def _windows(least: float, window: int):
             pick = (gap > 0) & (gap <= window)
             first.append(s + i[pick])
             second.append(s + j[pick])
-        i, j = np.concatenate(first), np.concatenate(second)
-        while True:  # least row of each linked set
-            least_root = np.minimum(root[i], root[j])
-            new = root.copy()
-            np.minimum.at(new, i, least_root)
-            np.minimum.at(new, j, least_root)
-            new = new[new]
-            if np.array_equal(new, root):
-                break
-            root = new
+        root = _forest(np.concatenate(first), np.concatenate(second), len(group))
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": ids[moved], "b": ids[root[moved]]})
 
     return run
 
 
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least row of each row's linked set."""
+    root = np.arange(n)
+    while True:
+        least_root = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, least_root)
+        np.minimum.at(new, j, least_root)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _every_pair(least: float):
+    """All pairs of a label's block ``i`` with its block ``j``; a forest of the links found."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, own, v = group["id"].to_numpy(), group["own"].to_numpy(), matrix(group["v"])
+        one, two = (np.flatnonzero(own == group[c][0].as_py()) for c in "ij")
+        root = np.arange(len(ids))
+        for a in range(0, len(one), TILE):
+            for b in range(0, len(two), TILE):
+                x, y = np.nonzero(cosine_links(v[one[a : a + TILE]], v[two[b : b + TILE]], least))
+                # links of what the tiles before have joined add nothing
+                x, y = one[a + x], two[b + y]
+                new = root[x] != root[y]
+                root = root[_forest(root[x[new]], root[y[new]], len(ids))[root]] if new.any() else root
+        root = _forest(np.arange(len(ids)), root, len(ids))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": ids[moved], "b": ids[root[moved]]})
+
+    return run
+
+
+def whole_labels(vectors: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect what all pairs of the labels of (id, label, v, n) do."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("long")
+    rows = vectors.select("id", "label", "v", F.pmod(F.xxhash64("id"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    rows = rows.select("id", "label", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return rows.groupBy("label", "i", "j").applyInArrow(_every_pair(least), "a long, b long")
+
+
 def sorted_passes(vectors: DataFrame, turns: range, least: float, window: int) -> DataFrame:
     """Links (a, b) that connect what the passes ``turns`` find over (id, label, v, mean, passes); they share one sort."""
     width = 32 * window
@@ -249,12 +286,12 @@ def _near_duplicates(df: DataFrame, least: float, window: int, id_col: str, vec_
     classes = checkpointed(parts.groupBy(*shape).agg(F.min("rep").alias("id"), F.sum("copies").alias("copies"), F.any_value("v").alias("v")))
 
     plans = checkpointed(label_plans(classes, least, window))
-    about = plans.agg(F.max("passes").alias("most"), F.sum(8 * F.size("mean")).alias("bytes")).first()
+    about = plans.agg(F.max("passes").alias("most"), F.sum(8 * F.size("mean")).alias("bytes"), F.count_if(F.col("passes") == 0).alias("whole")).first()
     plans = F.broadcast(plans) if (about["bytes"] or 0) <= BROADCAST else plans
-    vectors = classes.select("id", "label", "v").join(plans.select("label", "mean", "passes"), "label", "left")
+    vectors = classes.select("id", "label", "v").join(plans.select("label", "mean", "passes", "n"), "label", "left")
     mean = F.coalesce("mean", F.array_repeat(F.lit(0.0), F.size("v"))).alias("mean")
-    vectors = checkpointed(vectors.select("id", "label", "v", mean, F.coalesce("passes", F.lit(1)).alias("passes")))
-    links = None
+    vectors = checkpointed(vectors.select("id", "label", "v", mean, F.coalesce("passes", F.lit(1)).alias("passes"), "n"))
+    links = whole_labels(vectors.filter("passes = 0"), least) if about["whole"] else None
     for t in range(0, about["most"] or 1, TOGETHER):
         found = sorted_passes(vectors, range(t, t + TOGETHER), least, window)
         links = found if links is None else links.unionByName(found)

@@ -270,8 +270,28 @@ def test_passes_find_lone_pairs_of_spread_and_clustered_vectors(spark, together)
 
 
 def test_passes_grow_with_the_label_and_its_mean():
-    plan = [embed_dedup.passes_for(n, m, 0.98, 256) for n, m in ((256, 0.9), (10_000, 0.0), (10_000_000, 0.0), (10_000, 0.9), (100_000, 0.99))]
-    assert plan[0] == 1 and plan[1] < plan[2] < embed_dedup.MOST and plan[1] < plan[3] and plan[4] == embed_dedup.MOST
+    plan = [embed_dedup.passes_for(n, m, 0.98, 256) for n, m in ((256, 0.9), (10_000, 0.0), (10_000_000, 0.0), (10_000, 0.9), (1_000_000, 0.95), (100_000, 0.99))]
+    assert plan[0] == 1 and plan[1] < plan[2] < 64 and plan[1] < plan[3] and plan[4] > 500 and plan[5] == 0
+
+
+@pytest.mark.parametrize("together", [0.95, 0.98])
+def test_labels_of_like_vectors_lose_no_link(spark, monkeypatch, together):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 700)
+    x = with_pairs(np.random.default_rng(9), 3000, 200, together)
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())] + [(9000, x[0].tolist(), 2), (9001, x[0].tolist(), 2)]
+    assert embed_dedup.passes_for(3200, together, 0.98, 16) == 0
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=16).collect()}
+    unit_x = unit(x)
+    ok = unit_x @ unit_x.T >= 0.98
+    np.fill_diagonal(ok, False)
+    assert all(got[i][0] == int(ok[i].sum()) for i in range(len(x)))
+    comp = np.arange(len(x))
+    while True:
+        new = np.array([min(comp[i], comp[ok[i]].min(initial=i)) for i in range(len(x))])
+        if (new == comp).all():
+            break
+        comp = new
+    assert all(got[i][1] == comp[i] for i in range(len(x))) and got[9001] == (1, 9000)
 
 
 def nearest_lists(df, **more):
