@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import argparse
+import shutil
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import reads as R
 from helixframe.operators import cnv, coverage, dedup, fragments, intervals, joint, pileup, sv, sweep, tiles, trim, variants
-from helixframe.operators.stages import settled
-from helixframe.sources import bam, text
+from helixframe.operators.stages import checkpoint_folder, settled
+from helixframe.sources import bam, ranges, text
 
 from . import records
 
 
-def alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(reads, contigs) of a BAM or SAM file."""
+def alignments(spark: SparkSession, path: str, index: str | None = None, region: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(reads, contigs) of a BAM or SAM file; of a BAM file with an index only the chunks of the region, if one is given."""
     if path.endswith(".sam"):
         contigs = text.sam_contigs(spark, path)
         return text.read_sam(spark, path, contigs), contigs
-    reads = bam.read_bam(spark, path).withColumn("ops", R.cigar_ops(F.coalesce("cigar", F.lit(""))))
+    reads = bam.read_bam(spark, path, *((index, region) if index and region else ())).withColumn("ops", R.cigar_ops(F.coalesce("cigar", F.lit(""))))
     return reads.withColumn("rlen", R.reference_span("ops")).withColumn("qual", F.array_join(F.transform("quals", lambda q: F.char(q + 33)), "")), bam.bam_contigs(spark, path)
 
 
@@ -111,7 +113,7 @@ def run_pileup(spark, a):
     is_cell = F.col("sample").isin(cells) if cells else F.lit(False)
     by_class = lambda given: (lambda b, c: F.when(is_cell, c).otherwise(b))(*_pair(given))
 
-    parts = [alignments(spark, p) for p in inputs]
+    parts = [alignments(spark, p, a.index, a.region) for p in inputs]
     contigs = parts[0][1]
     reads = parts[0][0].withColumn("sample", F.lit("0"))
     for k, (r, _) in enumerate(parts[1:], 1):
@@ -266,7 +268,7 @@ def parser() -> argparse.ArgumentParser:
     def command(name: str, *options: tuple, many: bool = False) -> argparse.ArgumentParser:
         c = sub.add_parser(name, add_help=False)
         c.add_argument("--help", action="help")
-        c.add_argument("inputs" if many else "input", **({"nargs": "+"} if many else {}))
+        c.add_argument("inputs" if many else "input", help="- for standard input", **({"nargs": "+"} if many else {}))
         c.add_argument("-o", "--out", required=True, help="folder, or - for standard output")
         for flags, kind, default in options:
             more = {"action": "store_true"} if kind is bool else {"type": kind, "default": default}
@@ -282,7 +284,7 @@ def parser() -> argparse.ArgumentParser:
     command(
         "pileup", ("-f --reference", str, None), ("-r --region", str, None), ("-b --bed", str, None), ("-Q --min-q", str, "0"), ("-q --min-mapq", str, "0"), ("-l --min-length", int, 0), ("-S --min-supplementary", int, 0),
         ("-P --max-clip", int, None), ("-V --divergence", float, 1.0), ("-T --trim", int, 0), ("-d --quality-depth", bool, None), ("-n --stranded", bool, None), ("-s --min-support", int, 1), ("-L --cells", int, 0),
-        ("-N --max-depth", int, 0), ("-v --variants", bool, None), ("-c --calls", bool, None), ("-C --both-strands", bool, None), ("-F --fasta", bool, None), ("-M --majority", bool, None), ("-R --random", bool, None),
+        ("-N --max-depth", int, 0), ("-i --index", str, None), ("-v --variants", bool, None), ("-c --calls", bool, None), ("-C --both-strands", bool, None), ("-F --fasta", bool, None), ("-M --majority", bool, None), ("-R --random", bool, None),
         ("-x --same", str, "X"), ("-D --deviation", float, 3.0), ("-u --preset-u", bool, None), ("-y --preset-y", bool, None), many=True,
     )
     command("lorenz", ("-b --bed", str, None), ("-s --step", int, 1000))
@@ -297,18 +299,37 @@ def parser() -> argparse.ArgumentParser:
         ("-u --autosomes", bool, None), ("-a --min-alt", int, 5), ("-s --alt-strand", int, 2), ("-l --conflicts", int, 1), ("-L --end-distance", int, 10), ("-w --window", int, 100), ("-S --damage", int, 4), ("-B --balance", float, 0.2),
         ("-j --min-joint", int, 2), ("-J --joint-strand", int, 1), ("-D --bulk-depth", int, 20), ("-A --bulk-allele", int, 8), ("-m --bulk-alt", int, 0), ("-P --haploid-bulks", bool, None), ("--bulks", str, None),
     )
+    command("index")
     c = command("faidx")
     c.add_argument("regions", nargs="*")
     return p
 
 
+def from_standard_input(spark: SparkSession) -> str:
+    """A file in the shared checkpoint folder with what standard input holds, copied by the piece."""
+    folder = checkpoint_folder(spark)
+    data = sys.stdin.buffer
+    head = data.peek(18)[:18]
+    path = f"{folder}/input-{uuid.uuid4().hex}.{'bam' if bam.is_bgzf(head) else 'sam' if head[:1] == b'@' and head[3:4] == b'\t' else 'txt'}"
+    with ranges.create_at(path) as f:
+        shutil.copyfileobj(data, f, 1 << 20)
+    return path
+
+
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName(f"helixframe {a.command}").getOrCreate()
+    given = lambda path: from_standard_input(spark) if path == "-" else path
+    if hasattr(a, "inputs"):
+        a.inputs = [given(p) for p in a.inputs]
+    else:
+        a.input = given(a.input)
+    if a.command == "index":
+        bam.write_index(spark, a.input, a.out)
+        return
     lines, order = run(spark, a)
     if a.out == "-":
         for r in lines.orderBy(*order).select("value").toLocalIterator():
             print(r["value"])
     else:
         text.write_lines(lines, a.out, order)
-

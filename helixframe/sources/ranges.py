@@ -58,6 +58,15 @@ def open_at(path: str):
     return system.open_input_file(name)
 
 
+def create_at(path: str):
+    """A new binary file, open for writing."""
+    local = _local(path)
+    if local is not None:
+        return open(local, "xb")
+    system, name = _fs(path)
+    return system.open_output_stream(name)
+
+
 def size_of(path: str) -> int:
     local = _local(path)
     if local is not None:

@@ -93,3 +93,39 @@ def test_from_alignments_to_calls(spark, tmp_path):
     assert got[0].split("\t")[:5] == ["NV", "chr1", "40", ref[39], alt]
     got = lines(spark, tmp_path, "joint", str(tmp_path / "v.vcf"), "-l", "20")
     assert [x.split("\t")[0] for x in got if x[:2] in ("NV", "JV", "NA")] == ["NV", "JV", "NA", "NA"]
+
+
+def test_standard_input_and_an_index(spark, tmp_path, monkeypatch):
+    import io
+    import sys
+
+    from helixframe.sources import bam
+
+    reads = [(f"r{i}", 16 * (i % 2), 1 + 5 * i, "10M", "ACGTACGTAC", "AA") for i in range(30)]
+    path = sam(tmp_path, "a.sam", reads)
+
+    def piped(data, *args):
+        monkeypatch.setattr(sys, "stdin", type("Pipe", (), {"buffer": io.BufferedReader(io.BytesIO(data))})())
+        return lines(spark, tmp_path, *args)
+
+    want = lines(spark, tmp_path, "pileup", path)
+    assert len(want) > 100 and piped(open(path, "rb").read(), "pileup", "-") == want
+    spark.dataSource.register(bam.Bam)
+    rows = text.read_sam(spark, path).select(*[c.split()[0] for c in bam.ALIGNMENT.replace("struct<type:string,value:string>", "s").split(", ")]).na.fill(-1, ["mpos"]).orderBy("seq").coalesce(1)
+    rows.write.format("bam").option("contigs", "chr1:200").mode("append").save(str(tmp_path / "bam"))
+    packed = str(next((tmp_path / "bam").glob("*.bam")))
+    assert piped(open(packed, "rb").read(), "pileup", "-") == want
+    commands.main(["index", packed, "-o", str(tmp_path / "index")])
+    some = lines(spark, tmp_path, "pileup", path, "-r", "chr1:50-60")
+    assert len(some) == 11 and lines(spark, tmp_path, "pileup", packed, "-r", "chr1:50-60", "-i", str(tmp_path / "index")) == some
+
+
+def test_stranded_mode_counts_by_the_fragments_strand(spark, tmp_path):
+    pairs = []
+    for k in range(4):  # second mates lie on the other strand than their fragment
+        pairs += [(f"r{k}", 99, 11, "10M", "ACGTACGTAC", "AA"), (f"r{k}", 147, 11, "10M", "ACGTACGTAC", "AA")]
+    cell = sam(tmp_path, "cell.sam", pairs)
+    bulk = sam(tmp_path, "bulk.sam", [(f"b{k}", 0, 11, "10M", "ACGTACGTAC", "") for k in range(2)])
+    got = lines(spark, tmp_path, "pileup", bulk, cell, "-C", "-n", "-L", "1")
+    plain = lines(spark, tmp_path, "pileup", bulk, cell, "-C", "-L", "1")
+    assert got[0].split("\t")[-1].split(":")[1:] == ["8", "0"] and plain[0].split("\t")[-1].split(":")[1:] == ["4", "4"]
