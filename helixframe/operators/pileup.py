@@ -232,11 +232,6 @@ def consensus_fasta(bases: DataFrame, contigs: DataFrame, width: int = 60, chunk
     return starts.join(held, ["tid", "beg"], "left").select("tid", (F.col("beg") / chunk).cast("long").alias("chunk"), lines.alias("lines"))
 
 
-def observed(reads: DataFrame, ref: DataFrame, contigs: DataFrame, min_q: int | Column = 0, trim: int = 0) -> DataFrame:
-    """Kept observations of alignments with ``sample``, and whether each differs from the reference lines (name, start, bases)."""
-    return against(kept(placed(reads), min_q, trim), ref, contigs)
-
-
 def placed(reads: DataFrame) -> DataFrame:
     """A row per read and position; reads with a barcode know their fragment."""
     return exploded(reads.withColumn("frag", fragment_of()))

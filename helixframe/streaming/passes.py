@@ -49,6 +49,40 @@ def flag_duplicates(stream: DataFrame, key: list[str], order: str, columns: dict
     return stream.groupBy(*key).applyInPandasWithState(run, schema, "seen boolean", "append", timeout)
 
 
+def flag_mates(marked: DataFrame, name: str, flag: str, columns: dict[str, str], keep: str | None = None) -> DataFrame:
+    """``columns`` of each row of a pair, and whether it or the mate before it is marked, as ``is_dup``.
+
+    The mate that comes first goes out with its own mark, and its name is held
+    until the other comes, as a pass over sorted alignments does; ``keep`` (a
+    duration) drops the names of mates that never come. Rows of a name in one
+    batch are put in the order of the columns.
+    """
+    names = list(columns)
+    wait = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
+
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(names, ignore_index=True)
+        held, out = (bool(state.get[0]) if state.exists else None), []
+        for own in rows[flag].astype(bool):
+            out.append(bool(own or held))
+            held = bool(own) if held is None else None
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((held,))
+            if wait:
+                state.setTimeoutDuration(wait)
+        yield rows[names].assign(is_dup=out)
+
+    schema = ", ".join([*(f"{n} {t}" for n, t in columns.items()), "is_dup boolean"])
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep else GroupStateTimeout.NoTimeout
+    return marked.groupBy(name).applyInPandasWithState(run, schema, "marked boolean", "append", timeout)
+
+
 def trimmed(stream: DataFrame, o=None) -> DataFrame:
     """Read pairs trimmed as they come; there is no state."""
     from helixframe.operators import trim
@@ -122,7 +156,7 @@ def depth(stream: DataFrame) -> DataFrame:
 
 
 def alone(stream: DataFrame, distance: int) -> DataFrame:
-    """(chrom, pos) of the rows without another at most ``distance`` away: a row goes out once the next is far enough.
+    """(chrom, pos) of the rows without another at most ``distance`` away: a row goes out once the next is far enough, and a contig's last with its sentinel.
 
     State of a contig is its last position and whether that one is alone so far.
     """
