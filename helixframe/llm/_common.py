@@ -65,12 +65,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bytes_of(df: DataFrame, *columns: str) -> int:
-    """Bytes held in string or binary columns of a small, already written table."""
-    total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(32))
-    return int(df.agg(F.sum(total).alias("b")).first()["b"] or 0)
-
-
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores behind it until it clashes with none of ``columns``, whatever their case."""
     taken = {c.lower() for c in columns}
