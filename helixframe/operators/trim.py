@@ -157,15 +157,22 @@ def extensions(x: np.ndarray, y: np.ndarray, good: np.ndarray, n: np.ndarray, le
     return np.where(over.any(axis=1), over.argmax(axis=1), n) if x.shape[1] else n
 
 
-def _seeded(r: Reads, s: Reads, length: np.ndarray, seed: int, allowed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place in the matrix) where the first ``seed`` bases of ``s`` may start in ``r``, as many of them as ``length``: no more than ``allowed`` differ."""
+def _seeded(r: Reads, s: Reads, length: np.ndarray, seed: int, least: int, allowed: int, grow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in the matrix) where ``s``, of which ``length`` bases count, may start in ``r``: its first ``least`` bases fit, and no more of the first ``seed`` that do differ than the penalty leaves room for.
+
+    With ``grow`` the penalty allowed in ``least`` bases holds in proportion for more of them.
+    """
     width = r.s.shape[1]
     head, _ = s.window(np.arange(len(s)), s.a, seed)
     wrong = np.zeros((len(r), width), np.uint8)
-    for j in range(min(seed, width)):
-        wrong[:, : width - j] += (r.s[:, j:] != head[:, j, None]) & (j < length[:, None])
     col = np.arange(width)
-    return np.nonzero((wrong <= allowed) & (col >= r.a[:, None]) & (col + np.minimum(seed, length)[:, None] <= r.b[:, None]))
+    left = r.b[:, None] - col
+    for j in range(min(seed, width)):
+        wrong[:, : width - j] += (r.s[:, j:] != head[:, j, None]) & (j < np.minimum(left[:, : width - j], length[:, None]))
+    room = allowed
+    if grow:
+        room = np.maximum(np.minimum(np.minimum(left, length[:, None]), seed) - 1, least) * allowed // max(least, 1)
+    return np.nonzero((wrong <= room) & (col >= r.a[:, None]) & (col + np.minimum(least, length)[:, None] <= r.b[:, None]))
 
 
 def _first(row: np.ndarray, most: int) -> np.ndarray:
@@ -187,7 +194,7 @@ class Hits:
 def overlaps_forward(r: Reads, s: Reads, rule: tuple[int, int], most: int) -> Hits:
     """Where a tail of a read matches the head of ``s``, or ``s`` lies inside; shortest tail first."""
     least, allowed = rule
-    row, at = _seeded(r, s, s.size, least, allowed)
+    row, at = _seeded(r, s, s.size, 16, least, allowed, True)
     long = s.size[row] >= least
     row, at = row[long], at[long]
     left = r.b[row] - at
@@ -220,7 +227,7 @@ def overlaps_reverse(r: Reads, s: Reads, rule: tuple[int, int], most: int) -> Hi
 def overlaps_within(r: Reads, s: Reads, rule: tuple[int, int], most: int) -> Hits:
     """Where all of a read matches inside ``s``, beyond its first base and before its last; starts are places in ``s``."""
     allowed, n = rule[1], r.size
-    row, at = _seeded(s, r, n, 8, allowed)
+    row, at = _seeded(s, r, n, 16, 8, allowed, False)
     ok = (at > s.a[row]) & (at - s.a[row] < (s.size - n)[row])
     row, at = row[ok], at[ok]
     # the penalty is bounded as a whole: a read is no longer than its own least length
