@@ -167,11 +167,13 @@ def _seeded(r: Reads, s: Reads, length: np.ndarray, seed: int, least: int, allow
     wrong = np.zeros((len(r), width), np.uint8)
     col = np.arange(width)
     left = r.b[:, None] - col
+    reach = np.clip(np.minimum(left, length[:, None]), 0, 255).astype(np.uint8)
     for j in range(min(seed, width)):
-        wrong[:, : width - j] += (r.s[:, j:] != head[:, j, None]) & (j < np.minimum(left[:, : width - j], length[:, None]))
+        wrong[:, : width - j] += (r.s[:, j:] != head[:, j, None]) & (reach[:, : width - j] > j)
     room = allowed
     if grow:
-        room = np.maximum(np.minimum(np.minimum(left, length[:, None]), seed) - 1, least) * allowed // max(least, 1)
+        by_reach = np.maximum(np.minimum(np.arange(256), seed) - 1, least) * allowed // max(least, 1)
+        room = np.minimum(by_reach, 255).astype(np.uint8)[reach]
     return np.nonzero((wrong <= room) & (col >= r.a[:, None]) & (col + np.minimum(least, length)[:, None] <= r.b[:, None]))
 
 
@@ -242,9 +244,13 @@ def motif_hits(r: Reads, motif: str, most: int) -> Hits:
     """The first ``most`` windows of ACGT within one mismatch of the motif."""
     s, width, k = _PLAIN[r.s], r.s.shape[1], len(motif)
     wrong = np.zeros((len(r), width), np.uint8)
+    odd = ~_ACGT[s]
+    some = bool(odd.any())
     for j, c in enumerate(motif.encode()[:width]):
-        x = s[:, j:]
-        wrong[:, : width - j] += np.where(x == c, 0, np.where(_ACGT[x], 1, 2)).astype(np.uint8)
+        differs = s[:, j:] != c
+        wrong[:, : width - j] += differs
+        if some:  # another letter than ACGT counts twice
+            wrong[:, : width - j] += differs & odd[:, j:]
     col = np.arange(width)
     row, at = np.nonzero((wrong < 2) & (col >= r.a[:, None]) & (col + k <= r.b[:, None]))
     keep = _first(row, most)
