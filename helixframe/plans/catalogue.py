@@ -773,7 +773,7 @@ def stream_groups(spark, sf):
     from helixframe.streaming import passes
 
     ends = reads(spark, sf).select(F.col("tid").cast("long").alias("tid"), F.col("pos").alias("st"), (F.col("pos") + F.col("rlen")).alias("en"), "is_rev", "mapq")
-    return passes.drained(passes.grouped(_streamed(spark, ends, "st", "en")), _folder(spark))
+    return passes.grouped(_streamed(spark, ends, "st", "en"), _folder(spark))
 
 
 @query(f"WITH {_DEPTH} SELECT tid::BIGINT AS tid, st, en, depth FROM depth")
@@ -781,7 +781,7 @@ def stream_sweep(spark, sf):
     from helixframe.streaming import passes
 
     spans = reads(spark, sf).select(F.col("tid").cast("long").alias("tid"), F.col("pos").alias("st"), (F.col("pos") + F.col("rlen")).alias("en"))
-    return passes.drained(passes.depth(_streamed(spark, spans, "st", "en")), _folder(spark))
+    return passes.depth(_streamed(spark, spans, "st", "en"), _folder(spark))
 
 
 def _streamed(spark: SparkSession, df: DataFrame, *at: str) -> DataFrame:

@@ -8,7 +8,8 @@ sorted; where state ends with the input, one sentinel row a contig (``pos`` at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,64 +96,79 @@ def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> list[dict]:
     return rows.to_dict("records")
 
 
+def folded(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], shape: str, folder: str) -> DataFrame:
+    """Rows that go out of ``step(rows, held)`` batch by batch, of what is there now.
+
+    A step returns rows of ``shape`` and whether each is ``held``: these come to
+    the next batch, the others go out. Every batch is a plan over the executors,
+    so a contig is no one task. A batch that runs again reads what the one
+    before it held and replaces its own.
+    """
+    spark = stream.sparkSession
+    part = lambda k, held: f"{folder}/rows/batch={k}/held={held}"
+
+    def run(rows: DataFrame, k: int) -> None:
+        session, before = rows.sparkSession, spark.createDataFrame([], shape)
+        if k:
+            before = session.read.schema(shape).parquet(part(k - 1, "true"))
+        done = step(rows, before)
+        done.write.mode("overwrite").partitionBy("held").parquet(f"{folder}/rows/batch={k}")
+        for held in ("true", "false"):  # a part without rows is still a table
+            session.createDataFrame([], shape).coalesce(1).write.mode("append").parquet(part(k, held))
+
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(part(-1, "false"))
+    q = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(run).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return spark.read.schema(shape).parquet(f"{folder}/rows/batch=*/held=false")
+
+
+def _fronts(*starts: DataFrame) -> DataFrame:
+    """(_tid, _front): the last start of each contig, a row a contig."""
+    return F.broadcast(reduce(DataFrame.unionByName, starts).groupBy(F.col("tid").alias("_tid")).agg(F.max("st").alias("_front")))
+
+
 GROUPS = "tid long, is_rev boolean, anchor long, n long, sum_mq2 long, longest long"
 
 
-def grouped(stream: DataFrame) -> DataFrame:
+def grouped(stream: DataFrame, folder: str) -> DataFrame:
     """``GROUPS`` of read ends (tid, st, en, is_rev, mapq): a group goes out once reads start behind it.
 
-    State of a contig is its open groups: those whose ends the next start has not passed.
+    Held are the open groups: those whose ends the last start has not passed.
     """
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = {(bool(r), int(a)): [int(n), int(s), int(long), int(en)] for r, a, n, s, long, en in zip(*state.get, strict=True)} if state.exists else {}
-        out = []
-
-        def close(before: int) -> None:
-            for k in [k for k, g in open_.items() if g[3] <= before]:
-                n, s, long, _ = open_.pop(k)
-                out.append((key[0], k[0], k[1], n, s, long))
+    def step(rows: DataFrame, held: DataFrame) -> DataFrame:
+        q = F.least(F.col("mapq"), F.lit(60)).cast("long")
+        length = (F.col("en") - F.col("st")).cast("long")
+        anchor = F.when(F.col("is_rev"), F.col("en")).otherwise(F.col("st")).cast("long")
+        one = rows.filter(F.col("st") < END).select("tid", "is_rev", anchor.alias("anchor"), F.lit(1).cast("long").alias("n"), (q * q).alias("sum_mq2"), length.alias("longest"), F.col("en").cast("long").alias("far"))
+        sums = one.unionByName(held).groupBy("tid", "is_rev", "anchor").agg(F.sum("n").alias("n"), F.sum("sum_mq2").alias("sum_mq2"), F.max("longest").alias("longest"), F.max("far").alias("far"))
+        passed = (F.col("far") <= F.col("_front")) & (F.col("anchor") < F.col("_front"))
+        return sums.join(_fronts(rows.select("tid", "st")), F.col("tid").eqNullSafe(F.col("_tid")), "left").withColumn("held", ~F.coalesce(passed, F.lit(False))).drop("_tid", "_front")
 
-        for r in _in_order(batches, ["st", "en", "is_rev"]):
-            close(r["st"])
-            if r["st"] < END:
-                g = open_.setdefault((bool(r["is_rev"]), int(r["en"] if r["is_rev"] else r["st"])), [0, 0, 0, 0])
-                q = min(int(r["mapq"]), 60)
-                g[:] = [g[0] + 1, g[1] + q * q, max(g[2], int(r["en"] - r["st"])), max(g[3], int(r["en"]))]
-        flat = [(k[0], k[1], *g) for k, g in open_.items()]
-        state.update(tuple(map(list, zip(*flat, strict=True))) if flat else ([],) * 6)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in GROUPS.split(", ")])
-
-    held = "r array<boolean>, a array<long>, n array<long>, s array<long>, l array<long>, e array<long>"
-    return stream.groupBy("tid").applyInPandasWithState(run, GROUPS, held, "append", GroupStateTimeout.NoTimeout)
+    return folded(stream, step, f"{GROUPS}, far long", folder).drop("far")
 
 
 SEGMENTS = "tid long, st long, en long, depth long"
 
 
-def depth(stream: DataFrame) -> DataFrame:
+def depth(stream: DataFrame, folder: str) -> DataFrame:
     """``SEGMENTS`` of fragments (tid, st, en): depth between neighbouring starts and ends, as far as no later start can change it.
 
-    State of a contig is the ends that are still open and the place reached.
+    Held are the segments behind the last start of a contig, and that start as an empty segment.
     """
+    from helixframe.operators import sweep
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ends, at = (sorted(map(int, state.get[0])), int(state.get[1])) if state.exists else ([], -1)
-        out = []
-        for r in _in_order(batches, ["st", "en"]):
-            start = int(r["st"])
-            for stop in sorted({e for e in ends if e <= start} | {min(start, END)}):
-                if 0 <= at < stop and stop < END:
-                    out.append((key[0], at, stop, sum(e > at for e in ends)))
-                at = max(at, stop) if at >= 0 or stop == start else at
-                ends = [e for e in ends if e > at]
-            if start < END:
-                at = start
-                ends.append(int(r["en"]))
-        state.update((sorted(ends), at))
-        yield pd.DataFrame(out, columns=["tid", "st", "en", "depth"])
-
-    return stream.groupBy("tid").applyInPandasWithState(run, SEGMENTS, "ends array<long>, at long", "append", GroupStateTimeout.NoTimeout)
+    def step(rows: DataFrame, held: DataFrame) -> DataFrame:
+        spans = rows.filter(F.col("st") < END).select("tid", "st", "en", F.lit(1).cast("long").alias("depth"))
+        segments = sweep.depth(spans.unionByName(held), ["tid"], "st", "en", depth="depth")
+        fronts = _fronts(rows.select("tid", "st"), held.filter("st = en").select("tid", "st"))
+        marks = fronts.select(F.col("_tid").alias("tid"), F.col("_front").alias("st"), F.col("_front").alias("en"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("held"))
+        return segments.join(fronts, F.col("tid").eqNullSafe(F.col("_tid"))).select("tid", "st", "en", "depth", (F.col("st") >= F.col("_front")).alias("held")).unionByName(marks)
+
+    return folded(stream, step, SEGMENTS, folder)
 
 
 def alone(stream: DataFrame, distance: int) -> DataFrame:

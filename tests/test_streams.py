@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from helixframe.functions import reads as R
-from helixframe.operators import cnv, trim, variants
+from helixframe.operators import cnv, fragments, sweep, trim, variants
 from helixframe.sources import ranges
 from helixframe.streaming import passes
 
@@ -53,3 +53,34 @@ def test_starts_and_bins_of_columns(spark):
     spans = [(beg, beg + 1 + int(rnd.expovariate(1e-5))) for beg in (rnd.randrange(1 << 28) for _ in range(200))]
     got = spark.createDataFrame(spans, "beg long, end long").select("beg", "end", R.bin_of(F.col("beg"), F.col("end")).alias("b")).collect()
     assert all(r.b == ranges.bin_of(r.beg, r.end) for r in got)
+
+
+def _reads(seed):
+    rnd = random.Random(seed)
+    rows = [(t, st, st + rnd.choice([0, 1, 30, 60]), rnd.random() < 0.5, rnd.randrange(70)) for t in (0, 1) for st in (rnd.randrange(900) * (t + 1) for _ in range(120))]
+    return sorted(rows, key=lambda r: (r[1], r[0])), [(t, passes.END, passes.END, None, None) for t in (0, 1)]
+
+
+READS = "tid long, st long, en long, is_rev boolean, mapq int"
+
+
+def test_groups_and_depth_over_batches_equal_the_batch_forms(spark, tmp_path):
+    rows, last = _reads(7)
+    batch = spark.createDataFrame(rows, READS)
+    got = passes.grouped(fed(spark, tmp_path / "g", rows + last, READS, 5), str(tmp_path / "gs"))
+    want = fragments.grouped(batch).select("tid", "is_rev", "anchor", "n", "sum_mq2", "longest")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got = passes.depth(fed(spark, tmp_path / "d", rows + last, READS, 5).select("tid", "st", "en"), str(tmp_path / "ds"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sweep.depth(batch, ["tid"], "st", "en").collect()))
+
+
+def test_a_contig_of_a_stream_is_no_one_python_task(spark, tmp_path, monkeypatch):
+    rows, last = _reads(8)
+    monkeypatch.setattr(passes, "_in_order", None)
+    for k, run in enumerate((passes.grouped, passes.depth)):
+        plans = []
+        seen = passes.folded
+        monkeypatch.setattr(passes, "folded", lambda stream, step, shape, folder, seen=seen: seen(stream, lambda *x: plans.append(out := step(*x)) or out, shape, folder))
+        run(fed(spark, tmp_path / f"in{k}", rows + last, READS, 2), str(tmp_path / f"s{k}"))
+        assert len(plans) == 2 and not any("Python" in p or "Pandas" in p for p in (x._jdf.queryExecution().optimizedPlan().toString() for x in plans))
+        monkeypatch.setattr(passes, "folded", seen)
