@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +111,12 @@ RANGE_BITS, JOINED = 20, 16
 _HELD = "kind string, chrom string, rng long, st long, en long, lo double, hi double, total double, done boolean"
 
 
-def _rows_of(kind: str, chrom: str, rng: int, total: float, held: list[list]) -> pd.DataFrame:
-    done = settled_inside(total, held)
-    rows = [(kind, chrom, rng, a, b, lo, hi, None, d) for (a, b, lo, hi), d in zip(held, done, strict=True)]
-    return pd.DataFrame([*rows, (kind, chrom, rng, None, None, None, None, total, False)], columns=[c.split()[0] for c in _HELD.split(", ")]).astype({"st": "Int64", "en": "Int64"})
+def _rows_of(kind: str, chrom: str, rng: int, total: float, held: list[list]) -> pa.Table:
+    n = len(held)
+    st, en, lo, hi = map(list, zip(*held, strict=True)) if n else ([], [], [], [])
+    columns = [[kind] * (n + 1), [chrom] * (n + 1), [rng] * (n + 1), [*st, None], [*en, None], [*lo, None], [*hi, None], [None] * n + [total], [*settled_inside(total, held), False]]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _HELD.split(", ")])
 
 
 def segments_by_ranges(rows: DataFrame, range_bits: int | None = None, together: int | None = None) -> DataFrame:
@@ -128,24 +133,33 @@ def segments_by_ranges(rows: DataFrame, range_bits: int | None = None, together:
 
     range_bits, together = range_bits or RANGE_BITS, together or JOINED
 
-    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["st", "en"], ignore_index=True)
-        total, held = candidates(pdf["st"].tolist(), pdf["en"].tolist(), pdf["score"].tolist())
-        return _rows_of(pdf["kind"][0], pdf["chrom"][0], int(pdf["rng"][0]), total, held)
+    def alone(rows: pa.Table) -> pa.Table:
+        st, en, score = zip(*sorted(zip(*(rows[c].to_pylist() for c in ("st", "en", "score")), strict=True), key=lambda r: r[:2]), strict=True)
+        total, held = candidates(st, en, score)
+        return _rows_of(rows["kind"][0].as_py(), rows["chrom"][0].as_py(), rows["rng"][0].as_py(), total, held)
+
+    def several(rows: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {}
+        for rng, total, *cell in sorted(zip(*(rows[c].to_pylist() for c in ("rng", "total", "st", "en", "lo", "hi")), strict=True), key=lambda r: (r[0], r[2] is None, r[2] or 0)):
+            part = parts.setdefault(rng, [0.0, []])
+            if total is None:
+                part[1].append(cell)
+            else:
+                part[0] = total
+        return _rows_of(rows["kind"][0].as_py(), rows["chrom"][0].as_py(), rows["rng"][0].as_py() // together, *joined(list(parts.values())))
+
+    # ranges are short, and many: tasks by their number, not by their bytes
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def several(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, part in pdf.sort_values(["rng", "st"], na_position="last").groupby("rng"):
-            held = part[part["st"].notna()]
-            parts.append((float(part["total"].dropna().iloc[0]), [[int(a), int(b), lo, hi] for a, b, lo, hi in zip(held["st"], held["en"], held["lo"], held["hi"], strict=True)]))
-        return _rows_of(pdf["kind"].iloc[0], pdf["chrom"].iloc[0], int(pdf["rng"].iloc[0]) // together, *joined(parts))
+    def grouped(df: DataFrame, key: str, run: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        return settled(df.repartition(tasks, "kind", "chrom", key).groupBy("kind", "chrom", key).applyInArrow(run, _HELD))
 
     cut = rows.select("kind", "chrom", F.col("st").cast("long").alias("st"), F.col("en").cast("long").alias("en"), F.col("score").cast("double").alias("score")).withColumn("rng", F.shiftright("st", range_bits))
-    level = settled(cut.groupBy("kind", "chrom", "rng").applyInPandas(alone, _HELD))
+    level = grouped(cut, "rng", alone)
     found = level.filter("done")
     most = level.agg(F.max("rng")).first()[0] or 0
     while most:
-        level = settled(level.filter("not done").groupBy("kind", "chrom", F.floor(F.col("rng") / together).alias("_g")).applyInPandas(several, _HELD))
+        level = grouped(level.filter("not done").withColumn("_g", F.floor(F.col("rng") / together)), "_g", several)
         found, most = found.unionByName(level.filter("done")), most // together
     found = found.unionByName(level.filter("not done and st is not null"))
     # candidates are apart or one inside another: the largest of each island stands
@@ -202,6 +216,8 @@ def scored(weighed: DataFrame, penalty: dict[str, float], missing: float = 0.1)
 
 #: Scores that a task holds at a time.
 CHUNK = 1 << 22
+#: Scores whose running sums it holds at a time.
+BLOCK = 1 << 14
 
 
 def permuted_best(values: np.ndarray, counts: np.ndarray, rng: np.random.Generator, chunk: int = CHUNK) -> float:
@@ -211,11 +227,20 @@ def permuted_best(values: np.ndarray, counts: np.ndarray, rng: np.random.Generat
     is multivariate hypergeometric, and inside a chunk all orders are alike.
     """
     left, tail, best = counts.astype(np.int64), 0.0, 0.0
+    codes = np.arange(len(values), dtype=np.min_scalar_type(len(values)))  # small ones are shuffled in the cache
     while n := int(left.sum()):
         take = rng.multivariate_hypergeometric(left, chunk, method="marginals") if chunk < n else left
-        run = np.concatenate([[0.0], np.cumsum(rng.permutation(np.repeat(values, take)))])
-        best = max(best, float((run - np.minimum.accumulate(run)).max()), tail + float(run.max()))
-        tail = max(float(run[-1] - run.min()), tail + float(run[-1]))
+        order = rng.permutation(np.repeat(codes, take))
+        last = low = top = rise = 0.0
+        for k in range(0, len(order), BLOCK):  # running sums in pieces that stay in the cache
+            run = values[order[k : k + BLOCK]]
+            run[0] += last
+            run = np.cumsum(run)
+            below = np.minimum.accumulate(run)
+            rise = max(rise, float((run - np.minimum(below, low)).max()))
+            low, top, last = min(low, float(below[-1])), max(top, float(run.max())), float(run[-1])
+        best = max(best, rise, tail + top)
+        tail = max(last - low, tail + last)
         left = left - take
     return best
 
@@ -225,9 +250,11 @@ def permuted_maxima(rows: DataFrame, permutations: int, seed: int) -> DataFrame:
 
     Tasks receive how often each score occurs and seeds, never the scores
     themselves: these are a length times one of a few weights, and so few.
+    Seeds are dealt over tasks, and the few rows of counts go to each.
     """
     times = rows.groupBy("kind", "score").agg(F.count("*").alias("n")).groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("score", "n"))).alias("x"))
-    runs = times.select("kind", F.col("x.score").alias("values"), F.col("x.n").alias("counts")).join(rows.sparkSession.range(permutations).repartition(min(permutations, 64)), F.lit(True))
+    seeds = rows.sparkSession.range(0, permutations, 1, min(permutations, 64))
+    runs = seeds.join(F.broadcast(times.select("kind", F.col("x.score").alias("values"), F.col("x.n").alias("counts"))), F.lit(True))
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
