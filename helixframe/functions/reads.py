@@ -24,11 +24,15 @@ def has(flag: Column | str, bits: int) -> Column:
     return _i(flag).bitwiseAND(F.lit(bits)) != 0
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cigar_ops(cigar: Column | str) -> Column:
     """``array<struct<op,len>>`` of a CIGAR string."""
-    lens = F.regexp_extract_all(_i(cigar), F.lit(r"(\d+)([MIDNSHP=XB])"), F.lit(1))
-    ops = F.regexp_extract_all(_i(cigar), F.lit(r"(\d+)([MIDNSHP=XB])"), F.lit(2))
-    return F.zip_with(ops, lens, lambda o, n: F.struct(o.alias("op"), n.cast("int").alias("len")))
+    parts = F.regexp_extract_all(_i(cigar), F.lit(r"\d+[MIDNSHP=XB]"), F.lit(0))
+    return F.transform(parts, lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.left(x, F.length(x) - 1).cast("int").alias("len")))
 
 
 def consumed(ops: Column | str, kinds: str) -> Column:
@@ -128,14 +132,19 @@ def mutation_class(ref: Column | str, alt: Column | str) -> Column:
 def poisson_mapq(mapq: Column | str, nm: Column | str, ops: Column | str, coef: float) -> Column:
     """Mapping quality less the phred-scaled chance of so many differences (a bounded sum inside the expression)."""
     ops, nm, mapq = _i(ops), _i(nm), _i(mapq)
-    total = lambda kinds: consumed(ops, kinds)
-    gaps, opens = total("ID"), F.size(F.filter(ops, lambda x: x["op"].isin("I", "D")))
-    x = nm - gaps + opens
-    lam = (total("M=X") + gaps).cast("double") * coef
-    step = lambda t, k: F.struct((t["term"] * lam / k).alias("term"), (t["sum"] + t["term"] * lam / k).alias("sum"))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-    below = F.aggregate(F.when(x > 1, F.sequence(F.lit(1), x - 1)).otherwise(F.array().cast("array<int>")), start, step)["sum"]
-    p = 1 - F.exp(-lam) * below
-    q = F.when(p > 1e-6, -4.343 * F.log(p)).otherwise(60.0)
-    lowered = F.greatest(F.lit(0), mapq - F.floor(q + 0.499).cast("int"))
-    return F.when(nm.isNull() | (nm == 0) | (gaps > nm) | (x < lam), mapq).otherwise(lowered)
+    among = lambda x, kinds: F.when(x["op"].isin(*kinds), x["len"]).otherwise(0)
+    tally = lambda t, x: F.struct((t["match"] + among(x, "M=X")).alias("match"), (t["gaps"] + among(x, "ID")).alias("gaps"), (t["opens"] + F.when(x["op"].isin("I", "D"), 1).otherwise(0)).alias("opens"))
+    none = F.struct(F.lit(0).alias("match"), F.lit(0).alias("gaps"), F.lit(0).alias("opens"))
+
+    def lowered(v: Column) -> Column:
+        step = lambda t, k: F.struct((t["term"] * v["lam"] / k).alias("term"), (t["sum"] + t["term"] * v["lam"] / k).alias("sum"))
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+        below = F.aggregate(F.when(v["x"] > 1, F.sequence(F.lit(1), v["x"] - 1)).otherwise(F.array().cast("array<int>")), start, step)["sum"]
+        phred = bound(1 - F.exp(-v["lam"]) * below, lambda p: F.when(p > 1e-6, -4.343 * F.log(p)).otherwise(60.0))
+        return F.greatest(F.lit(0), mapq - F.floor(phred + 0.499).cast("int"))
+
+    def of(t: Column) -> Column:
+        values = F.struct((nm - t["gaps"] + t["opens"]).alias("x"), ((t["match"] + t["gaps"]).cast("double") * coef).alias("lam"), t["gaps"].alias("gaps"))
+        return bound(values, lambda v: F.when(nm.isNull() | (nm == 0) | (v["gaps"] > nm) | (v["x"] < v["lam"]), mapq).otherwise(lowered(v)))
+
+    return bound(F.aggregate(ops, none, tally), of)
