@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.reads import DUPLICATE, QC_FAIL, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, cigar_ops, consumed, has, truncated
+from helixframe.functions.reads import DUPLICATE, QC_FAIL, REVERSE, SECONDARY, SUPPLEMENTARY, UNMAPPED, bound, cigar_ops, consumed, has, truncated
 
 
 def split_sides(reads: DataFrame, contigs: DataFrame, min_mapq: int = 50, max_nm: int = 3) -> DataFrame:
@@ -17,7 +17,9 @@ def split_sides(reads: DataFrame, contigs: DataFrame, min_mapq: int = 50, max_nm
     df = df.join(F.broadcast(contigs.select(F.col("name").alias("_name"), F.col("tid").alias("_tid"))), "_name")  # a contig dictionary is bounded
 
     def side(tid, pos, rev, cigar, mapq, nm):
-        ops = cigar_ops(cigar)
+        return bound(cigar_ops(cigar), lambda ops: placed(tid, pos, rev, ops, mapq, nm))
+
+    def placed(tid, pos, rev, ops, mapq, nm):
         clip = lambda x: F.when(x["op"].isin("S", "H"), x["len"]).otherwise(0)
         head, tail = clip(F.element_at(ops, 1)), F.when(F.size(ops) > 1, clip(F.element_at(ops, -1))).otherwise(0)
         span, ql = consumed(ops, "MDN"), consumed(ops, "MI")
@@ -29,11 +31,11 @@ def split_sides(reads: DataFrame, contigs: DataFrame, min_mapq: int = 50, max_nm
 
     a = side(F.col("tid"), F.col("pos"), has("flag", REVERSE), F.col("cigar"), F.col("mapq"), F.col("nm"))
     b = side(F.col("_tid"), F.get("_sa", F.lit(1)).cast("int") - 1, F.get("_sa", F.lit(2)) != "+", F.get("_sa", F.lit(3)), F.get("_sa", F.lit(4)).cast("int"), F.get("_sa", F.lit(5)).cast("int"))
-    df = df.select("seq", a.alias("a"), b.alias("b"))
-    for s in ("a", "b"):
-        df = df.filter((F.col(f"{s}.mapq") >= min_mapq) & (F.col(f"{s}.nm") <= max_nm) & F.col(f"{s}.clipped"))
-    swap = F.col("a.qs") > F.col("b.qs")
-    return df.select("seq", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("s0"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("s1"))
+    # one expression a row, exploded, so that no later step computes a side again
+    sound = lambda s: (s["mapq"] >= min_mapq) & (s["nm"] <= max_nm) & s["clipped"]
+    ordered = lambda p: F.when(p["a"]["qs"] > p["b"]["qs"], F.struct(p["b"].alias("s0"), p["a"].alias("s1"))).otherwise(F.struct(p["a"].alias("s0"), p["b"].alias("s1")))
+    pair = F.transform(F.filter(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: sound(p["a"]) & sound(p["b"])), ordered)
+    return df.select("seq", F.explode(pair).alias("p")).select("seq", "p.s0", "p.s1")
 
 
 def breakpoints(sides: DataFrame, contigs: DataFrame) -> DataFrame:
