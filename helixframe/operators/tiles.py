@@ -51,14 +51,43 @@ def _within(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[:-1] - np.repeat(total[off[:-1]], np.diff(off))
 
 
+#: Keys up to which combinations are numbered by a table and not by sorting.
+TABLE = 1 << 22
+
+
 def _dense(*columns: np.ndarray) -> np.ndarray:
-    """One number for each distinct combination."""
-    key = np.zeros(len(columns[0]), np.int64)
+    """One number for each distinct combination, in their order."""
+    key, top = np.zeros(len(columns[0]), np.int64), 1
     for c in columns:
-        _, c = np.unique(c, return_inverse=True)
-        key = key * (int(c.max(initial=0)) + 1) + c
-        _, key = np.unique(key, return_inverse=True)
-    return key
+        if not len(c):
+            break
+        c = c - c.min()
+        wide = int(c.max()) + 1
+        if wide > TABLE:
+            _, c = np.unique(c, return_inverse=True)
+            wide = int(c.max()) + 1
+        if top * wide > TABLE:
+            key, top = _numbered(key, top)
+        key, top = key * wide + c, top * wide
+    return _numbered(key, top)[0]
+
+
+def _numbered(key: np.ndarray, top: int) -> tuple[np.ndarray, int]:
+    """(dense number of each key, how many there are); keys below ``top``."""
+    if top > TABLE:
+        kinds, key = np.unique(key, return_inverse=True)
+        return key, len(kinds)
+    number = np.zeros(top, np.int64)
+    number[key] = 1
+    number = np.cumsum(number) - 1
+    return number[key], int(number[-1]) + 1 if len(number) else 0
+
+
+def _first(dense: np.ndarray) -> np.ndarray:
+    """Where each of the numbers 0, 1, ... comes first."""
+    first = np.zeros(int(dense.max(initial=-1)) + 1, np.int64)
+    first[dense[::-1]] = np.arange(len(dense))[::-1]
+    return first
 
 
 def _layout(reads: pa.Table, trim: int, bits: int) -> dict[str, np.ndarray]:
@@ -122,14 +151,15 @@ def _counted(trim: int, weight: str | None, bits: int):
             np.maximum.at(top, side[first], n)
             np.add.at(ties, side[first], n == top[side[first]])
             lost[v] = ((ties[side[first]] == 1) & (n < top[side[first]]))[back]
-        kinds, first = np.unique(allele, return_index=True)
+        first = _first(allele)
+        kinds = len(first)
         rev = reads["rev"].to_numpy(zero_copy_only=False)[read]
         mq = np.minimum(reads["mapq"].to_numpy(zero_copy_only=False)[read].astype(np.int64), 60) ** 2
         one = x["q"] if weight else np.ones(len(read), np.int64)
-        total = lambda w: np.bincount(allele, weights=w * ~lost, minlength=len(kinds)).astype(np.int64)
+        total = lambda w: np.bincount(allele, weights=w * ~lost, minlength=kinds).astype(np.int64)
         return pa.table(
             {
-                "tid": pa.array(np.full(len(kinds), reads["tid"][0].as_py()), pa.int64()),
+                "tid": pa.array(np.full(kinds, reads["tid"][0].as_py()), pa.int64()),
                 "pos": x["pos"][first],
                 "sample": pa.array([known[k] for k in of[first]], pa.string()),
                 "base": pa.array([chr(c) for c in x["letter"][first]], pa.string()),
@@ -141,7 +171,7 @@ def _counted(trim: int, weight: str | None, bits: int):
                 "raw": total(np.ones(len(read), np.int64)),
                 "sum_mq2": total(mq),
                 "sum_alen": total(x["end"]),
-                "lost": np.bincount(allele, weights=lost, minlength=len(kinds)).astype(np.int64),
+                "lost": np.bincount(allele, weights=lost, minlength=kinds).astype(np.int64),
             }
         )
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,16 @@ def test_strand_and_no_reads(spark):
     assert {r.is_rev for r in pileup.exploded(reads).collect()} == {True}
     none, dropped = tiles.counted(reads.limit(0))
     assert none.count() == dropped.count() == 0
+
+
+def test_combinations_are_numbered_by_a_table(monkeypatch):
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(-5, 60, 500), rng.choice([65, 67, 71, 84, 1 << 40], 500), rng.integers(0, 3, 500)]
+    _, want = np.unique(np.array(columns).T, axis=0, return_inverse=True)
+    for table in (1, 40, 1000, 1 << 22):
+        monkeypatch.setattr(tiles, "TABLE", table)
+        got = tiles._dense(*columns)
+        assert (got == want.ravel()).all() and (tiles._first(got) == np.unique(want, return_index=True)[1]).all()
+    # of small keys, as a tile's are, none is sorted
+    monkeypatch.setattr(np, "unique", None)
+    assert (tiles._dense(*[c % 50 for c in columns]) >= 0).all() and len(tiles._dense(np.zeros(0, np.int64))) == 0
