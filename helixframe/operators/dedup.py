@@ -37,8 +37,10 @@ def mark_duplicates(reads: DataFrame) -> DataFrame:
     carries it. Supplementary records are never marked. Records from the first
     one without a contig on are copied as they are.
     """
-    df = _sides(reads)
-    lefts = first_per_key(df.filter("_left"), ["tid", "pos", "bc"], ["seq"], "_dup")
+    df = _sides(reads).drop("_end")
+    # a left mate is live and primary, so flags tell what both uses of its window need: one shuffle serves both
+    lefts = first_per_key(df.filter("_left").select(*reads.columns), ["tid", "pos", "bc"], ["seq"], "_dup")
+    lefts = lefts.withColumn("_live", F.lit(True)).withColumn("_paired", has("flag", PAIRED) & has("flag", READ1 | READ2)).withColumn("_left", F.lit(True))
     others = df.filter("not _left")
     marked = lefts.filter("_dup and _paired").groupBy("qname").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("qname").orderBy("seq")
