@@ -740,8 +740,9 @@ def merge_pairs(spark, sf):
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """The table as a stream of its files: a pattern, as streams take no path of one file, and a table may be that or a folder."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
 def _folder(spark: SparkSession) -> str:
@@ -756,8 +757,7 @@ def stream_dedup(spark, sf):
     from helixframe.streaming import passes
 
     columns = {"event_id": "long", "user_id": "long", "event_type": "string"}
-    flagged = passes.flag_duplicates(_events(spark, sf).select(*columns), ["user_id", "event_type"], "event_id", columns)
-    return passes.drained(flagged, _folder(spark))
+    return passes.flag_duplicates(_events(spark, sf).select(*columns), ["user_id", "event_type"], "event_id", columns, _folder(spark))
 
 
 @query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

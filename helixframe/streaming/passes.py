@@ -8,46 +8,48 @@ sorted; where state ends with the input, one sentinel row a contig (``pos`` at
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 #: Position of a sentinel row: beyond every contig.
 END = 1 << 40
 
 
-def flag_duplicates(stream: DataFrame, key: list[str], order: str, columns: dict[str, str], keep: str | None = None) -> DataFrame:
+def flag_duplicates(stream: DataFrame, key: list[str], order: str, columns: dict[str, str], folder: str, keep: str | None = None) -> DataFrame:
     """``columns`` (name: type) of each row, and whether its key was seen before.
 
-    State is one flag a key; with ``keep`` (a duration) it goes once a key has
+    Held is a row a key; with ``keep`` (a duration) it goes once a key has
     been silent for so long, and a later row counts as the first again. Rows of
-    a key in one batch are put in ``order``; a row that comes in a later batch
-    counts as later.
+    a key in one batch are put in ``order``, nulls last; a row that comes in a
+    later batch counts as later.
+
+    A key's first is a minimum, and meets its row by key and order: no key is one task.
     """
-    names = list(columns)
     wait = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
+    keys = [f"_key{i}" for i in range(len(key))]
+    own = [F.col(k).alias(n) for k, n in zip(key, keys, strict=True)]
 
-    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = state.exists
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
-        rows["is_dup"] = True
-        if not seen and len(rows):
-            rows.loc[0, "is_dup"] = False
-            state.update((True,))
-        if wait:
-            state.setTimeoutDuration(wait)
-        yield rows[[*names, "is_dup"]]
+    def step(rows: DataFrame, held: DataFrame) -> DataFrame:
+        now = int(time.time() * 1000)
+        seen = held.filter(F.col("_at") > now - wait) if wait else held
+        come = rows.select(*own, F.col(order).alias("_order"), F.lit(True).alias("_new"))
+        heads = come.unionByName(seen.select(*keys, F.lit(False).alias("_new")), allowMissingColumns=True)
+        heads = heads.groupBy(*keys).agg(F.min("_order").alias("_order"), F.bool_and("_new").alias("_new"), F.bool_or("_new").alias("_come"))
+        heads = heads.filter("_come" if wait else "_new").drop("_come").withColumn("held", F.lit(True)).withColumn("_at", F.lit(now))
+        out = rows.select(*(F.col(n).cast(t).alias(n) for n, t in columns.items()), *own, F.col(order).alias("_order"), F.lit(False).alias("held"))
+        w = Window.partitionBy(*keys, "_order").orderBy(F.desc("held"))
+        out = out.unionByName(heads, allowMissingColumns=True).withColumn("is_dup", ~F.coalesce(F.lag("_new").over(w), F.lit(False)))
+        return out.drop("_order", "_new")
 
-    schema = ", ".join([*(f"{n} {t}" for n, t in columns.items()), "is_dup boolean"])
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep else GroupStateTimeout.NoTimeout
-    return stream.groupBy(*key).applyInPandasWithState(run, schema, "seen boolean", "append", timeout)
+    shape = stream.select(*(F.lit(None).cast(t).alias(n) for n, t in columns.items()), F.lit(None).cast("boolean").alias("is_dup"), *own, F.lit(None).cast("long").alias("_at")).schema
+    return folded(stream, step, shape, folder, every=True).select(*columns, "is_dup")
 
 
 def flag_mates(marked: DataFrame, name: str, flag: str, columns: dict[str, str], keep: str | None = None) -> DataFrame:
@@ -96,11 +98,11 @@ def _in_order(batches: Iterator[pd.DataFrame], order: list[str]) -> list[dict]:
     return rows.to_dict("records")
 
 
-def folded(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], shape: str, folder: str) -> DataFrame:
+def folded(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], shape: str | StructType, folder: str, every: bool = False) -> DataFrame:
     """Rows that go out of ``step(rows, held)`` batch by batch, of what is there now.
 
     A step returns rows of ``shape`` and whether each is ``held``: these come to
-    the next batch, the others go out. Every batch is a plan over the executors,
+    the next batch (to ``every`` later one), the others go out. Every batch is a plan over the executors,
     so a contig is no one task. A batch that runs again reads what the one
     before it held and replaces its own.
     """
@@ -110,7 +112,7 @@ def folded(stream: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
     def run(rows: DataFrame, k: int) -> None:
         session, before = rows.sparkSession, spark.createDataFrame([], shape)
         if k:
-            before = session.read.schema(shape).parquet(part(k - 1, "true"))
+            before = session.read.schema(shape).parquet(*(part(j, "true") for j in range(0 if every else k - 1, k)))
         done = step(rows, before)
         done.write.mode("overwrite").partitionBy("held").parquet(f"{folder}/rows/batch={k}")
         for held in ("true", "false"):  # a part without rows is still a table

@@ -1,11 +1,14 @@
 """Streaming passes over files that come one after another, against the batch forms."""
 
 import random
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import reads as R
 from helixframe.operators import cnv, fragments, sweep, trim, variants
+from helixframe.plans import catalogue
 from helixframe.sources import ranges
 from helixframe.streaming import passes
 
@@ -84,3 +87,47 @@ def test_a_contig_of_a_stream_is_no_one_python_task(spark, tmp_path, monkeypatch
         run(fed(spark, tmp_path / f"in{k}", rows + last, READS, 2), str(tmp_path / f"s{k}"))
         assert len(plans) == 2 and not any("Python" in p or "Pandas" in p for p in (x._jdf.queryExecution().optimizedPlan().toString() for x in plans))
         monkeypatch.setattr(passes, "folded", seen)
+
+
+EVENTS = "id long, user long, kind string"
+
+
+def flagged(spark, tmp_path, rows, parts, keep=None):
+    stream = fed(spark, tmp_path, rows, EVENTS, parts)
+    return passes.flag_duplicates(stream, ["user", "kind"], "id", {"id": "long", "kind": "string"}, str(tmp_path / "s"), keep)
+
+
+def test_duplicates_over_batches_are_flagged_by_plans_without_a_task_a_key(spark, tmp_path, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(k, rnd.choice([None, *[7] * 20, *range(40)]), rnd.choice(["a", "b", None])) for k in range(398)] + [(None, 7, "a"), (None, 99, "a")]
+    rnd.shuffle(rows)
+    plans, seen = [], passes.folded
+    monkeypatch.setattr(passes, "folded", lambda stream, step, *x, **y: seen(stream, lambda *z: plans.append(out := step(*z)) or out, *x, **y))
+    got = flagged(spark, tmp_path, rows, 4)
+    known, want = set(), []
+    for k in range(4):
+        for r in sorted(rows[k * 100 : k * 100 + 100], key=lambda r: (r[0] is None, r[0])):
+            want.append((r[0], r[2], r[1:] in known))
+            known.add(r[1:])
+    assert got.columns == ["id", "kind", "is_dup"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    texts = [x._jdf.queryExecution().optimizedPlan().toString() for x in plans]
+    windows = [line for t in texts for line in t.splitlines() if "Window [" in line]
+    assert len(texts) == 4 and not any("Python" in t or "Pandas" in t for t in texts)
+    assert len(windows) == 4 and all("[_key0#" in w and "_order#" in w.split("[_key0#")[1].split("]")[0] for w in windows)  # rows meet by key and order
+
+
+def test_a_key_goes_once_it_has_been_silent(spark, tmp_path, monkeypatch):
+    clock = iter([1000, 1010, 1020, 1040])
+    monkeypatch.setattr(passes, "time", SimpleNamespace(time=lambda: next(clock)))
+    rows = [(0, 1, "a"), (1, 2, "a"), (2, 1, "a"), (3, 3, "a"), (4, 1, "a"), (5, 2, "a"), (6, 1, "a"), (7, 1, "a")]
+    got = {r.id: r.is_dup for r in flagged(spark, tmp_path, rows, 4, "12 seconds").collect()}
+    # user 1 comes at 0, 10 and 20, and is silent until 40; user 2 from 0 to 20
+    assert got == {0: False, 1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True}
+
+
+@pytest.mark.parametrize("name, total", [("stream_dedup", "count(*)"), ("stream_depth", "sum(n)")])
+def test_events_may_be_a_folder_of_files(spark, tmp_path, name, total):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert catalogue.QUERIES[name](spark, str(tmp_path)).selectExpr(total).first()[0] == rows.count()
